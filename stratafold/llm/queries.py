@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import packing
+from stratafold.llm import packing, simhash_pivot
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_sum_of_squares_packing,)}
+QUERIES = {f.__name__: f for f in (op6_simhash_pivot_tables, op8_sum_of_squares_packing)}
 ORACLE_SQL: dict[str, str] = {}
