@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import packing, simhash_pivot
+from stratafold.llm import chat, packing, simhash_pivot
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,10 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_pivot_tables, op8_sum_of_squares_packing)}
+def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
+    return chat.read_back(chat.format_chats(turns))
+
+
+QUERIES = {f.__name__: f for f in (op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
 ORACLE_SQL: dict[str, str] = {}
