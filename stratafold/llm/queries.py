@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, packing, simhash_pivot
+from stratafold.llm import chat, mixing, packing, simhash_pivot
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
+ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE}
