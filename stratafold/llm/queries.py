@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, mixing, packing, simhash_pivot
+from stratafold.llm import chat, mixing, packing, quality, simhash_pivot
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op2_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = quality.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return weights.select("doc_id", "n_grams", "log_weight", "chance", "gumbel_key", "selected")
+
+
 def op6_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,5 +33,5 @@ def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
+QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
 ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE}
