@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, mixing, packing, quality, simhash_pivot
+from stratafold.llm import chat, mixing, packing, quality, simhash_pivot, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.select("doc_id", "n_grams", "log_weight", "chance", "gumbel_key", "selected")
 
 
+def op5_boosted_tree_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
+QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
 ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE}
