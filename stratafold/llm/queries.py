@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, mixing, packing, quality, simhash_pivot, toxicity
+from stratafold.llm import chat, fingerprints, mixing, packing, quality, simhash_pivot, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,14 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_block_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op10_chat_state_machine)}
+QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
 ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE}
