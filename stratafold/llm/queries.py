@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, fingerprints, mixing, packing, quality, simhash_pivot, toxicity
+from stratafold.llm import chat, fingerprints, media, mixing, packing, quality, simhash_pivot, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.select("doc_id", "n_grams", "log_weight", "chance", "gumbel_key", "selected")
 
 
+def op4_progressive_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.encode(table(spark, sf_dir, "documents")))
+
+
 def op5_boosted_tree_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -42,5 +46,5 @@ def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
+QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op4_progressive_jpeg_media, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
 ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE}
