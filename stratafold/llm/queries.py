@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, fingerprints, media, mixing, packing, quality, simhash_pivot, toxicity
+from stratafold.llm import chat, fingerprints, lm_scoring, media, mixing, packing, quality, simhash_pivot, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
@@ -46,5 +51,5 @@ def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_splitting_tree_mix, op3_importance_resampling, op4_progressive_jpeg_media, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
+QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_splitting_tree_mix, op3_importance_resampling, op4_progressive_jpeg_media, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
 ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE}
