@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, fingerprints, lm_scoring, media, mixing, packing, quality, simhash_pivot, toxicity
+from stratafold.llm import chat, fingerprints, language, lm_scoring, media, mixing, packing, quality, simhash_pivot, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_evidence_fusion_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"), language.train(table(spark, sf_dir, "documents")))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_splitting_tree_mix, op3_importance_resampling, op4_progressive_jpeg_media, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
+QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_splitting_tree_mix, op3_importance_resampling, op4_progressive_jpeg_media, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op7_evidence_fusion_language, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
 ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE}
