@@ -148,5 +148,6 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS, blocks: int = B
     distinct = saved(distinct)
     met = within_radius(distinct.filter("asks").select(F.col("fp").alias("probe")), distinct.select("fp"), radius, blocks)
     near = met.join(distinct.select("fp", "rows"), "fp").groupBy("probe").agg((F.sum("rows") - 1).alias("near_docs"))
-    out = found.join(near, F.when(asks, F.col("fp")) == F.col("probe"), "left")
+    asked = found.filter(asks).join(near, F.col("fp") == F.col("probe"), "left").drop("probe")
+    out = asked.unionByName(found.filter(~F.coalesce(asks, F.lit(False))).withColumn("near_docs", F.lit(None).cast("long")))
     return out.select("doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "near_docs")
