@@ -11,6 +11,7 @@ from stratafold.functions import text as tx
 from stratafold.operators import aggregates as ag
 from stratafold.operators import derived, hierarchy, joins, layout, ordered, rules, tree
 from stratafold.plans import target as tg
+from stratafold.session import ship
 from stratafold.sources import sinks, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +31,11 @@ class Tables:
 
 def query(sql: str | None = None):
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
         return f
