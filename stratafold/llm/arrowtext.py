@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from stratafold.session import ship
+
 #: Bytes of text that one slice holds at most (a single longer text is a slice of its own).
 SLICE_BYTES = 8 << 20
 #: Rows and bytes of one Arrow batch between the JVM and Python.
@@ -21,7 +23,8 @@ BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
 def bound_batches(spark) -> None:
-    """Bound the Arrow batches by bytes as well as rows, so that long texts cannot make one batch huge."""
+    """Bound the Arrow batches by bytes as well as rows, so that long texts cannot make one batch huge; see that executors have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -175,6 +175,7 @@ def links_in_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radiu
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) of a table of distinct fingerprints `fp` whose components are those of all links."""
+    bound_batches(distinct.sparkSession)
     tables = _tables(blocks_for(distinct.count(), radius), radius)
     rows = distinct.select("fp", F.inline(F.array(*tables)))
     sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
