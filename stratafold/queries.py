@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import text as tx
 from stratafold.operators import aggregates as ag
-from stratafold.operators import derived, hierarchy, joins, layout, ordered, rules, tree
+from stratafold.operators import derived, entities, hierarchy, joins, layout, ordered, pages, rules, tree
 from stratafold.plans import target as tg
 from stratafold.session import ship
 from stratafold.sources import sinks, web
@@ -554,3 +554,51 @@ def tree_extract_entities(t):
 @query("SELECT conv_id, max(turn) + 1 AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, arg_min(role, turn) AS opens FROM conversations GROUP BY 1")
 def turn_path(t):
     return t.conversations.groupBy("conv_id").agg((F.max("turn") + 1).alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.min_by("role", "turn").alias("opens"))
+
+
+# -- Entities and pages -----------------------------------------------------
+
+
+@query("""WITH o AS (SELECT 'c' || c_custkey % 50 AS site, c_name AS monster, c_custkey FROM customer), a AS (SELECT * FROM o WHERE c_custkey % 7 = 0), b AS (SELECT * FROM o WHERE c_custkey % 11 = 0 AND c_custkey % 3 = 1), x AS (SELECT * FROM o WHERE c_custkey % 97 = 0)
+SELECT site, monster FROM x UNION ALL SELECT site, monster FROM a WHERE site NOT IN (SELECT site FROM x) UNION ALL SELECT site, monster FROM b WHERE site NOT IN (SELECT site FROM x) AND site NOT IN (SELECT site FROM a)""")
+def source_precedence(t):
+    rows = t.customer.selectExpr("concat('c', c_custkey % 50) AS site", "c_name AS monster", "c_custkey AS k")
+    return entities.monsters(rows.filter("k % 7 = 0"), rows.filter("k % 11 = 0 AND k % 3 = 1"), rows.filter("k % 97 = 0"))
+
+
+@query("""WITH u AS (SELECT 0 AS n, s_nationkey AS location, 'g' AS "group", s_suppkey AS ord, s_name AS name FROM supplier WHERE s_acctbal > 6000 UNION ALL SELECT 1, c_nationkey, 'g', c_custkey, c_name FROM customer)
+SELECT location, name FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY n, ord) AS r FROM u) WHERE r = 1""")
+def keep_first_across_sources(t):
+    a = t.supplier.filter("s_acctbal > 6000").selectExpr("s_nationkey AS location", "'g' AS `group`", "s_suppkey AS ord", "s_name AS name")
+    b = t.customer.selectExpr("c_nationkey AS location", "'g' AS `group`", "c_custkey AS ord", "c_name AS name")
+    return entities.natives([a, b]).select("location", "name")
+
+
+@query("""WITH l AS (SELECT user_id AS doc, event_id // 40 AS page, event_id // 10 % 2 AS col, event_id AS ord, event_type = 'view' AS image, event_type = 'purchase' AS head FROM events),
+m AS (SELECT *, count(*) FILTER (WHERE head) OVER (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING) AS s, min(CASE WHEN NOT image THEN ord END) OVER (PARTITION BY doc, page, col) AS f FROM l),
+h AS (SELECT doc, ord AS f, head AS first_head FROM l)
+SELECT m.doc, m.ord, s + CASE WHEN image AND m.ord < m.f AND h.first_head THEN 1 ELSE 0 END AS section FROM m LEFT JOIN h ON h.doc = m.doc AND h.f = m.f""")
+def figure_sections(t):
+    lines = t.events.selectExpr("user_id AS doc", "event_id div 40 AS page", "event_id div 10 % 2 AS col", "event_id AS ord", "CASE WHEN event_type = 'view' THEN 'image' ELSE 'text' END AS kind", "CASE WHEN event_type = 'purchase' THEN 1 END AS level")
+    return pages.figure_sections(lines).select("doc", "ord", "section")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS guid, 'f' || p_partkey % 3 AS face, CAST((p_partkey % 100) // (5 + p_size % 3) AS INTEGER) AS row, CAST((p_partkey % 100) % (5 + p_size % 3) AS INTEGER) AS col FROM part WHERE (p_partkey % 100) // (5 + p_size % 3) < 7")
+def sprite_cells(t):
+    deck = F.create_map(F.expr("CAST(p_partkey div 100 AS STRING)"), F.struct(F.expr("concat('f', p_partkey % 3)").alias("FaceURL"), F.lit("b").alias("BackURL"), F.expr("5 + p_size % 3").alias("NumWidth"), F.lit(7).alias("NumHeight")))
+    card = F.struct(F.col("p_partkey").cast("string").alias("GUID"), F.col("p_partkey").alias("CardID"), deck.alias("CustomDeck"))
+    saves = t.part.select(F.col("p_partkey").cast("string").alias("source"), F.to_json(F.struct(F.array(card).alias("ObjectStates"))).alias("save"))
+    return tree.sprite_cell(tree.named(tree.flatten(saves))).select("guid", "face", "row", "col")
+
+
+@query("SELECT l_suppkey, string_agg('+' || n || ' ' || l_returnflag || CASE WHEN n > 1 THEN 's' ELSE '' END, ',' ORDER BY l_returnflag) AS labels FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def reward_labels(t):
+    counts = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n")).groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("m"))
+    return counts.select("l_suppkey", F.array_join(entities.reward_labels(F.col("m")), ",").alias("labels"))
+
+
+@query("SELECT image, line FROM (SELECT a.event_id AS image, b.event_id AS line, row_number() OVER (PARTITION BY a.event_id ORDER BY least(a.event_id + a.value, b.event_id + b.value) - greatest(a.event_id, b.event_id) DESC, b.event_id) AS n FROM events a JOIN events b ON a.event_id % 5 = 0 AND b.event_id % 5 = 1 AND a.event_id // 1000 = b.event_id // 1000 AND least(a.event_id + a.value, b.event_id + b.value) > greatest(a.event_id, b.event_id) WHERE a.value > 1) WHERE n = 1")
+def best_overlap(t):
+    boxes = t.events.selectExpr("event_id div 1000 AS page", "event_id", "CAST(event_id AS DOUBLE) AS y0", "event_id + value AS y1", "value")
+    images = boxes.filter("event_id % 5 = 0 AND value > 1").withColumnRenamed("event_id", "image")
+    return layout.best_overlap(images.select("page", "image", "y0", "y1"), boxes.filter("event_id % 5 = 1").select("page", F.col("event_id").alias("line"), "y0", "y1")).select("image", "line")
