@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.arrowtext import bound_batches, slices, text_column
+from stratafold.llm.arrowtext import bound_batches, mixed, slices, text_column
 from stratafold.llm.components import components
 from stratafold.llm.shared import checked_broadcast, saved
 
@@ -48,10 +48,12 @@ CHUNK = 4096
 #: Pairs that are held at a time.
 PAIRS_AT_ONCE = 1 << 20
 SLICE = 2 << 20
+#: Of the stage: words of a shingle, the least Jaccard similarity, the widest link of 128 bits that is verified, and the share of differing bits that its tables are made for.
+WIDE_WORDS, SIMILARITY, WIDE_RADIUS, WIDE_SHARE = 5, 0.8, 26, 0.151
 
 
-def fingerprints_of(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """The fingerprint of each text, as unsigned 64-bit numbers."""
+def shingle_hashes(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of every shingle of every text in order, number of shingles of each text)."""
     import xxhash
 
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
@@ -71,28 +73,45 @@ def fingerprints_of(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEE
     at = np.repeat(first - (total - shingles), shingles) + number
     till = np.minimum(at + width - 1, np.repeat(first + count - 1, shingles))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(data[a:b], seed) for a, b in zip(begins[at].tolist(), ends[till].tolist())), np.uint64, len(at))
-    set_bits = np.zeros((len(texts), 64), np.int64)
+    return np.fromiter((digest(data[a:b], seed) for a, b in zip(begins[at].tolist(), ends[till].tolist())), np.uint64, len(at)), shingles
+
+
+def majority(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Of each text, the bits set in over half of its hashes."""
+    set_bits = np.zeros((len(shingles), 64), np.int64)
     some = np.flatnonzero(shingles)
     if len(some):
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits[some] = np.add.reduceat(bits, (total - shingles)[some], axis=0, dtype=np.int32)
+        set_bits[some] = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[some], axis=0, dtype=np.int32)
     over_half = 2 * set_bits > shingles[:, None]
     return np.packbits(over_half, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits."""
+def fingerprints_of(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """The fingerprint of each text, as unsigned 64-bit numbers."""
+    return majority(*shingle_hashes(texts, width, seed))
+
+
+def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, wide: bool = False) -> DataFrame:
+    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits. With `wide`, also the 128 bits w0, w1 of WIDE_WORDS shingles."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch)
-            found = [fingerprints_of(texts.slice(a, n), width, seed) for a, n in slices(texts, SLICE)]
-            values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(values)], ["doc_id", "row_key", "fp"])
+            found = [[fingerprints_of(texts.slice(a, n), width, seed), *(wide_fingerprints_of(texts.slice(a, n)) if wide else ())] for a, n in slices(texts, SLICE)]
+            values = [np.concatenate(c).view(np.int64) for c in zip(*found)] if found else [np.empty(0, np.int64)] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *map(pa.array, values)], ["doc_id", "row_key", *names])
+
+    names = ["fp", "w0", "w1"] if wide else ["fp"]
+    rows = docs.select(docs[doc_col].cast("long").alias("doc_id"), F.xxhash64(docs[doc_col], docs[text_col]).alias("row_key"), docs[text_col].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, " + ", ".join(f"{n} long" for n in names))
 
-    return docs.select(docs[doc_col].cast("long").alias("doc_id"), F.xxhash64(docs[doc_col], docs[text_col]).alias("row_key"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, row_key long, fp long")
+
+def wide_fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 fingerprint bits of WIDE_WORDS shingles; the second half votes with the hashes mixed once more."""
+    hashes, shingles = shingle_hashes(texts, WIDE_WORDS)
+    return majority(hashes, shingles), majority(mixed(hashes), shingles)
 
 
 def _block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -173,44 +192,54 @@ def links_in_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radiu
     return fp[moved], fp[forest.label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) of a table of distinct fingerprints `fp` whose components are those of all links."""
-    bound_batches(distinct.sparkSession)
-    tables = _tables(blocks_for(distinct.count(), radius), radius)
-    rows = distinct.select("fp", F.inline(F.array(*tables)))
+def _meetings(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` (columns, table, key) with the pieces of buckets they meet in (i, j, side), dealt and sorted by piece. Buckets of one row go."""
     sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
     pieces = f"cast(ceil(n / {CHUNK}) AS int)"
-    own = f"cast(pmod(xxhash64(fp), {pieces}) AS int)"
+    own = f"cast(pmod(xxhash64({', '.join(columns)}), {pieces}) AS int)"
     met = rows.join(sizes, ["table", "key"]).selectExpr(
-        "table", "key", "fp",
+        *columns, "table", "key",
         f"CASE WHEN n <= {CHUNK} THEN array(struct(0 AS i, 0 AS j, 2 AS side)) ELSE transform(sequence(0, {pieces} - 1), k -> "
         f"struct(least(k, {own}) AS i, greatest(k, {own}) AS j, CASE WHEN k = {own} THEN 2 WHEN k < {own} THEN 1 ELSE 0 END AS side)) END AS meetings",
-    ).selectExpr("fp", "table", "key", "inline(meetings)")
-    parted = met.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j")
+    ).selectExpr(*columns, "table", "key", "inline(meetings)")
+    return met.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j").select(*columns, "side", "table", "key", "i", "j")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def found(rows: np.ndarray) -> pa.RecordBatch:
-            same = np.all(rows[1:, 2:] == rows[:-1, 2:], axis=1)
-            bucket = np.concatenate(([0], np.cumsum(~same))) if len(rows) else np.empty(0, np.int64)
-            a, b = links_in_buckets(bucket, rows[:, 1], rows[:, 0].view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket number, rows) of whole buckets, from batches sorted by bucket; a row is its columns and side."""
+    held: list[np.ndarray] = []
+    n = len(columns) + 1
 
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "side", "table", "key", "i", "j")], axis=1)
-            if not len(rows):
-                continue
-            rows = np.ascontiguousarray(np.concatenate([*held, rows]))
-            last = np.all(rows[:, 2:] == rows[-1, 2:], axis=1)
-            cut = int(np.argmax(last))
-            if cut:
-                yield found(np.ascontiguousarray(rows[:cut]))
-            held = [rows[cut:]]
-        if held:
-            yield found(np.ascontiguousarray(held[0]))
+    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        same = np.all(rows[1:, n:] == rows[:-1, n:], axis=1)
+        return np.concatenate(([0], np.cumsum(~same))), np.ascontiguousarray(rows[:, :n])
+
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*columns, "side", "table", "key", "i", "j")], axis=1)
+        if not len(rows):
+            continue
+        rows = np.concatenate([*held, rows])
+        last = np.all(rows[:, n:] == rows[-1, n:], axis=1)
+        cut = int(np.argmax(last))
+        if cut:
+            yield whole(rows[:cut])
+        held = [rows[cut:]]
+    if held:
+        yield whole(held[0])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) of a table of distinct fingerprints `fp` whose components are those of all links."""
+    bound_batches(distinct.sparkSession)
+    tables = _tables(blocks_for(distinct.count(), radius), radius)
+    parted = _meetings(distinct.select("fp", F.inline(F.array(*tables))), ["fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches, ["fp"]):
+            a, b = links_in_buckets(bucket, rows[:, 1], np.ascontiguousarray(rows[:, 0]).view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return parted.select("fp", "side", "table", "key", "i", "j").mapInArrow(run, "a long, b long")
+    return parted.mapInArrow(run, "a long, b long")
 
 
 def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -229,10 +258,117 @@ def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sampled_bits(count: int) -> list[tuple[int, int]]:
+    """Masks (of w0, of w1) of the bits by which each table's rows meet: enough bits that `count` random rows fill buckets of 32, enough tables that a pair at WIDE_SHARE misses all of them one time in twenty."""
+    bits = max(10, int(np.ceil(np.log2(max(count, 1) / 32))))
+    tables = int(np.ceil(3 / (1 - WIDE_SHARE) ** bits))
+    rng = np.random.Generator(np.random.PCG64(11))
+    out = []
+    for _ in range(tables):
+        chosen = sum(1 << int(b) for b in rng.choice(128, bits, replace=False))
+        out.append(tuple(m - (1 << 64) if m >> 63 else m for m in (chosen & (2**64 - 1), chosen >> 64)))
+    return out
+
+
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the links a-b make a spanning forest of least total distance."""
+    label, kept = np.arange(n), []
+    for d in np.unique(far):
+        some = np.flatnonzero(far == d)
+        while len(some):
+            x, y = label[a[some]], label[b[some]]
+            some, x, y = some[x != y], x[x != y], y[x != y]
+            if not len(some):
+                break
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            kept.append(some[first])
+            label[high] = np.minimum(x, y)[first]
+            while not np.array_equal(up := label[label], label):
+                label = up
+    return np.concatenate(kept) if kept else np.empty(0, np.int64)
+
+
+def close_in_buckets(bucket: np.ndarray, side: np.ndarray, w0: np.ndarray, w1: np.ndarray, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (by place) linked in a spanning forest of least distance among pairs of one bucket within `radius` of 128 bits, found through pivot distances like `links_in_buckets`."""
+    pivots = _pivots(2 * PIVOTS).reshape(2, -1)
+    distance = (np.bitwise_count(w0[:, None] ^ pivots[0]) + np.bitwise_count(w1[:, None] ^ pivots[1])).astype(np.int16)
+    order = np.lexsort((distance[:, 0], bucket))
+    bucket, side, w0, w1, distance = bucket[order], side[order], w0[order], w1[order], distance[order]
+    place = bucket.astype(np.int64) * 256 + distance[:, 0]
+    number = np.arange(len(w0))
+    partners = np.searchsorted(place, np.minimum(place + radius, bucket.astype(np.int64) * 256 + 255), side="right") - number - 1
+    ends, edges, first = np.cumsum(partners), [], 0
+    while first < len(w0):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE, side="right")))
+        n = partners[first:last]
+        a = np.repeat(number[first:last], n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        meets = (side[a] == 2) | (side[a] != side[b])
+        a, b = a[meets], b[meets]
+        for k in (1, 2):  # so wide a radius lets most pairs pass the pivots: two more coordinates, then the bits
+            near = np.abs(distance[a, k] - distance[b, k]) <= radius
+            a, b = a[near], b[near]
+        far = np.bitwise_count(w0[a] ^ w0[b]) + np.bitwise_count(w1[a] ^ w1[b])
+        near = far <= radius
+        a, b, far = a[near], b[near], far[near]
+        kept = spanning_forest(len(w0), a, b, far)
+        edges.append((a[kept], b[kept], far[kept]))
+        first = last
+    a, b, far = (np.concatenate(x) for x in zip(*edges)) if edges else (np.empty(0, np.int64),) * 3
+    kept = spanning_forest(len(w0), a, b, far)
+    return order[a[kept]], order[b[kept]]
+
+
+def similar(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between rows of `reps` (row_key, w0, w1) whose texts in `docs` have a Jaccard similarity of at least SIMILARITY of their WIDE_WORDS shingles.
+
+    Each bucket gives its nearest links, a forest, and those are verified on the texts.
+    """
+    bound_batches(docs.sparkSession)
+    tables = [F.struct(F.lit(i).alias("table"), F.xxhash64(F.col("w0").bitwiseAND(F.lit(x).cast("long")), F.col("w1").bitwiseAND(F.lit(y).cast("long"))).alias("key")) for i, (x, y) in enumerate(_sampled_bits(reps.count()))]
+    columns = ["row_key", "w0", "w1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches, columns):
+            w0, w1 = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
+            a, b = close_in_buckets(bucket, rows[:, 3], w0, w1)
+            a, b = rows[a, 0], rows[b, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    met = _meetings(reps.select(*columns, F.inline(F.array(*tables))), columns).mapInArrow(run, "a long, b long")
+    close = saved(met.distinct())
+    asked = saved(close.select(F.col("a").alias("_asked")).unionByName(close.select(F.col("b").alias("_asked"))).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = text_column(batch), batch.column("_asked")
+            for first, n in slices(texts, SLICE):
+                hashes, count = shingle_hashes(texts.slice(first, n), WIDE_WORDS)
+                parts = [np.unique(h).view(np.int64) for h in np.split(hashes, np.cumsum(count)[:-1])]
+                yield pa.RecordBatch.from_arrays([keys.slice(first, n), pa.array(parts, pa.list_(pa.int64()))], ["_asked", "s"])
+
+    text = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("_row"), docs["text"].cast("string").alias("text"))
+    shingles = saved(text.join(checked_broadcast(asked), F.col("_row") == F.col("_asked")).select("_asked", "text").mapInArrow(sets, "_asked long, s array<long>").dropDuplicates(["_asked"]))
+    both = close.join(shingles.select(F.col("_asked").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("_asked").alias("b"), F.col("s").alias("sb")), "b")
+    common = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return common.filter(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).filter("n > 0").select("a", "b")
+
+
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stay when one document of each class does: the one with the least doc_id."""
-    found = classes(saved(fingerprints(docs)), radius)
-    gone = saved(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct())
+    """The rows of `docs` that stay when one document of each class does: the one with the least doc_id.
+
+    Classes of linked fingerprints are joined further where their first documents
+    are similar (`similar`).
+    """
+    found = saved(classes(saved(fingerprints(docs, wide=True)), radius))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    reps = saved(found.filter(first).select("row_key", "doc_id", "w0", "w1").dropDuplicates(["row_key"]))
+    roots = components(saved(similar(docs, reps)))
+    rooted = reps.join(roots, F.col("row_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row_key"))
+    best = rooted.groupBy("root").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("stays"))
+    merged = rooted.join(best, "root").filter("row_key <> stays").select("row_key")
+    gone = saved(found.filter(~first).select("row_key").unionByName(merged).distinct())
     key = F.xxhash64(docs["doc_id"], docs["text"])
     kept = docs.withColumn("_row_key", key).join(checked_broadcast(gone), F.col("_row_key") == gone["row_key"], "left_anti")
     again = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))

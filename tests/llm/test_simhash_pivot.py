@@ -103,3 +103,27 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert sp.near_duplicates(docs).count() == 0
     assert sp.without_near_duplicates(docs).count() == 0
+
+
+def test_least_forest():
+    a, b, far = np.array([0, 1, 0, 3, 2]), np.array([1, 2, 2, 4, 3]), np.array([1, 1, 0, 2, 9])
+    kept = sp.spanning_forest(6, a, b, far)
+    assert sorted(far[kept].tolist()) == [0, 1, 2, 9] and len(kept) == 4
+
+
+def test_similar_texts_join_and_others_stay(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(25):
+        base = list(rng.choice(words, 300))
+        rows.append((10 * i, " ".join(base)))
+        near = list(base)
+        for at in rng.choice(300, 5, replace=False):
+            near[at] = "changed"
+        rows.append((10 * i + 1, " ".join(near)))
+        rows.append((10 * i + 2, " ".join(base[:100] + list(rng.choice(words, 200)))))
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
+    kept = {r.doc_id for r in sp.without_near_duplicates(docs).collect()}
+    assert all(10 * i in kept and 10 * i + 2 in kept for i in range(25))
+    assert sum(10 * i + 1 in kept for i in range(25)) <= 2
