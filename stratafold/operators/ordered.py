@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 
 def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -87,21 +88,24 @@ def pending_to_next(column: str, group: list[str], order: str) -> Column:
     return F.first(column, ignorenulls=True).over(Window.partitionBy(*group).orderBy(order).rowsBetween(0, Window.unboundedFollowing))
 
 
-@pandas_udf(ArrayType(IntegerType()))
-def _rows(widths: pd.Series, available: pd.Series, gap: pd.Series) -> pd.Series:
-    def one(ws, room, between):
-        out, row, used = [], 0, 0.0
-        for i, w in enumerate(ws if ws is not None else []):
-            if out and used + between + w > room:
-                row, used = row + 1, w
-            else:
-                used += w + (between if out and i else 0)
-            out.append(row)
-        return out
+@pandas_udf(ArrayType(StructType([StructField("row", IntegerType()), StructField("width", DoubleType())])))
+def _rows(texts: pd.Series, room: pd.Series, fixed: pd.Series, gap: pd.Series) -> pd.Series:
+    def one(wanted, room, fixed, gap):
+        if wanted is None or room <= 0:
+            return []
+        text = np.clip(np.asarray(wanted, float), 1.0, max(1.0, room - fixed))
+        row, left = np.zeros(len(text), int), room
+        for i, need in enumerate(text + fixed):
+            fresh = i == 0 or need + gap > left
+            row[i] = (row[i - 1] if i else -1) + fresh
+            left = (room if fresh else left - gap) - need
+        used = np.bincount(row, text + fixed + gap) - gap if len(row) else np.zeros(0)
+        grown = text * (1 + np.maximum(0, room - used) / np.maximum(np.bincount(row, text), 1e-300))[row] if len(row) else text
+        return [{"row": int(r), "width": float(w)} for r, w in zip(row, grown)]
 
-    return pd.Series([one(*x) for x in zip(widths, available, gap)])
+    return pd.Series([one(*x) for x in zip(texts, room, fixed, gap)])
 
 
-def packed_rows(widths: Column, available: Column, gap: Column) -> Column:
-    """The row of each card when rows are filled greedily in order."""
-    return _rows(widths, available, gap)
+def packed_rows(texts: Column, room: Column, card: Column, entry_gap: Column, row_gap: Column) -> Column:
+    """The row and the justified text width of each entry (a card, a gap and a text) when rows are filled greedily in order; a row's rest is shared by its texts in proportion."""
+    return _rows(texts, room, card + entry_gap, row_gap)

@@ -23,7 +23,7 @@ def content_addressed(df: DataFrame, data: str, page: str, coverage: str) -> Dat
 
 
 #: Keys whose numbers are 32-bit floats.
-FLOAT_KEYS = frozenset("posX posY posZ rotX rotY rotZ scaleX scaleY scaleZ x y z r g b a width height".split())
+FLOAT_KEYS = frozenset("r g b a x y z posX posY posZ rotX rotY rotZ scaleX scaleY scaleZ xSize ySize".split())
 
 
 def same_number(value: Column, before: Column, float_key: Column) -> Column:
@@ -32,6 +32,17 @@ def same_number(value: Column, before: Column, float_key: Column) -> Column:
     return (value.cast("float") == before.cast("float")) | (float_key & near)
 
 
+def short_literal(value: Column) -> Column:
+    """A number's text: whole numbers without a point, from 1e10 on with as few significant digits as their 32-bit float needs; 32-bit floats with as few decimals as they need; else all digits."""
+    single, whole = value.cast("float"), value == F.floor(value)
+    digits = [F.format_string(f"%.{n}e", value).cast("double") for n in range(15)]
+    few = F.coalesce(*(F.when(d.cast("float") == single, d) for d in digits), value)
+    integer = F.when(F.abs(value) >= 1e10, few).otherwise(value).cast("decimal(38,0)").cast("string")
+    decimals = [F.format_string(f"%.{n}f", value) for n in range(10)]
+    exact = F.coalesce(*(F.when(d.cast("double").cast("float") == single, d) for d in decimals))
+    return F.when(whole, integer).when(single.cast("double") == value, F.coalesce(exact, value.cast("string"))).otherwise(value.cast("string"))
+
+
 def kept_literals(values: DataFrame, baselines: list[DataFrame]) -> DataFrame:
     """(path, text): the number's literal from the first baseline (path, literal) that has an equal number at its path, else its own; whole numbers under float keys get '.0'."""
     out = values.withColumn("_key", F.element_at(F.split("path", r"\."), -1))
@@ -40,8 +51,7 @@ def kept_literals(values: DataFrame, baselines: list[DataFrame]) -> DataFrame:
     for n, b in enumerate(baselines):
         out = out.join(b.select("path", F.col("literal").alias(f"_b{n}")), "path", "left")
         hits.append(F.when(same_number(F.col("value"), F.col(f"_b{n}").cast("double"), is_float), F.col(f"_b{n}")))
-    whole = F.col("value") == F.floor("value")
-    own = F.when(whole & is_float, F.concat(F.col("value").cast("bigint").cast("string"), F.lit(".0"))).when(whole, F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string"))
+    own = F.concat(short_literal(F.col("value")), F.when(is_float & (F.col("value") == F.floor("value")), ".0").otherwise(""))
     return out.select("path", F.coalesce(*hits, own).alias("text"))
 
 

@@ -172,8 +172,11 @@ def test_guid_lists(spark):
 
 def test_layout(spark):
     row = spark.range(1)
-    assert row.select(ordered.packed_rows(F.array(*map(F.lit, [3.0, 3.0, 3.0, 4.0, 4.0])), F.lit(10.0), F.lit(0.5)).alias("x")).first().x == [0, 0, 0, 1, 1]
-    assert row.select(ordered.packed_rows(F.array().cast("array<double>"), F.lit(10.0), F.lit(0.5)).alias("x")).first().x == []
+    pack = lambda ws, room=100.0: row.select(ordered.packed_rows(F.array(*map(F.lit, ws)).cast("array<double>"), *map(F.lit, (room, 10.0, 5.0, 2.0))).alias("x")).first().x
+    got = pack([20.0, 20.0, 20.0, 30.0, 500.0])
+    assert [r.row for r in got] == [0, 0, 1, 1, 2]
+    assert [round(r.width, 3) for r in got] == [34.0, 34.0, 27.2, 40.8, 85.0]
+    assert pack([]) == [] and pack([5.0], 0.0) == []
     h = row.select(layout.hsv(F.lit(255), F.lit(0), F.lit(255)).alias("x")).first().x
     assert (round(h.h, 4), h.s, h.v) == (0.8333, 1, 1)
     assert row.select(layout.joined_lines(F.array(F.lit("well-"), F.lit("known fact"))).alias("x")).first().x == "well-known fact"
@@ -209,8 +212,8 @@ def test_links_and_names(spark):
 def test_number_literals(spark):
     base = spark.createDataFrame([('{"posX": 1.50, "n": [1, 2.0], "s": "3"}',)], "t string").select(F.explode(sinks.number_tokens("t")).alias("e")).select("e.*")
     assert sorted(map(tuple, base.collect())) == [("n.0", "1"), ("n.1", "2.0"), ("posX", "1.50")]
-    new = spark.createDataFrame([("posX", 1.500001), ("n.0", 1.0), ("n.1", 5.0), ("posY", 2.0)], "path string, value double")
-    assert {r.path: r.text for r in sinks.kept_literals(new, [base]).collect()} == {"posX": "1.50", "n.0": "1", "n.1": "5", "posY": "2.0"}
+    new = spark.createDataFrame([("posX", 1.500001), ("n.0", 1.0), ("n.1", 5.0), ("posY", 2.0), ("f", 0.10000000149011612), ("d", 0.1), ("big", 12345678848.0)], "path string, value double")
+    assert {r.path: r.text for r in sinks.kept_literals(new, [base]).collect()} == {"posX": "1.50", "n.0": "1", "n.1": "5", "posY": "2.0", "f": "0.1", "d": "0.1", "big": "12345679000"}
 
 
 def test_streamed_rules(spark, sections, tmp_path):
