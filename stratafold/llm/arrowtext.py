@@ -7,6 +7,7 @@ text's tokens begin. Per-word work is then done once per distinct word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,9 +18,9 @@ import pyarrow.compute as pc
 from stratafold.session import ship
 
 #: Bytes of text that one slice holds at most (a single longer text is a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Rows and bytes of one Arrow batch between the JVM and Python.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def bound_batches(spark) -> None:
@@ -34,8 +35,21 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(name).cast(pa.string()), "")
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker lives on and serves other operators."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """(first, count) of consecutive runs of texts of about `limit` bytes."""
+    """(first, count) of consecutive runs of texts of about `limit` bytes; freed memory is given back after the last."""
     if len(texts) == 0:
         return
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -45,6 +59,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield first, last - first
         first = last
+    give_back()
 
 
 @dataclass

@@ -28,12 +28,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from stratafold.llm.arrowtext import bound_batches, slices, text_column, words_of
+from stratafold.llm.arrowtext import bound_batches, give_back, slices, text_column, words_of
 
 CAPACITY = 4096
 END_ID = 2
 SETTLE_TOKENS = 4 << 20
-#: Words whose ids a worker remembers; beyond, it forgets them all and goes on.
+#: Words whose ids a task remembers; beyond, it forgets them all and goes on.
 REMEMBERED_WORDS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -42,7 +42,7 @@ ARROW_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins across ASCII white space.
 
-    Each distinct word is encoded once per worker. Words are encoded many at a
+    Each distinct word is encoded once per task. Words are encoded many at a
     time, parted by a control character that the tokenizer gives one id of its
     own; a word that holds that character is encoded alone.
     """
@@ -247,7 +247,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
                 if len(rows) >= 20_000:
                     yield flush()
         windows.close()
+        tokenizer.forget()  # the worker may serve other operators next
         yield flush()
+        give_back()
 
     source = docs.select(docs[doc_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return source.mapInArrow(stream, SCHEMA)

@@ -47,7 +47,7 @@ PIVOTS = 16
 CHUNK = 4096
 #: Pairs that are held at a time.
 PAIRS_AT_ONCE = 1 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Of the stage: words of a shingle, the least Jaccard similarity, the widest link of 128 bits that is verified, and the share of differing bits that its tables are made for.
 WIDE_WORDS, SIMILARITY, WIDE_RADIUS, WIDE_SHARE = 5, 0.8, 26, 0.151
 
