@@ -19,6 +19,12 @@ own, so no task holds more than two chunks of a bucket and no link is lost.
 A bucket gives a spanning forest of the links it found, not all of them; classes
 are the connected components of all forests.
 
+`without_near_duplicates` also links texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more, all of them: sets that share a shingle of their
+prefixes are one family, a family's sets meet in one task (or, cut into chunks, in
+one for each pair of chunks), and every pair that could be similar is verified on
+the sets unless verified links already join it.
+
 Defined cases: null text is the empty text; a text without words has fingerprint
 zero and links like any other; repeated rows are in one class; a null doc_id
 never names a class unless the class has no other; an empty table gives no rows;
@@ -48,8 +54,10 @@ CHUNK = 4096
 #: Pairs that are held at a time.
 PAIRS_AT_ONCE = 1 << 20
 SLICE = 1 << 20
-#: Of the stage: words of a shingle, the least Jaccard similarity, the widest link of 128 bits that is verified, and the share of differing bits that its tables are made for.
-WIDE_WORDS, SIMILARITY, WIDE_RADIUS, WIDE_SHARE = 5, 0.8, 26, 0.151
+#: Of the stage: words of a shingle, and the least Jaccard similarity.
+WIDE_WORDS, SIMILARITY = 5, 0.8
+#: A shingle of more prefixes goes last in the order of shingles; at most so many do.
+HOT, HOT_MOST = 50, 1_000_000
 
 
 def shingle_hashes(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -92,26 +100,24 @@ def fingerprints_of(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEE
     return majority(*shingle_hashes(texts, width, seed))
 
 
-def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, wide: bool = False) -> DataFrame:
-    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits. With `wide`, also the 128 bits w0, w1 of WIDE_WORDS shingles."""
+def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, sets: bool = False) -> DataFrame:
+    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits. With `sets`, also the `set_prefixes` of each text (sig, prefix)."""
     bound_batches(docs.sparkSession)
+    names = ["doc_id", "row_key", "fp", "sig", "prefix"] if sets else ["doc_id", "row_key", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch)
-            found = [[fingerprints_of(texts.slice(a, n), width, seed), *(wide_fingerprints_of(texts.slice(a, n)) if wide else ())] for a, n in slices(texts, SLICE)]
-            values = [np.concatenate(c).view(np.int64) for c in zip(*found)] if found else [np.empty(0, np.int64)] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *map(pa.array, values)], ["doc_id", "row_key", *names])
+            for first, n in slices(texts, SLICE):
+                part = texts.slice(first, n)
+                own = [pa.array(fingerprints_of(part, width, seed).view(np.int64))]
+                if sets:
+                    signs, prefixes = set_prefixes(part)
+                    own += [pa.array(signs.view(np.int64)), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("row_key").slice(first, n), *own], names)
 
-    names = ["fp", "w0", "w1"] if wide else ["fp"]
     rows = docs.select(docs[doc_col].cast("long").alias("doc_id"), F.xxhash64(docs[doc_col], docs[text_col]).alias("row_key"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, " + ", ".join(f"{n} long" for n in names))
-
-
-def wide_fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """128 fingerprint bits of WIDE_WORDS shingles; the second half votes with the hashes mixed once more."""
-    hashes, shingles = shingle_hashes(texts, WIDE_WORDS)
-    return majority(hashes, shingles), majority(mixed(hashes), shingles)
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long" + (", sig long, prefix array<long>" if sets else ""))
 
 
 def _block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -258,18 +264,6 @@ def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sampled_bits(count: int) -> list[tuple[int, int]]:
-    """Masks (of w0, of w1) of the bits by which each table's rows meet: enough bits that `count` random rows fill buckets of 32, enough tables that a pair at WIDE_SHARE misses all of them one time in twenty."""
-    bits = max(10, int(np.ceil(np.log2(max(count, 1) / 32))))
-    tables = int(np.ceil(3 / (1 - WIDE_SHARE) ** bits))
-    rng = np.random.Generator(np.random.PCG64(11))
-    out = []
-    for _ in range(tables):
-        chosen = sum(1 << int(b) for b in rng.choice(128, bits, replace=False))
-        out.append(tuple(m - (1 << 64) if m >> 63 else m for m in (chosen & (2**64 - 1), chosen >> 64)))
-    return out
-
-
 def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Which of the links a-b make a spanning forest of least total distance."""
     label, kept = np.arange(n), []
@@ -288,94 +282,206 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np
     return np.concatenate(kept) if kept else np.empty(0, np.int64)
 
 
-def close_in_buckets(bucket: np.ndarray, side: np.ndarray, w0: np.ndarray, w1: np.ndarray, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (by place) linked in a spanning forest of least distance among pairs of one bucket within `radius` of 128 bits, found through pivot distances like `links_in_buckets`."""
-    pivots = _pivots(2 * PIVOTS).reshape(2, -1)
-    distance = (np.bitwise_count(w0[:, None] ^ pivots[0]) + np.bitwise_count(w1[:, None] ^ pivots[1])).astype(np.int16)
-    order = np.lexsort((distance[:, 0], bucket))
-    bucket, side, w0, w1, distance = bucket[order], side[order], w0[order], w1[order], distance[order]
-    place = bucket.astype(np.int64) * 256 + distance[:, 0]
-    number = np.arange(len(w0))
-    partners = np.searchsorted(place, np.minimum(place + radius, bucket.astype(np.int64) * 256 + 255), side="right") - number - 1
-    ends, edges, first = np.cumsum(partners), [], 0
-    while first < len(w0):
-        base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE, side="right")))
-        n = partners[first:last]
-        a = np.repeat(number[first:last], n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        meets = (side[a] == 2) | (side[a] != side[b])
-        a, b = a[meets], b[meets]
-        for k in (1, 2):  # so wide a radius lets most pairs pass the pivots: two more coordinates, then the bits
-            near = np.abs(distance[a, k] - distance[b, k]) <= radius
-            a, b = a[near], b[near]
-        far = np.bitwise_count(w0[a] ^ w0[b]) + np.bitwise_count(w1[a] ^ w1[b])
-        near = far <= radius
-        a, b, far = a[near], b[near], far[near]
-        kept = spanning_forest(len(w0), a, b, far)
-        edges.append((a[kept], b[kept], far[kept]))
-        first = last
-    a, b, far = (np.concatenate(x) for x in zip(*edges)) if edges else (np.empty(0, np.int64),) * 3
-    kept = spanning_forest(len(w0), a, b, far)
-    return order[a[kept]], order[b[kept]]
+def _overlap(size: np.ndarray) -> np.ndarray:
+    """Shingles that a set of `size` shares at least with any set of similarity SIMILARITY."""
+    return np.ceil(SIMILARITY * size - 1e-9).astype(np.int64)
 
 
-def similar(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) between rows of `reps` (row_key, w0, w1) whose texts in `docs` have a Jaccard similarity of at least SIMILARITY of their WIDE_WORDS shingles.
+def set_prefixes(texts: pa.Array, hot: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(signature, prefix) of each text's set of WIDE_WORDS shingles.
 
-    Each bucket gives its nearest links, a forest, and those are verified on the texts.
+    A prefix is as many of a set's first shingles as any set of similarity
+    SIMILARITY must meet with one of its own: similar sets share a shingle of
+    both prefixes in whatever order, here by hash and the sorted `hot` ones last.
     """
-    bound_batches(docs.sparkSession)
-    tables = [F.struct(F.lit(i).alias("table"), F.xxhash64(F.col("w0").bitwiseAND(F.lit(x).cast("long")), F.col("w1").bitwiseAND(F.lit(y).cast("long"))).alias("key")) for i, (x, y) in enumerate(_sampled_bits(reps.count()))]
-    columns = ["row_key", "w0", "w1"]
+    hashes, count = shingle_hashes(texts, WIDE_WORDS)
+    signs, prefixes = np.zeros(len(count), np.uint64), []
+    for i, own in enumerate(np.split(hashes, np.cumsum(count)[:-1])):
+        own = np.unique(own)
+        signs[i] = np.add.reduce(mixed(own), dtype=np.uint64)
+        if hot is not None and len(hot):
+            late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+            own = np.concatenate([own[~late], own[late]])
+        prefixes.append(own[: len(own) - int(_overlap(len(own))) + 1].view(np.int64))
+    return signs, prefixes
+
+
+def similar_in_buckets(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of nodes whose classes are those of all pairs of one bucket with similarity SIMILARITY.
+
+    `shingles` has the sets of all rows, one after the other. Candidates share a
+    shingle of their prefixes, rarest first; a forest of them is verified at a time,
+    and pairs that are still apart go on until each is verified or joined.
+    """
+    n, number = len(size), np.arange(len(size))
+    owner, begin = np.repeat(number, size), np.cumsum(size) - size
+    values, token, seen = np.unique(mixed(shingles.view(np.uint64) + mixed(bucket)[owner]), return_inverse=True, return_counts=True)
+    held = np.sort(owner * len(values) + token)
+    _, first, same = np.unique(node, return_index=True, return_inverse=True)
+    forest = Forest(n)
+    forest.label = first[same]
+    order = np.lexsort((token, seen[token], owner))
+    used = (np.arange(len(owner)) - begin[owner] <= (size - _overlap(size))[owner]) & (seen[token[order]] > 1)
+    token_at, row = token[order][used], owner[used]
+    order = np.lexsort((size[row], token_at))
+    token_at, row = token_at[order], row[order]
+    step = 2 * int(size.max(initial=0)) + 2
+    at = np.arange(len(row))
+    partners = np.searchsorted(token_at * step + size[row], token_at * step + np.floor(size[row] / SIMILARITY + 1e-9).astype(np.int64), side="right") - at - 1
+    ends, failed, start = np.cumsum(partners), np.empty(0, np.int64), 0
+
+    def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = []
+        for part in np.array_split(np.arange(len(a)), 1 + size[a].sum() // PAIRS_AT_ONCE):
+            x, y = a[part], b[part]
+            if not len(x):
+                continue
+            base = np.cumsum(size[x]) - size[x]
+            place = np.repeat(begin[x] - base, size[x]) + np.arange(size[x].sum())
+            asked = np.repeat(y, size[x]) * len(values) + token[place]
+            found = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+            common = np.add.reduceat(found, base, dtype=np.int64)
+            out.append(common >= SIMILARITY * (size[x] + size[y] - common) - 1e-9)
+        return np.concatenate(out)
+
+    while start < len(row):
+        base = ends[start - 1] if start else 0
+        last = max(start + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE, side="right")))
+        m = partners[start:last]
+        a = np.repeat(at[start:last], m)
+        b = row[a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)]
+        a = row[a]
+        meets = ((side[a] == 2) | (side[a] != side[b])) & (forest.label[a] != forest.label[b])
+        pairs = np.setdiff1d(np.minimum(a, b)[meets] * n + np.maximum(a, b)[meets], failed)
+        rounds = 0
+        while len(pairs := pairs[forest.label[pairs // n] != forest.label[pairs % n]]):
+            a, b = pairs // n, pairs % n
+            pick = spanning_forest(n, forest.label[a], forest.label[b], np.zeros(len(a), np.int64)) if rounds < 20 else np.arange(min(len(a), 1 << 14))
+            good = verified(a[pick], b[pick])
+            forest.link(a[pick[good]], b[pick[good]])
+            failed = np.concatenate([failed, pairs[pick[~good]]])
+            pairs = np.delete(pairs, pick)
+            rounds += 1
+        start = last
+    moved = np.flatnonzero(node != node[forest.label])
+    return node[moved], node[forest.label[moved]]
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(bucket number, rows) of whole buckets, from batches sorted by bucket."""
+    held = None
+
+    def keys_of(rows: pa.Table) -> np.ndarray:
+        return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("table", "key", "i", "j")], axis=1)
+
+    def whole(rows: pa.Table, keys: np.ndarray) -> tuple[np.ndarray, pa.Table]:
+        return np.concatenate(([0], np.cumsum(np.any(keys[1:] != keys[:-1], axis=1)))), rows
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        keys = keys_of(rows)
+        cut = int(np.argmax(np.all(keys == keys[-1], axis=1)))
+        if cut:
+            yield whole(rows.slice(0, cut), keys[:cut])
+        held = rows.slice(cut)
+    if held is not None:
+        yield whole(held, keys_of(held))
+
+
+def _prefixes_again(docs: DataFrame, asked: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(sig, token) of the texts `asked` (row_key, sig) with the `hot` shingles last."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_MOST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches, columns):
-            w0, w1 = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
-            a, b = close_in_buckets(bucket, rows[:, 3], w0, w1)
-            a, b = rows[a, 0], rows[b, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for batch in batches:
+            texts = text_column(batch)
+            for first, n in slices(texts, SLICE):
+                prefixes = set_prefixes(texts.slice(first, n), sent.value)[1]
+                yield pa.RecordBatch.from_arrays([batch.column("sig").slice(first, n), pa.array(prefixes, pa.list_(pa.int64()))], ["sig", "prefix"])
 
-    met = _meetings(reps.select(*columns, F.inline(F.array(*tables))), columns).mapInArrow(run, "a long, b long")
-    close = saved(met.distinct())
-    asked = saved(close.select(F.col("a").alias("_asked")).unionByName(close.select(F.col("b").alias("_asked"))).distinct())
+    return _texts(docs, asked).select("sig", "text").mapInArrow(run, "sig long, prefix array<long>").select("sig", F.explode("prefix").alias("token"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """`asked` with the text of each row_key; rows of one key have one text."""
+    text = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"), docs["text"].cast("string").alias("text"))
+    return text.join(checked_broadcast(asked), "row_key")
+
+
+def _families(docs: DataFrame, marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, family) of the sets of `marked` (sig, prefix) that share a shingle of their prefixes with another, directly or through others.
+
+    Shingles of many prefixes go last in the order, so that a common passage joins
+    no families; the order changes what is compared, never what is found.
+    """
+
+    def shared(tokens: DataFrame) -> DataFrame:
+        return saved(tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("n")).filter("low < high"))
+
+    tokens = marked.select("sig", F.explode("prefix").alias("token"))
+    met = shared(tokens)
+    often = saved(met.filter(f"n > {HOT}").orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token"))
+    hot = np.sort(often.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    if len(hot):
+        asked = saved(tokens.join(checked_broadcast(often, len(hot)), "token").select("sig").distinct())
+        rest = marked.join(checked_broadcast(asked), "sig", "left_anti").select("sig", F.explode("prefix").alias("token"))
+        tokens = rest.unionByName(saved(_prefixes_again(docs, saved(sets.join(asked, "sig").select("row_key", "sig")), hot)))
+        met = shared(tokens)
+    near = tokens.join(met.select("token", "low"), "token").filter("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")).distinct()
+    roots = saved(components(near))
+    return saved(roots.select(F.col("node").alias("sig"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("sig"), F.col("root").alias("family")).distinct()))
+
+
+def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints of `marked` (row_key, fp, sig, prefix) that, with those of equal fingerprints, have the classes of all pairs of texts with a Jaccard similarity of at least SIMILARITY of their WIDE_WORDS shingles."""
+    some = marked.filter("size(prefix) > 0")
+    sets = saved(some.groupBy("sig").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp")))
+    equal = some.select("sig", F.col("fp").alias("a")).distinct().join(sets.select("sig", F.col("fp").alias("b")), "sig").filter("a <> b").select("a", "b")
+    members = saved(_families(docs, some, sets).join(sets, "sig"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = text_column(batch), batch.column("_asked")
+            texts = text_column(batch)
             for first, n in slices(texts, SLICE):
                 hashes, count = shingle_hashes(texts.slice(first, n), WIDE_WORDS)
                 parts = [np.unique(h).view(np.int64) for h in np.split(hashes, np.cumsum(count)[:-1])]
-                yield pa.RecordBatch.from_arrays([keys.slice(first, n), pa.array(parts, pa.list_(pa.int64()))], ["_asked", "s"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("sig", "fp", "key")), pa.array(parts, pa.list_(pa.int64()))], ["sig", "fp", "key", "s"])
 
-    text = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("_row"), docs["text"].cast("string").alias("text"))
-    shingles = saved(text.join(checked_broadcast(asked), F.col("_row") == F.col("_asked")).select("_asked", "text").mapInArrow(sets, "_asked long, s array<long>").dropDuplicates(["_asked"]))
-    both = close.join(shingles.select(F.col("_asked").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("_asked").alias("b"), F.col("s").alias("sb")), "b")
-    common = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    return common.filter(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).filter("n > 0").select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _whole_buckets(batches):
+            lists = rows.column("s").combine_chunks()
+            side, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "fp"))
+            a, b = similar_in_buckets(bucket.astype(np.uint64), side, node, lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    asked = members.select("row_key", "sig", "fp", F.col("family").alias("key"))
+    rows = saved(_texts(docs, asked).select("sig", "fp", "key", "text").mapInArrow(shingled, "sig long, fp long, key long, s array<long>").withColumn("table", F.lit(0)))
+    once = rows.dropDuplicates(["sig"])
+    return equal.unionByName(_meetings(once, ["sig", "fp", "s"]).select("fp", "s", "side", "table", "key", "i", "j").mapInArrow(run, "a long, b long"))
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stay when one document of each class does: the one with the least doc_id.
+    """The rows of `docs` that stay when one row of each class does: one with the least doc_id, a null one if there is no other.
 
-    Classes of linked fingerprints are joined further where their first documents
-    are similar (`similar`).
+    Classes are those of linked fingerprints and of similar texts (`similar`) together.
     """
-    found = saved(classes(saved(fingerprints(docs, wide=True)), radius))
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    reps = saved(found.filter(first).select("row_key", "doc_id", "w0", "w1").dropDuplicates(["row_key"]))
-    roots = components(saved(similar(docs, reps)))
-    rooted = reps.join(roots, F.col("row_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row_key"))
-    best = rooted.groupBy("root").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("stays"))
-    merged = rooted.join(best, "root").filter("row_key <> stays").select("row_key")
-    gone = saved(found.filter(~first).select("row_key").unionByName(merged).distinct())
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    kept = docs.withColumn("_row_key", key).join(checked_broadcast(gone), F.col("_row_key") == gone["row_key"], "left_anti")
-    again = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    bound_batches(docs.sparkSession)
+    marked = saved(fingerprints(docs, sets=True))
+    distinct = saved(marked.select("fp").distinct())
+    roots = saved(components(saved(links(distinct, radius).unionByName(similar(docs, marked)))))
+    rooted = marked.select("doc_id", "row_key", "fp").join(checked_broadcast(roots), F.col("fp") == F.col("node"), "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("root"))
+    rooted = saved(rooted.groupBy("root", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    best = saved(rooted.groupBy("root").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("stays")))
+    gone = saved(rooted.join(best, F.col("row_key") == F.col("stays"), "left_anti").select(F.col("row_key").alias("_gone")))
+    kept = docs.withColumn("_row_key", F.xxhash64(docs["doc_id"], docs["text"])).join(checked_broadcast(gone), F.col("_row_key") == F.col("_gone"), "left_anti")
+    again = saved(rooted.filter("n > 1").join(best, F.col("row_key") == F.col("stays"), "left_semi").select(F.col("row_key").alias("_again")))
     number = again.count()
     if not number:
         return kept.select(*docs.columns)
     again = checked_broadcast(again, number)
-    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-    single = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
+    repeated = kept.join(again, F.col("_row_key") == F.col("_again"), "left_semi").dropDuplicates(["_row_key"])
+    single = kept.join(again, F.col("_row_key") == F.col("_again"), "left_anti")
     return single.unionByName(repeated).select(*docs.columns)

@@ -127,3 +127,71 @@ def test_similar_texts_join_and_others_stay(spark):
     kept = {r.doc_id for r in sp.without_near_duplicates(docs).collect()}
     assert all(10 * i in kept and 10 * i + 2 in kept for i in range(25))
     assert sum(10 * i + 1 in kept for i in range(25)) <= 2
+
+
+def shingle_set(text):
+    words = text.split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(rows):
+    """doc_ids of the first rows of the classes by all pairs, linked by fingerprints or similarity."""
+    fps, sets = [brute_fingerprint(t) for _, t in rows], [shingle_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 4 or (common and 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common)):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(rows)):
+        least.setdefault(root(i), []).append(rows[i][0])
+    return sorted(min(x) for x in least.values())
+
+
+def kept_ids(spark, rows):
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
+    return sorted(r.doc_id for r in sp.without_near_duplicates(docs).collect())
+
+
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, chunk, monkeypatch):
+    monkeypatch.setattr(sp, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(304)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for at in rng.choice(304, int(rng.integers(2, 7)), replace=False):
+            words[at] = f"v{rng.integers(40)}"
+        rows.append((i, " ".join(words)))
+    want = brute_kept(rows)
+    assert 1 < len(want) < 200
+    assert kept_ids(spark, rows) == want
+
+def test_every_distinct_text_of_a_class_may_join(spark):
+    """A text like the second of a class, not like its first."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(12):
+        words = [f"w{i}x{k}" for k in range(304)]
+        for n in range(4):
+            words = list(words)
+            for at in rng.choice(304, 5, replace=False):
+                words[at] = f"v{n}x{at}"
+            rows.append((10 * i + n, " ".join(words)))
+    assert kept_ids(spark, rows) == brute_kept(rows)
+
+
+def test_a_common_passage_joins_no_others(spark, monkeypatch):
+    monkeypatch.setattr(sp, "HOT", 3)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{i // 2}x{k if k != 9 or i % 2 else 'other'}" for k in range(90))) for i in range(40)]
+    assert kept_ids(spark, rows) == brute_kept(rows) == list(range(0, 40, 2))
