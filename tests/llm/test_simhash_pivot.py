@@ -176,6 +176,17 @@ def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, chunk, mon
     assert 1 < len(want) < 200
     assert kept_ids(spark, rows) == want
 
+
+def test_similar_sets_join_whatever_their_fingerprints(spark):
+    """A passage that is repeated moves the votes, not the set."""
+    rows = []
+    for i in range(20):
+        words = [f"w{i}x{k}" for k in range(204)]
+        again = words[:24] * 12
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(again + words))]
+    assert kept_ids(spark, rows) == brute_kept(rows) == [10 * i for i in range(20)]
+
+
 def test_every_distinct_text_of_a_class_may_join(spark):
     """A text like the second of a class, not like its first."""
     rng = np.random.default_rng(10)
