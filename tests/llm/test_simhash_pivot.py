@@ -206,3 +206,10 @@ def test_a_common_passage_joins_no_others(spark, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(i, passage + " " + " ".join(f"w{i // 2}x{k if k != 9 or i % 2 else 'other'}" for k in range(90))) for i in range(40)]
     assert kept_ids(spark, rows) == brute_kept(rows) == list(range(0, 40, 2))
+
+
+def test_rows_of_one_key_and_different_texts_stay(spark):
+    rows = [(None, "first text stands alone " * 20), (None, "second thing stands apart " * 20), (None, "second thing stands apart " * 20), (None, None), (4, "one of a shared key " * 20), (4, "another one under it " * 20)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in sp.without_near_duplicates(docs).collect()]
+    assert sorted(kept, key=str) == sorted(set(rows), key=str)
