@@ -106,7 +106,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Te
 
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+_OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<html\b[^>]*", re.DOTALL | re.IGNORECASE)
+_DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 
 
 def page_text(source: str | None) -> str:
@@ -115,7 +116,9 @@ def page_text(source: str | None) -> str:
 
 
 def declared_language(source: str | None) -> str | None:
-    found = _DECLARED.search(source or "", 0, 4096)
+    """The language of the first html tag outside comments, wherever it is."""
+    tag = next((m[0] for m in _OPENING.finditer(source or "") if not m[0].startswith("<!--")), "")
+    found = _DECLARED.search(tag)
     return found[1].lower() if found else None
 
 

@@ -91,3 +91,9 @@ def test_empty_tables(spark):
     none = lang.train(docs)
     one = spark.createDataFrame([(1, "http://a.b/", "<p>x")], PAGES)
     assert lang.identify_pages(one, none).first().lang is None and lang.identify_pages(one.limit(0), none).count() == 0
+
+
+def test_a_language_declared_after_a_long_preamble_counts():
+    licence = "<!-- " + "a licence, with <html lang='de'> in it. " * 200 + "-->"
+    assert lang.declared_language(licence + "\n" * 5000 + '<!DOCTYPE html><HTML class="x" lang="FR-ca"><body>') == "fr"
+    assert lang.declared_language(licence) is None and lang.declared_language("<html><body>" + "x" * 5000) is None
