@@ -62,7 +62,7 @@ def _describe(word: str) -> tuple[str, str, int]:
         shape = 4
     else:
         shape = 5 if letters[0].isupper() and letters[1:].islower() else 6
-    return letters.lower(), marks[:8], shape
+    return letters.lower(), marks, shape
 
 
 def ngram_buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:

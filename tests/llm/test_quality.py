@@ -54,3 +54,8 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality.weigh(none, labels).count() == 0 and quality.resampled_documents(none, labels).count() == 0
     assert quality.weigh(docs, labels.limit(0)).filter("selected").count() == len(rows)
+
+
+def test_marks_after_the_eighth_tell_words_apart():
+    one, other = (quality._describe("a" + "-" * 8 + mark) for mark in "!?")
+    assert one != other and one[0] == other[0] == "a"
