@@ -21,7 +21,7 @@ are the connected components of all forests.
 
 `without_near_duplicates` also links texts whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more, all of them: sets that share a shingle of their
-prefixes are one family, a family's sets meet in one task (or, cut into chunks, in
+prefixes and may be similar by their parities are one family, a family's sets meet in one task (or, cut into chunks, in
 one for each pair of chunks), and every pair that could be similar is verified on
 the sets unless verified links already join it.
 
@@ -57,7 +57,7 @@ SLICE = 1 << 20
 #: Of the stage: words of a shingle, and the least Jaccard similarity.
 WIDE_WORDS, SIMILARITY = 5, 0.8
 #: A shingle of more prefixes goes last in the order of shingles; at most so many do.
-HOT, HOT_MOST = 50, 1_000_000
+HOT, HOT_MOST, SEEN = 50, 1_000_000, 8
 
 
 def shingle_hashes(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +101,9 @@ def fingerprints_of(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEE
 
 
 def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, sets: bool = False) -> DataFrame:
-    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits. With `sets`, also the `set_prefixes` of each text (sig, prefix)."""
+    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits. With `sets`, also the `set_prefixes` of each text (sig, prefix, shape)."""
     bound_batches(docs.sparkSession)
-    names = ["doc_id", "row_key", "fp", "sig", "prefix"] if sets else ["doc_id", "row_key", "fp"]
+    names = ["doc_id", "row_key", "fp", "sig", "prefix", "shape"] if sets else ["doc_id", "row_key", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +112,12 @@ def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
                 part = texts.slice(first, n)
                 own = [pa.array(fingerprints_of(part, width, seed).view(np.int64))]
                 if sets:
-                    signs, prefixes = set_prefixes(part)
-                    own += [pa.array(signs.view(np.int64)), pa.array(prefixes, pa.list_(pa.int64()))]
+                    signs, prefixes, shapes = set_prefixes(part)
+                    own += [pa.array(signs.view(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, shapes))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("row_key").slice(first, n), *own], names)
 
     rows = docs.select(docs[doc_col].cast("long").alias("doc_id"), F.xxhash64(docs[doc_col], docs[text_col]).alias("row_key"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, fp long" + (", sig long, prefix array<long>" if sets else ""))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long" + (", sig long, prefix array<long>, shape array<long>" if sets else ""))
 
 
 def _block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -198,16 +198,20 @@ def links_in_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radiu
     return fp[moved], fp[forest.label[moved]]
 
 
-def _meetings(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """`rows` (columns, table, key) with the pieces of buckets they meet in (i, j, side), dealt and sorted by piece. Buckets of one row go."""
-    sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
+def _pieces(columns: list[str]) -> str:
+    """The pieces (i, j, side) that a row meets in of its bucket of `n` rows."""
     pieces = f"cast(ceil(n / {CHUNK}) AS int)"
     own = f"cast(pmod(xxhash64({', '.join(columns)}), {pieces}) AS int)"
-    met = rows.join(sizes, ["table", "key"]).selectExpr(
-        *columns, "table", "key",
+    return (
         f"CASE WHEN n <= {CHUNK} THEN array(struct(0 AS i, 0 AS j, 2 AS side)) ELSE transform(sequence(0, {pieces} - 1), k -> "
-        f"struct(least(k, {own}) AS i, greatest(k, {own}) AS j, CASE WHEN k = {own} THEN 2 WHEN k < {own} THEN 1 ELSE 0 END AS side)) END AS meetings",
-    ).selectExpr(*columns, "table", "key", "inline(meetings)")
+        f"struct(least(k, {own}) AS i, greatest(k, {own}) AS j, CASE WHEN k = {own} THEN 2 WHEN k < {own} THEN 1 ELSE 0 END AS side)) END"
+    )
+
+
+def _meetings(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` (columns, table, key) with the pieces of buckets they meet in (i, j, side), dealt and sorted by piece. Buckets of one row go."""
+    sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = rows.join(sizes, ["table", "key"]).selectExpr(*columns, "table", "key", f"{_pieces(columns)} AS meetings").selectExpr(*columns, "table", "key", "inline(meetings)")
     return met.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j").select(*columns, "side", "table", "key", "i", "j")
 
 
@@ -287,23 +291,61 @@ def _overlap(size: np.ndarray) -> np.ndarray:
     return np.ceil(SIMILARITY * size - 1e-9).astype(np.int64)
 
 
-def set_prefixes(texts: pa.Array, hot: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(signature, prefix) of each text's set of WIDE_WORDS shingles.
+def set_prefixes(texts: pa.Array, hot: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(signature, prefix, shape) of each text's set of WIDE_WORDS shingles; the shape is the set's size and, in 512 bits, the parity of its shingles by bit.
 
     A prefix is as many of a set's first shingles as any set of similarity
     SIMILARITY must meet with one of its own: similar sets share a shingle of
     both prefixes in whatever order, here by hash and the sorted `hot` ones last.
     """
     hashes, count = shingle_hashes(texts, WIDE_WORDS)
-    signs, prefixes = np.zeros(len(count), np.uint64), []
+    signs, prefixes, shapes = np.zeros(len(count), np.uint64), [], []
     for i, own in enumerate(np.split(hashes, np.cumsum(count)[:-1])):
         own = np.unique(own)
-        signs[i] = np.add.reduce(mixed(own), dtype=np.uint64)
+        spread = mixed(own)
+        signs[i] = np.add.reduce(spread, dtype=np.uint64)
+        odd = np.packbits((np.bincount((spread & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(bool), bitorder="little").view(np.int64)
+        shapes.append(np.concatenate([[len(own)], odd]))
         if hot is not None and len(hot):
             late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
             own = np.concatenate([own[~late], own[late]])
         prefixes.append(own[: len(own) - int(_overlap(len(own))) + 1].view(np.int64))
-    return signs, prefixes
+    return signs, prefixes, shapes
+
+
+def near_in_buckets(bucket: np.ndarray, side: np.ndarray, sig: np.ndarray, size: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, of signatures, of the pairs of one bucket that may have similarity SIMILARITY.
+
+    Two sets differ in at least as many shingles as their parities `odd` differ in
+    bits; of a pair that differs in too many, or in size, none is similar.
+    """
+    order = np.lexsort((size, bucket))
+    bucket, side, sig, size, odd = bucket[order], side[order], sig[order], size[order], odd[order]
+    names, node = np.unique(sig, return_inverse=True)
+    forest, at = Forest(len(names)), np.arange(len(sig))
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        meets = ((side[a] == 2) | (side[a] != side[b])) & (forest.label[node[a]] != forest.label[node[b]])
+        a, b = a[meets], b[meets]
+        apart = np.zeros(len(a), np.int64)
+        for k in range(odd.shape[1]):
+            apart += np.bitwise_count((odd[a, k] ^ odd[b, k]).view(np.uint64))
+        may = apart <= (size[a] + size[b]) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
+        forest.link(node[a[may]], node[b[may]])
+
+    link(np.searchsorted(bucket, bucket), at)
+    step = 2 * int(size.max(initial=0)) + 2
+    partners = np.searchsorted(bucket * step + size, bucket * step + np.floor(size / SIMILARITY + 1e-9).astype(np.int64), side="right") - at - 1
+    ends, first = np.cumsum(partners), 0
+    while first < len(sig):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE // 4, side="right")))
+        n = partners[first:last]
+        a = np.repeat(at[first:last], n)
+        link(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n))
+        first = last
+    moved = np.flatnonzero(forest.label != np.arange(len(names)))
+    return names[moved], names[forest.label[moved]]
 
 
 def similar_in_buckets(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,7 +414,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
     held = None
 
     def keys_of(rows: pa.Table) -> np.ndarray:
-        return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("table", "key", "i", "j")], axis=1)
+        return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
 
     def whole(rows: pa.Table, keys: np.ndarray) -> tuple[np.ndarray, pa.Table]:
         return np.concatenate(([0], np.cumsum(np.any(keys[1:] != keys[:-1], axis=1)))), rows
@@ -411,36 +453,46 @@ def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return text.join(checked_broadcast(asked), "row_key")
 
 
-def _families(docs: DataFrame, marked: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sig, family) of the sets of `marked` (sig, prefix) that share a shingle of their prefixes with another, directly or through others.
+def _families(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, family) of the `sets` (sig, row_key, prefix, shape) that share a shingle of their prefixes with another and may be similar by `near_in_buckets`, directly or through others.
 
-    Shingles of many prefixes go last in the order, so that a common passage joins
-    no families; the order changes what is compared, never what is found.
+    Shingles of many prefixes go last in the order, so that sets with a common
+    passage are seldom compared. Which do is told from one set in SEEN; the order
+    changes what is compared, never what is found.
     """
-
-    def shared(tokens: DataFrame) -> DataFrame:
-        return saved(tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("n")).filter("low < high"))
-
-    tokens = marked.select("sig", F.explode("prefix").alias("token"))
-    met = shared(tokens)
-    often = saved(met.filter(f"n > {HOT}").orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token"))
+    tokens = sets.select("sig", F.explode("prefix").alias("token"))
+    many = tokens.filter(f"pmod(sig, {SEEN}) = 0").groupBy("token").count().filter(f"count > {max(1, HOT // SEEN)}")
+    often = saved(many.orderBy(F.desc("count"), "token").limit(HOT_MOST).select("token"))
     hot = np.sort(often.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
     if len(hot):
-        asked = saved(tokens.join(checked_broadcast(often, len(hot)), "token").select("sig").distinct())
-        rest = marked.join(checked_broadcast(asked), "sig", "left_anti").select("sig", F.explode("prefix").alias("token"))
-        tokens = rest.unionByName(saved(_prefixes_again(docs, saved(sets.join(asked, "sig").select("row_key", "sig")), hot)))
-        met = shared(tokens)
-    near = tokens.join(met.select("token", "low"), "token").filter("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")).distinct()
+        asked = saved(tokens.join(F.broadcast(often), "token", "left_semi").select("sig").distinct())
+        rest = sets.join(checked_broadcast(asked), "sig", "left_anti").select("sig", F.explode("prefix").alias("token"))
+        tokens = rest.unionByName(saved(_prefixes_again(docs, saved(sets.select("row_key", "sig").join(asked, "sig")), hot)))
+    met = saved(tokens.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "n"))
+    columns = ["sig", *(f"c{k}" for k in range(9))]
+    shapes = saved(sets.select("sig", *(F.col("shape")[k].alias(f"c{k}") for k in range(9))).dropDuplicates(["sig"]))
+    placed = tokens.join(checked_broadcast(met), "token").selectExpr("sig", "0 AS table", "token AS key", f"{_pieces(['sig'])} AS meetings").selectExpr("sig", "table", "key", "inline(meetings)")
+    dealt = placed.join(checked_broadcast(shapes), "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*columns, "side", "table", "key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches, columns):
+            a, b = near_in_buckets(bucket, rows[:, 10], rows[:, 0], rows[:, 1], rows[:, 2:10])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    near = saved(dealt.mapInArrow(run, "a long, b long").distinct())
     roots = saved(components(near))
-    return saved(roots.select(F.col("node").alias("sig"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("sig"), F.col("root").alias("family")).distinct()))
+    return roots.select(F.col("node").alias("sig"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("sig"), F.col("root").alias("family")).distinct())
 
 
 def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Links (a, b) of fingerprints of `marked` (row_key, fp, sig, prefix) that, with those of equal fingerprints, have the classes of all pairs of texts with a Jaccard similarity of at least SIMILARITY of their WIDE_WORDS shingles."""
     some = marked.filter("size(prefix) > 0")
-    sets = saved(some.groupBy("sig").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp")))
-    equal = some.select("sig", F.col("fp").alias("a")).distinct().join(sets.select("sig", F.col("fp").alias("b")), "sig").filter("a <> b").select("a", "b")
-    members = saved(_families(docs, some, sets).join(sets, "sig"))
+    first = saved(some.groupBy("sig").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp")))
+    equal = some.select("sig", F.col("fp").alias("a")).distinct().join(first.select("sig", F.col("fp").alias("b")), "sig").filter("a <> b").select("a", "b")
+    sets = some.select("row_key", "sig", "prefix", "shape").join(checked_broadcast(first.select("row_key")), "row_key", "left_semi")
+    members = saved(_families(docs, sets).join(first, "sig").withColumnRenamed("family", "key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    asked = saved(members.join(sizes, "key").selectExpr("row_key", "fp", "key", f"{_pieces(['sig'])} AS meetings"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,7 +500,7 @@ def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
             for first, n in slices(texts, SLICE):
                 hashes, count = shingle_hashes(texts.slice(first, n), WIDE_WORDS)
                 parts = [np.unique(h).view(np.int64) for h in np.split(hashes, np.cumsum(count)[:-1])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("sig", "fp", "key")), pa.array(parts, pa.list_(pa.int64()))], ["sig", "fp", "key", "s"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("fp", "key", "meetings")), pa.array(parts, pa.list_(pa.int64()))], ["fp", "key", "meetings", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _whole_buckets(batches):
@@ -457,10 +509,9 @@ def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
             a, b = similar_in_buckets(bucket.astype(np.uint64), side, node, lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    asked = members.select("row_key", "sig", "fp", F.col("family").alias("key"))
-    rows = saved(_texts(docs, asked).select("sig", "fp", "key", "text").mapInArrow(shingled, "sig long, fp long, key long, s array<long>").withColumn("table", F.lit(0)))
-    once = rows.dropDuplicates(["sig"])
-    return equal.unionByName(_meetings(once, ["sig", "fp", "s"]).select("fp", "s", "side", "table", "key", "i", "j").mapInArrow(run, "a long, b long"))
+    rows = _texts(docs, asked).select("fp", "key", "meetings", "text").mapInArrow(shingled, "fp long, key long, meetings array<struct<i int, j int, side int>>, s array<long>")
+    dealt = rows.selectExpr("fp", "s", "key", "inline(meetings)").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return equal.unionByName(saved(dealt.mapInArrow(run, "a long, b long")))
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
