@@ -33,8 +33,10 @@ from stratafold.llm.arrowtext import bound_batches, give_back, slices, text_colu
 CAPACITY = 4096
 END_ID = 2
 SETTLE_TOKENS = 4 << 20
-#: Words whose ids a task remembers; beyond, it forgets them all and goes on.
-REMEMBERED_WORDS = 600_000
+#: Words whose ids a worker remembers.
+REMEMBERED_WORDS = 1_000_000
+#: Bytes of text that are split into words at a time.
+SLICE = 8 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
@@ -42,60 +44,97 @@ ARROW_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins across ASCII white space.
 
-    Each distinct word is encoded once per task. Words are encoded many at a
-    time, parted by a control character that the tokenizer gives one id of its
-    own; a word that holds that character is encoded alone.
+    Distinct words are encoded once and remembered, across tasks of one worker;
+    beyond REMEMBERED_WORDS the half that was met last stays. New words are
+    encoded many at a time. Words of letters, with or without marks behind, give
+    as many ends of words as they have parts, which tells their ids apart; others
+    are parted by a control character that has one id of its own, and a word that
+    holds that character is encoded alone.
     """
 
     MARK = "\x01"
+    #: ASCII characters that are neither letters, digits nor white space.
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    AT_ONCE = 50_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         (self.mark_id,) = self.model.encode(self.MARK, add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _store(self, ids: np.ndarray, lengths: np.ndarray, words: list[str]) -> None:
-        first, n = len(self.known), len(words)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while first + n + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.begin[first + 1 : first + n + 1] = self.used + np.cumsum(lengths)
-        self.used += len(ids)
-        self.known.update(zip(words, range(first, first + n)))
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            plain = [w for w in words[at : at + 20_000] if self.MARK not in w]
-            odd = [w for w in words[at : at + 20_000] if self.MARK in w]
-            if plain:
-                joined = f" {self.MARK} ".join(plain)
-                ids = np.asarray(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-                marks = np.flatnonzero(ids == self.mark_id)
-                edges = np.concatenate(([-1], marks, [len(ids)]))
-                self._store(np.delete(ids, marks), np.diff(edges) - 1, plain)
-            for w in odd:
-                ids = np.asarray(self.model.encode(w, add_special_tokens=False).ids, np.uint32)
-                self._store(ids, np.asarray([len(ids)]), [w])
+        vocabulary = self.model.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = pa.array([], pa.string())
+        self.ids, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.empty(0, np.int64)
+        self.turn = 0
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _by_ends(self, words: pa.Array, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of ids of each word) of words of `parts` parts; None if the ends of words don't add up."""
+        ids = self._encode(" ".join(words.to_pylist()))
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != parts.sum() or (len(ids) and ends[-1] != len(ids) - 1):
+            return None
+        return ids, np.diff(ends[np.cumsum(parts) - 1] + 1, prepend=0)
+
+    def _by_marks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of any words."""
+        plain = [w for w in words if self.MARK not in w]
+        ids = self._encode(f" {self.MARK} ".join(plain))
+        marks = np.flatnonzero(ids == self.mark_id)
+        rest, lengths = np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+        if len(plain) == len(words):
+            return rest, lengths
+        parts = iter(np.split(rest, np.cumsum(lengths)[:-1]) if plain else [])
+        own = [self._encode(w) if self.MARK in w else next(parts) for w in words]
+        return np.concatenate(own), np.asarray(list(map(len, own)))
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encode new words; where each is remembered."""
+        letters = pc.utf8_is_alpha(words)
+        marked = pc.utf8_is_alpha(pc.utf8_rtrim(words, self.MARKS))
+        parts = np.where(letters.to_numpy(zero_copy_only=False), 1, 2)
+        regular = marked.to_numpy(zero_copy_only=False)
+        slot, first = np.empty(len(words), np.int64), len(self.known)
+        for rows in (np.flatnonzero(regular), np.flatnonzero(~regular)):
+            slot[rows] = first + np.arange(len(rows))
+            first += len(rows)
+            for at in range(0, len(rows), self.AT_ONCE):
+                own = rows[at : at + self.AT_ONCE]
+                some = words.take(pa.array(own))
+                found = self._by_ends(some, parts[own]) if regular[own[0]] else None
+                ids, lengths = found or self._by_marks(some.to_pylist())
+                self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
+                self.ids = np.concatenate([self.ids, ids])
+                self.known = pa.concat_arrays([self.known, some])
+        self.met = np.concatenate([self.met, np.full(len(words), self.turn)])
+        return slot
+
+    def _forget_some(self) -> None:
+        """Keep the half of REMEMBERED_WORDS that was met last."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: REMEMBERED_WORDS // 2])
+        length = np.diff(self.begin)[keep]
+        begin = np.concatenate(([0], np.cumsum(length)))
+        self.ids = self.ids[np.repeat(self.begin[keep] - begin[:-1], length) + np.arange(begin[-1])]
+        self.known, self.begin, self.met = self.known.take(pa.array(keep)), begin, self.met[keep]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin)."""
-        split = words_of(pc.ascii_lower(texts))
-        distinct = split.distinct.to_pylist()
-        if len(self.known) + len(distinct) > REMEMBERED_WORDS:
-            self.forget()
-        if missing := [w for w in distinct if w not in self.known]:
-            self._learn(missing)
-        slot = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[split.index]
+        # the tokenizer reads special tokens before it lowers case, so texts that may hold one stay as they are
+        split = words_of(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        self.turn += 1
+        if len(self.known) > REMEMBERED_WORDS:
+            self._forget_some()
+        found = pc.index_in(split.distinct, self.known)
+        slot = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            slot[slot < 0] = self._learn(split.distinct.filter(pc.is_null(found)))
+        self.met[slot] = self.turn
+        slot = slot[split.index]
         begin, length = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
@@ -197,6 +236,19 @@ class SumOfSquares:
                     self.emit(part)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about `limit` bytes, as a longer run of text has fewer new words for its length."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -238,16 +290,15 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
             return batch
 
         windows = SumOfSquares(capacity, emit)
-        for batch in batches:
+        for batch in gathered(batches):
             texts, docs_ = text_column(batch, "text"), batch.column("doc_id").to_pylist()
-            for first, count in slices(texts):
+            for first, count in slices(texts, SLICE):
                 ids, begin = tokenizer.encode(texts.slice(first, count))
                 for i in range(count):
                     windows.add(docs_[first + i], np.append(ids[begin[i] : begin[i + 1]], np.uint32(end_id)))
                 if len(rows) >= 20_000:
                     yield flush()
         windows.close()
-        tokenizer.forget()  # the worker may serve other operators next
         yield flush()
         give_back()
 

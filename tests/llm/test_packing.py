@@ -14,7 +14,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_ids_are_the_tokenizers_own():
-    texts = ["", " \n", "It's THE end. Ünïcode ǅ ß İstanbul", "a\x01b \x01 c", "<|endoftext|> x<|startoftext|>", "word " * 50, "é é ﬁ nbsp", "x" * 5000, "漢字 かな 123 4.5%"]
+    texts = ["", " \n", "It's THE end. Ünïcode ǅ ß İstanbul", "a\x01b \x01 c", "<|endoftext|> x<|startoftext|>", "word " * 50, "é é ﬁ nbsp", "x" * 5000, "漢字 かな 123 4.5%", "<|ENDOFTEXT|> a x<|StartOfText|>y A", "İs Σας ΣΑΣ क़लम e\u0301t\u0301 don't 'tis rock'n' ok!!! ..a.. <|"]
     own, model = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
     for _ in range(2):
         ids, begin = own.encode(pa.array(texts))
@@ -22,6 +22,17 @@ def test_ids_are_the_tokenizers_own():
             assert ids[begin[i] : begin[i + 1]].tolist() == model.encode(t, add_special_tokens=False).ids, t
 
 
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 40)
+    own, model = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        texts = [" ".join(f"w{n}o'k{chr(97 + n % 26)}, " + "letters" * (n % 3) for n in rng.integers(0, 60, 12)) for _ in range(3)]
+        ids, begin = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.known) == len(own.met) == len(own.begin) - 1 <= 40 + 120
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_each_id_lies_in_one_piece_and_only_powers_of_two_are_short(seed):
     rng = np.random.default_rng(seed)
