@@ -90,19 +90,30 @@ def doc_family(c: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
-    return F.when(word.rlike("ves$"), F.regexp_replace(word, "ves$", "f")).when(word.rlike("[^s]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    """A word in -ves with f, any other longer word in -s without it."""
+    return F.when(word.rlike("ves$"), F.regexp_replace(word, "ves$", "f")).when(word.rlike("(?s).s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
 
 
 def name_variants(c: Column) -> Column:
-    """The name and the names with one word at a time made singular."""
+    """The name as `title_key` has it, and that with one word at a time made singular."""
+
+    def of(key: Column) -> Column:
+        words = F.split(key, " ")
+        each = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.concat_ws(" ", F.transform(words, lambda w, j: F.when(i == j, singular(w)).otherwise(w))))
+        return F.array_distinct(F.concat(F.array(key), each))
+
+    return F.get(F.transform(F.array(title_key(c)), of), F.lit(0))  # the key is made once
+
+
+def heads(c: Column) -> Column:
+    """The name's first word, first two words, ..., the whole name."""
     words = F.split(c, " ")
-    each = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.concat_ws(" ", F.transform(words, lambda w, j: F.when(i == j, singular(w)).otherwise(w))))
-    return F.array_distinct(F.concat(F.array(c), each))
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
 
 
 def title_forms(c: Column) -> Column:
     """Variants, and the plural by s."""
-    return F.array_distinct(F.concat(name_variants(c), F.array(F.concat(c, F.lit("s")))))
+    return F.array_distinct(F.concat(name_variants(c), F.array(F.concat(title_key(c), F.lit("s")))))
 
 
 def first_mapped(c: Column, table: dict[str, str], default: str | None = None) -> Column:

@@ -66,12 +66,31 @@ def reward_labels(rewards: Column, plural: dict[str, str] | None = None) -> Colu
 
 
 def with_choices(cubes: Column, description: Column) -> Column:
-    """Cube rows (name, count) rewritten by 'Choose One A or One B Cube' (one less of each, and a choice row) and 'Choose N Coloured' (N of any)."""
-    a, b = (F.lower(F.regexp_extract(description, r"(?i)choose one (\w+) or one (\w+) cube", i)) for i in (1, 2))
-    n = F.nullif(F.regexp_extract(description, r"(?i)choose (\d+) colou?red", 1), F.lit("")).cast("int")
-    less = F.filter(F.transform(cubes, lambda c: F.struct(c["name"].alias("name"), (c["count"] - F.when(c["name"].isin("") | ((c["name"] != a) & (c["name"] != b)), 0).otherwise(1)).cast("int").alias("count"))), lambda c: c["count"] > 0)
-    chosen = F.when(a != "", F.concat(less, F.array(F.struct(F.concat(a, F.lit("|"), b).alias("name"), F.lit(1).alias("count"))))).otherwise(cubes)
-    return F.when(n.isNotNull(), F.concat(chosen, F.array(F.struct(F.lit("any").alias("name"), n.alias("count"))))).otherwise(chosen)
+    """Cube rows (type, name, count) rewritten by every 'Choose One A or One B Cube' and every 'Choose N Coloured Magic Cubes'.
+
+    The first takes one of each colour from the rows of a type, that of cubes of
+    these colours, 'Spell' if any is (and if none is there), and adds a row
+    'a|b'; the second adds N of 'any'.
+    """
+    either = r"(?i)Choose\s+One\s+([A-Za-z]+)\s+or\s+One\s+([A-Za-z]+)\s+Cube"
+    coloured = r"(?i)Choose\s+(\d+)\s+Colou?red\s+Magic\s+Cubes?"
+    row = lambda type_, name, count: F.struct(type_.alias("type"), name.alias("name"), count.cast("int").alias("count"))
+    plain = F.transform(cubes, lambda c: row(c["type"], c["name"], c["count"]))
+
+    def less(rows: Column, type_: Column, colour: Column) -> Column:
+        at = F.array_min(F.filter(F.transform(rows, lambda c, i: F.when((c["type"] == type_) & (c["name"] == colour), i)), lambda i: i.isNotNull()))
+        taken = F.transform(rows, lambda c, i: row(c["type"], c["name"], c["count"] - F.when(i == at, 1).otherwise(0)))
+        return F.filter(taken, lambda c, i: (c["count"] > 0) | ~F.coalesce(i == at, F.lit(False)))
+
+    def choose(rows: Column, clause: Column) -> Column:
+        a, b = (F.lower(F.regexp_extract(clause, either, i)) for i in (1, 2))
+        types = F.transform(F.filter(rows, lambda c: c["name"].isin(a, b)), lambda c: c["type"])
+        type_ = F.when(F.array_contains(types, "Spell"), F.lit("Spell")).otherwise(F.coalesce(F.get(types, F.lit(0)), F.lit("Spell")))
+        return F.concat(less(less(rows, type_, a), type_, b), F.array(row(type_, F.concat(a, F.lit("|"), b), F.lit(1))))
+
+    chosen = F.aggregate(F.regexp_extract_all(description, F.lit(either), 0), plain, choose)
+    any_ = F.transform(F.regexp_extract_all(description, F.lit(coloured), 1), lambda n: row(F.lit("Spell"), F.lit("any"), n))
+    return F.when(description.isNull(), plain).otherwise(F.concat(chosen, any_))
 
 
 def clearing_offsets(script: str = "script") -> Column:
@@ -177,10 +196,14 @@ def legendary(places: DataFrame, cards: DataFrame) -> DataFrame:
     return places.join(first, "treasure", "left").select("name", F.struct("treasure", "face").alias("treasure"))
 
 
-def clearing_type(colour: Column, samples: list[tuple[str, tuple[float, float, float]]], weights: tuple[float, float, float] = (4.0, 1.0, 1.0)) -> Column:
+#: Below this saturation a colour is pale, above this brightness bright; weights of hue, saturation and brightness.
+PALE, BRIGHT, WEIGHTS = 0.18, 0.65, (4.0, 1.0, 1.0)
+
+
+def clearing_type(colour: Column, samples: list[tuple[str, tuple[float, float, float]]], weights: tuple[float, float, float] = WEIGHTS) -> Column:
     """The type of a clearing's (h, s, v): pale and bright is river, pale is caves, else the nearest sample, hue on a circle."""
     rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), *(F.lit(float(x)).alias(a) for a, x in zip("hsv", p))) for i, (k, p) in enumerate(samples)))
     sq = lambda x: x * x
     far = lambda r: weights[0] * sq(circular(colour["h"], r["h"])) + weights[1] * sq(colour["s"] - r["s"]) + weights[2] * sq(colour["v"] - r["v"])
     nearest = F.array_min(F.transform(rows, lambda r: F.struct(far(r).alias("d"), r["i"].alias("i"), r["k"].alias("k"))))["k"]
-    return F.when((colour["s"] < 0.18) & (colour["v"] > 0.65), F.lit("river")).when(colour["s"] < 0.18, F.lit("caves")).otherwise(nearest)
+    return F.when((colour["s"] < PALE) & (colour["v"] > BRIGHT), F.lit("river")).when(colour["s"] < PALE, F.lit("caves")).otherwise(nearest)

@@ -18,26 +18,36 @@ def relative_level(child: Column, match: Column) -> Column:
 
 
 def numbered(df: DataFrame, doc: str, order: str, level: str = "level", name: str = "id", levels: int = 8) -> DataFrame:
-    """Dotted ids from levels: a counter per level that a lower level resets, 0 for levels passed over."""
-    out = df
+    """Dotted ids from levels: a counter per level that a lower level resets, 0 for levels passed over.
+
+    A counter is the running count of its level less that count at its last
+    reset, so all windows share one order and a document is sorted once.
+    """
     by_doc = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    for k in range(1, levels + 1):
-        out = out.withColumn(f"_g{k}", F.sum((F.col(level) < k).cast("int")).over(by_doc))
-    for k in range(1, levels + 1):
-        inside = Window.partitionBy(doc, f"_g{k}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_n{k}", F.sum((F.col(level) == k).cast("int")).over(inside))
-    path = F.slice(F.array(*(F.col(f"_n{k}") for k in range(1, levels + 1))), F.lit(1), F.col(level))
-    return out.withColumn(name, F.array_join(F.transform(path, lambda n: n.cast("string")), ".")).drop(*(f"_{x}{k}" for k in range(1, levels + 1) for x in "gn"))
-
-
-def heading_levels(strengths: Column) -> Column:
-    """Levels of headings in order, from their strengths (smaller is stronger): one below the nearest earlier stronger heading, at most 8."""
-    step = lambda s, x: F.struct(
-        F.concat(F.filter(s["open"], lambda o: o["strength"] < x), F.array(F.struct(x.alias("strength"), clamp_level(F.coalesce(F.array_max(F.transform(F.filter(s["open"], lambda o: o["strength"] < x), lambda o: o["level"])), F.lit(0)) + 1).alias("level")))).alias("open"),
-        F.concat(s["out"], F.array(clamp_level(F.coalesce(F.array_max(F.transform(F.filter(s["open"], lambda o: o["strength"] < x), lambda o: o["level"])), F.lit(0)) + 1))).alias("out"),
-    )
-    start = F.struct(F.array().cast("array<struct<strength:int,level:int>>").alias("open"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(strengths, start, step, lambda s: s["out"])
+    counts = {k: F.count_if(F.col(level) == k).over(by_doc) for k in range(1, levels + 1)}
+    out = df.select("*", *(c.alias(f"_c{k}") for k, c in counts.items()))
+    reset = {k: F.last(F.when(F.col(level) < k, F.col(f"_c{k}")), ignorenulls=True).over(by_doc) for k in counts}
+    out = out.select("*", *((F.col(f"_c{k}") - F.coalesce(r, F.lit(0))).alias(f"_n{k}") for k, r in reset.items()))
+    path = F.slice(F.array(*(F.col(f"_n{k}") for k in counts)), F.lit(1), F.col(level))
+    return out.withColumn(name, F.array_join(F.transform(path, lambda n: n.cast("string")), ".")).drop(*(f"_{x}{k}" for k in counts for x in "cn"))
+
+
+def heading_levels(strengths: Column, levels: Column | None = None) -> Column:
+    """Levels of headings in order, from their strengths (smaller is stronger): the one given in `levels`, else one below the lowest open stronger heading, at most 8.
+
+    A heading closes all headings of lower levels and the one of its own.
+    """
+    top = 8
+    pairs = F.arrays_zip(strengths.alias("strength"), (levels if levels is not None else F.transform(strengths, lambda _: F.lit(None).cast("int"))).alias("level"))
+
+    def step(s: Column, h: Column) -> Column:
+        stronger = F.transform(s["open"], lambda o, i: F.when(o < h["strength"], i + 1).otherwise(0))
+        level = F.coalesce(h["level"], F.least(F.lit(top), F.array_max(stronger) + 1))
+        seen = F.transform(s["open"], lambda o, i: F.when(i + 1 == level, h["strength"]).when(i + 1 < level, o))
+        return F.struct(seen.alias("open"), F.concat(s["out"], F.array(level)).alias("out"))
+
+    start = F.struct(F.array_repeat(F.lit(None).cast("int"), top).alias("open"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
 def descendants(sections: DataFrame, parents: DataFrame) -> DataFrame:

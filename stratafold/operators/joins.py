@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.functions.text import name_variants, slug
+from stratafold.functions.text import heads, name_variants, slug, title_key
 from stratafold.operators.ordered import first_by, last_by
 
 
@@ -30,19 +30,35 @@ def strict(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return met.withColumn(key, F.when(F.col("_key").isNull(), F.raise_error(F.concat(F.lit("unknown key: "), F.coalesce(df[key].cast("string"), F.lit("null")))).cast(df.schema[key].dataType)).otherwise(df[key])).drop("_key")
 
 
-def cascade(names: DataFrame, index: DataFrame, aliases: DataFrame, key: str = "name", order: str = "ord") -> DataFrame:
-    """Names resolved by exact key, else by key in any case (all rows), else through aliases (in alias order): (key, match_rank, matched...).
+def _by_title(asked: DataFrame, index: DataFrame, ids: list[str]) -> DataFrame:
+    """`asked` (ids, _k) met with `index` (_ik): rows of the very title, else of the title in any case; _exact tells which."""
+    met = asked.join(index, F.lower("_k") == F.lower("_ik")).withColumn("_exact", F.col("_k") == F.col("_ik"))
+    best = met.groupBy(*ids).agg(F.bool_or("_exact").alias("_any"))
+    return met.join(best, ids).filter("_exact = _any").drop("_any", "_k", "_ik")
 
-    An alias is used only where both direct ways miss; an alias that leads nowhere gives nothing.
+
+def cascade(names: DataFrame, index: DataFrame, aliases: DataFrame, key: str = "name", order: str = "ord", categories: dict[str, str] | None = None) -> DataFrame:
+    """Names resolved by title: (key, match_rank, alias_ord, matched...).
+
+    Titles of all sides are compared as `title_key` has them. Rank 1 is the very
+    title, 2 the title in any case (all rows); where both miss, 3 is what the
+    name's aliases lead to, each by the same two ways, in alias order. A name
+    without an alias that is a category (name -> prefix) has, as rank 4, all
+    titles that begin with the prefix. An alias that leads nowhere gives nothing.
     """
-    asked = names.select(key).distinct()
-    exact = asked.join(index.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key")).withColumns({"match_rank": F.lit(1), "_via": F.lit(0)})
-    folded = asked.join(index.withColumnRenamed(key, "_key"), F.lower(key) == F.lower("_key")).withColumns({"match_rank": F.lit(2), "_via": F.lit(0)})
-    named = asked.join(aliases.select(F.col("alias").alias("_alias"), "target", F.col(order).alias("_via")), F.col(key) == F.col("_alias"))
-    via = named.join(index.withColumnRenamed(key, "_key"), F.col("target") == F.col("_key")).withColumn("match_rank", F.lit(3)).drop("_alias", "target")
-    found = exact.unionByName(folded).unionByName(via)
-    best = found.groupBy(key).agg(F.min("match_rank").alias("_best"))
-    return found.join(best, key).filter("match_rank = _best").drop("_best", "_key").withColumnRenamed("_via", "alias_ord")
+    index = index.withColumn("_ik", title_key(F.col(key))).drop(key)
+    asked = names.select(key).distinct().withColumn("_k", title_key(F.col(key)))
+    direct = _by_title(asked, index, [key]).withColumns({"match_rank": F.when(F.col("_exact"), 1).otherwise(2), "alias_ord": F.lit(0)}).drop("_exact")
+    missed = asked.join(direct.select(key).distinct(), key, "left_anti")
+    known = aliases.select(title_key(F.col("alias")).alias("_k"), title_key(F.col("target")).alias("_to"), F.col(order).cast("int").alias("alias_ord"))
+    led = missed.join(known, "_k").select(key, "alias_ord", F.col("_to").alias("_k"))
+    via = _by_title(led, index, [key, "alias_ord"]).withColumn("match_rank", F.lit(3)).drop("_exact")
+    out = direct.unionByName(via)
+    if categories:
+        of = F.coalesce(*(F.when(F.startswith("_ik", F.lit(p)), F.lit(c)) for c, p in categories.items()))
+        loose = missed.join(known.select("_k"), "_k", "left_anti").join(index.withColumn("_k", of).drop("_ik"), "_k").drop("_k")
+        out = out.unionByName(loose.withColumns({"match_rank": F.lit(4), "alias_ord": F.lit(0)}))
+    return out
 
 
 def manifest(rows: DataFrame, cards: DataFrame, key: str, both: bool = False) -> DataFrame:
@@ -71,20 +87,41 @@ def name_keys(c: Column) -> Column:
 
 
 def fuzzy_names(asked: DataFrame, groups: DataFrame, name: str, group: str, priority: str) -> DataFrame:
-    """The first group (by priority) one of whose singular or plural forms equals a form of the name, or that the name begins with as whole words: (name, group)."""
-    words = F.split(name, " ")
-    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
-    left = asked.select(name).distinct().select(name, F.explode(F.array_distinct(F.concat(name_variants(F.col(name)), heads))).alias("_form"))
+    """The first group (by priority) one of whose forms a form of the name equals or begins with as whole words: (name, group)."""
+    left = asked.select(name).distinct().select(name, F.explode(_begun(F.col(name))).alias("_form"))
     right = groups.select(group, priority, F.explode(name_variants(F.col(group))).alias("_form"))
     met = left.join(right, "_form")
     return met.groupBy(name).agg(F.min_by(group, F.struct(priority, group)).alias(group))
 
 
+def _begun(c: Column) -> Column:
+    """The beginnings, in whole words, of all forms of a name."""
+    return F.array_distinct(F.flatten(F.transform(name_variants(c), heads)))
+
+
+def casters(spells: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, spell, sides, casters): spells (spell, side, ord, caster) that a group (group, chips) casts.
+
+    A caster meets a group if one of its forms is the group's or begins with it as
+    whole words, and a chip if their forms are equal. Sides are in the order
+    front, back; casters in the order they stand, front first, each once.
+    """
+    rows = spells.select("spell", "side", "ord", "caster")
+    whole = rows.select("*", F.explode(name_variants(F.col("caster"))).alias("_form"), F.lit(True).alias("_whole"))
+    begun = rows.select("*", F.explode(_begun(F.col("caster"))).alias("_form"), F.lit(False).alias("_whole"))
+    named = groups.select("group", F.explode(name_variants(F.col("group"))).alias("_form"), F.lit(False).alias("_whole"))
+    chips = groups.select("group", F.explode("chips").alias("_chip")).select("group", F.explode(name_variants(F.col("_chip"))).alias("_form"), F.lit(True).alias("_whole"))
+    met = whole.unionByName(begun).join(named.unionByName(chips), ["_form", "_whole"])
+    place = F.struct((F.col("side") != "front").alias("late"), F.col("ord"))
+    once = met.groupBy("group", "spell", "caster").agg(F.min(place).alias("_o"), F.collect_set("side").alias("_sides"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", "caster"))), lambda x: x["caster"])
+    sides = F.flatten(F.collect_set("_sides"))
+    return once.groupBy("group", "spell").agg(F.filter(F.array(F.lit("front"), F.lit("back")), lambda s: F.array_contains(sides, s)).alias("sides"), listed.alias("casters"))
+
+
 def title_or_prefix(forms: DataFrame, sections: DataFrame, form: str, title: str = "title") -> DataFrame:
     """Sections whose title is a form or begins with a form and a space."""
-    words = F.split(title, " ")
-    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
-    return sections.withColumn(form, F.explode(F.array_distinct(heads))).join(forms.select(form).distinct(), form)
+    return sections.withColumn(form, F.explode(F.array_distinct(heads(F.col(title))))).join(forms.select(form).distinct(), form)
 
 
 def with_nested_key(df: DataFrame, nested: Column, keys: DataFrame, key: str, id_: str) -> DataFrame:
@@ -153,7 +190,3 @@ def detail(base: DataFrame, key: str, parts: dict[str, tuple[DataFrame, list[str
         rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
         out = out.join(rows, key, "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
     return out
-
-
-def running_rank(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

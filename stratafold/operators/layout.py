@@ -71,7 +71,11 @@ def best_overlap(images: DataFrame, lines: DataFrame, page: str = "page") -> Dat
     return met.groupBy(page, "image").agg(F.max_by("line", F.struct("o", (-F.col("line")).alias("n"))).alias("line"))
 
 
-def rotated(x: Column, z: Column, degrees: float = 30.0, scale: float = 0.76) -> Column:
+#: How boards are turned and scaled against their snap points.
+TURN, SCALE = 30.0, 0.76
+
+
+def rotated(x: Column, z: Column, degrees: float = TURN, scale: float = SCALE) -> Column:
     c, s = math.cos(math.radians(degrees)) * scale, math.sin(math.radians(degrees)) * scale
     return F.struct((x * c - z * s).alias("x"), (x * s + z * c).alias("z"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from stratafold.session import saved
+
 
 def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key: a grouped minimum, which combines before it shuffles."""
@@ -68,6 +70,23 @@ def next_level_one_id(df: DataFrame) -> Column:
     return F.coalesce(F.max(F.when(F.col("level") == 1, F.split("id", r"\.")[0].cast("int"))), F.lit(0)) + 1
 
 
+def placed(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """`df` with each row's place, from 1, in an order over all rows.
+
+    Rows are dealt by ranges of the order and written; a range's places begin
+    after the rows of the ranges before it, one number per range. No task holds
+    more than a range.
+    """
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = saved(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    rows = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}  # one row per range
+    before = np.concatenate(([0], np.cumsum([rows[k] for k in sorted(rows)])))
+    starts = {k: int(before[i]) for i, k in enumerate(sorted(rows))}
+    start = F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in starts.items() for x in kv)), F.col("_range").cast("long")) if starts else F.lit(0).cast("long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, (start + inside).cast("bigint")).drop("_range")
+
+
 def replace_range(df: DataFrame, group: str, order: str, starts: Column, ends: Column, changes: dict[str, Column]) -> DataFrame:
     """Per group, the first row where `starts` holds to the first at or after it where `ends` does become one row, the first with `changes`; groups without both stay."""
     begin = df.filter(F.coalesce(starts, F.lit(False))).groupBy(group).agg(F.min(order).alias("_from"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import text as tx
 from stratafold.operators.ordered import next_level_one_id, replace_range
-from stratafold.plans.target import Leaf, matching
+from stratafold.plans.target import All, Leaf, matching
 
 Rule = Callable[[DataFrame], DataFrame]
 
@@ -78,13 +78,20 @@ def move_image(target_doc: str | None, image: str, anchor: str, before: bool) ->
     return rule
 
 
-def replace_between(from_title: str, to_title: str, tag: str, target_doc: str | None = None) -> Rule:
-    """The sections from one title to another become one placeholder that has the tag and no content."""
+def replace_between(from_, to, title: str, tags: tuple[str, ...] = (), content: str = "", target=All()) -> Rule:
+    """Per document, the sections of `target` from the first that `from_` selects to the first at or after it that `to` does, and all between, become one.
+
+    It keeps the first one's id, source, level and place, and has the title, the content and the first one's tags and these.
+    """
 
     def rule(df: DataFrame) -> DataFrame:
-        mine = F.lit(True) if target_doc is None else F.col("source") == target_doc
-        tags = F.concat(F.coalesce(F.col("tags"), F.array().cast("array<string>")), F.array(F.lit(tag)))
-        return replace_range(df, "source", "ord", mine & F.col("title").rlike(from_title), mine & F.col("title").rlike(to_title), {"content": F.lit(""), "tags": tags})
+        hit = df
+        for name, t in (("_hit_in", target), ("_hit_from", from_), ("_hit_to", to)):
+            hit = matching(hit, t, name)
+        own = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+        changes = {"title": F.lit(title), "content": F.lit(content), "tags": F.concat(own, F.array(*map(F.lit, tags)).cast("array<string>"))}
+        changes |= {c: F.lit(None).cast(df.schema[c].dataType) for c in ("icon", "icons") if c in df.columns}
+        return replace_range(hit, "source", "ord", F.col("_hit_in") & F.col("_hit_from"), F.col("_hit_in") & F.col("_hit_to"), changes).select(*df.columns)
 
     return rule
 

@@ -1,47 +1,87 @@
 """Object trees in JSON: flattening with ancestry, nearest typed ancestors, sprite cells, extractors.
 
-A tree is a VARIANT; levels are unfolded by a recursive query, so a node's depth
-costs a step and not a task. A node's path is a list of places, which orders all
-nodes depth-first.
+A tree is one document, so it is walked in one pass where it lies: no shuffle,
+no step per level, and nodes go out in batches of bounded size. A node goes out
+without what it contains, which has rows of its own, so the output grows with
+the tree and not with its depth. A node's path is a list of places, which orders
+all nodes depth-first.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.functions.text import text
+from stratafold.session import ship
+
+NODES = "source string, path array<int>, node string, lineage array<struct<kind: string, guid: string, name: string>>"
+_LINEAGE = pa.list_(pa.struct([("kind", pa.string()), ("guid", pa.string()), ("name", pa.string())]))
+#: Nodes and characters that are sent on at a time.
+SENT_NODES, SENT_CHARS = 10_000, 4 << 20
+
+
+def walk(tree: dict, roots: str, children: tuple[str, ...], states: bool) -> Iterator[tuple[list[int], dict, list[dict]]]:
+    """(path, node, lineage) depth-first: roots, then what they hold; with `states`, alternate states after the contained objects."""
+
+    def said(node: dict, key: str) -> str | None:
+        value = node.get(key)
+        return value if value is None or isinstance(value, str) else json.dumps(value)
 
-LEVELS = 100
+    first = tree.get(roots) if isinstance(tree, dict) else None
+    stack = [([i], node, []) for i, node in enumerate(first or [])][::-1]
+    while stack:
+        path, node, lineage = stack.pop()
+        if not isinstance(node, dict):
+            continue
+        yield path, node, lineage
+        below = [x for c in children for x in node.get(c) or []]
+        if states:
+            below += list((node.get("States") or {}).values())
+        if below:
+            own = [*lineage, {"kind": said(node, "Name"), "guid": said(node, "GUID"), "name": (said(node, "Nickname") or "").strip().strip("\ufeff").strip() or None}]
+            stack += [([*path, i], x, own) for i, x in enumerate(below)][::-1]
 
 
 def flatten(saves: DataFrame, save: str = "save", roots: str = "ObjectStates", children: tuple[str, ...] = ("ContainedObjects",), states: bool = False) -> DataFrame:
-    """(source, path, ord, node, ancestry) of every object: roots, then what they hold, to any depth.
+    """(source, path, node, ancestry, depth, lineage) of every object: roots, then what they hold, to any depth.
 
     `saves` has source and the JSON text. ancestry lists the names of the
-    ancestors that have one, outermost first; with `states`, alternate states
-    are visited after the contained objects.
+    ancestors that have one, outermost first, and lineage all ancestors (kind,
+    guid, name); with `states`, alternate states are visited after the contained
+    objects. A null or empty text has no objects; one that isn't JSON is an error.
     """
-    spark = saves.sparkSession
-    kinds = [(c, f"variant_get(node, '$.{c}', 'array<variant>')") for c in children]
-    if states:
-        kinds.append(("States", "map_values(variant_get(node, '$.States', 'map<string,variant>'))"))
-    below = f"concat({', '.join(f'coalesce({e}, CAST(array() AS array<variant>))' for _, e in kinds)})"
-    name = "nullif(regexp_replace(variant_get(node, '$.Nickname', 'string'), '(?U)^\\\\s+|\\\\s+$', ''), '')"
-    frame = saves.select("source", F.parse_json(F.col(save)).alias("tree"))
-    frame.createOrReplaceTempView("_stratafold_trees")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE nodes (source, path, node, ancestry, depth) MAX RECURSION LEVEL {LEVELS} AS (
-          SELECT source, array(pos), col, CAST(array() AS array<string>), 0
-          FROM _stratafold_trees, LATERAL posexplode(coalesce(variant_get(tree, '$.{roots}', 'array<variant>'), CAST(array() AS array<variant>)))
-          UNION ALL
-          SELECT source, array_append(path, pos), col, CASE WHEN {name} IS NULL THEN ancestry ELSE array_append(ancestry, {name}) END, depth + 1
-          FROM nodes, LATERAL posexplode({below})
-        )
-        SELECT source, path, node, ancestry, depth FROM nodes
-        """
-    )
+    ship(saves.sparkSession)
+    names = ["source", "path", "node", "lineage"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, chars = [], 0
+
+            def flush() -> pa.RecordBatch:
+                columns = list(zip(*rows)) if rows else [()] * 4
+                kinds = (pa.string(), pa.list_(pa.int32()), pa.string(), _LINEAGE)
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+            for source, value in zip(batch.column("source").to_pylist(), batch.column("save")):
+                if not (written := value.as_py()):
+                    continue
+                for path, node, lineage in walk(json.loads(written), roots, children, states):
+                    own = json.dumps({k: v for k, v in node.items() if k not in children}, ensure_ascii=False)
+                    rows.append((source, path, own, lineage))
+                    chars += len(own)
+                    if len(rows) >= SENT_NODES or chars >= SENT_CHARS:
+                        yield flush()
+                        rows, chars = [], 0
+            yield flush()
+
+    found = saves.select(F.col("source").cast("string").alias("source"), F.col(save).alias("save")).mapInArrow(run, NODES)
+    named_ = F.filter("lineage", lambda a: a["name"].isNotNull())
+    return found.select("source", "path", F.parse_json("node").alias("node"), F.transform(named_, lambda a: a["name"]).alias("ancestry"), (F.size("path") - 1).alias("depth"), "lineage")
 
 
 def field(name: str, kind: str = "string") -> Column:
@@ -52,7 +92,7 @@ def field(name: str, kind: str = "string") -> Column:
 def named(nodes: DataFrame) -> DataFrame:
     """Nodes with the fields extractors ask for."""
     return nodes.select(
-        "source", "path", "ancestry", "node",
+        "source", "path", "ancestry", "lineage", "node",
         field("GUID").alias("guid"), field("Name").alias("kind"), text(field("Nickname")).alias("nickname"), text(field("Description")).alias("description"),
         field("GMNotes").alias("notes"), field("LuaScript").alias("script"), F.array_sort(F.coalesce(field("Tags", "array<string>"), F.array().cast("array<string>"))).alias("tags"),
     )
@@ -70,12 +110,10 @@ def sprite_cell(nodes: DataFrame) -> DataFrame:
 
 
 def nearest_ancestor(nodes: DataFrame, kind: str = "Bag") -> DataFrame:
-    """Each node with the guid and name of its nearest ancestor of a kind that has a name: paths' prefixes meet the ancestors' paths."""
-    up = nodes.filter((F.col("kind") == kind) & F.col("nickname").isNotNull()).select("source", F.array_join("path", ".").alias("_at"), F.size("path").alias("_depth"), F.col("guid").alias("ancestor_guid"), F.col("nickname").alias("ancestor"))
-    steps = F.when(F.size("path") > 1, F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.array_join(F.slice("path", F.lit(1), n), ".")))
-    met = nodes.withColumns({"_path": F.array_join("path", "."), "_at": F.explode_outer(steps)}).join(up, ["source", "_at"])
-    best = met.groupBy("source", "_path").agg(F.max_by(F.struct("ancestor_guid", "ancestor"), "_depth").alias("_a")).select("source", "_path", "_a.*")
-    return nodes.withColumn("_path", F.array_join("path", ".")).join(best, ["source", "_path"], "left").drop("_path")
+    """Each node with the guid and name of its nearest ancestor of a kind that has a name."""
+    up = F.filter("lineage", lambda a: (a["kind"] == kind) & a["name"].isNotNull())
+    nearest = F.get(up, F.size(up) - 1)
+    return nodes.withColumns({"ancestor_guid": nearest["guid"], "ancestor": nearest["name"]})
 
 
 def any_depth(nodes: DataFrame, condition: Column) -> DataFrame:

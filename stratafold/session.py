@@ -1,12 +1,13 @@
-"""What a session needs before Python functions of this package run on its executors."""
+"""What a session needs: the package on its executors, and a folder that all of them see."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +25,41 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     out.write(path, os.path.relpath(path, os.path.dirname(here)))
     context.addPyFile(archive)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below `spark.checkpoint.dir`, which all executors see; it goes when the JVM ends.
+
+    Only a local session may leave that setting out, as tests do: a folder of this machine then serves all its threads.
+    """
+    context = spark.sparkContext
+    found = getattr(context, "_stratafold_dir", None)
+    if found is None:
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+            top = "file://" + tempfile.mkdtemp(prefix="stratafold-")
+        found = context._stratafold_dir = f"{top}/stratafold-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(found)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return found
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written once as a table in the shared folder and read back: it is not computed again and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stratafold_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a `saved` table whose readers have been written."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._stratafold_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

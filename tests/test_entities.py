@@ -87,9 +87,14 @@ def test_small_projections(spark):
     one = lambda c: row.select(c.alias("x")).first().x
     assert one(en.magic_colours(F.array(F.lit("redMagic"), F.lit("spell")))) == ["red"]
     assert one(en.reward_labels(F.create_map(F.lit("Foot"), F.lit(2), F.lit("Cube"), F.lit(1), F.lit("None"), F.lit(0)), {"Foot": "Feet"})) == ["+1 Cube", "+2 Feet"]
-    cubes = F.array(F.struct(F.lit("red").alias("name"), F.lit(2).alias("count")), F.struct(F.lit("blue").alias("name"), F.lit(1).alias("count")))
-    assert [tuple(r) for r in one(en.with_choices(cubes, F.lit("Choose One Red or One Blue Cube")))] == [("red", 1), ("red|blue", 1)]
-    assert [tuple(r) for r in one(en.with_choices(cubes, F.lit("Choose 2 Coloured")))] == [("red", 2), ("blue", 1), ("any", 2)]
+    cube = lambda t, n, c: F.struct(F.lit(t).alias("type"), F.lit(n).alias("name"), F.lit(c).alias("count"))
+    cubes = F.array(cube("Item", "red", 1), cube("Spell", "red", 2), cube("Spell", "blue", 1), cube("Item", "grey", 1))
+    choose = lambda text: [tuple(r) for r in one(en.with_choices(cubes, F.lit(text)))]
+    assert choose("Choose One Red or One Blue Cube") == [("Item", "red", 1), ("Spell", "red", 1), ("Item", "grey", 1), ("Spell", "red|blue", 1)]
+    assert choose("choose one grey or one pink cube; Choose  One Grey or One White Cube") == [("Item", "red", 1), ("Spell", "red", 2), ("Spell", "blue", 1), ("Item", "grey|pink", 1), ("Spell", "grey|white", 1)]
+    same = [("Item", "red", 1), ("Spell", "red", 2), ("Spell", "blue", 1), ("Item", "grey", 1)]
+    assert choose("Choose 2 Coloured Magic Cubes, then Choose 1 Colored magic cube") == [*same, ("Spell", "any", 2), ("Spell", "any", 1)]
+    assert choose("Choose 2 Coloured") == same == choose(None)
     assert [tuple(r) for r in one(en.header_rows((F.lit(True), "a", F.lit("1")), (F.lit(False), "b", F.lit("2"))))] == [("a", "1")]
     deck = en.deck_of(F.lit("u"), {"u": "deep"}, F.lit("box"), F.lit("Crown"), ("deep", "legendary", "box", frozenset({"Crown"})))
     assert one(deck) == "legendary"

@@ -55,8 +55,10 @@ def test_numbering(spark):
 
 
 def test_heading_levels_and_paths(spark, sections):
-    got = spark.range(1).select(hierarchy.heading_levels(F.array(*map(F.lit, [1, 3, 2, 3, 1]))).alias("x")).first().x
-    assert got == [1, 2, 2, 3, 1]
+    levels = lambda *c: spark.range(1).select(hierarchy.heading_levels(*c).alias("x")).first().x
+    assert levels(F.array(*map(F.lit, [1, 3, 2, 3, 1]))) == [1, 2, 2, 3, 1]
+    given = F.array(*(F.lit(x).cast("int") for x in (3, None, None, 1, None, 2, None)))
+    assert levels(F.array(*map(F.lit, [30, 40, 35, 10, 40, 20, 15])), given) == [3, 4, 4, 1, 2, 2, 2]
     assert ids(hierarchy.heading_path(sections, ["Spells|Other", "Fire:"])) == ["2.1", "20.1"]
 
 
@@ -76,11 +78,17 @@ def test_moving_an_image(spark):
     assert rules.move_image("b", "none", "anchor", True)(df).exceptAll(df).count() == 0
 
 
-def test_range_becomes_a_placeholder(spark):
-    df = spark.createDataFrame([("b", i, str(i + 1), 1, t, t, None) for i, t in enumerate(["a", "from", "x", "to", "z"])], SECTION)
-    got = rules.replace_between("^from$", "^to$", "gap")(df).orderBy("ord").collect()
-    assert [(r.id, r.title, r.content, r.tags) for r in got] == [("1", "a", "a", None), ("2", "from", "", ["gap"]), ("5", "z", "z", None)]
-    assert rules.replace_between("^to$", "^from$", "gap")(df).count() == 5
+def test_range_becomes_one_section(spark):
+    df = spark.createDataFrame([("b", i, str(i + 1), 1 + i % 2, t, t, ["old"] if t == "from" else None) for i, t in enumerate(["a", "from", "x", "to", "z", "to"])], SECTION)
+    at = lambda t: tg.Leaf(title=f"^{t}$")
+    got = rules.replace_between(at("from"), at("to"), "Gap", ("gap", "more"), "filled")(df).orderBy("ord").collect()
+    assert [(r.id, r.level, r.title, r.content, r.tags) for r in got] == [("1", 1, "a", "a", None), ("2", 2, "Gap", "filled", ["old", "gap", "more"]), ("5", 1, "z", "z", None), ("6", 2, "to", "to", None)]
+    assert rules.replace_between(at("z"), at("from"), "Gap")(df).count() == 6
+    inside = rules.replace_between(at("from"), at("to"), "Gap", target=tg.Not(at("to")))(df)
+    assert inside.exceptAll(df).count() == 0 and inside.count() == 6
+    later = rules.replace_between(at("from"), at("to"), "Gap", target=tg.Not(tg.Leaf(id="4")))(df).orderBy("ord").collect()
+    assert [r.title for r in later] == ["a", "Gap"]
+    assert rules.replace_between(at("x"), at("x"), "Gap")(df).filter("title = 'Gap'").first().content == ""
 
 
 def test_footer_is_split_once(spark):
@@ -98,6 +106,34 @@ def test_derived(sections):
     aid = [derived.AidGroup("G", (derived.Pick(tg.Leaf(title="^Fire$"), True),)), derived.AidGroup("H", (derived.Pick(tg.ChildrenOf(tg.Leaf(title="^Spells$"))),))]
     rows = derived.player_aid(sections, aid).orderBy("place").collect()
     assert [(r.level, r.title) for r in rows] == [(1, "G"), (2, "Fire"), (3, "Bolt"), (2, "Fire"), (1, "H"), (2, "Ice")]
+    assert [tuple(rows[i][1:4]) + (rows[i].tags,) for i in (0, 4)] == [("player-aid", None, "1", ["syntheticHeader"]), ("player-aid", None, "2", ["syntheticHeader"])]
+
+
+def test_a_section_keeps_the_place_that_brought_it_first(spark):
+    """A nested match is first met as a child of the match before it."""
+    df = spark.createDataFrame([("b", i, id_, level, title, "", None) for i, (id_, level, title) in enumerate([("1", 1, "A"), ("1.1", 2, "A sub"), ("1.1.1", 3, "leaf"), ("2", 1, "Z")])], SECTION)
+    pick = derived.Pick(tg.Leaf(title="^A"), True)
+    rows = derived.player_aid(df, [derived.AidGroup("G", (derived.Pick(tg.Leaf(title="^Z")), pick))], "aid").orderBy("place").collect()
+    assert [(r.level, r.title, r.source) for r in rows] == [(1, "G", "aid"), (2, "Z", "b"), (2, "A", "b"), (3, "A sub", "b"), (4, "leaf", "b")]
+
+
+def test_derived_sorts(sections):
+    by_source = derived.flat(sections, tg.Leaf(levels=(2,)), sort="source").orderBy("place").collect()
+    assert [r.title for r in by_source] == ["Fire", "Fire", "Ice"]
+    got = derived.grouped(sections, [derived.Group(tg.Leaf(title="^Intro$"), tg.Leaf(levels=(2,))), derived.Group(tg.Leaf(title="^no$"), tg.All())]).orderBy("place").collect()
+    assert [(r.level, r.title) for r in got] == [(1, "Intro"), (2, "Fire"), (2, "Fire"), (2, "Ice")]
+
+
+def test_places_are_those_of_one_sort(spark):
+    """Over ranges, whatever their number, with ties, nulls and an empty table."""
+    df = spark.range(500).selectExpr("CASE WHEN id % 7 > 0 THEN id % 11 END AS a", "id AS b")
+    order = [F.col("a").desc_nulls_last(), "b"]
+    got = [r.b for r in ordered.placed(df, order).orderBy("place").collect()]
+    assert got == [r.b for r in df.orderBy(*order).collect()]
+    assert sorted(r.place for r in ordered.placed(df, order).collect()) == list(range(1, 501))
+    assert ordered.placed(df.limit(0), order).count() == 0
+    plan = ordered.placed(df, order)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
 
 
 def test_merging_copies(spark):
@@ -115,6 +151,21 @@ def test_cascade(spark):
     assert got == [("Blade", 3, 1), ("Blade", 3, 3), ("Shield", 2, 4), ("Shield", 2, 5), ("Sword", 1, 1)]
 
 
+def test_cascade_compares_titles_as_titles(spark):
+    index = spark.createDataFrame([("Fire Bolt", 1), ("Adventurers Kit", 2), ("Coin of A", 3), ("Coin of B", 4)], "name string, row int")
+    aliases = spark.createDataFrame([("Flame’s Dart", "fire bolt", 0), ("Coins", "nowhere", 0)], "alias string, target string, ord int")
+    names = spark.createDataFrame([("Flames Dart",), ("Adventurer's Kit",), ("Coin",), ("Coins",), ("fire BOLT",)], "name string")
+    got = sorted((r.name, r.match_rank, r.row) for r in joins.cascade(names, index, aliases, categories={"Coin": "Coin of ", "Coins": "Coin of "}).collect())
+    assert got == [("Adventurer's Kit", 1, 2), ("Coin", 4, 3), ("Coin", 4, 4), ("Flames Dart", 3, 1), ("fire BOLT", 2, 1)]
+
+
+def test_casters(spark):
+    spells = spark.createDataFrame([("Bolt", "back", 0, "Goblins of Rust"), ("Bolt", "front", 1, "Goblin"), ("Bolt", "front", 0, "Imp"), ("Hex", "front", 0, "Imps Lord"), ("Hex", "back", 0, "Wolves")], "spell string, side string, ord int, caster string")
+    groups = spark.createDataFrame([("Goblins", ["Imp"]), ("wolf", []), ("Wolf", ["Imps"])], "group string, chips array<string>")
+    got = {(r.group, r.spell): (r.sides, r.casters) for r in joins.casters(spells, groups).collect()}
+    assert got == {("Goblins", "Bolt"): (["front", "back"], ["Imp", "Goblin", "Goblins of Rust"]), ("Wolf", "Bolt"): (["front"], ["Imp"]), ("Wolf", "Hex"): (["back"], ["Wolves"])}
+
+
 def test_strict_join_fails_on_a_miss(spark):
     left, right = spark.createDataFrame([("a",), ("z",)], "k string"), spark.createDataFrame([("a", 1)], "k string, v int")
     with pytest.raises(Exception, match="unknown key: z"):
@@ -125,7 +176,7 @@ def test_fuzzy_names_and_prefixes(spark):
     groups = spark.createDataFrame([("wolf", 1), ("giant spider", 2)], "grp string, pr int")
     asked = spark.createDataFrame([("wolves",), ("giant spiders den",), ("wolfhound",), ("giant spider queen",)], "name string")
     got = {r.name: r.grp for r in joins.fuzzy_names(asked, groups, "name", "grp", "pr").collect()}
-    assert got == {"wolves": "wolf", "giant spider queen": "giant spider"}
+    assert got == {"wolves": "wolf", "giant spiders den": "giant spider", "giant spider queen": "giant spider"}
     titles = spark.createDataFrame([("Fire Bolt",), ("Firefly",), ("Fire",)], "title string")
     forms = spark.createDataFrame([("Fire",)], "form string")
     assert sorted(r.title for r in joins.title_or_prefix(forms, titles, "form").collect()) == ["Fire", "Fire Bolt"]
@@ -164,6 +215,24 @@ def test_trees(spark):
     assert [r.place for r in tree.any_depth(nodes, F.col("guid") == "c2").collect()] == [0]
 
 
+def test_a_deep_and_a_wide_tree(spark):
+    """No level, row or recursion limit; paths, ancestors and alternate states stay right."""
+    leaf = {"Name": "Card", "GUID": "leaf", "Nickname": "end"}
+    for i in range(300):
+        leaf = {"Name": "Bag", "GUID": f"g{i}", "Nickname": "" if i == 0 else f"n{i}", "ContainedObjects": [leaf], "States": {"2": {"Name": "Tile", "GUID": f"s{i}"}}}
+    wide = {"Name": "Bag", "GUID": "w", "Nickname": "Wide", "ContainedObjects": [{"Name": "Card", "GUID": f"c{i}"} for i in range(30_000)]}
+    saves = spark.createDataFrame([("deep", json.dumps({"ObjectStates": [leaf]})), ("wide", json.dumps({"ObjectStates": [wide]})), ("none", None), ("empty", "{}"), ("list", "[1]"), ("bare", json.dumps({"ObjectStates": [None, {"Nickname": 5, "ContainedObjects": None}]}))], "source string, save string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    nodes = tree.nearest_ancestor(tree.named(tree.flatten(saves)))
+    count = {r.source: r["count"] for r in nodes.groupBy("source").count().collect()}
+    assert count == {"deep": 301, "wide": 30_001, "bare": 1}
+    last = nodes.filter("guid = 'leaf'").first()
+    assert len(last.path) == 301 and last.ancestor_guid == "g1" and last.ancestry == [f"n{i}" for i in range(299, 0, -1)]
+    assert nodes.filter("ancestor = 'Wide'").count() == 30_000
+    states = tree.named(tree.flatten(saves, states=True)).filter("source = 'deep'")
+    assert states.count() == 601 and [r.path for r in states.filter("guid = 's299'").collect()] == [[0, 1]]
+
+
 def test_guid_lists(spark):
     df = spark.createDataFrame([('x\n["ab1"] = {"c", "d"}, --The Label\n["e"] = {}',)], "script string")
     got = [(r.guid, r.other, r.label) for r in tree.guid_lists(df).collect()]
@@ -227,9 +296,13 @@ def test_streamed_rules(spark, sections, tmp_path):
 def test_entry_works_without_the_llm_parts(monkeypatch):
     import sys
 
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     import __spark_entry__
 
-    names = __spark_entry__.queries()
-    assert "derived_grouped" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
-    assert set(__spark_entry__.oracle_sql()) <= set(names)
+    for gone in ("corpus_pipeline", "stratafold.llm"):
+        with monkeypatch.context() as m:
+            for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("stratafold.llm")]:
+                m.delitem(sys.modules, name)
+            m.setitem(sys.modules, gone, None)
+            names = __spark_entry__.queries()
+            assert "derived_grouped" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
+            assert set(__spark_entry__.oracle_sql()) <= set(names)
