@@ -52,7 +52,7 @@ def sections(t: Tables) -> DataFrame:
     top = t.region.selectExpr("r_name AS source", "CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 AS ord", "CAST(r_regionkey + 1 AS STRING) AS id", "1 AS level", "r_name AS title", "'' AS content", none)
     nation = t.nation.join(t.region, F.expr("n_regionkey = r_regionkey"))
     middle = nation.selectExpr("r_name AS source", "CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 + CAST(n_nationkey + 1 AS BIGINT) * 1000000000 AS ord", "concat_ws('.', r_regionkey + 1, n_nationkey + 1) AS id", "2 AS level", "n_name AS title", "concat('nation of ', r_name) AS content", "array('nation') AS tags")
-    low = t.customer.join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr("r_name AS source", "CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 + CAST(n_nationkey + 1 AS BIGINT) * 1000000000 + c_custkey AS ord", "concat_ws('.', r_regionkey + 1, n_nationkey + 1, c_custkey) AS id", "3 AS level", "c_name AS title", "c_mktsegment AS content", "array('customer', lower(c_mktsegment)) AS tags")
+    low = t.customer.join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr("r_name AS source", "CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 + CAST(n_nationkey + 1 AS BIGINT) * 1000000000 + c_custkey + 1 AS ord", "concat_ws('.', r_regionkey + 1, n_nationkey + 1, c_custkey) AS id", "3 AS level", "c_name AS title", "c_mktsegment AS content", "array('customer', lower(c_mktsegment)) AS tags")
     return top.unionByName(middle).unionByName(low)
 
 
@@ -61,7 +61,7 @@ nations AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
 sections AS (
   SELECT r_name AS source, CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 AS ord, CAST(r_regionkey + 1 AS VARCHAR) AS id, 1 AS level, r_name AS title, '' AS content, CAST(NULL AS VARCHAR[]) AS tags FROM region
   UNION ALL SELECT r_name, CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 + CAST(n_nationkey + 1 AS BIGINT) * 1000000000, concat_ws('.', r_regionkey + 1, n_nationkey + 1), 2, n_name, 'nation of ' || r_name, ['nation'] FROM nations
-  UNION ALL SELECT r_name, CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 + CAST(n_nationkey + 1 AS BIGINT) * 1000000000 + c_custkey, concat_ws('.', r_regionkey + 1, n_nationkey + 1, c_custkey), 3, c_name, c_mktsegment, ['customer', lower(c_mktsegment)]
+  UNION ALL SELECT r_name, CAST(r_regionkey + 1 AS BIGINT) * 1000000000000 + CAST(n_nationkey + 1 AS BIGINT) * 1000000000 + c_custkey + 1, concat_ws('.', r_regionkey + 1, n_nationkey + 1, c_custkey), 3, c_name, c_mktsegment, ['customer', lower(c_mktsegment)]
   FROM customer JOIN nations ON c_nationkey = n_nationkey
 )
 """
@@ -96,11 +96,13 @@ def target_and_not(t):
     return tg.select(sections(t), tg.And((tg.Leaf(levels=(3,)), tg.Not(tg.Leaf(content="BUILDING|MACHINERY"))))).select("id", "content")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS empty_and, CAST(0 AS BIGINT) AS not_doc")
+@query(f"WITH {SECTIONS_SQL} SELECT CAST(0 AS BIGINT) AS empty_and, CAST(0 AS BIGINT) AS not_doc, count(*) FILTER (WHERE level <> 2) AS not_level, count(*) AS not_and FROM sections")
 def target_empty_and_not_doc(t):
     s = sections(t)
-    a, b = tg.select(s, tg.And()).agg(F.count("*").alias("empty_and")), tg.select(s, tg.Not(tg.Leaf(doc="ASIA"))).agg(F.count("*").alias("not_doc"))
-    return a.join(b, F.lit(True))
+    asked = {"empty_and": tg.And(), "not_doc": tg.Not(tg.Leaf(doc="ASIA")), "not_level": tg.Not(tg.Leaf(levels=(2,))), "not_and": tg.Not(tg.And())}
+    for name, target in asked.items():
+        s = tg.matching(s, target, name)
+    return s.agg(*(F.count_if(F.col(n)).alias(n) for n in asked))
 
 
 @query(f"WITH {SECTIONS_SQL} SELECT s.id, s.title FROM sections s WHERE EXISTS (SELECT 1 FROM sections p WHERE p.source = s.source AND p.title = 'NATION_3' AND starts_with(s.id, p.id || '.')) AND NOT regexp_matches(s.content, 'HOUSEHOLD')")
@@ -135,9 +137,10 @@ def assign_ids(t):
 
 
 @query(f"""WITH {SECTIONS_SQL} SELECT c.id, c.title FROM sections a JOIN sections b ON b.source = a.source AND starts_with(b.id, a.id || '.') JOIN sections c ON c.source = b.source AND starts_with(c.id, b.id || '.')
-WHERE a.title IN ('ASIA', 'EUROPE') AND b.level = 2 AND b.title IN ('NATION_8', 'NATION_6', 'NATION_12') AND c.title = 'Customer#000000010' OR a.title IN ('ASIA', 'EUROPE') AND b.title IN ('NATION_8', 'NATION_6', 'NATION_12') AND c.id LIKE '%7' AND c.title = c.title AND false""")
+WHERE a.title IN ('ASIA', 'EUROPE') AND b.title IN ('NATION_2', 'NATION_3', 'NATION_7') AND regexp_matches(c.title, '^Customer#00000[01][0-9]{{3}}$')""")
 def heading_path(t):
-    return hierarchy.heading_path(sections(t), ["ASIA|EUROPE", "NATION_8|NATION_6:|NATION_12.", "Customer#000000010"]).select("id", "title")
+    names = "|".join(f"Customer#{n:09d}" for n in range(2000))
+    return hierarchy.heading_path(sections(t), ["ASIA|EUROPE", "NATION_2|NATION_3:|NATION_7.", names]).select("id", "title")
 
 
 @query("SELECT l_orderkey, CAST(floor(least(8, greatest(1, sum(l_quantity) / 20))) AS INTEGER) AS level FROM lineitem GROUP BY 1")
@@ -157,9 +160,12 @@ def rule_pipeline(t):
     return _shown(rules.apply(sections(t), ordered_rules), "id", "title", "content")
 
 
-@query(f"""WITH {SECTIONS_SQL} SELECT s.id, CASE WHEN EXISTS (SELECT 1 FROM sections p WHERE p.source = s.source AND p.title = 'NATION_1' AND starts_with(s.id, p.id || '.')) THEN array_to_string(list_concat(s.tags, ['spell', 'redMagic']), ',') ELSE array_to_string(coalesce(s.tags, []), ',') END AS tags FROM sections s""")
+@query(f"""WITH {SECTIONS_SQL}, r AS (SELECT * REPLACE (CASE title WHEN 'NATION_1' THEN 'Red Spells' WHEN 'NATION_2' THEN 'Blue Spells' ELSE title END AS title) FROM sections)
+SELECT s.id, array_to_string(CASE WHEN p.title IS NULL THEN coalesce(s.tags, []) ELSE list_concat(s.tags, ['spell', CASE p.title WHEN 'Red Spells' THEN 'redMagic' ELSE 'blueMagic' END]) END, ',') AS tags
+FROM r s LEFT JOIN r p ON p.title IN ('Red Spells', 'Blue Spells') AND p.source = s.source AND starts_with(s.id, p.id || '.')""")
 def rule_generator_children_tags(t):
-    return _shown(rules.apply(sections(t), [rules.add_tag(tg.ChildrenOf(tg.Leaf(title="^NATION_1$")), "spell", "redMagic")]), "id")
+    named = sections(t).withColumn("title", F.expr("CASE title WHEN 'NATION_1' THEN 'Red Spells' WHEN 'NATION_2' THEN 'Blue Spells' ELSE title END"))
+    return _shown(rules.apply(named, rules.colour_rules(["Red", "Blue"])), "id")
 
 
 @query("SELECT doc_id, CASE WHEN strpos(text, ' the ') > 0 THEN substr(text, 1, strpos(text, ' the ') - 1) || '[ the ]$' || substr(text, strpos(text, ' the ') + 5) ELSE text END AS text FROM documents")
@@ -199,32 +205,33 @@ def changed_rows(t):
 
 @query(f"WITH {SECTIONS_SQL} SELECT row_number() OVER (ORDER BY title, source, ord) AS place, id, title FROM sections WHERE level = 2")
 def derived_flat(t):
-    return derived.flat(sections(t), tg.Leaf(levels=(2,))).select(F.col("place").cast("bigint"), "id", "title")
+    return derived.flat(sections(t), tg.Leaf(levels=(2,))).select("place", "id", "title")
 
 
 @query(f"""WITH {SECTIONS_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY title, source, ord) AS k FROM sections WHERE level = 2 AND regexp_matches(title, '_1$|_2$')),
 r AS (SELECT k, 0 AS own, id, ord FROM p UNION ALL SELECT p.k, 1, s.id, s.ord FROM p JOIN sections s ON s.source = p.source AND starts_with(s.id, p.id || '.'))
 SELECT row_number() OVER (ORDER BY k, own, ord) AS place, id FROM r""")
 def derived_flat_with_children(t):
-    return derived.flat(sections(t), tg.Leaf(levels=(2,), title="_1$|_2$"), with_children=True).select(F.col("place").cast("bigint"), "id")
+    return derived.flat(sections(t), tg.Leaf(levels=(2,), title="_1$|_2$"), with_children=True).select("place", "id")
 
 
 @query(f"""WITH {SECTIONS_SQL}, g(n, h) AS (VALUES (0, 'ASIA'), (1, 'AFRICA')), r AS (SELECT n, 0 AS part, source, ord, title, 1 AS level FROM g JOIN sections ON title = h UNION ALL SELECT n, 1, source, ord, title, 2 FROM g JOIN sections ON source = h AND sections.level = 2)
 SELECT row_number() OVER (ORDER BY n, part, title, source, ord) AS place, title, level FROM r""")
 def derived_grouped(t):
     groups = [derived.Group(tg.Leaf(title=f"^{r}$"), tg.Leaf(doc=r, levels=(2,))) for r in ("ASIA", "AFRICA")] + [derived.Group(tg.Leaf(title="^none$"), tg.Leaf(levels=(2,)))]
-    return derived.grouped(sections(t), groups).select(F.col("place").cast("bigint"), "title", "level")
+    return derived.grouped(sections(t), groups).select("place", "title", "level")
 
 
-@query(f"""WITH {SECTIONS_SQL}, r AS (
-  SELECT 0 AS g, -1 AS i, NULL AS source, NULL AS ord, 0 AS k, 'First' AS title, 1 AS level, 'h0' AS id UNION ALL SELECT 1, -1, NULL, NULL, 0, 'Second', 1, 'h1'
-  UNION ALL SELECT 0, 0, source, ord, 0, title, 2, id FROM sections WHERE title = 'NATION_4' UNION ALL SELECT 0, 0, s.source, s.ord, 1, s.title, 3, s.id FROM sections s JOIN sections p ON p.title = 'NATION_4' AND p.source = s.source AND starts_with(s.id, p.id || '.')
-  UNION ALL SELECT 1, 0, source, ord, 0, title, 2, id FROM sections WHERE level = 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY g, i, source, ord, k) AS n FROM r)
-SELECT row_number() OVER (ORDER BY g, i, source NULLS FIRST, ord NULLS FIRST, k) AS place, title, level FROM o WHERE n = 1""")
+@query(f"""WITH {SECTIONS_SQL}, m AS (SELECT *, regexp_matches(title, '^ASIA$|^NATION_[0-9]$') AS hit FROM sections), r AS (
+  SELECT 0 AS g, -1 AS i, NULL AS ms, NULL AS mo, 0 AS k, 0 AS ord, 'player-aid' AS source, '1' AS id, 'First' AS title, 1 AS level, 'syntheticHeader' AS tag UNION ALL SELECT 1, -1, NULL, NULL, 0, 0, 'player-aid', '2', 'Second', 1, 'syntheticHeader'
+  UNION ALL SELECT 0, 0, source, ord, 0, ord, source, id, title, 2, array_to_string(tags, ',') FROM m WHERE hit
+  UNION ALL SELECT 0, 0, p.source, p.ord, 1, s.ord, s.source, s.id, s.title, 2 + s.level - p.level, array_to_string(s.tags, ',') FROM sections s JOIN m p ON p.hit AND p.source = s.source AND starts_with(s.id, p.id || '.')
+  UNION ALL SELECT 1, 0, source, ord, 0, ord, source, id, title, 2, array_to_string(tags, ',') FROM sections WHERE level = 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY g, i, ms, mo, k, ord) AS n FROM r)
+SELECT row_number() OVER (ORDER BY g, i, ms NULLS FIRST, mo NULLS FIRST, k, ord) AS place, source, id, title, level, coalesce(tag, '') AS tag FROM o WHERE n = 1""")
 def player_aid_keep_first(t):
-    aid = [derived.AidGroup("First", (derived.Pick(tg.Leaf(title="^NATION_4$"), True),)), derived.AidGroup("Second", (derived.Pick(tg.Leaf(levels=(2,))),))]
-    return derived.player_aid(sections(t), aid).select(F.col("place").cast("bigint"), "title", "level")
+    aid = [derived.AidGroup("First", (derived.Pick(tg.Leaf(title="^ASIA$|^NATION_[0-9]$"), True),)), derived.AidGroup("Second", (derived.Pick(tg.Leaf(levels=(2,))),))]
+    return derived.player_aid(sections(t), aid).select("place", "source", "id", "title", "level", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tag"))
 
 
 @query("""WITH d AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS k, list_sort(list(DISTINCT l_shipmode)) AS decks FROM part JOIN (SELECT l_partkey, l_returnflag AS l_shipmode FROM lineitem) ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY 1),
@@ -357,9 +364,7 @@ def map_from_pairs(t):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_brand = 'Brand#22' THEN 0 ELSE 1 END, lower(p_brand), p_brand, p_partkey) AS place FROM part")
 def pinned_collated_sort(t):
-    from pyspark.sql import Window
-
-    return t.part.select("p_partkey", F.row_number().over(Window.orderBy(*ordered.pinned_first(F.col("p_brand"), "Brand#22"), "p_partkey")).cast("bigint").alias("place"))
+    return ordered.placed(t.part.select("p_partkey", "p_brand"), [*ordered.pinned_first(F.col("p_brand"), "Brand#22"), "p_partkey"]).select("p_partkey", "place")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pending FROM events")
@@ -383,18 +388,25 @@ def lookup_last_wins(t):
 
 
 _CASCADE = """
-WITH a AS (SELECT DISTINCT p_type AS name FROM part), i AS (SELECT upper(p_type) AS k, p_partkey FROM part WHERE p_size < 3 UNION ALL SELECT p_type, p_partkey FROM part WHERE p_size = 3 AND p_partkey % 2 = 0),
-l AS (SELECT DISTINCT p_type AS alias, p_brand AS target FROM part WHERE p_partkey % 50 = 0), j AS (SELECT * FROM i UNION ALL SELECT p_brand, p_partkey FROM part WHERE p_size = 7),
-f AS (SELECT name, 1 AS r, p_partkey FROM a JOIN j ON k = name UNION ALL SELECT name, 2, p_partkey FROM a JOIN j ON lower(k) = lower(name) UNION ALL SELECT name, 3, p_partkey FROM a JOIN l ON alias = name JOIN j ON k = target)
-SELECT name, r AS match_rank, p_partkey FROM f WHERE r = (SELECT min(r) FROM f g WHERE g.name = f.name)
+WITH i AS (SELECT CASE WHEN p_size % 2 = 0 THEN upper(p_type || ' ' || p_brand) ELSE p_type || ' ' || p_brand END AS k, p_partkey FROM part),
+a AS (SELECT DISTINCT p_type || ' ' || p_brand AS name, p_type || ' ' || p_brand AS key FROM part UNION SELECT DISTINCT p_name || chr(39) || 's', p_name || 's' FROM part UNION SELECT 'Promos', 'Promos'),
+l AS (SELECT p_name || 's' AS key, lower(min(p_type || ' ' || p_brand)) AS target, 1 AS o FROM part GROUP BY p_name UNION ALL SELECT p_name || 's', upper(max(p_type || ' ' || p_brand)), 2 FROM part GROUP BY p_name),
+d AS (SELECT name, 0 AS o, k = key AS exact, 0 AS via, p_partkey FROM a JOIN i ON lower(k) = lower(key)),
+v AS (SELECT name, l.o, k = target AS exact, 1 AS via, p_partkey FROM a JOIN l USING (key) JOIN i ON lower(k) = lower(target) WHERE name NOT IN (SELECT name FROM d)),
+f AS (SELECT *, bool_or(exact) OVER (PARTITION BY name, o) AS any_exact FROM (SELECT * FROM d UNION ALL SELECT * FROM v))
+SELECT name, CASE WHEN via = 1 THEN 3 WHEN exact THEN 1 ELSE 2 END AS match_rank, o AS alias_ord, p_partkey FROM f WHERE exact = any_exact
+UNION ALL SELECT 'Promos', 4, 0, p_partkey FROM i WHERE starts_with(k, 'PROMO ')
 """
 
 
 @query(_CASCADE)
 def title_cascade(t):
-    index = t.part.filter("p_size < 3").selectExpr("upper(p_type) AS name", "p_partkey").unionByName(t.part.filter("p_size = 3 AND p_partkey % 2 = 0").selectExpr("p_type AS name", "p_partkey")).unionByName(t.part.filter("p_size = 7").selectExpr("p_brand AS name", "p_partkey"))
-    aliases = t.part.filter("p_partkey % 50 = 0").selectExpr("p_type AS alias", "p_brand AS target").distinct().withColumn("ord", F.lit(0))
-    return joins.cascade(t.part.selectExpr("p_type AS name"), index, aliases).select("name", "match_rank", "p_partkey")
+    whole = "concat(p_type, ' ', p_brand)"
+    index = t.part.selectExpr(f"CASE WHEN p_size % 2 = 0 THEN upper({whole}) ELSE {whole} END AS name", "p_partkey")
+    names = t.part.selectExpr(f"{whole} AS name").unionByName(t.part.select(F.concat("p_name", F.lit("'s")).alias("name"))).unionByName(t.spark.createDataFrame([("Promos",)], "name string"))
+    by_name = t.part.select(F.concat("p_name", F.lit("’s")).alias("alias"), F.expr(whole).alias("w")).groupBy("alias").agg(F.min("w").alias("a"), F.max("w").alias("b"))
+    aliases = by_name.selectExpr("alias", "inline(array(struct(lower(a) AS target, 1 AS ord), struct(upper(b) AS target, 2 AS ord)))")
+    return joins.cascade(names, index, aliases, categories={"Promos": "PROMO "}).select("name", "match_rank", "alias_ord", "p_partkey")
 
 
 @query("SELECT coalesce(c_custkey, o_custkey) AS custkey, coalesce(n, 0) AS cards, c_custkey IS NOT NULL AS listed FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -409,16 +421,22 @@ def preferred_key_no_fallback(t):
     return out.selectExpr("l_orderkey", "l_linenumber", "CASE WHEN p_partkey IS NOT NULL THEN p_brand ELSE s_name END AS name")
 
 
-@query("WITH a AS (SELECT p_partkey AS a, p_brand AS n FROM part WHERE p_partkey % 40 = 0), b AS (SELECT p_partkey AS b, upper(p_brand) AS n FROM part WHERE p_partkey % 40 = 1) SELECT a, b FROM a JOIN b ON lower(a.n) = lower(b.n)")
+@query("WITH b AS (SELECT min(p_partkey) AS b, upper(p_brand) AS n FROM part GROUP BY p_brand) SELECT p_partkey AS a, b FROM part JOIN b ON lower(p_brand) = lower(n)")
 def any_key_join(t):
-    a, b = t.part.filter("p_partkey % 40 = 0").selectExpr("p_partkey AS a", "p_brand AS n"), t.part.filter("p_partkey % 40 = 1").selectExpr("p_partkey AS b", "upper(p_brand) AS m")
-    return joins.any_key(a, b, "a", "b", joins.name_keys(F.col("n")), joins.name_keys(F.col("m")))
+    b = t.part.groupBy("p_brand").agg(F.min("p_partkey").alias("b")).selectExpr("b", "upper(p_brand) AS m")
+    return joins.any_key(t.part.selectExpr("p_partkey AS a", "p_brand AS n"), b, "a", "b", joins.name_keys(F.col("n")), joins.name_keys(F.col("m")))
 
 
-@query("""WITH s AS (SELECT p_partkey, regexp_replace(p_type, 's$', '') AS stem FROM part), g(grp, pr) AS (VALUES ('STANDARD', 2), ('SMALL', 1), ('ECONOMY BRASS', 3)) SELECT DISTINCT p_type || ' x' AS name, (SELECT arg_min(grp, pr) FROM g WHERE starts_with(p_type || ' x', grp || ' ')) AS grp FROM part WHERE EXISTS (SELECT 1 FROM g WHERE starts_with(p_type || ' x', grp || ' '))""")
+@query("""WITH w AS (SELECT p_partkey, p_brand, p_size % 3 AS k, split_part(p_name, ' ', 2) AS word FROM part),
+a AS (SELECT DISTINCT word || CASE k WHEN 0 THEN 's' WHEN 1 THEN 'ves' ELSE 'ss' END AS head, word || CASE k WHEN 0 THEN 's' WHEN 1 THEN 'ves' ELSE 'ss' END || ' of ' || p_brand AS name FROM w),
+g AS (SELECT DISTINCT word AS grp, 3 AS pr FROM w UNION SELECT DISTINCT word || 'f', 2 FROM w UNION SELECT DISTINCT word || 's', 1 FROM w),
+f AS (SELECT name, unnest([head, CASE WHEN head LIKE '%ves' THEN left(head, length(head) - 3) || 'f' ELSE left(head, length(head) - 1) END]) AS form FROM a),
+h AS (SELECT grp, pr, unnest(CASE WHEN grp LIKE '%s' THEN [grp, left(grp, length(grp) - 1)] ELSE [grp] END) AS form FROM g)
+SELECT name, arg_min(grp, pr) AS grp FROM f JOIN h USING (form) GROUP BY name""")
 def fuzzy_names(t):
-    groups = t.spark.createDataFrame([("STANDARD", 2), ("SMALL", 1), ("ECONOMY BRASS", 3)], "grp string, pr int")
-    return joins.fuzzy_names(t.part.selectExpr("concat(p_type, ' x') AS name"), groups, "name", "grp", "pr")
+    word = "element_at(split(p_name, ' '), 2)"
+    groups = t.part.selectExpr(f"inline(array(struct({word} AS grp, 3 AS pr), struct(concat({word}, 'f') AS grp, 2 AS pr), struct(concat({word}, 's') AS grp, 1 AS pr)))").distinct()
+    return joins.fuzzy_names(t.part.selectExpr(f"concat({word}, CASE p_size % 3 WHEN 0 THEN 's' WHEN 1 THEN 'ves' ELSE 'ss' END, ' of ', p_brand) AS name"), groups, "name", "grp", "pr")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
@@ -428,9 +446,9 @@ def semi_join_nested(t):
     return joins.with_nested_key(nested, F.col("p"), keys, "k", "c_custkey").join(t.customer.select("c_custkey"), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def anti_join(t):
-    return joins.without(t.customer.select("c_custkey"), t.orders.selectExpr("o_custkey AS c_custkey"), "c_custkey")
+    return joins.without(t.customer.select("c_custkey"), t.orders.filter("o_orderpriority LIKE '1%'").selectExpr("o_custkey AS c_custkey"), "c_custkey")
 
 
 @query("SELECT k, kind FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) JOIN LATERAL (SELECT CASE WHEN k IN (SELECT n_nationkey FROM nation) THEN 'nation' WHEN k IN (SELECT r_regionkey FROM region) THEN 'region' WHEN k IN (SELECT s_suppkey FROM supplier) THEN 'supplier' END AS kind) ON true WHERE kind IS NOT NULL")
@@ -459,14 +477,12 @@ def detail_assembly(t):
     return out.select("n_name", F.array_join(F.transform("s", lambda x: x["s_name"]), ",").alias("suppliers"), F.size("c").cast("bigint").alias("customers"))
 
 
-@query("SELECT b.l_orderkey, a.l_orderkey AS twin FROM (SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS k FROM lineitem WHERE l_orderkey <= 40 GROUP BY 1) b JOIN (SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS k FROM lineitem WHERE l_orderkey BETWEEN 41 AND 60 GROUP BY 1) a USING (k)")
+@query("WITH f AS (SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag, l_linestatus) AS k FROM lineitem GROUP BY 1), l AS (SELECT k, min(l_orderkey) AS twin FROM f GROUP BY 1 HAVING count(*) > 1) SELECT l_orderkey, twin FROM f LEFT JOIN l USING (k)")
 def layout_by_multiset(t):
-    flags = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("items"))
-    layouts = flags.filter("l_orderkey BETWEEN 41 AND 60").select(F.col("l_orderkey").alias("twin"), F.array("items").alias("rows"))
-    key = lambda c: F.array_join(F.array_sort(c), "\0")
-    met = joins.layout_match(flags.filter("l_orderkey <= 40"), layouts.select("rows").distinct()).filter("rows IS NOT NULL")
-    back = layouts.select("twin", key(F.flatten("rows")).alias("k"))
-    return met.select("l_orderkey", key(F.flatten("rows")).alias("k")).distinct().join(back, "k").select("l_orderkey", "twin")
+    flags = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.concat("l_returnflag", "l_linestatus")).alias("items"))
+    layouts = flags.groupBy(F.array_sort("items").alias("row")).agg(F.min("l_orderkey").alias("twin"), F.count("*").alias("n")).filter("n > 1").select("twin", F.array("row").alias("rows"))
+    met = joins.layout_match(flags, layouts.select("rows"))
+    return met.join(layouts, "rows", "left").select("l_orderkey", "twin")
 
 
 # -- Scalars ----------------------------------------------------------------
@@ -483,10 +499,11 @@ def markdown_blocks(t):
     return t.documents.select("doc_id", F.posexplode(tx.blocks(F.replace("text", F.lit(".\n"), F.lit("\n\n")))).alias("block", "text")).select("doc_id", F.col("block").cast("bigint"), "text")
 
 
-@query(f"SELECT p_partkey, 'markdown,image,mediaAside' AS kinds FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'markdown,image,mediaAside' WHEN 1 THEN 'markdown,markdown' ELSE 'mediaAside' END AS kinds, CASE p_size % 3 WHEN 0 THEN '|a1|b2' WHEN 1 THEN '|' ELSE 'a1+b2' END AS images FROM part")
 def content_nodes(t):
-    c = F.concat(F.col("p_name"), F.lit("\n\n![](/images/a1.png)\n\n![](/images/b2.png) "), F.col("p_brand"))
-    return t.part.select("p_partkey", F.array_join(F.transform(tx.content_nodes(c), lambda n: n["kind"]), ",").alias("kinds"))
+    c = F.expr("CASE p_size % 3 WHEN 0 THEN concat(p_name, '\n\n![](/images/a1.png)\n\n![](/images/b2.png) ', p_brand) WHEN 1 THEN concat(p_name, '\n\n', p_brand, ' ![](/images/a1.png)') ELSE concat('![](/images/a1.png)\n![](/images/x/b2.jpg) ', p_name) END")
+    nodes = tx.content_nodes(c)
+    return t.part.select("p_partkey", F.array_join(F.transform(nodes, lambda n: n["kind"]), ",").alias("kinds"), F.array_join(F.transform(nodes, lambda n: F.array_join(n["images"], "+")), "|").alias("images"))
 
 
 @query("SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) > 1 THEN json_extract_string(props, '$.k') || ' things' WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) = 1 THEN '1 thing' END AS label FROM events")
@@ -499,10 +516,11 @@ def case_map(t):
     return t.part.select("p_partkey", tx.case_map(F.col("p_type"), {"brass": "metal", "steel": "metal"}, {"PROMO": "promo"}).alias("kind"))
 
 
-@query("WITH s AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<img[^>]*?\\ssrc=[\"'']([^\"'']+)[\"'']', 1)) AS link FROM pages) SELECT page_id, count(DISTINCT link) AS images FROM s WHERE regexp_matches(link, '(?i)\\.(png|jpe?g|gif|webp|svg)([?#].*)?$') GROUP BY 1")
+@query("""SELECT p_partkey, 'http://h.com/d/i/' || p_size || '.png' AS image FROM part UNION SELECT p_partkey, 'http://h.com/' || p_type || '.jpg?z=1' FROM part WHERE p_size % 2 = 0 UNION SELECT p_partkey, 'http://c.d/q.gif' FROM part""")
 def html_image_links(t):
-    pages = t.pages.select("page_id", "url", F.array_join(F.regexp_extract_all("html", F.lit(r"(?i)(<img[^>]*?\ssrc=[\"'][^\"']+[\"'])"), 1), "\n").alias("html"))
-    return web.image_links(pages, "page_id", "url", "html").groupBy("page_id").agg(F.count("*").alias("images"))
+    html = F.expr("concat('<p><IMG alt=x src=\"./i/', p_size, '.png\"><a href=\"/', p_type, CASE WHEN p_size % 2 = 0 THEN '.jpg?z=1' ELSE '.html' END, '\">t</a><img src=\"i/', p_size, '.png\"><div style=\"background-image:url(//c.d/q.gif)\">')")
+    pages = t.part.select("p_partkey", F.lit("http://h.com/d/e.html").alias("url"), html.alias("html"))
+    return web.image_links(pages, "p_partkey", "url", "html").select("p_partkey", "image")
 
 
 # -- Geometry and trees -----------------------------------------------------
@@ -551,19 +569,22 @@ def tree_extract_entities(t):
     return out.select("key", "copies", F.array_join(F.array_sort(F.transform("locations", lambda x: x["value"])), ",").alias("places"))
 
 
-@query("SELECT conv_id, max(turn) + 1 AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, arg_min(role, turn) AS opens FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, arg_min(role, turn) AS opens, arg_max(role, turn) AS closes FROM conversations GROUP BY 1")
 def turn_path(t):
-    return t.conversations.groupBy("conv_id").agg((F.max("turn") + 1).alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.min_by("role", "turn").alias("opens"))
+    c = t.conversations.select("conv_id", "turn", "role")
+    counts = ag.conditional_counts(c, "conv_id", {"turns": F.lit(True), "answers": F.col("role") == "assistant"})
+    ends = ordered.first_by(c, ["conv_id"], "turn").selectExpr("conv_id", "role AS opens").join(ordered.last_by(c, ["conv_id"], "turn").selectExpr("conv_id", "role AS closes"), "conv_id")
+    return counts.join(ends, "conv_id")
 
 
 # -- Entities and pages -----------------------------------------------------
 
 
-@query("""WITH o AS (SELECT 'c' || c_custkey % 50 AS site, c_name AS monster, c_custkey FROM customer), a AS (SELECT * FROM o WHERE c_custkey % 7 = 0), b AS (SELECT * FROM o WHERE c_custkey % 11 = 0 AND c_custkey % 3 = 1), x AS (SELECT * FROM o WHERE c_custkey % 97 = 0)
-SELECT site, monster FROM x UNION ALL SELECT site, monster FROM a WHERE site NOT IN (SELECT site FROM x) UNION ALL SELECT site, monster FROM b WHERE site NOT IN (SELECT site FROM x) AND site NOT IN (SELECT site FROM a)""")
+@query("""WITH o AS (SELECT c_nationkey || '-' || c_custkey % 50 AS site, c_name AS monster, CASE WHEN c_acctbal > 9000 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS n FROM customer)
+SELECT site, monster FROM (SELECT *, min(n) OVER (PARTITION BY site) AS best FROM o) WHERE n = best""")
 def source_precedence(t):
-    rows = t.customer.selectExpr("concat('c', c_custkey % 50) AS site", "c_name AS monster", "c_custkey AS k")
-    return entities.monsters(rows.filter("k % 7 = 0"), rows.filter("k % 11 = 0 AND k % 3 = 1"), rows.filter("k % 97 = 0"))
+    rows = t.customer.selectExpr("concat(c_nationkey, '-', c_custkey % 50) AS site", "c_name AS monster", "CASE WHEN c_acctbal > 9000 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS n")
+    return entities.monsters(rows.filter("n = 1"), rows.filter("n = 2"), rows.filter("n = 0"))
 
 
 @query("""WITH u AS (SELECT 0 AS n, s_nationkey AS location, 'g' AS "group", s_suppkey AS ord, s_name AS name FROM supplier WHERE s_acctbal > 6000 UNION ALL SELECT 1, c_nationkey, 'g', c_custkey, c_name FROM customer)
@@ -597,8 +618,9 @@ def reward_labels(t):
     return counts.select("l_suppkey", F.array_join(entities.reward_labels(F.col("m")), ",").alias("labels"))
 
 
-@query("SELECT image, line FROM (SELECT a.event_id AS image, b.event_id AS line, row_number() OVER (PARTITION BY a.event_id ORDER BY least(a.event_id + a.value, b.event_id + b.value) - greatest(a.event_id, b.event_id) DESC, b.event_id) AS n FROM events a JOIN events b ON a.event_id % 5 = 0 AND b.event_id % 5 = 1 AND a.event_id // 1000 = b.event_id // 1000 AND least(a.event_id + a.value, b.event_id + b.value) > greatest(a.event_id, b.event_id) WHERE a.value > 1) WHERE n = 1")
+@query("""SELECT image, line FROM (SELECT a.event_id AS image, b.event_id AS line, row_number() OVER (PARTITION BY a.event_id ORDER BY least(a.event_id + a.value, b.event_id + b.value) - greatest(a.event_id, b.event_id) DESC, b.event_id) AS n
+FROM events a JOIN events b ON a.event_type = 'view' AND b.event_type <> 'view' AND a.event_id // 1000 = b.event_id // 1000 AND b.event_id < a.event_id + a.value AND a.event_id < b.event_id + b.value) WHERE n = 1""")
 def best_overlap(t):
-    boxes = t.events.selectExpr("event_id div 1000 AS page", "event_id", "CAST(event_id AS DOUBLE) AS y0", "event_id + value AS y1", "value")
-    images = boxes.filter("event_id % 5 = 0 AND value > 1").withColumnRenamed("event_id", "image")
-    return layout.best_overlap(images.select("page", "image", "y0", "y1"), boxes.filter("event_id % 5 = 1").select("page", F.col("event_id").alias("line"), "y0", "y1")).select("image", "line")
+    boxes = t.events.selectExpr("event_id div 1000 AS page", "event_id", "CAST(event_id AS DOUBLE) AS y0", "event_id + value AS y1", "event_type")
+    images = boxes.filter("event_type = 'view'").withColumnRenamed("event_id", "image")
+    return layout.best_overlap(images.select("page", "image", "y0", "y1"), boxes.filter("event_type <> 'view'").select("page", F.col("event_id").alias("line"), "y0", "y1")).select("image", "line")
