@@ -108,3 +108,9 @@ def pack_rollup(packs: list[tuple[DataFrame, str]], parts: dict[str, tuple[DataF
     for label, (df, pack, name) in parts.items():
         out = out.join(df.groupBy(F.col(pack).alias("pack")).agg(F.array_sort(F.collect_set(name)).alias(label)), "pack", "left")
     return out.select("pack", *(F.coalesce(p, F.array().cast("array<string>")).alias(p) for p in parts))
+
+
+def non_empty_parts(packs: DataFrame, key: str, parts: list[str]) -> DataFrame:
+    """A row (key, part, items) per pack and part that has any, in the order of `parts` (ord)."""
+    rows = F.array(*(F.struct(F.lit(n).alias("ord"), F.lit(p).alias("part"), F.col(p).alias("items")) for n, p in enumerate(parts)))
+    return packs.select(key, F.inline(F.filter(rows, lambda r: F.size(r["items"]) > 0)))

@@ -153,6 +153,18 @@ def references(slugs: DataFrame, table: DataFrame, slug_: str, forms: Column) ->
     return met.join(best, slug_).filter("_n = _best").select(slug_, F.col("_form").alias("entry"), "link", F.startswith("link", F.lit("_")).cast("int").alias("sort_group"))
 
 
+def titled(asked: DataFrame, known: DataFrame, reference: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(reference, title): titles of the entries of `known` (slug, name, title) whose slug is the reference's, or its alias, or whose name is the reference as titles compare; the reference itself where there is none."""
+    own = slug(F.col(reference))
+    if aliases:
+        table = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+        own = F.coalesce(F.element_at(table, own), own)
+    keys = lambda a, b: F.explode(F.array(F.concat(F.lit("s "), a), F.concat(F.lit("n "), title_key(b)))).alias("_k")
+    left = asked.select(reference).distinct().select(reference, keys(own, F.col(reference)))
+    met = left.join(known.select("title", keys(F.col("slug"), F.col("name"))), "_k").select(reference, "title").distinct()
+    return asked.join(met, reference, "left").withColumn("title", F.coalesce("title", reference))
+
+
 def injected(rows: DataFrame, wanted: DataFrame, tokens: DataFrame, key: str, order: str) -> DataFrame:
     """`rows` and, for each wanted key they lack, a row made of the first token with that key."""
     missing = wanted.select(key).distinct().join(rows.select(key), key, "left_anti")

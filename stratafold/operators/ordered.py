@@ -60,6 +60,13 @@ def domain_rank(c: Column, first: str = "Leader") -> Column:
     return F.when(c == first, 0).otherwise(F.coalesce(F.nullif(F.regexp_extract(c, r"(\d+)\s*$", 1), F.lit("")).cast("int"), F.lit(1000)))
 
 
+def by_parameter(df: DataFrame, column: str, value) -> DataFrame:
+    """Rows whose column has the value asked for; where no row has it, those with the least one."""
+    asked = F.max(F.when(F.col(column) == F.lit(value), F.col(column)))
+    wanted = df.agg(F.coalesce(asked, F.min(column)).alias("_wanted"))
+    return df.join(F.broadcast(wanted), F.col(column) == F.col("_wanted")).drop("_wanted")  # one row
+
+
 def in_domain(c: Column, domain: list[str]) -> Column:
     """An array's values in the order of a fixed domain."""
     return F.filter(F.array(*map(F.lit, domain)), lambda d: F.array_contains(c, d))

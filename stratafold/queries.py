@@ -624,3 +624,6 @@ def best_overlap(t):
     boxes = t.events.selectExpr("event_id div 1000 AS page", "event_id", "CAST(event_id AS DOUBLE) AS y0", "event_id + value AS y1", "event_type")
     images = boxes.filter("event_type = 'view'").withColumnRenamed("event_id", "image")
     return layout.best_overlap(images.select("page", "image", "y0", "y1"), boxes.filter("event_type <> 'view'").select("page", F.col("event_id").alias("line"), "y0", "y1")).select("image", "line")
+
+
+from stratafold import queries_more  # noqa: E402, F401  registers its queries too

@@ -17,6 +17,15 @@ def sorted_index(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rest)))).alias("rows")).orderBy(F.collate(F.col(key), "UNICODE"))
 
 
+def write_index(df: DataFrame, key: str, path: str) -> None:
+    """One JSON file that maps each key to its rows, keys sorted by collation. An index is a document; its file is written by one task."""
+    rest = [c for c in df.columns if c != key]
+    entry = F.to_json(F.create_map(F.col(key), F.array_sort(F.collect_list(F.struct(*rest)))))
+    lines = df.groupBy(key).agg(F.substr(entry, F.lit(2), F.length(entry) - 2).alias("line"))
+    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.collate(F.col(key), "UNICODE").alias("k"), "line"))), lambda r: r["line"]), ",\n").alias("lines"))
+    whole.select(F.concat(F.lit("{"), "lines", F.lit("}")).alias("value")).coalesce(1).write.text(path)
+
+
 def content_addressed(df: DataFrame, data: str, page: str, coverage: str) -> DataFrame:
     """Each content once by its SHA-1, with the pages it is on and the most of a page it covers."""
     return df.groupBy(F.sha1(data).alias("hash")).agg(F.count("*").alias("seen"), F.count_distinct(page).alias("pages"), F.max(coverage).alias("coverage"), F.min(page).alias("first_page"))
