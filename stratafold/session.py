@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,18 +50,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
     """`df` written once as a table in the shared folder and read back: it is not computed again and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stratafold_path = path
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a `saved` table whose readers have been written."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df._stratafold_path)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._stratafold_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables `saved` inside go at the end; the function given saves one that stays."""
+    outer = shared_dir(spark)
+    inner = spark.sparkContext._stratafold_dir = f"{outer}/{uuid.uuid4().hex}"
+    try:
+        yield lambda df: saved(df, outer)
+    finally:
+        spark.sparkContext._stratafold_dir = outer
+        _delete(spark, inner)

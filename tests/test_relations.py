@@ -285,6 +285,39 @@ def test_number_literals(spark):
     assert {r.path: r.text for r in sinks.kept_literals(new, [base]).collect()} == {"posX": "1.50", "n.0": "1", "n.1": "5", "posY": "2.0", "f": "0.1", "d": "0.1", "big": "12345679000"}
 
 
+def test_tables_of_a_scratch_go_but_the_kept_one(spark):
+    from stratafold import session
+
+    with session.scratch(spark) as keep:
+        inner = session.saved(spark.range(3))
+        kept = keep(inner.filter("id > 0"))
+    assert kept.count() == 2 and session.saved(spark.range(1)).count() == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(inner._stratafold_path)
+    session.dropped(kept)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept._stratafold_path)
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from stratafold import session
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(far)
+
+
+def test_references_by_slug_or_name(spark):
+    known = spark.createDataFrame([("red-mage", "Red Mage", "Mage of Red"), ("red-mage", "Red Mage", "Second"), ("x", "Wizard’s Aid", "Aid")], "slug string, name string, title string")
+    asked = spark.createDataFrame([("Red mage!",), ("Wizards Aid",), ("Old Name",), ("Nobody",)], "reference string")
+    got = sorted((r.reference, r.title) for r in joins.titled(asked, known, "reference", {"old-name": "red-mage"}).collect())
+    assert got == [("Nobody", "Nobody"), ("Old Name", "Mage of Red"), ("Old Name", "Second"), ("Red mage!", "Mage of Red"), ("Red mage!", "Second"), ("Wizards Aid", "Aid")]
+    one = ordered.by_parameter(asked, "reference", "Old Name").collect(), ordered.by_parameter(asked, "reference", "?").collect()
+    assert [[r.reference for r in x] for x in one] == [["Old Name"], ["Nobody"]]
+
+
 def test_streamed_rules(spark, sections, tmp_path):
     from stratafold.streaming import sections as stream
 
