@@ -45,6 +45,8 @@ SHARDS = 64
 SEED = 20
 MAX_BLOCKS = 1 << 16
 LEAST_BLOCK = 4096
+#: Words of a shard's part that one task shuffles, about.
+TASK_WORDS = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash bins of a source: the first hexadecimal digits of a document's place.
 BIN_DIGITS = 3
@@ -124,7 +126,7 @@ def hypergeometric_sql(population: str, marked: str, drawn: str, uniform: str) -
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(shard, quota array) of one row `quotas` (an array, by source): the leaves of the splitting tree."""
     nodes = quotas.selectExpr("0 AS first", f"{shards} AS till", "quotas")
-    uniform = f"(pmod(xxhash64({seed}, first, till, size(s.xs)), 9007199254740992) / 9007199254740992D)"
+    uniform = f"(CAST(conv(left(md5(concat_ws(':', {seed}, first, till, size(s.xs))), 13), 16, 10) AS DOUBLE) / {1 << 52}D)"
     draw = _let("x", hypergeometric_sql("s.p", "q", "s.n", uniform), "struct(s.p - q AS p, s.n - x AS n, array_append(s.xs, x) AS xs)")
     total = "aggregate(quotas, 0L, (s, q) -> s + q)"
     left_of = f"aggregate(quotas, struct({total} AS p, CAST(round({total} * CAST(half AS DOUBLE) / (till - first)) AS BIGINT) AS n, CAST(array() AS ARRAY<BIGINT>) AS xs), (s, q) -> {draw}, s -> s.xs)"
@@ -145,22 +147,22 @@ def _plan(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
     dealt = leaves.selectExpr("at + 1 AS source_no", "shard", "quota", "sum(quota) OVER (PARTITION BY at ORDER BY shard) - quota AS before").filter("quota > 0")
     dealt = dealt.selectExpr("source_no", "shard", "explode(sequence(before, before + quota - 1)) AS turn")
     blocks = counted.filter("blocks > 0").selectExpr("source_no", "explode(sequence(0L, blocks - 1)) AS block")
-    turns = blocks.selectExpr("source_no", "block", f"CAST(row_number() OVER (PARTITION BY source_no ORDER BY xxhash64({seed}, source_no, block), block) - 1 AS BIGINT) AS turn")
+    turns = blocks.selectExpr("source_no", "block", f"CAST(row_number() OVER (PARTITION BY source_no ORDER BY md5(concat_ws(':', {seed}, source_no, block)), block) - 1 AS BIGINT) AS turn")
     return turns.join(dealt, ["source_no", "turn"]).select("source_no", "block", "shard")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document and epoch that takes words of it (epoch 0 always): doc_id, row_key, source_no, pos, size, source_size, target, epoch, taken, shard, shuffle_key.
+def dealt(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """What each dealt block has of each document and epoch: doc_id, row_key, source_no, pos, size, source_size, target, epoch, block, words, shard; a row without block and shard for documents that no block reaches.
 
-    (source_no, pos) names a row of `docs`; shard is null where nothing is taken.
+    (source_no, pos) names a row of `docs`. Words are taken only where a shard got their block.
     """
     sizes = saved(sized(docs))
     sources = saved(targets(sizes, weights, max_epochs))
     number, total = sources.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
+    if not number:
+        return sizes.selectExpr("doc_id", "row_key", "0 AS source_no", "0L AS pos", "size", "0L AS source_size", "0D AS target", "0 AS epoch", "0L AS block", "0L AS words", "0 AS shard")
     block = max(LEAST_BLOCK, -(-total // MAX_BLOCKS))
-    named = sizes.join(checked_broadcast(sources.withColumnRenamed("source", "name"), number), F.expr("source <=> name")) if number else None
-    if named is None:
-        return sizes.selectExpr("doc_id", "row_key", "0 AS source_no", "0L AS pos", "size", "0L AS source_size", "0D AS target", "0 AS epoch", "0L AS taken", "0 AS shard", "0L AS shuffle_key")
+    named = sizes.join(checked_broadcast(sources.withColumnRenamed("source", "name"), number), F.expr("source <=> name"))
     binned = named.withColumn("bin", F.substring("place", 1, BIN_DIGITS)).drop("source", "name")
     inside = "OVER (PARTITION BY source_no, bin ORDER BY place, doc_id, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     placed = binned.selectExpr("*", f"sum(size) {inside} - size AS words_in", f"count(*) {inside} - 1 AS rows_in")
@@ -168,30 +170,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     over = "OVER (PARTITION BY source_no ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     bins = bins.selectExpr("source_no", "bin", f"sum(words) {over} - words AS words_before", f"sum(rows) {over} - rows AS rows_before")
     started = placed.join(bins, ["source_no", "bin"]).selectExpr("*", "words_before + words_in AS start", "rows_before + rows_in AS pos")
-    taken = f"greatest(0L, least(size, quota - (e * source_size + start)))"
-    pieces = started.selectExpr(
-        "doc_id", "row_key", "source_no", "pos", "size", "source_size", "target",
-        f"inline(filter(transform(sequence(0, {max_epochs - 1}), e -> struct(e AS epoch, {taken} AS taken, (e * source_size + start) div {block} AS block)), p -> p.taken > 0 OR p.epoch = 0))",
-    )
-    plan = _plan(sources, block, shards, seed)
-    dealt = pieces.join(plan, ["source_no", "block"], "left")
-    return dealt.selectExpr(
-        "doc_id", "row_key", "source_no", "pos", "size", "source_size", "target", "epoch", "taken",
-        "CASE WHEN taken > 0 THEN shard END AS shard", f"xxhash64({seed}, source_no, pos, epoch) AS shuffle_key",
-    )
+    till = "least(e * source_size + start + size, quota)"
+    cuts = f"transform(sequence((e * source_size + start) div {block}, ({till} - 1) div {block}), b -> struct(e AS epoch, b AS block, least({till}, (b + 1) * {block}) - greatest(e * source_size + start, b * {block}) AS words))"
+    pieces = f"flatten(transform(filter(sequence(0, {max_epochs - 1}), e -> size > 0 AND e * source_size + start < quota), e -> {cuts}))"
+    pieces = started.selectExpr("doc_id", "row_key", "source_no", "pos", "size", "source_size", "target", f"inline_outer({pieces})")
+    plan = saved(_plan(sources, block, shards, seed))
+    return pieces.join(checked_broadcast(plan), ["source_no", "block"], "left").selectExpr("doc_id", "row_key", "source_no", "pos", "size", "source_size", "target", "epoch", "block", "words", "shard")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document and epoch that takes words of it: doc_id, row_key, source_no, pos, size, epoch, taken, shard (of its first block) and shuffle_key."""
+    some = dealt(docs, **options).filter("shard IS NOT NULL").groupBy("source_no", "pos", "epoch", "doc_id", "row_key", "size")
+    out = some.agg(F.sum("words").alias("taken"), F.min_by("shard", "block").alias("shard"))
+    return out.withColumn("shuffle_key", F.xxhash64(F.lit(options.get("seed", SEED)), "source_no", "pos", "epoch"))
 
 
 def takes(docs: DataFrame, **options) -> DataFrame:
-    """What the mix takes of each row of `docs`: doc_id, size, source_size, target, taken, copies begun and the shards they lie in."""
-    rows = mix(docs, **options).groupBy("source_no", "pos", "doc_id", "size", "source_size", "target")
-    out = rows.agg(F.sum("taken").alias("taken"), F.count("shard").alias("copies"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """What the mix takes of each row of `docs`: doc_id, size, source_size, target, taken, copies begun, and the shards that have words of it, in order."""
+    rows = dealt(docs, **options).groupBy("source_no", "pos", "doc_id", "size", "source_size", "target")
+    has = F.col("shard").isNotNull()
+    out = rows.agg(
+        F.coalesce(F.sum(F.when(has, F.col("words"))), F.lit(0)).alias("taken"),
+        F.size(F.collect_set(F.when(has, F.col("epoch")))).cast("bigint").alias("copies"),
+        F.array_join(F.transform(F.array_sort(F.collect_set("shard")), lambda s: s.cast("string")), ",").alias("shards"),
+    )
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
     """The rows of `docs` as often as the mix takes them whole (at least half of it at the cut), by shard and shuffled in it."""
-    taken = mix(docs, **options).filter("taken > 0 AND 2 * taken >= size")
-    pieces = saved(taken.selectExpr("row_key AS _mix_key", "source_no", "pos", "epoch", "shard AS _mix_shard", "shuffle_key AS _mix_order"))
+    taken = mix(docs, shards=shards, **options).filter("2 * taken >= size")
+    pieces = saved(taken.selectExpr("row_key AS _mix_key", "source_no", "pos", "epoch", "taken", "shard AS _mix_shard", "shuffle_key AS _mix_order"))
+    parts = max(1, -(-(pieces.agg(F.sum("taken")).first()[0] or 0) // (shards * TASK_WORDS)))
     keyed = docs.withColumn("_mix_row", F.xxhash64(docs["doc_id"], docs["text"]))
     repeated = saved(pieces.filter("epoch = 0").groupBy("_mix_key").agg(F.count("*").alias("_mix_rows")).filter("_mix_rows > 1"))
     again = repeated.count()
@@ -204,14 +214,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         keyed = keyed.join(side, met, "left_anti").withColumn("_mix_nth", F.lit(1)).unionByName(alike)
     else:
         keyed, pieces = keyed.withColumn("_mix_nth", F.lit(1)), pieces.withColumn("_mix_turn", F.lit(1))
-    pieces = pieces.drop("source_no", "pos", "epoch")
+    pieces = pieces.drop("source_no", "pos", "epoch", "taken")
     found = keyed.join(checked_broadcast(pieces), F.expr("_mix_row = _mix_key AND _mix_nth = _mix_turn"))
-    shuffled = found.repartition(F.col("_mix_shard"), F.expr("pmod(_mix_order, 8)")).sortWithinPartitions("_mix_shard", "_mix_order")
+    shuffled = found.repartition(shards * parts, F.col("_mix_shard"), F.expr(f"pmod(_mix_order, {parts})")).sortWithinPartitions("_mix_shard", "_mix_order")
     return shuffled.select(*docs.columns)
 
 
 ORACLE = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents
 ), ranked AS (
@@ -226,14 +236,56 @@ WITH sized AS (
 ), settled AS (
   SELECT *, max(CASE WHEN level <= full_at THEN level END) OVER () AS water FROM levels
 ), targets AS (
-  SELECT source, source_size, least(most, coalesce(water, 0) * weight) AS exact FROM settled
-), placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.exact, CAST(round(t.exact) AS BIGINT) AS quota,
+  SELECT no, source, source_size, least(most, coalesce(water, 0) * weight) AS exact FROM settled
+), numbered AS (
+  SELECT no, source, source_size, exact, CAST(round(exact) AS BIGINT) AS quota FROM targets
+), plan AS (
+  SELECT *, greatest(4096, CAST(ceil(sum(quota) OVER () / 65536.0) AS BIGINT)) AS block FROM numbered
+), blocks AS (
+  SELECT no, block, CAST(ceil(quota / block) AS BIGINT) AS n FROM plan
+), start_ AS (
+  SELECT list(n ORDER BY no) AS quotas FROM blocks
+), tree AS (
+  -- a node's shards first..till, its quotas by source, and how far its left part has been drawn: the next source, what is left to draw from, to draw, and what was drawn
+  SELECT 0 AS first, 64 AS till, quotas, 1 AS s, list_sum(quotas) AS p, round(list_sum(quotas) * 32 / 64.0) AS n, CAST([] AS BIGINT[]) AS xs FROM start_
+  UNION ALL
+  SELECT r.first, r.till, r.quotas, r.s, r.p, r.n, r.xs FROM (
+    SELECT unnest(CASE WHEN s <= len(quotas) THEN [{'first': first, 'till': till, 'quotas': quotas, 's': s + 1, 'p': p - quotas[s], 'n': n - x, 'xs': list_append(xs, x)}]
+      ELSE [{'first': first, 'till': first + half, 'quotas': xs, 's': 1, 'p': list_sum(xs), 'n': round(list_sum(xs) * (half // 2) / CAST(half AS DOUBLE)), 'xs': CAST([] AS BIGINT[])},
+            {'first': first + half, 'till': till, 'quotas': [a[1] - a[2] for a in list_zip(quotas, xs)], 's': 1, 'p': list_sum(quotas) - list_sum(xs), 'n': round((list_sum(quotas) - list_sum(xs)) * (half // 2) / CAST(half AS DOUBLE)), 'xs': CAST([] AS BIGINT[])}] END) AS r
+    FROM (
+      -- inversion of the hypergeometric law: the mode, then upwards, then downwards
+      SELECT *, walk[1 + len([i for i in range(1, len(walk)) if list_sum(w[1:i]) <= u * list_sum(w)])] AS x FROM (
+        SELECT *, [exp(lgamma(k + 1) - lgamma(y + 1) - lgamma(k - y + 1) + lgamma(p - k + 1) - lgamma(n - y + 1) - lgamma(p - k - n + y + 1)
+          - (lgamma(k + 1) - lgamma(m + 1) - lgamma(k - m + 1) + lgamma(p - k + 1) - lgamma(n - m + 1) - lgamma(p - k - n + m + 1))) for y in walk] AS w FROM (
+          SELECT *, list_concat([m], range(m + 1, CAST(least(k, n) AS BIGINT) + 1), list_reverse(range(CAST(greatest(0, n - (p - k)) AS BIGINT), m))) AS walk FROM (
+            SELECT *, CAST(floor((n + 1) * (k + 1) / (p + 2.0)) AS BIGINT) AS m, CAST('0x' || substr(md5(concat_ws(':', 20, first, till, s - 1)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM (
+              SELECT *, (till - first) // 2 AS half, coalesce(quotas[s], 0) AS k FROM tree WHERE till - first > 1))))
+      )
+    )
+), leaves AS (
+  SELECT first AS shard, unnest(range(1, len(quotas) + 1)) AS no, unnest(quotas) AS quota FROM tree WHERE till - first = 1
+), shares AS (
+  SELECT shard, no, quota, sum(quota) OVER (PARTITION BY no ORDER BY shard) - quota AS before FROM leaves
+), turns AS (
+  SELECT no, b, row_number() OVER (PARTITION BY no ORDER BY md5(concat_ws(':', 20, no, b)), b) - 1 AS turn FROM (SELECT no, unnest(range(n)) AS b FROM blocks)
+), dealt AS (
+  SELECT t.no, t.b, s.shard FROM turns t JOIN shares s ON s.no = t.no AND t.turn >= s.before AND t.turn < s.before + s.quota
+),
+placed AS (
+  SELECT s.doc_id, s.size, t.no, t.source_size, t.exact, t.quota, t.block,
     CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sized s JOIN plan t ON s.source IS NOT DISTINCT FROM t.source
+), epochs AS (
+  SELECT *, e * source_size + start AS first, least(e * source_size + start + size, quota) AS till FROM placed, (VALUES (0), (1), (2)) v(e) WHERE size > 0 AND e * source_size + start < quota
+), pieces AS (
+  SELECT *, unnest(range(first // block, (till - 1) // block + 1)) AS b FROM epochs
+), words AS (
+  SELECT p.doc_id, p.no, p.start, p.e, least(p.till, (p.b + 1) * p.block) - greatest(p.first, p.b * p.block) AS words, d.shard
+  FROM pieces p JOIN dealt d ON d.no = p.no AND d.b = p.b
+), summed AS (
+  SELECT doc_id, no, start, CAST(sum(words) AS BIGINT) AS taken, count(DISTINCT e) AS copies, array_to_string(list_sort(list(DISTINCT shard)), ',') AS shards FROM words GROUP BY ALL
 )
-SELECT doc_id, size, source_size, round(exact, 6) AS target,
-  CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) + greatest(0, least(size, quota - 2 * source_size - start)) AS BIGINT) AS taken,
-  CAST((size > 0 AND quota > start)::INT + (size > 0 AND quota - source_size > start)::INT + (size > 0 AND quota - 2 * source_size > start)::INT AS BIGINT) AS copies
-FROM placed
+SELECT p.doc_id, p.size, p.source_size, round(p.exact, 6) AS target, coalesce(w.taken, 0) AS taken, coalesce(w.copies, 0) AS copies, coalesce(w.shards, '') AS shards
+FROM placed p LEFT JOIN summed w ON w.doc_id = p.doc_id AND w.no = p.no AND w.start = p.start AND p.size > 0
 """

@@ -65,10 +65,30 @@ def test_hypergeometric_edges(spark):
 
 
 def test_shards_hold_disjoint_blocks_of_exact_quota(spark):
+    docs = spark.createDataFrame([(i, "w " * (700 if i else 30_000), "en", f"s{i % 3}", 0) for i in range(300)], DOCS)
+    sources = mixing.targets(mixing.sized(docs)).toPandas().sort_values("source_no")
+    pieces = mixing.dealt(docs, shards=4).filter("shard IS NOT NULL").toPandas()
+    assert (pieces.words > 0).all() and (pieces.groupby(["source_no", "block"]).words.sum() <= mixing.LEAST_BLOCK).all()
+    by_block = pieces.groupby(["source_no", "block"]).shard.nunique()
+    assert (by_block == 1).all() and by_block.groupby("source_no").size().tolist() == (-(-sources.quota // mixing.LEAST_BLOCK)).tolist()
+    assert pieces.groupby("source_no").words.sum().tolist() == sources.quota.tolist()
+    vector = spark.createDataFrame([((-(-sources.quota // mixing.LEAST_BLOCK)).tolist(),)], "quotas array<long>")
+    leaves = {r.shard: r.quotas for r in mixing.split_quotas(vector, 4).collect()}
+    for shard, quotas in leaves.items():
+        own = pieces[pieces["shard"] == shard].drop_duplicates(["source_no", "block"]).groupby("source_no").size()
+        assert [int(own.get(n, 0)) for n in sources.source_no] == quotas
+    assert not mixing.mix(docs, shards=4).toPandas().duplicated(["source_no", "pos", "epoch"]).any()
+
+
+def test_the_query_follows_the_tree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * 700, "en", f"s{i % 3}", 0) for i in range(300)], DOCS)
-    pieces = mixing.mix(docs, shards=4).filter("taken > 0").toPandas()
-    assert pieces.shard.notna().all() and set(pieces.shard) == {0, 1, 2, 3}
-    assert not pieces.duplicated(["source_no", "pos", "epoch"]).any()
+    own = mixing.takes(docs).toPandas().set_index("doc_id").sort_index()
+    assert len(set(own.shards)) > 10 and own.taken.sum() == 300 * 700
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: quotas.selectExpr("0 AS shard", "quotas"))
+    one = mixing.takes(docs).toPandas().set_index("doc_id").sort_index()
+    assert set(one.shards) == {"0", ""} and (one.taken == own.taken).all()
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: quotas.selectExpr("0 AS shard", "transform(quotas, q -> q - 1) AS quotas"))
+    assert mixing.takes(docs).toPandas().taken.sum() < own.taken.sum()
 
 
 def test_mixed_documents_repeat_whole_rows(spark):
