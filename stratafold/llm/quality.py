@@ -13,8 +13,8 @@ corpus). The log-weight is the sum over n-grams; `sharpness` multiplies it
 before the noise is added.
 
 k: a logistic regression on CALIBRATION_ROWS labelled documents at most (chosen
-by hash) maps the mean log ratio of a document's n-grams to the chance that it
-is good; k is the number of documents for which that chance is at least
+by hash; rows of one doc_id count as one, by their average) maps the mean log
+ratio of a document's n-grams to the chance that it is good; k is the number of documents for which that chance is at least
 `least_chance`. Where no document is labelled bad, or none good, all stay.
 
 The k-th largest key is found exactly, by counting keys in 4096 bins and
@@ -169,7 +169,7 @@ def weigh(docs: DataFrame, labels: DataFrame, seed: int = SEED, sharpness: float
     weights = saved(text.mapInArrow(run, "doc_id long, row_key long, n_grams long, log_weight double"))
     mean = F.col("log_weight") / F.greatest("n_grams", F.lit(1))
     sample = good.orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS)
-    fit = weights.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).filter("n_grams > 0").select(mean.alias("mean"), "_good").orderBy("doc_id", "row_key").limit(2 * CALIBRATION_ROWS).toPandas()
+    fit = weights.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).filter("n_grams > 0").groupBy("doc_id").agg(F.avg(mean).alias("mean"), F.max("_good").alias("_good")).orderBy("doc_id").toPandas()  # at most CALIBRATION_ROWS
     both = fit["_good"].nunique() == 2
     slope, shift = _chance(fit["mean"].to_numpy(), fit["_good"].to_numpy(float)) if both else (0.0, 50.0)
     chance = F.lit(1.0) / (1.0 + F.exp(-(mean * slope + shift)))

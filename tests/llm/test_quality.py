@@ -56,6 +56,15 @@ def test_odd_rows(spark):
     assert quality.weigh(docs, labels.limit(0)).filter("selected").count() == len(rows)
 
 
+def test_a_document_of_many_rows_counts_once_in_the_calibration(spark):
+    """Its rows are averaged, whatever their number, and no document is left out for it."""
+    rows = [(i, ("good words stand here " if i % 2 else "$$$ %%% !! ") * 5 + str(i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    frame = lambda some: spark.createDataFrame([(i, t, None, "s", 0) for i, t in some], DOCS)
+    got = quality.weigh(frame(rows + [rows[0]] * 500), labels).groupBy("doc_id").agg(F.max("selected").alias("s")).collect()
+    assert {r.doc_id for r in got if r.s} == set(range(1, 40, 2))
+
+
 def test_marks_after_the_eighth_tell_words_apart():
     one, other = (quality._describe("a" + "-" * 8 + mark) for mark in "!?")
     assert one != other and one[0] == other[0] == "a"
