@@ -15,7 +15,8 @@ see all training rows. Everything learned has a fixed size (LEXICON_SIZE terms,
 TREES trees), so it travels with the task, whatever the corpus.
 
 Only the text is an input. Defined cases: null text is the empty text and is
-scored like any other; repeated rows get equal scores; rows of one document whose
+scored like any other; repeated rows get equal scores; of a document with several
+texts one is learned from; equal margins get one level of the calibration; rows of one document whose
 labels disagree count as toxic; where training labels hold one class only, that
 class's share is every score; an empty table gives no rows; other columns are
 ignored.
@@ -174,10 +175,11 @@ class Trees:
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares non-decreasing map from margin to label (pool adjacent violators)."""
-    order = np.argsort(margin, kind="stable")
+    levels, at = np.unique(margin, return_inverse=True)
+    weight = np.bincount(at, minlength=len(levels)).astype(float)
     blocks: list[list[float]] = []  # mean, weight, least and greatest margin
-    for m, v in zip(margin[order], y[order]):
-        blocks.append([float(v), 1.0, m, m])
+    for m, v, w in zip(levels, np.bincount(at, y, len(levels)) / weight, weight):
+        blocks.append([float(v), float(w), m, m])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v2, w2, _, high = blocks.pop()
             v1, w1, low, _ = blocks.pop()
@@ -240,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lexicon_si
     sample = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id").limit(rows))  # at most TRAIN_ROWS narrow rows
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     joined = text.join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
-    known = saved(joined)
+    known = saved(joined.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"), F.max("fold").alias("fold")))  # at most TRAIN_ROWS
     lexicons = _lexicons(known, lexicon_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,33 @@ def test_isotonic_is_the_pooled_mean():
     assert np.interp([1, 2, 3, 4], x, y).tolist() == [0, 0.5, 0.5, 1]
 
 
+def test_equal_margins_have_one_level():
+    """Whatever the order of the rows, and as the pooled means of all levels say."""
+    x, y = tox.isotonic(np.zeros(4), np.array([0.0, 0, 0, 1]))
+    assert np.interp(0, x, y) == 0.25
+    rng = np.random.default_rng(1)
+    margin, label = rng.integers(0, 6, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+    means = [np.interp(np.arange(6.0), *tox.isotonic(margin[o], label[o])) for o in (np.arange(60), rng.permutation(60))]
+    assert np.allclose(*means)
+    best = [max(min(label[(margin >= a) & (margin <= b)].mean() for b in range(m, 6)) for a in range(m + 1)) for m in range(6)]
+    assert np.allclose(means[0], best)
+
+
+def test_a_document_of_many_rows_is_learned_from_once(spark):
+    rows = [(i % 2, f"you idiot number {i}" if i % 2 else f"a kind word {i}") for i in range(400)] + [(i, "you idiot" if i % 3 == 0 else "good day") for i in range(2, 60)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i == 1 or (i > 1 and i % 3 == 0))) for i in range(60)], LABELS)
+    seen = []
+    own = tox._lexicons
+    try:
+        tox._lexicons = lambda train, size: seen.append(train.count()) or own(train, size)
+        model = tox.train(docs, labels)
+    finally:
+        tox._lexicons = own
+    usable = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    assert seen == [usable] and 0 < model.share < 1
+
+
 def test_features_of_small_texts():
     lexicon = {"idiot": 5.0, "nasty-": 2.5}
     x = tox.features(pa.array(["You idiot!", "", "1d1ot NASTYish word far far far far far you", "plain"]), lexicon)
