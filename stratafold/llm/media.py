@@ -32,7 +32,7 @@ from stratafold.llm import jpeg
 from stratafold.llm.arrowtext import bound_batches, slices, text_column
 
 FRAME_BYTES = 1 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 UNIT = 384
 
 
@@ -84,13 +84,17 @@ def parse_all(media: bytes) -> list[jpeg.Image]:
 
 
 def feature_of(tensors: list[np.ndarray]) -> str:
-    """Size, mean colour in thousandths, and a 4 x 4 thumbnail of brightness of the first tensor, and the number of tensors."""
+    """Number of tensors, size of the first, mean colour in thousandths, and a 4 x 4 thumbnail of brightness, both over all tensors."""
     first = tensors[0]
     sums = sum(t.sum(axis=(0, 1), dtype=np.int64) for t in tensors)
     cells = sum(t.shape[0] * t.shape[1] for t in tensors)
-    grey = first.sum(axis=2, dtype=np.int64)
-    rows, cols = (np.arange(4) * n // 4 for n in grey.shape)
-    thumb = np.add.reduceat(np.add.reduceat(grey, rows, axis=0), cols, axis=1) // (3 * (grey.size // 16))
+    bright, area = np.zeros((4, 4), np.int64), np.zeros((4, 4), np.int64)
+    for t in tensors:
+        grey = t.sum(axis=2, dtype=np.int64)
+        rows, cols = (np.arange(4) * n // 4 for n in grey.shape)
+        bright += np.add.reduceat(np.add.reduceat(grey, rows, axis=0), cols, axis=1)
+        area += np.outer(*(np.diff(edge, append=n) for edge, n in zip((rows, cols), grey.shape)))
+    thumb = bright // (3 * area)
     return f"{len(tensors)}x{first.shape[1]}x{first.shape[0]};{','.join(str(int(s) * 1000 // cells) for s in sums)};{''.join(f'{min(255, int(v)):02x}' for v in thumb.ravel())}"
 
 

@@ -216,6 +216,13 @@ def test_a_long_payload_is_a_run_of_files(monkeypatch):
     assert b"".join(media.payload_of(i, coefficients) for i in images) == text + bytes(-len(text) % 64)
 
 
+def test_a_feature_looks_at_all_files():
+    dark, light = np.zeros((16, 16, 3), np.uint8), np.full((16, 32, 3), 90, np.uint8)
+    assert media.feature_of([dark]).endswith("00" * 16) and media.feature_of([light]).endswith("5a" * 16)
+    both = media.feature_of([dark, light])
+    assert both.startswith("2x16x16;60000,60000,60000;") and both.endswith("3c" * 16)
+
+
 def test_digests(spark):
     rows = [(0, None), (1, ""), (2, "a" * 64), (3, "é" * 33), (4, "long text, " * 20_000), (4, "long text, " * 20_000), (None, "no id"), (5, "".join(map(chr, range(1, 3000))))]
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).withColumn("media", F.lit("clash"))
