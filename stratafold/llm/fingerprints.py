@@ -42,6 +42,8 @@ BLOCKS = 6
 QUERY_EVERY = 50
 #: Bins of doc_ids: ranges between quantiles, and rows of a bin where ids are even.
 QUANTILES, ROWS_PER_BIN = 64, 512
+#: Bits of a text's hash that part rows of one doc_id.
+HASH_BITS = 12
 _LANES = 0x0000000100000001
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -99,31 +101,42 @@ def within_radius(probes: DataFrame, stored: DataFrame, radius: int = RADIUS, bl
 def _binned(docs: DataFrame) -> DataFrame:
     """Rows (bin, tail, doc_id, text): every row in its bin of doc_ids, and the first of each bin once more (tail = 1) in the bin before, cyclically.
 
-    Bins are ranges between approximate quantiles of doc_id, each cut evenly.
+    Bins are ranges between approximate quantiles of doc_id, each cut evenly. Rows
+    without doc_id, and those of a doc_id that many have, are binned by their text's
+    hash, in whose order they follow.
     """
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     shares = [i / QUANTILES for i in range(QUANTILES + 1)]
     count, bounds = own.agg(F.count("*"), F.percentile_approx("doc_id", shares, 10_000)).first()
+    often = sorted({a for a, b in zip(bounds or [], (bounds or [])[1:]) if a == b})
     bounds = sorted(set(bounds or [0]))
     cuts = max(1, int(min(count / ROWS_PER_BIN, 64 * count**0.5) / len(bounds)))
     widths = [max(1, -(-(b - a) // cuts)) for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1])]
     known = f"array({', '.join(f'{b}L' for b in bounds)})"
     wide = f"array({', '.join(f'{w}L' for w in widths)})"
     number = F.expr(
-        f"transform(array(greatest(1, size(filter({known}, b -> b <= doc_id)))), q -> q * {cuts + 1}L + "
-        f"CASE WHEN doc_id < {bounds[0]}L THEN 0L ELSE least({cuts}L, (doc_id - element_at({known}, q)) div element_at({wide}, q)) END)[0]"
+        f"transform(array(size(filter({known}, b -> b <= doc_id))), q -> "
+        f"CASE WHEN q = 0 THEN 0L ELSE q * {cuts + 1}L + least({cuts}L, (doc_id - element_at({known}, q)) div element_at({wide}, q)) END)[0]"
     )
-    number = F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(-1).cast("long"))
-    firsts = own.select("doc_id", number.alias("bin")).groupBy("bin").agg(F.min("doc_id").alias("first"))
-    firsts = saved(firsts.selectExpr("first", "coalesce(lag(bin) OVER (ORDER BY bin), max(bin) OVER ()) AS bin_before"))  # one row per bin
-    met = own.join(checked_broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first")), "left")
-    places = F.expr("CASE WHEN bin_before IS NULL THEN array(struct(bin, 0 AS tail)) ELSE array(struct(bin, 0 AS tail), struct(bin_before AS bin, 1 AS tail)) END")
-    return met.withColumn("bin", number).select("doc_id", "text", F.inline(places))
+    whole = F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(-1).cast("long"))
+    crowded = F.col("doc_id").isNull() | F.col("doc_id").isin(*often) if often else F.col("doc_id").isNull()
+    # a crowded doc_id is the least of its range, so its parts come before the range's other rows
+    part = F.when(crowded, F.shiftright("hash", 64 - HASH_BITS) + (1 << (HASH_BITS - 1))).otherwise(1 << HASH_BITS)
+    binned = own.withColumn("hash", F.xxhash64("text")).withColumn("bin", whole * (2 << HASH_BITS) + part)
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "hash")
+    firsts = binned.groupBy("bin").agg(F.min(order).alias("o")).selectExpr("bin", "o.doc_id AS first", "o.hash AS first_hash", f"bin div {(cuts + 1) * (2 << HASH_BITS)} AS range")
+    firsts = saved(firsts)  # one row per bin
+    ranges = firsts.groupBy("range").agg(F.max("bin").alias("last"))  # at most QUANTILES + 2 rows
+    ranges = ranges.selectExpr("range", "coalesce(lag(last) OVER (ORDER BY range), max(last) OVER ()) AS last_before")
+    firsts = firsts.join(F.broadcast(ranges), "range").selectExpr("first", "first_hash", "coalesce(lag(bin) OVER (PARTITION BY range ORDER BY bin), last_before) AS bin_before")
+    met = binned.drop("bin").join(checked_broadcast(saved(firsts)), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("first_hash")))
+    tails = met.select("doc_id", "text", "hash", F.col("bin_before").alias("bin"), F.lit(1).alias("tail")).dropDuplicates(["bin"])
+    return binned.withColumn("tail", F.lit(0)).unionByName(tails)
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Rows (bin, rn, tail, doc_id, text, edited), in doc_id order within bins; a bin's last row (tail = 1) is the row after the bin."""
-    order = "OVER (PARTITION BY bin ORDER BY tail, doc_id NULLS FIRST, xxhash64(text), text)"
+    order = "OVER (PARTITION BY bin ORDER BY tail, doc_id NULLS FIRST, hash, text)"
     placed = _binned(docs).repartition("bin").selectExpr("*", f"row_number() {order} AS rn", f"lead(text) {order} AS next_text", f"lag(tail) {order} AS tail_before")
     half = "CAST(length(text) div 2 AS INT)"
     edited = f"concat(left(text, length(text) - {half}), left(coalesce(next_text, ''), {half})) AS edited"

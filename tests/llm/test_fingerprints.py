@@ -51,6 +51,28 @@ def test_order_across_bins(spark, ids, monkeypatch):
     assert got(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).repartition(3)) == expected(rows)
 
 
+def test_many_rows_of_one_or_no_doc_id_follow_by_their_hash(spark, monkeypatch):
+    """And no bin holds them all."""
+    monkeypatch.setattr(fp, "ROWS_PER_BIN", 8)
+    rows = [(None, f"no id {i} words") for i in range(300)] + [(7, f"crowded {i} here") for i in range(300)] + [(i, f"own {i} text") for i in range(0, 300)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).repartition(5)
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    placed = fp._binned(docs)
+    order = [r.text for r in placed.filter("tail = 0").orderBy("bin", F.col("doc_id").asc_nulls_first(), "hash").collect()]
+    assert order == [t for _, t in rows]
+    assert placed.groupBy("bin").count().agg(F.max("count")).first()[0] <= 60
+    assert placed.groupBy("bin").agg(F.sum("tail").alias("t")).filter("t <> 1").count() == 0
+    want = {}
+    for i, (d, t) in enumerate(rows):
+        follower = rows[(i + 1) % len(rows)][1]
+        want.setdefault(d, []).append(hashlib.sha256((t[: len(t) - len(t) // 2] + follower[: len(t) // 2]).encode()).hexdigest())
+    found = {}
+    for r in fp.document_fingerprints(docs).collect():
+        found.setdefault(r.doc_id, []).append(r.edited_sha256)
+    assert {d: sorted(v) for d, v in found.items()} == {d: sorted(v) for d, v in want.items()}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a" * 300_001), (None, "no id"), (50, "𝔘𝔫 two three"), (100, "𝔘𝔫 two three")]
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).withColumn("bin", F.lit("clash")).withColumn("fp", F.lit("x"))
