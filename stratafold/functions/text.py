@@ -6,6 +6,7 @@ normal forms (texts of ASCII alone pass by) and balanced braces.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -51,6 +52,11 @@ def title_key(c: Column, ascii_only: bool = False) -> Column:
     return F.regexp_replace(F.translate(c, "“”", '""'), "[‘’ʼ']", "")
 
 
+def title_text(value: str) -> str:
+    """`title_key` of a text that is at hand."""
+    return re.sub("[‘’ʼ']", "", unicodedata.normalize("NFC", value).translate(str.maketrans("“”", '""')))
+
+
 def slug(c: Column, ascii_only: bool = False) -> Column:
     """Lower-case runs of a-z and 0-9 joined by hyphens, after compatibility decomposition."""
     c = c if ascii_only else normalized(c, "NFKD")
@@ -111,6 +117,11 @@ def heads(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
 
 
+def title_or_prefix_key(c: Column) -> Column:
+    """The beginnings in whole words of a title's key, in lower case."""
+    return F.get(F.transform(F.array(F.lower(title_key(c))), heads), F.lit(0))
+
+
 def title_forms(c: Column) -> Column:
     """Variants, and the plural by s."""
     return F.array_distinct(F.concat(name_variants(c), F.array(F.concat(title_key(c), F.lit("s")))))

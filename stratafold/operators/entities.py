@@ -159,6 +159,12 @@ def monsters(local: DataFrame, world: DataFrame, overrides: DataFrame) -> DataFr
     return ranked.join(best, "site").filter("_n = _best").select("site", "monster")
 
 
+def civ_locations(locations: DataFrame, boards: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(pack, name): locations (name) of a pack: those its boards (pack, sites, merchants) name, and those its tiles (pack, name, clearings) of four clearings are; names compare as titles."""
+    named = boards.select("pack", F.explode(F.concat("sites", "merchants")).alias("_n")).unionByName(tiles.filter("clearings = 4").select("pack", F.col("name").alias("_n")))
+    return locations.withColumn("_k", title_key(F.col("name"))).join(named.select("pack", title_key(F.col("_n")).alias("_k")).distinct(), "_k").select("pack", "name")
+
+
 def tile_monsters(tiles: DataFrame, scripted: DataFrame, table: DataFrame) -> DataFrame:
     """Tiles' monsters: the script's rows (name, monster), else the table's (terrain, feature, monster) for the tile's tags; civilised tiles have none."""
     wild = tiles.filter("kind <> 'Civilisation'")

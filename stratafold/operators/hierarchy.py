@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.functions.text import title_key, title_text
 from stratafold.plans.target import prefixes
 
 
@@ -56,8 +57,13 @@ def descendants(sections: DataFrame, parents: DataFrame) -> DataFrame:
     return under.join(parents.select("source", F.col("id").alias("parent_id")).distinct(), ["source", "parent_id"])
 
 
-def _heading(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), "[.:]+$", "")
+def heading(c: Column) -> Column:
+    """A heading as headings compare: its title key without trailing dots and colons."""
+    return F.trim(F.regexp_replace(title_key(c), "[.:]+$", ""))
+
+
+def heading_text(value: str) -> str:
+    return title_text(value.strip()).rstrip(".:").strip()
 
 
 def heading_path(sections: DataFrame, headings: list[str], doc: str | None = None) -> DataFrame:
@@ -65,10 +71,10 @@ def heading_path(sections: DataFrame, headings: list[str], doc: str | None = Non
 
     A section that several parents reach is listed once.
     """
-    keyed = sections.withColumn("_h", _heading(F.col("title")))
+    keyed = sections.withColumn("_h", heading(F.col("title")))
     here = keyed if doc is None else keyed.filter(F.col("source") == doc)
-    found = here.filter(F.col("_h").isin(*(h.strip().rstrip(".:") for h in headings[0].split("|"))))
+    found = here.filter(F.col("_h").isin(*(heading_text(h) for h in headings[0].split("|"))))
     for h in headings[1:]:
-        ask = F.col("_h").isin(*(x.strip().rstrip(".:") for x in h.split("|")))
+        ask = F.col("_h").isin(*(heading_text(x) for x in h.split("|")))
         found = descendants(here.filter(ask), found).drop("parent_id").dropDuplicates(["source", "id"])
     return found.drop("_h")

@@ -99,6 +99,14 @@ def heading_level(font: Column, size: Column, colour: Column, table: list[tuple[
     return out
 
 
+def standalone_strength(text: Column, spans: Column, font: str, blacks: list[str]) -> Column:
+    """The strength of a line that is a heading by itself: a short line without a final stop, all of whose visible spans (text, font, size, colour) are of one font, black, and of size 12 (60) or 11 (70); else null."""
+    seen = F.filter(spans, lambda s: F.trim(s["text"]) != "")
+    all_ = lambda size: F.forall(seen, lambda s: (s["font"] == font) & (F.bround(s["size"]).cast("int") == size) & s["colour"].isin(*blacks))
+    bad = (F.size(seen) == 0) | (text == "•") | (F.length(text) > 80) | F.endswith(text, F.lit(".")) | F.endswith(text, F.lit(")"))
+    return F.when(~bad & all_(12), 60).when(~bad & all_(11), 70)
+
+
 def joined_lines(lines: Column) -> Column:
     """Lines as one paragraph; a word cut by a hyphen or a slash at a line's end is put together."""
     return F.regexp_replace(F.array_join(lines, " "), r"(\w[-/]) (?=\w)", "$1")

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from stratafold import jobs
 from stratafold.functions import text as tx
 from stratafold.operators import aggregates as ag
-from stratafold.operators import entities, hierarchy, joins, layout, ordered, pages, rules, tree
+from stratafold.operators import derived, entities, hierarchy, joins, layout, links, ordered, pages, rules, tree
 from stratafold.plans import target as tg
 from stratafold.queries import _SHOWN, SECTIONS_SQL, _shown, query, sections
 from stratafold.session import shared_dir
@@ -461,3 +462,79 @@ def corrected_names(t):
     older = table.selectExpr("l_partkey", "p_size", "'old' AS name", "-1L AS ord")
     asked = t.lineitem.join(t.part.selectExpr("p_partkey AS l_partkey", "p_size"), "l_partkey")
     return joins.lookup(asked.select("l_orderkey", "l_linenumber", "l_partkey", "p_size"), table.unionByName(older), ["l_partkey", "p_size"], "ord").select("l_orderkey", "l_linenumber", "l_partkey", "name")
+
+
+# -- Links and jobs ---------------------------------------------------------
+
+
+def _book(t):
+    """Nations below reference sections, customers below nations."""
+    return sections(t).withColumn("title", F.expr("CASE WHEN level = 1 AND title IN ('ASIA', 'EUROPE') THEN 'Monster Reference.' WHEN level = 1 THEN 'Spell Manifest' ELSE replace(title, '_', ' ') END"))
+
+
+_BOOK = f"""WITH {SECTIONS_SQL}, book AS (SELECT * REPLACE (CASE WHEN level = 1 AND title IN ('ASIA', 'EUROPE') THEN 'Monster Reference.' WHEN level = 1 THEN 'Spell Manifest' ELSE replace(title, '_', ' ') END AS title) FROM sections)"""
+
+
+@query(f"""{_BOOK}, c AS (SELECT p.id, string_agg('### ' || s.title || chr(10) || chr(10) || s.content, chr(10) || chr(10) ORDER BY s.ord) AS below FROM book p JOIN book s ON s.source = p.source AND starts_with(s.id, p.id || '.') WHERE p.level = 2 GROUP BY 1)
+SELECT b.source, b.id, b.title, '/' || b.source || '#' || replace(b.id, '.', '-') || '-' || lower(replace(b.title, ' ', '-')) AS href, b.content || coalesce(chr(10) || chr(10) || below, '') AS content FROM book b JOIN book m ON m.title = 'Spell Manifest' AND m.source = b.source LEFT JOIN c ON c.id = b.id WHERE b.title IN ('NATION 1', 'NATION 4', 'NATION 10')""")
+def path_links(t):
+    book = _book(t)
+    some = links.preset(book, "spell", "NATION 1|NATION 4:|NATION 10")
+    whole = links.by_path(book, ["Spell Manifest", "NATION 1|NATION 4|NATION 10"], with_children=True)
+    return links.merged(whole, some.withColumn("sort_group", F.lit(1))).select("source", "id", "title", "href", "content")
+
+
+@query(f"""{_BOOK}, a AS (SELECT DISTINCT n_name, lower(replace(n_name, '_', ' ')) AS k FROM nation) SELECT a.n_name AS name, b.id, b.title FROM book b JOIN book m ON m.title = 'Monster Reference.' AND m.source = b.source AND starts_with(b.id, m.id || '.')
+JOIN a ON lower(b.title) = k OR starts_with(lower(b.title), k || ' ') UNION SELECT 'customer#000000001s', b.id, b.title FROM book b JOIN book m ON m.title = 'Monster Reference.' AND m.source = b.source AND starts_with(b.id, m.id || '.') WHERE b.title = 'Customer#000000001'""")
+def reference_links(t):
+    names = t.nation.selectExpr("lower(replace(n_name, '_', ' ')) AS name", "n_name").unionByName(t.spark.createDataFrame([("customer#000000001s", "customer#000000001s")], "name string, n_name string"))
+    return links.below_reference(_book(t), "monster", names.select("name")).join(names, "name").selectExpr("n_name AS name", "id", "title")
+
+
+@query("""WITH b AS (SELECT p_brand AS pack, p_name AS n FROM part WHERE p_size % 4 = 0 UNION SELECT p_brand, p_type || 's' FROM part WHERE p_size % 4 = 0 UNION SELECT p_brand, p_name FROM part WHERE p_size % 5 = 4), l AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT p_type || chr(39) || 's' FROM part)
+SELECT DISTINCT pack, name FROM l JOIN b ON replace(name, chr(39), '') = n""")
+def civ_location_packs(t):
+    boards = t.part.filter("p_size % 4 = 0").groupBy(F.col("p_brand").alias("pack")).agg(F.collect_set("p_name").alias("sites"), F.collect_set(F.concat("p_type", F.lit("’s"))).alias("merchants"))
+    tiles = t.part.selectExpr("p_brand AS pack", "p_name AS name", "p_size % 5 AS clearings")
+    names = t.part.select(F.col("p_name").alias("name")).union(t.part.select(F.concat("p_type", F.lit("'s")))).distinct()
+    return entities.civ_locations(names, boards, tiles)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 3 OR p_partkey % 2 = 1 THEN NULL WHEN p_size % 3 = 0 THEN 60 WHEN p_size % 3 = 1 THEN 70 END AS strength FROM part""")
+def standalone_headings(t):
+    spans = F.expr("array(struct(' ' AS text, 'x' AS font, 9D AS size, 'red' AS colour), struct(p_name AS text, 'B' AS font, CASE p_size % 3 WHEN 0 THEN 12.4D WHEN 1 THEN 11.5D - 0.9D ELSE 14D END AS size, CASE p_partkey % 2 WHEN 0 THEN 'black' ELSE 'red' END AS colour))")
+    return t.part.select("p_partkey", layout.standalone_strength(F.expr("concat(p_name, CASE p_size % 4 WHEN 3 THEN '.' ELSE '' END)"), spans, "B", ["black"]).alias("strength"))
+
+
+def _book_files(t) -> str:
+    item = F.struct("id", "source", "level", "title", "content", "tags")
+    files = sections(t).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("s")))), lambda x: x["s"]).alias("content"))
+    return _written(t, files.select(F.to_json(F.struct(F.lit("1").alias("version"), "content")).alias("value"), F.col("source").alias("file")), by="file") + "/*/*"
+
+
+@query(f"""WITH {SECTIONS_SQL} SELECT source AS doc, count(*) AS sections, CAST(sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) AS BIGINT) AS changed, CAST(sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) AS BIGINT) AS written FROM sections GROUP BY 1""")
+def transform_job(t):
+    out = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    done = jobs.transform(t.spark, _book_files(t), [rules.ignore_images(tg.All(), ["z"]), rules.replace_text(tg.Leaf(levels=(2,)), "nation", "land"), rules.add_tag(tg.Leaf(content="^land"), "changed")], out)
+    back = json_documents.documents(t.spark, f"{out}/*/*").filter("array_contains(tags, 'changed') AND content LIKE 'land of%'").groupBy("doc").agg(F.count("*").alias("written"))
+    return done.join(back, "doc")
+
+
+@query(f"""WITH {SECTIONS_SQL} SELECT 'lands' AS document, source, count(*) AS sections FROM sections WHERE level = 2 GROUP BY 2 UNION ALL SELECT 'aid', 'aid', 1 UNION ALL SELECT 'aid', source, count(*) FROM sections WHERE source = 'ASIA' GROUP BY 2
+UNION ALL SELECT 'grouped', 'ASIA', count(*) FROM sections WHERE source = 'ASIA' AND level < 3""")
+def derive_job(t):
+    specs = {
+        "lands": {"flat": tg.Leaf(levels=(2,)), "sort": "source"},
+        "aid": {"aid": [derived.AidGroup("Asia", (derived.Pick(tg.Leaf(title="^ASIA$"), True),))]},
+        "grouped": {"groups": [derived.Group(tg.Leaf(title="^ASIA$"), tg.Leaf(doc="ASIA", levels=(2,)))]},
+    }
+    return jobs.derive(t.spark, _book_files(t), specs, f"{shared_dir(t.spark)}/{uuid.uuid4().hex}")
+
+
+@query("SELECT p_brand AS key, count(*) AS parts, (SELECT count(*) FROM supplier) AS suppliers FROM part GROUP BY 1")
+def extract_job(t):
+    out = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    jobs.extract({"parts": (t.part.select("p_brand", "p_partkey"), "p_brand"), "suppliers": (t.supplier.select("s_name", "s_suppkey"), "s_name")}, out)
+    parts = json_documents.keyed_index(t.spark, f"{out}/parts", "p_partkey: bigint").groupBy("key").agg(F.count("*").alias("parts"))
+    suppliers = json_documents.keyed_index(t.spark, f"{out}/suppliers", "s_suppkey: bigint").agg(F.count("*").alias("suppliers"))
+    return parts.join(F.broadcast(suppliers), F.lit(True))  # one row

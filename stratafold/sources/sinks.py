@@ -11,12 +11,6 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
-def sorted_index(df: DataFrame, key: str) -> DataFrame:
-    """(key, rows as JSON), sorted by the key's collation."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rest)))).alias("rows")).orderBy(F.collate(F.col(key), "UNICODE"))
-
-
 def write_index(df: DataFrame, key: str, path: str) -> None:
     """One JSON file that maps each key to its rows, keys sorted by collation. An index is a document; its file is written by one task."""
     rest = [c for c in df.columns if c != key]
