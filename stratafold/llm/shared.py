@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most this many narrow rows (about 64 MB) may be broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 1_000_000
-
+from stratafold.session import dropped, saved, scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only where the session names none is one made, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stratafold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["BROADCAST_ROWS", "checked_broadcast", "dropped", "saved", "scratch"]
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written once as a table in the shared folder and read back: it is not computed again and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/stratafold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A side of at most this many narrow rows (about 64 MB) may be broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:

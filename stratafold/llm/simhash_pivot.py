@@ -19,11 +19,9 @@ own, so no task holds more than two chunks of a bucket and no link is lost.
 A bucket gives a spanning forest of the links it found, not all of them; classes
 are the connected components of all forests.
 
-`without_near_duplicates` also links texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more, all of them: sets that share a shingle of their
-prefixes and may be similar by their parities are one family, a family's sets meet in one task (or, cut into chunks, in
-one for each pair of chunks), and every pair that could be similar is verified on
-the sets unless verified links already join it.
+`without_near_duplicates` takes the fingerprints of the sets of five-word shingles,
+and also links all texts whose sets have a Jaccard similarity of 0.8 or more, which
+`similar_sets` finds exactly.
 
 Defined cases: null text is the empty text; a text without words has fingerprint
 zero and links like any other; repeated rows are in one class; a null doc_id
@@ -43,8 +41,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.arrowtext import bound_batches, mixed, slices, text_column
-from stratafold.llm.components import components
+from stratafold.llm import similar_sets
+from stratafold.llm.arrowtext import bound_batches, give_back, slices, text_column
+from stratafold.llm.components import Forest, components
 from stratafold.llm.shared import checked_broadcast, saved
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -54,10 +53,6 @@ CHUNK = 4096
 #: Pairs that are held at a time.
 PAIRS_AT_ONCE = 1 << 20
 SLICE = 1 << 20
-#: Of the stage: words of a shingle, and the least Jaccard similarity.
-WIDE_WORDS, SIMILARITY = 5, 0.8
-#: A shingle of more prefixes goes last in the order of shingles; at most so many do.
-HOT, HOT_MOST, SEEN = 50, 1_000_000, 8
 
 
 def shingle_hashes(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -100,24 +95,19 @@ def fingerprints_of(texts: pa.Array, width: int = SHINGLE_WORDS, seed: int = SEE
     return majority(*shingle_hashes(texts, width, seed))
 
 
-def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, sets: bool = False) -> DataFrame:
-    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits. With `sets`, also the `set_prefixes` of each text (sig, prefix, shape)."""
+def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, row_key, fp): row_key tells rows of one doc_id and different texts apart; fp has the fingerprint's bits."""
     bound_batches(docs.sparkSession)
-    names = ["doc_id", "row_key", "fp", "sig", "prefix", "shape"] if sets else ["doc_id", "row_key", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch)
             for first, n in slices(texts, SLICE):
-                part = texts.slice(first, n)
-                own = [pa.array(fingerprints_of(part, width, seed).view(np.int64))]
-                if sets:
-                    signs, prefixes, shapes = set_prefixes(part)
-                    own += [pa.array(signs.view(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, shapes))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("row_key").slice(first, n), *own], names)
+                fps = pa.array(fingerprints_of(texts.slice(first, n), width, seed).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("row_key").slice(first, n), fps], ["doc_id", "row_key", "fp"])
 
     rows = docs.select(docs[doc_col].cast("long").alias("doc_id"), F.xxhash64(docs[doc_col], docs[text_col]).alias("row_key"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, fp long" + (", sig long, prefix array<long>, shape array<long>" if sets else ""))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def _block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -148,25 +138,6 @@ def _pivots(count: int = PIVOTS) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(0, 2**64 - 1, count, dtype=np.uint64, endpoint=True)
 
 
-class Forest:
-    """Labels of nodes 0..n-1 under added links; the label is the least node of its class."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.label[a], self.label[b]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            apart = low != high
-            if not apart.any():
-                return
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.label, high[apart], low[apart])
-            while not np.array_equal(up := self.label[self.label], self.label):
-                self.label = up
-
-
 def links_in_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS, pivots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among rows of equal `bucket`: pairs of fingerprints.
 
@@ -248,6 +219,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         for bucket, rows in _by_bucket(batches, ["fp"]):
             a, b = links_in_buckets(bucket, rows[:, 1], np.ascontiguousarray(rows[:, 0]).view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        give_back()
 
     return parted.mapInArrow(run, "a long, b long")
 
@@ -268,261 +240,32 @@ def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Which of the links a-b make a spanning forest of least total distance."""
-    label, kept = np.arange(n), []
-    for d in np.unique(far):
-        some = np.flatnonzero(far == d)
-        while len(some):
-            x, y = label[a[some]], label[b[some]]
-            some, x, y = some[x != y], x[x != y], y[x != y]
-            if not len(some):
-                break
-            high, first = np.unique(np.maximum(x, y), return_index=True)
-            kept.append(some[first])
-            label[high] = np.minimum(x, y)[first]
-            while not np.array_equal(up := label[label], label):
-                label = up
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
-
-
-def _overlap(size: np.ndarray) -> np.ndarray:
-    """Shingles that a set of `size` shares at least with any set of similarity SIMILARITY."""
-    return np.ceil(SIMILARITY * size - 1e-9).astype(np.int64)
-
-
-def set_prefixes(texts: pa.Array, hot: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(signature, prefix, shape) of each text's set of WIDE_WORDS shingles; the shape is the set's size and, in 512 bits, the parity of its shingles by bit.
-
-    A prefix is as many of a set's first shingles as any set of similarity
-    SIMILARITY must meet with one of its own: similar sets share a shingle of
-    both prefixes in whatever order, here by hash and the sorted `hot` ones last.
-    """
-    hashes, count = shingle_hashes(texts, WIDE_WORDS)
-    signs, prefixes, shapes = np.zeros(len(count), np.uint64), [], []
-    for i, own in enumerate(np.split(hashes, np.cumsum(count)[:-1])):
-        own = np.unique(own)
-        spread = mixed(own)
-        signs[i] = np.add.reduce(spread, dtype=np.uint64)
-        odd = np.packbits((np.bincount((spread & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(bool), bitorder="little").view(np.int64)
-        shapes.append(np.concatenate([[len(own)], odd]))
-        if hot is not None and len(hot):
-            late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-            own = np.concatenate([own[~late], own[late]])
-        prefixes.append(own[: len(own) - int(_overlap(len(own))) + 1].view(np.int64))
-    return signs, prefixes, shapes
-
-
-def near_in_buckets(bucket: np.ndarray, side: np.ndarray, sig: np.ndarray, size: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, of signatures, of the pairs of one bucket that may have similarity SIMILARITY.
-
-    Two sets differ in at least as many shingles as their parities `odd` differ in
-    bits; of a pair that differs in too many, or in size, none is similar.
-    """
-    order = np.lexsort((size, bucket))
-    bucket, side, sig, size, odd = bucket[order], side[order], sig[order], size[order], odd[order]
-    names, node = np.unique(sig, return_inverse=True)
-    forest, at = Forest(len(names)), np.arange(len(sig))
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        meets = ((side[a] == 2) | (side[a] != side[b])) & (forest.label[node[a]] != forest.label[node[b]])
-        a, b = a[meets], b[meets]
-        apart = np.zeros(len(a), np.int64)
-        for k in range(odd.shape[1]):
-            apart += np.bitwise_count((odd[a, k] ^ odd[b, k]).view(np.uint64))
-        may = apart <= (size[a] + size[b]) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
-        forest.link(node[a[may]], node[b[may]])
-
-    link(np.searchsorted(bucket, bucket), at)
-    step = 2 * int(size.max(initial=0)) + 2
-    partners = np.searchsorted(bucket * step + size, bucket * step + np.floor(size / SIMILARITY + 1e-9).astype(np.int64), side="right") - at - 1
-    ends, first = np.cumsum(partners), 0
-    while first < len(sig):
-        base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE // 4, side="right")))
-        n = partners[first:last]
-        a = np.repeat(at[first:last], n)
-        link(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n))
-        first = last
-    moved = np.flatnonzero(forest.label != np.arange(len(names)))
-    return names[moved], names[forest.label[moved]]
-
-
-def similar_in_buckets(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of nodes whose classes are those of all pairs of one bucket with similarity SIMILARITY.
-
-    `shingles` has the sets of all rows, one after the other. Candidates share a
-    shingle of their prefixes, rarest first; a forest of them is verified at a time,
-    and pairs that are still apart go on until each is verified or joined.
-    """
-    n, number = len(size), np.arange(len(size))
-    owner, begin = np.repeat(number, size), np.cumsum(size) - size
-    values, token, seen = np.unique(mixed(shingles.view(np.uint64) + mixed(bucket)[owner]), return_inverse=True, return_counts=True)
-    held = np.sort(owner * len(values) + token)
-    _, first, same = np.unique(node, return_index=True, return_inverse=True)
-    forest = Forest(n)
-    forest.label = first[same]
-    order = np.lexsort((token, seen[token], owner))
-    used = (np.arange(len(owner)) - begin[owner] <= (size - _overlap(size))[owner]) & (seen[token[order]] > 1)
-    token_at, row = token[order][used], owner[used]
-    order = np.lexsort((size[row], token_at))
-    token_at, row = token_at[order], row[order]
-    step = 2 * int(size.max(initial=0)) + 2
-    at = np.arange(len(row))
-    partners = np.searchsorted(token_at * step + size[row], token_at * step + np.floor(size[row] / SIMILARITY + 1e-9).astype(np.int64), side="right") - at - 1
-    ends, failed, start = np.cumsum(partners), np.empty(0, np.int64), 0
-
-    def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = []
-        for part in np.array_split(np.arange(len(a)), 1 + size[a].sum() // PAIRS_AT_ONCE):
-            x, y = a[part], b[part]
-            if not len(x):
-                continue
-            base = np.cumsum(size[x]) - size[x]
-            place = np.repeat(begin[x] - base, size[x]) + np.arange(size[x].sum())
-            asked = np.repeat(y, size[x]) * len(values) + token[place]
-            found = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
-            common = np.add.reduceat(found, base, dtype=np.int64)
-            out.append(common >= SIMILARITY * (size[x] + size[y] - common) - 1e-9)
-        return np.concatenate(out)
-
-    while start < len(row):
-        base = ends[start - 1] if start else 0
-        last = max(start + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE, side="right")))
-        m = partners[start:last]
-        a = np.repeat(at[start:last], m)
-        b = row[a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)]
-        a = row[a]
-        meets = ((side[a] == 2) | (side[a] != side[b])) & (forest.label[a] != forest.label[b])
-        pairs = np.setdiff1d(np.minimum(a, b)[meets] * n + np.maximum(a, b)[meets], failed)
-        rounds = 0
-        while len(pairs := pairs[forest.label[pairs // n] != forest.label[pairs % n]]):
-            a, b = pairs // n, pairs % n
-            pick = spanning_forest(n, forest.label[a], forest.label[b], np.zeros(len(a), np.int64)) if rounds < 20 else np.arange(min(len(a), 1 << 14))
-            good = verified(a[pick], b[pick])
-            forest.link(a[pick[good]], b[pick[good]])
-            failed = np.concatenate([failed, pairs[pick[~good]]])
-            pairs = np.delete(pairs, pick)
-            rounds += 1
-        start = last
-    moved = np.flatnonzero(node != node[forest.label])
-    return node[moved], node[forest.label[moved]]
-
-
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
-    """(bucket number, rows) of whole buckets, from batches sorted by bucket."""
-    held = None
-
-    def keys_of(rows: pa.Table) -> np.ndarray:
-        return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
-
-    def whole(rows: pa.Table, keys: np.ndarray) -> tuple[np.ndarray, pa.Table]:
-        return np.concatenate(([0], np.cumsum(np.any(keys[1:] != keys[:-1], axis=1)))), rows
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        keys = keys_of(rows)
-        cut = int(np.argmax(np.all(keys == keys[-1], axis=1)))
-        if cut:
-            yield whole(rows.slice(0, cut), keys[:cut])
-        held = rows.slice(cut)
-    if held is not None:
-        yield whole(held, keys_of(held))
-
-
-def _prefixes_again(docs: DataFrame, asked: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(sig, token) of the texts `asked` (row_key, sig) with the `hot` shingles last."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_MOST
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_column(batch)
-            for first, n in slices(texts, SLICE):
-                prefixes = set_prefixes(texts.slice(first, n), sent.value)[1]
-                yield pa.RecordBatch.from_arrays([batch.column("sig").slice(first, n), pa.array(prefixes, pa.list_(pa.int64()))], ["sig", "prefix"])
-
-    return _texts(docs, asked).select("sig", "text").mapInArrow(run, "sig long, prefix array<long>").select("sig", F.explode("prefix").alias("token"))
-
-
-def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """`asked` with the text of each row_key; rows of one key have one text."""
-    text = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"), docs["text"].cast("string").alias("text"))
-    return text.join(checked_broadcast(asked), "row_key")
-
-
-def _families(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sig, family) of the `sets` (sig, row_key, prefix, shape) that share a shingle of their prefixes with another and may be similar by `near_in_buckets`, directly or through others.
-
-    Shingles of many prefixes go last in the order, so that sets with a common
-    passage are seldom compared. Which do is told from one set in SEEN; the order
-    changes what is compared, never what is found.
-    """
-    tokens = sets.select("sig", F.explode("prefix").alias("token"))
-    many = tokens.filter(f"pmod(sig, {SEEN}) = 0").groupBy("token").count().filter(f"count > {max(1, HOT // SEEN)}")
-    often = saved(many.orderBy(F.desc("count"), "token").limit(HOT_MOST).select("token"))
-    hot = np.sort(often.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
-    if len(hot):
-        asked = saved(tokens.join(F.broadcast(often), "token", "left_semi").select("sig").distinct())
-        rest = sets.join(checked_broadcast(asked), "sig", "left_anti").select("sig", F.explode("prefix").alias("token"))
-        tokens = rest.unionByName(saved(_prefixes_again(docs, saved(sets.select("row_key", "sig").join(asked, "sig")), hot)))
-    met = saved(tokens.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "n"))
-    columns = ["sig", *(f"c{k}" for k in range(9))]
-    shapes = saved(sets.select("sig", *(F.col("shape")[k].alias(f"c{k}") for k in range(9))).dropDuplicates(["sig"]))
-    placed = tokens.join(checked_broadcast(met), "token").selectExpr("sig", "0 AS table", "token AS key", f"{_pieces(['sig'])} AS meetings").selectExpr("sig", "table", "key", "inline(meetings)")
-    dealt = placed.join(checked_broadcast(shapes), "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*columns, "side", "table", "key", "i", "j")
+def marked_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, fp, sig, n) of each row, from its set of five-word shingles: fingerprint, signature and size."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches, columns):
-            a, b = near_in_buckets(bucket, rows[:, 10], rows[:, 0], rows[:, 1], rows[:, 2:10])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    near = saved(dealt.mapInArrow(run, "a long, b long").distinct())
-    roots = saved(components(near))
-    return roots.select(F.col("node").alias("sig"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("sig"), F.col("root").alias("family")).distinct())
-
-
-def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) of fingerprints of `marked` (row_key, fp, sig, prefix) that, with those of equal fingerprints, have the classes of all pairs of texts with a Jaccard similarity of at least SIMILARITY of their WIDE_WORDS shingles."""
-    some = marked.filter("size(prefix) > 0")
-    first = saved(some.groupBy("sig").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp")))
-    equal = some.select("sig", F.col("fp").alias("a")).distinct().join(first.select("sig", F.col("fp").alias("b")), "sig").filter("a <> b").select("a", "b")
-    sets = some.select("row_key", "sig", "prefix", "shape").join(checked_broadcast(first.select("row_key")), "row_key", "left_semi")
-    members = saved(_families(docs, sets).join(first, "sig").withColumnRenamed("family", "key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    asked = saved(members.join(sizes, "key").selectExpr("row_key", "fp", "key", f"{_pieces(['sig'])} AS meetings"))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch)
             for first, n in slices(texts, SLICE):
-                hashes, count = shingle_hashes(texts.slice(first, n), WIDE_WORDS)
-                parts = [np.unique(h).view(np.int64) for h in np.split(hashes, np.cumsum(count)[:-1])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("fp", "key", "meetings")), pa.array(parts, pa.list_(pa.int64()))], ["fp", "key", "meetings", "s"])
+                sets = similar_sets.shingle_sets(texts.slice(first, n))
+                sizes = np.asarray(list(map(len, sets)))
+                fps = majority(np.concatenate(sets), sizes)
+                signs = np.asarray([similar_sets.signature(s) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("row_key").slice(first, n), pa.array(fps.view(np.int64)), pa.array(signs.view(np.int64)), pa.array(sizes)], ["doc_id", "row_key", "fp", "sig", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _whole_buckets(batches):
-            lists = rows.column("s").combine_chunks()
-            side, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "fp"))
-            a, b = similar_in_buckets(bucket.astype(np.uint64), side, node, lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = _texts(docs, asked).select("fp", "key", "meetings", "text").mapInArrow(shingled, "fp long, key long, meetings array<struct<i int, j int, side int>>, s array<long>")
-    dealt = rows.selectExpr("fp", "s", "key", "inline(meetings)").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return equal.unionByName(saved(dealt.mapInArrow(run, "a long, b long")))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long, sig long, n long")
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` that stay when one row of each class does: one with the least doc_id, a null one if there is no other.
 
-    Classes are those of linked fingerprints and of similar texts (`similar`) together.
+    Classes are those of linked fingerprints and of similar texts together.
     """
-    bound_batches(docs.sparkSession)
-    marked = saved(fingerprints(docs, sets=True))
+    marked = saved(marked_sets(docs))
     distinct = saved(marked.select("fp").distinct())
-    roots = saved(components(saved(links(distinct, radius).unionByName(similar(docs, marked)))))
+    roots = saved(components(saved(links(distinct, radius).unionByName(similar_sets.similar(docs, marked)))))
     rooted = marked.select("doc_id", "row_key", "fp").join(checked_broadcast(roots), F.col("fp") == F.col("node"), "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("root"))
     rooted = saved(rooted.groupBy("root", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     best = saved(rooted.groupBy("root").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("stays")))

@@ -1,9 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from stratafold.llm import similar_sets as ss
 from stratafold.llm import simhash_pivot as sp
+from stratafold.llm.components import components, spanning_forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,7 +69,7 @@ def test_every_number_of_blocks_finds_every_link(spark, blocks, monkeypatch):
     monkeypatch.setattr(sp, "CHUNK", 8)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     found = sp.links(spark.createDataFrame(signed, "fp long"))
-    got = sp.components(found).collect()
+    got = components(found).collect()
     root = {r.node: r.root for r in got}
     labels = {f[0]: root.get(f[0], f[0]) for f in signed}
     up = {f[0]: f[0] for f in signed}
@@ -88,7 +91,7 @@ def test_a_bucket_over_the_chunk_size_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(sp, "CHUNK", 5)
     fps = [(1 << 40) | i for i in range(64)]
     found = sp.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
-    assert {r.root for r in sp.components(found).collect()} == {fps[0]}
+    assert {r.root for r in components(found).collect()} == {fps[0]}
 
 
 def test_one_document_of_each_class_stays(spark):
@@ -105,10 +108,54 @@ def test_empty_table(spark):
     assert sp.without_near_duplicates(docs).count() == 0
 
 
-def test_least_forest():
-    a, b, far = np.array([0, 1, 0, 3, 2]), np.array([1, 2, 2, 4, 3]), np.array([1, 1, 0, 2, 9])
-    kept = sp.spanning_forest(6, a, b, far)
-    assert sorted(far[kept].tolist()) == [0, 1, 2, 9] and len(kept) == 4
+def test_a_forest_spans_what_its_links_do():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 60, 90), rng.integers(0, 60, 90)
+    kept = spanning_forest(60, a, b)
+    assert len(set(kept.tolist())) == len(kept)
+    label = {}
+    for some in (range(90), kept):
+        up = list(range(60))
+        for i in some:
+            x, y = (up.index(up[v]) and up[v] for v in (a[i], b[i]))
+            up = [min(x, y) if v in (x, y) else v for v in up]
+        label[len(label)] = up
+    assert label[0] == label[1] and len(kept) == 60 - len(set(label[0]))
+
+
+def test_shingle_sets_are_those_of_the_words():
+    texts = [*(t or "" for t in TEXTS), "A b\tc d e f", "a b c d e  f", "a b c d e", "e d c b a"]
+    sets = ss.shingle_sets(pa.array(texts))
+    words = [tuple(" ".join(t.lower().split()).split()) for t in texts]
+    want = [{w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    assert [len(s) for s in sets] == [len(w) for w in want]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 40])
+def test_asking_counts_shared_shingles(spark, at_once, monkeypatch):
+    """Answers are what a count of sets by shingle gives, whatever runs the sets come in; hot shingles are listed."""
+    monkeypatch.setattr(ss, "AT_ONCE", at_once)
+    monkeypatch.setattr(ss, "HOT", 5)
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sets = [np.unique(np.append(rng.choice(vocabulary, 12), vocabulary[0])) for _ in range(60)]
+    rows = spark.createDataFrame([(i, [int(x) for x in s.view(np.int64)]) for i, s in enumerate(sets)], "sig long, s array<long>")
+    of = lambda batch: ((i, np.asarray(s.as_py(), np.int64).view(np.uint64)) for i, s in zip(batch.column("sig").to_pylist(), batch.column("s")))
+    got = ss._asked(rows, 8, of, ["sig", "s"]).collect()
+    seen = {}
+    for s in sets:
+        for x in s.tolist():
+            seen[x] = seen.get(x, 0) + 1
+    shared = {}
+    for r in got:
+        if r.hot is None:
+            shared[r.sig] = shared.get(r.sig, 0) + r.shared
+    assert shared == {i: sum(seen[x] > 1 for x in s.tolist()) for i, s in enumerate(sets)}
+    hot = {int(ss.short_key(np.array([x], np.uint64), 8)[0]): n for x, n in seen.items() if n > 5}
+    assert {r.hot % 2**64: r.shared for r in got if r.hot is not None} == hot and len(hot) >= 1
 
 
 def test_similar_texts_join_and_others_stay(spark):
@@ -125,8 +172,7 @@ def test_similar_texts_join_and_others_stay(spark):
         rows.append((10 * i + 2, " ".join(base[:100] + list(rng.choice(words, 200)))))
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
     kept = {r.doc_id for r in sp.without_near_duplicates(docs).collect()}
-    assert all(10 * i in kept and 10 * i + 2 in kept for i in range(25))
-    assert sum(10 * i + 1 in kept for i in range(25)) <= 2
+    assert kept == {10 * i + k for i in range(25) for k in (0, 2)}
 
 
 def shingle_set(text):
@@ -136,7 +182,9 @@ def shingle_set(text):
 
 def brute_kept(rows):
     """doc_ids of the first rows of the classes by all pairs, linked by fingerprints or similarity."""
-    fps, sets = [brute_fingerprint(t) for _, t in rows], [shingle_set(t) for _, t in rows]
+    hashed = ss.shingle_sets(pa.array([t for _, t in rows]))
+    fps = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) for own in map(np.ndarray.tolist, hashed)]
+    sets = [shingle_set(t) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -161,9 +209,9 @@ def kept_ids(spark, rows):
     return sorted(r.doc_id for r in sp.without_near_duplicates(docs).collect())
 
 
-@pytest.mark.parametrize("chunk", [4096, 16])
-def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, chunk, monkeypatch):
-    monkeypatch.setattr(sp, "CHUNK", chunk)
+@pytest.mark.parametrize("piece", [1 << 22, 5000])
+def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, piece, monkeypatch):
+    monkeypatch.setattr(ss, "PIECE", piece)
     rng = np.random.default_rng(8)
     base = [f"b{i}" for i in range(304)]
     rows = []
@@ -202,7 +250,7 @@ def test_every_distinct_text_of_a_class_may_join(spark):
 
 
 def test_a_common_passage_joins_no_others(spark, monkeypatch):
-    monkeypatch.setattr(sp, "HOT", 3)
+    monkeypatch.setattr(ss, "HOT", 3)
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(i, passage + " " + " ".join(f"w{i // 2}x{k if k != 9 or i % 2 else 'other'}" for k in range(90))) for i in range(40)]
     assert kept_ids(spark, rows) == brute_kept(rows) == list(range(0, 40, 2))
@@ -213,3 +261,28 @@ def test_rows_of_one_key_and_different_texts_stay(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
     kept = [(r.doc_id, r.text) for r in sp.without_near_duplicates(docs).collect()]
     assert sorted(kept, key=str) == sorted(set(rows), key=str)
+
+
+def test_the_stage_matches_all_pairs_on_the_smallest_table(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    lower = [(i, "".join(c.lower() if c.isascii() else c for c in t)) for i, t in rows]
+    assert kept_ids(spark, rows) == brute_kept(lower)
+
+
+def test_pivots_discard_pairs_of_a_bucket_that_do_not_link():
+    """16 distances discard nearly all random pairs beyond the radius, one leaves most of what its window meets."""
+    rng = np.random.default_rng(12)
+    fp = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    a, b = np.triu_indices(3000, 1)
+    far = np.bitwise_count(fp[a] ^ fp[b]) > 4
+    distance = np.bitwise_count(fp[:, None] ^ sp._pivots()[None, :]).astype(int)
+    near = np.abs(distance[a] - distance[b]) <= 4
+    assert (~near.all(axis=1))[far].mean() > 0.99 > 0.6 > (~near[:, 0])[far].mean()
+    assert near.all(axis=1)[~far].all()
+
+
+def test_a_very_long_text_and_a_repetitive_one(spark):
+    rng = np.random.default_rng(13)
+    words = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 120_000))
+    rows = [(1, words), (2, words + " one more"), (3, "the " * 200_000), (4, "the " * 100), (5, words[: len(words) // 2])]
+    assert kept_ids(spark, rows) == [1, 3, 5]
