@@ -34,9 +34,9 @@ CAPACITY = 4096
 END_ID = 2
 SETTLE_TOKENS = 4 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 300_000
 #: Bytes of text that are split into words at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
