@@ -5,13 +5,18 @@ Evidence, with independent errors assumed given the language:
   all labelled documents; its log-likelihood is tempered, as trigrams overlap,
   and bounded, as no model deserves endless trust;
 - the declared markup language: how often pages of each language (by their text)
-  declare each tag, by grouped counts with smoothing;
+  declare each tag, by grouped counts with smoothing, less the row's own share;
 - the address: priors of the host, smoothed towards its registered domain, that
   towards the address suffix, and that towards all rows; each from grouped sums of
   text posteriors, less the row's own share.
 
 Rows without an address or a declared language go without that evidence.
 
+For documents the model also has an unknown language, UNKNOWN, under which all
+trigrams are alike; text of no trained language falls to it. A document's own
+trigrams, which were counted for its declared language, are left out of that
+language's counts before they judge it.
+
 Defined cases: null text and text without letters have a flat likelihood, and
 what else is known decides; a null, relative or host-less address is no
 evidence; repeated rows are rows of their own; without training rows the language
@@ -40,6 +45,7 @@ TEMPER, MOST = 0.25, 30.0
 #: Rows' worth of trust in the level above, and in an even chance of tags.
 SMOOTHING = 5.0
 LEAST_CHANCE = 0.5
+UNKNOWN = "und"
 SLICE = 1 << 20
 
 
@@ -68,7 +74,7 @@ class TextModel:
     """Log-likelihoods of trigrams by language."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
+        self.languages, self.counts = languages, counts
         self.table = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
@@ -77,9 +83,26 @@ class TextModel:
         own = np.stack([segment_sums(row[bucket].astype(np.float64), begin) for row in self.table], axis=1) * TEMPER if len(self.languages) else np.zeros((len(texts), 0))
         return np.maximum(own - own.max(axis=1, keepdims=True), -MOST) if own.shape[1] else own
 
+    def evidence_without(self, texts: pa.Array, counted: list[str | None]) -> np.ndarray:
+        """`evidence` of texts that were counted for a language, each less its own trigrams."""
+        bucket, begin = letter_trigrams(texts)
+        own = np.stack([segment_sums(row[bucket].astype(np.float64), begin) for row in self.table], axis=1) if len(self.languages) else np.zeros((len(texts), 0))
+        size = np.diff(begin)
+        key, times = np.unique(np.repeat(np.arange(len(texts)), size) * BUCKETS + bucket, return_counts=True)
+        text, bucket = key // BUCKETS, key % BUCKETS
+        for k, name in enumerate(self.languages):
+            mine = np.asarray([c == name for c in counted], bool)
+            if mine.any():
+                part = mine[text]
+                logs = times[part] * np.log(np.maximum(self.counts[k][bucket[part]] - times[part], 0) + 0.5)
+                total = np.maximum(self.counts[k].sum() - size, 0) + 0.5 * BUCKETS
+                own[mine, k] = (np.bincount(text[part], logs, len(texts)) - size * np.log(total))[mine]
+        own *= TEMPER
+        return np.maximum(own - own.max(axis=1, keepdims=True), -MOST) if own.shape[1] else own
+
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
-    """Count the trigrams of all rows whose language is given."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", unknown: bool = False) -> TextModel:
+    """Count the trigrams of all rows whose language is given; with `unknown`, UNKNOWN is a language too, if there is any."""
     bound_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -99,7 +122,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Te
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used), pa.array(counts[used])], ["lang", "bucket", "n"])
 
     found = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique())
+    languages = sorted({*found["lang"], *([UNKNOWN] if unknown and len(found) else [])})
     counts = np.zeros((len(languages), BUCKETS))
     counts[found["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"]
     return TextModel(languages, counts)
@@ -126,8 +149,8 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
 
 
-def evidence(rows: DataFrame, model: TextModel, source: str, markup: bool) -> DataFrame:
-    """`rows` (keys, host, declared, source text) with `text_log` by language; from markup the declared language is read too. The source column goes."""
+def evidence(rows: DataFrame, model: TextModel, source: str, markup: bool, counted: bool = False) -> DataFrame:
+    """`rows` (keys, host, declared, source text) with `text_log` by language; from markup the declared language is read too. With `counted` the texts were counted for their declared language. The source column goes."""
     bound_batches(rows.sparkSession)
     keep = [c for c in rows.columns if c != source]
 
@@ -138,7 +161,8 @@ def evidence(rows: DataFrame, model: TextModel, source: str, markup: bool) -> Da
             if markup:
                 pages = texts.to_pylist()
                 texts, declared = pa.array(map(page_text, pages), pa.string()), pa.array(map(declared_language, pages), pa.string())
-            parts = [model.evidence(texts.slice(a, n)) for a, n in slices(texts, SLICE)]
+            said = declared.to_pylist() if counted else []
+            parts = [model.evidence_without(texts.slice(a, n), said[a : a + n]) if counted else model.evidence(texts.slice(a, n)) for a, n in slices(texts, SLICE)]
             logs = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
             yield pa.RecordBatch.from_arrays([*(declared if c == "declared" else batch.column(c) for c in keep), pa.array(list(logs), pa.list_(pa.float64()))], [*keep, "text_log"])
 
@@ -180,11 +204,13 @@ def fuse(marked: DataFrame, languages: list[str], smoothing: float = SMOOTHING)
     tags = over(rows.filter("declared IS NOT NULL"), "declared")
     tags = saved(tags)
     number, all_tags = tags.count(), [r or 0.0 for r in tags.agg(*(F.sum(F.col("sums")[i]) for i in range(n))).first()]
-    said = tags.selectExpr("declared AS tag", f"transform(zip_with(sums, array({', '.join(f'{t!r}D' for t in all_tags)}), (x, t) -> (x + 1D) / (t + {number}D + 1D)), v -> ln(v)) AS tag_log")
+    said = tags.selectExpr("declared AS tag", "sums AS tag_sums")
+    others = f"zip_with(array({', '.join(f'{t!r}D' for t in all_tags)}), p, (t, y) -> greatest(0D, t - y) + {number}D + 1D)"
+    tag_log = f"zip_with(zip_with(tag_sums, p, (x, y) -> greatest(0D, x - y) + 1D), {others}, (x, t) -> ln(x / t))"
     met = rows.join(checked_broadcast(priors), F.col("host") == F.col("known_host"), "left").join(checked_broadcast(said, number), F.col("declared") == F.col("tag"), "left")
     own = "zip_with(zip_with(sums, p, (x, y) -> greatest(0D, x - y)), domain_prior, (x, q) -> x + 5D * q)".replace("5D", f"{smoothing}D")
     prior = f"coalesce(transform({own}, x -> ln(x / ({total('sums')} - 1D + {smoothing}D))), transform({base}, x -> ln(x)))"
-    joined = f"zip_with(zip_with(text_log, {prior}, (a, b) -> a + b), coalesce(tag_log, array_repeat(0D, {n})), (a, b) -> a + b)"
+    joined = f"zip_with(zip_with(text_log, {prior}, (a, b) -> a + b), coalesce({tag_log}, array_repeat(0D, {n})), (a, b) -> a + b)"
     fused = met.withColumn("fused", F.expr(_softmax(joined)))
     names = f"array({', '.join(repr(v) for v in languages)})"
     best = lambda v: f"element_at({names}, CAST(array_position({v}, array_max({v})) AS INT))"
@@ -201,11 +227,17 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """row_key, lang, chance, text_lang, text_chance and whether there is any letter, of each document; its declared language is `lang`, its host `source`."""
     rows = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"), docs["source"].cast("string").alias("host"), docs["lang"].cast("string").alias("declared"), F.coalesce(docs["text"], F.lit("")).rlike(r"\p{L}").alias("lettered"), docs["text"].cast("string").alias("text"))
-    return fuse(saved(evidence(rows, model, "text", markup=False)), model.languages)
+    return fuse(saved(evidence(rows, model, "text", markup=False, counted=True)), model.languages)
 
 
 def known_language_documents(docs: DataFrame, model: TextModel | None = None, least_chance: float = LEAST_CHANCE) -> DataFrame:
-    """The rows of `docs` that hold letters and whose language has at least `least_chance`."""
-    found = identify_documents(docs, model or train(docs))
-    gone = saved(found.filter(f"NOT lettered OR chance < {least_chance}").select(F.col("row_key").alias("_gone")).distinct())
-    return docs.join(checked_broadcast(gone), F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of `docs` that hold letters and whose language is known with at least `least_chance`, with that language as their `lang`."""
+    found = saved(identify_documents(docs, model or train(docs, unknown=True)))
+    stays = f"lettered AND chance >= {least_chance} AND lang <> '{UNKNOWN}'"
+    gone = saved(found.filter(f"NOT coalesce({stays}, false)").select(F.col("row_key").alias("_gone")).distinct())
+    other = saved(found.filter(f"{stays} AND NOT lang <=> declared").groupBy(F.col("row_key").alias("_other"), F.col("declared").alias("_was")).agg(F.min("lang").alias("_lang")))
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    kept = docs.withColumn("_row_key", key).join(checked_broadcast(gone), F.col("_row_key") == F.col("_gone"), "left_anti")
+    met = (F.col("_row_key") == F.col("_other")) & F.col("lang").cast("string").eqNullSafe(F.col("_was"))
+    corrected = kept.join(checked_broadcast(other), met, "left").withColumn("lang", F.coalesce("_lang", F.col("lang").cast("string")).cast(docs.schema["lang"].dataType))
+    return corrected.select(*docs.columns)

@@ -44,7 +44,7 @@ def brute_fuse(rows, evidence, languages):
         if h:
             up = smooth(domain[".".join(h.split(".")[-2:])], smooth(suffix[h.split(".")[-1]], even))
             prior = (np.maximum(0, host[h] - p[i]) + k * up) / (host[h].sum() - 1 + k)
-        log = evidence[i] + np.log(prior) + (np.log((tags[d] + 1) / (every + len(tags) + 1)) if d else 0)
+        log = evidence[i] + np.log(prior) + (np.log((np.maximum(0, tags[d] - p[i]) + 1) / (np.maximum(0, every - p[i]) + len(tags) + 1)) if d else 0)
         q = np.exp(log - log.max())
         out.append(q / q.sum())
     return np.array(out)
@@ -85,6 +85,33 @@ def test_documents_with_letters_stay(spark):
     assert len(ids) >= 0.99 * docs.count()
 
 
+def test_a_documents_own_trigrams_do_not_judge_it(spark):
+    """`evidence_without` is the evidence of a model that was trained without the text."""
+    rows = [("the cat and the hat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("a hat on the mat", "en"), ("un chien", "fr"), ("the dog", "de"), ("", "en"), ("the dog", None)]
+    frame = lambda some: spark.createDataFrame([(t, v) for t, v in some], "text string, lang string")
+    model = lang.train(frame(rows), unknown=True)
+    got = model.evidence_without(pa.array([t for t, _ in rows]), [v for _, v in rows])
+    assert model.languages == ["de", "en", "fr", "und"]
+    for i, (t, _) in enumerate(rows):
+        rest = lang.train(frame(rows[:i] + rows[i + 1 :]), unknown=True)
+        own = rest.evidence(pa.array([t]))
+        raw = dict(zip(rest.languages, own[0]))
+        assert set(raw) == set(model.languages)
+        assert np.allclose(got[i], [raw[v] for v in model.languages], atol=1e-4)
+
+
+def test_a_mislabelled_document_is_corrected_and_unknown_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(0)
+    russian = " ".join("".join(rng.choice(list("абвгдежзиклмнопрстуфхц"), 6)) for _ in range(80))
+    letters = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(80))
+    english = docs.filter("lang = 'en' AND n_chars > 500").orderBy("doc_id").limit(5).collect()
+    wrong = [(-i - 1, r.text[:400] + f" {i}", "fr" if i % 2 else None, r.source, 1) for i, r in enumerate(english)]
+    more = spark.createDataFrame([*wrong, (-90, russian, "en", "src0", 1), (-91, letters, None, "src1", 1)], DOCS)
+    got = {r.doc_id: r.lang for r in lang.known_language_documents(docs.unionByName(more)).filter("doc_id < 0").collect()}
+    assert got == {w[0]: "en" for w in wrong}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert lang.known_language_documents(docs).count() == 0
