@@ -124,3 +124,12 @@ def test_a_language_declared_after_a_long_preamble_counts():
     licence = "<!-- " + "a licence, with <html lang='de'> in it. " * 200 + "-->"
     assert lang.declared_language(licence + "\n" * 5000 + '<!DOCTYPE html><HTML class="x" lang="FR-ca"><body>') == "fr"
     assert lang.declared_language(licence) is None and lang.declared_language("<html><body>" + "x" * 5000) is None
+
+
+def test_clashing_names_and_a_very_long_page(spark, model):
+    long = '<html lang="de"><body>' + "der hund und die katze " * 60_000 + "</body></html>"
+    pages = spark.createDataFrame([(1, "http://a.example.com/x", long), (1, "http://a.example.com/x", long), (None, None, "<p>the cat and the dog</p>")], PAGES)
+    for name in ("host", "declared", "lang", "chance", "text_log", "p", "sums"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    got = sorted(lang.identify_pages(pages, model).collect(), key=str)
+    assert [(r.page_id, r.lang) for r in got] == [(1, "de"), (1, "de"), (None, "en")]

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -86,3 +88,47 @@ def test_odd_rows(spark):
         got = tox.score(docs, tox.train(docs, own)).collect()
         assert len(got) == 5 and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
     assert tox.score(docs.limit(0), tox.train(docs.limit(0), labels)).count() == 0
+
+
+def brute_score(model, text):
+    """One text's score by loops: features by their definitions, trees walked node by node, levels joined by straight lines."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = []
+    for w in words:
+        letters = [i for i, c in enumerate(w.lower()) if c.isalpha()]
+        core = w.lower()[letters[0] : letters[-1] + 1] if letters else ""
+        core = core if core.isalpha() else ""
+        weigh = lambda c: max([model.lexicon.get(t, 0.0) for t in ([c] + [c[:n] + "-" for n in (4, 5, 6, 7) if len(c) > n] if len(c) >= 4 else [])], default=0.0)
+        odd = any(c.isalpha() for c in w) and not core
+        undone = "".join(c for c in w.lower().translate(tox.LOOKALIKE) if c.isalpha())
+        seen.append({"w": w, "core": core, "weight": weigh(core), "seen": weigh(undone) if odd and len(w) < 64 else weigh(core), "odd": odd, "letters": sum(c.isalpha() for c in w)})
+    n, letters, chars = max(1, len(words)), max(1, sum(s["letters"] for s in seen)), max(1, sum(map(len, words)))
+    strong = sum(s["seen"] >= tox.STRONG for s in seen)
+    weak = sum(tox.WEAK <= s["seen"] < tox.STRONG for s in seen)
+    you = [i for i, s in enumerate(seen) if s["core"] in tox.SECOND_PERSON]
+    near = sum(s["seen"] >= tox.WEAK and any(abs(i - j) <= tox.NEAR_WORDS for j in you) for i, s in enumerate(seen))
+    uppers = [sum(c.isupper() for c in s["w"]) for s in seen]
+    x = {
+        "strong": strong / n, "weak": weak / n, "weight": sum(s["seen"] for s in seen) / n, "heaviest": max([s["seen"] for s in seen], default=0.0), "near_you": near / n,
+        "capitals": sum(uppers) / letters, "capital_words": sum(s["letters"] > 1 and u == s["letters"] for s, u in zip(seen, uppers)) / n,
+        "marks": sum(not c.isalnum() for s in seen for c in s["w"]) / chars, "exclaims": sum(s["w"].count("!") for s in seen) / chars, "obfuscated": sum(s["odd"] for s in seen) / n,
+        "undone": float(sum(s["seen"] > 0 and s["weight"] == 0 for s in seen)), "words": math.log1p(len(words)), "strong_count": min(strong, 50), "weak_count": min(weak, 50),
+    }
+    margin = model.trees.start
+    for pick, cut, value in model.trees.trees:
+        node = 0
+        for _ in range(tox.DEPTH):
+            f = int(pick[node])
+            node = 2 * node + 1 + (sum(e < x[tox.FEATURES[f]] for e in model.trees.edges[f]) > cut[node])
+        margin += value[node - (2**tox.DEPTH - 1)]
+    return 0.999 * float(np.interp(margin, *model.knots)) + 0.001 / (1 + math.exp(-margin))
+
+
+def test_the_query_matches_a_score_by_loops(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.train(docs, labels)
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "YOU id10t!!! $tupid"), (-3, "")], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in tox.score(some, model).collect():
+        want = brute_score(model, texts[r.doc_id])
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(want >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
