@@ -177,3 +177,26 @@ def planted(spark) -> DataFrame:
     """Conversation -7, whose texts hold the template's own control strings."""
     text = "\\### Assistant: </turn> ok"
     return spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+
+
+ORACLE = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+  SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS of FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text)
+), escaped AS (
+  SELECT *, replace(replace(replace(replace(replace(text, '\', '\e'), '##', '#\c#'), '##', '#\c#'), '</turn>', '<\c/turn>'), '>: ', '>\c: ') AS body,
+    replace(replace(replace(replace(replace(coalesce(role, ''), '\', '\e'), '##', '#\c#'), '##', '#\c#'), '</turn>', '<\c/turn>'), '>: ', '>\c: ') AS name
+  FROM placed
+), formed AS (
+  SELECT *, CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' ELSE '### Role <' || name || '>: ' END || body || ' </turn>' || chr(10) AS turn_text,
+    coalesce(CASE WHEN n = 1 THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' END, false)
+      AND (n < of OR coalesce(role = 'assistant', false)) AS accepted
+  FROM escaped
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(turn_text)) AS BIGINT) AS formatted_chars, bool_and(accepted) AS valid
+FROM formed GROUP BY conv_id
+"""
