@@ -8,7 +8,7 @@ text's tokens begin. Per-word work is then done once per distinct word.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,6 +105,34 @@ def words_of(texts: pa.Array) -> Words:
     return Words(distinct, index, begin)
 
 
+class WordTable:
+    """A row of numbers for each word, made once and remembered while the word keeps coming; `make` gives the rows of new words."""
+
+    LIMIT = 300_000
+
+    def __init__(self, make: Callable[[list[str]], np.ndarray]):
+        self.make = make
+        self.known, self.rows = pa.array([], pa.string()), make([])
+        self.met = np.empty(0, np.int64)
+        self.turn = 0
+
+    def of(self, distinct: pa.Array) -> np.ndarray:
+        self.turn += 1
+        if len(self.known) > self.LIMIT:  # the half that was met last stays
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: self.LIMIT // 2])
+            self.known, self.rows, self.met = self.known.take(pa.array(keep)), self.rows[keep], self.met[keep]
+        found = pc.index_in(distinct, self.known)
+        slot = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            new = distinct.filter(pc.is_null(found))
+            slot[slot < 0] = len(self.known) + np.arange(len(new))
+            self.rows = np.concatenate([self.rows, self.make(new.to_pylist())])
+            self.known = pa.concat_arrays([self.known, new])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[slot] = self.turn
+        return self.rows[slot]
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every input bit over the word."""
     x = values.astype(np.uint64, copy=True)

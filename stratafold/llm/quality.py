@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.arrowtext import Words, bound_batches, mixed, segment_sums, slices, text_column, words_of
+from stratafold.llm.arrowtext import Words, WordTable, bound_batches, mixed, segment_sums, slices, text_column, words_of
 from stratafold.llm.shared import checked_broadcast, saved
 
 BUCKETS = 1 << 14
@@ -65,15 +65,18 @@ def _describe(word: str) -> tuple[str, str, int]:
     return letters.lower(), marks, shape
 
 
-def ngram_buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, text that holds it), texts in order within each of the kinds of n-gram."""
+def described(words: list[str]) -> np.ndarray:
+    """(hash of letters, hash of marks, shape) of each word."""
     import xxhash
 
-    described = [_describe(w) for w in words.distinct.to_pylist()]
-    hashed = lambda values: np.fromiter((xxhash.xxh64_intdigest(v, SEED) for v in values), np.uint64, len(described))
-    letters, marks = hashed(d[0] for d in described), hashed(d[1] for d in described)
-    shape = np.fromiter((d[2] for d in described), np.uint64, len(described))
-    letters, marks, shape = (x[words.index] for x in (letters, marks, shape))
+    one = lambda v: xxhash.xxh64_intdigest(v, SEED)
+    return np.array([(one(a), one(b), c) for a, b, c in map(_describe, words)], np.uint64).reshape(-1, 3)
+
+
+def ngram_buckets(words: Words, table: WordTable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, text that holds it), texts in order within each of the kinds of n-gram. `table` remembers `described` words."""
+    rows = table.of(words.distinct) if table else described(words.distinct.to_pylist())
+    letters, marks, shape = (np.ascontiguousarray(x)[words.index] for x in rows.T)
     owner = words.owner()
     pair = owner[1:] == owner[:-1] if len(owner) else np.zeros(0, bool)
     one, two, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -92,11 +95,11 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts of target rows and of all rows (text, target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS))
+        total, table = np.zeros((2, BUCKETS)), WordTable(described)
         for batch in batches:
             texts, target = text_column(batch), batch.column("target").to_numpy(zero_copy_only=False)
             for first, n in slices(texts):
-                buckets, owner = ngram_buckets(words_of(texts.slice(first, n)))
+                buckets, owner = ngram_buckets(words_of(texts.slice(first, n)), table)
                 total[1] += np.bincount(buckets, minlength=BUCKETS)
                 total[0] += np.bincount(buckets[target[first : first + n][owner]], minlength=BUCKETS)
         used = np.flatnonzero(total[1])
@@ -158,10 +161,11 @@ def weigh(docs: DataFrame, labels: DataFrame, seed: int = SEED, sharpness: float
     ratio = log_ratios(*_counts(marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(described)
         for batch in batches:
             texts, weights, grams = text_column(batch), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for first, n in slices(texts):
-                buckets, owner = ngram_buckets(words_of(texts.slice(first, n)))
+                buckets, owner = ngram_buckets(words_of(texts.slice(first, n)), table)
                 weights[first : first + n] = np.bincount(owner, weights=ratio[buckets], minlength=n)
                 grams[first : first + n] = np.bincount(owner, minlength=n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(grams), pa.array(weights)], ["doc_id", "row_key", "n_grams", "log_weight"])
