@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.arrowtext import bound_batches, segment_sums, slices, text_column, words_of
+from stratafold.llm.arrowtext import WordTable, bound_batches, segment_sums, slices, text_column, words_of
 from stratafold.llm.shared import saved
 
 TRAIN_ROWS = 12_000
@@ -80,12 +80,10 @@ def _weight(core: str, lexicon: dict[str, float]) -> float:
     return max((lexicon.get(t, 0.0) for t in terms(core)), default=0.0)
 
 
-def features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
-    """A row of FEATURES for each text."""
-    words = words_of(texts)
-    n, distinct = len(texts), words.distinct.to_pylist()
-    table = np.zeros((len(distinct), 10))
-    for i, w in enumerate(distinct):
+def word_rows(words: list[str], lexicon: dict[str, float]) -> np.ndarray:
+    """Of each word: weight, weight with look-alikes undone, whether it is a second person, length, letters, capitals, whether it is in capitals, exclamation marks, whether it is obfuscated, marks."""
+    table = np.zeros((len(words), 10))
+    for i, w in enumerate(words):
         core = plain(w)
         letters = core if len(core) == len(w) else "".join(c for c in w if c.isalpha())
         weight = _weight(core, lexicon)
@@ -95,7 +93,18 @@ def features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
             seen = _weight(undone(w), lexicon)
         uppers = sum(map(str.isupper, w)) if not w.islower() else 0
         table[i] = (weight, seen, core in SECOND_PERSON, len(w), len(letters), uppers, len(letters) > 1 and uppers == len(letters), w.count("!"), odd, sum(not c.isalnum() for c in w) if len(letters) != len(w) else 0)
-    rows = table[words.index]
+    return table
+
+
+def word_table(lexicon: dict[str, float]) -> WordTable:
+    return WordTable(lambda words: word_rows(words, lexicon))
+
+
+def features(texts: pa.Array, lexicon: dict[str, float], table: WordTable | None = None) -> np.ndarray:
+    """A row of FEATURES for each text. `table` remembers the `word_rows` of words."""
+    words = words_of(texts)
+    n = len(texts)
+    rows = (table.of(words.distinct) if table else word_rows(words.distinct.to_pylist(), lexicon))[words.index]
     weight, seen = rows[:, 0], rows[:, 1]
     count = np.diff(words.begin).astype(float)
     per = lambda x: segment_sums(np.ascontiguousarray(x, dtype=float), words.begin)
@@ -194,10 +203,10 @@ class Model:
     def __init__(self, lexicon: dict[str, float], trees: Trees | None, knots: tuple[np.ndarray, np.ndarray] | None, share: float):
         self.lexicon, self.trees, self.knots, self.share = lexicon, trees, knots, share
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, texts: pa.Array, table: WordTable | None = None) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.share)
-        margin = self.trees.margin(features(texts, self.lexicon))
+        margin = self.trees.margin(features(texts, self.lexicon, table))
         # a thousandth of the uncalibrated chance keeps the order inside a level of the calibration
         return 0.999 * np.interp(margin, *self.knots) + 0.001 / (1 + np.exp(-margin))
 
@@ -279,9 +288,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(packed)
+        table = word_table(own.lexicon)
         for batch in batches:
             texts = text_column(batch)
-            parts = [own.score(texts.slice(a, n)) for a, n in slices(texts)]
+            parts = [own.score(texts.slice(a, n), table) for a, n in slices(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts) if parts else np.empty(0))], ["doc_id", "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
