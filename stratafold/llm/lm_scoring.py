@@ -202,7 +202,7 @@ class Run:
         self.size += int(rest.sum())
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """The run's documents with the losses it can tell, and their pairs by range: sorted codes' places in the range, documents (the highest bit tells the target's) and times."""
+        """The run's documents with the losses it can tell, and their pairs by range: steps between sorted codes, documents (the highest bit tells the target's) and times."""
         if not self.docs:
             return
         codes, times = np.unique(np.concatenate(self.codes), return_counts=True)
@@ -210,13 +210,13 @@ class Run:
         local = sums(own, times, target[doc])
         loss = self.model.losses(unspread(own), local) * times
         losses = np.concatenate(self.known, axis=1) + np.stack([np.bincount(doc, row, len(self.docs)) for row in loss])
-        yield _row(self.base % self.ranges, self.base, b"", b"", b"", (self.docs, np.concatenate(self.words), *losses))
+        yield _row(self.base % self.ranges, self.base, b"", (self.docs, np.concatenate(self.words), *losses))
         place = range_of(own, self.ranges)
         inside = own - first_of(place, self.ranges)
         marked = (doc | np.where(target[doc], 0x8000, 0)).astype("<u2")
         edges = np.flatnonzero(np.diff(place, prepend=-1))
         for a, b in zip(edges, np.append(edges[1:], len(own))):
-            yield _row(int(place[a]), self.base, steps(inside[a:b]), marked[a:b].tobytes(), times[a:b].astype("<u4").tobytes(), None)
+            yield _row(int(place[a]), self.base, planes(steps(inside[a:b]), marked[a:b], times[a:b].astype("<u4")), None)
         self.base += len(self.docs)
         self._begin()
 
@@ -240,31 +240,45 @@ def sums(keys: np.ndarray, times: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(run, times * target), np.bincount(run, times)])[:, run]
 
 
-def steps(sorted_: np.ndarray) -> bytes:
-    """Sorted numbers below 2 ** 40 as the steps between them, byte by byte: the high bytes of all, which are mostly zero, stand together and shrink when sent."""
-    apart = np.diff(sorted_, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return np.ascontiguousarray(apart.T).tobytes()
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, byte by byte: bytes of one rank, which are alike, stand together and shrink."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns))
 
-def unstepped(data: bytes) -> np.ndarray:
-    parts = np.frombuffer(data, np.uint8).reshape(5, -1)
-    apart = np.zeros((parts.shape[1], 8), np.uint8)
-    apart[:, :5] = parts.T
-    return np.cumsum(apart.view("<u8").ravel(), dtype=np.uint64)
 
+def unplaned(data: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
 
-SENT = "range long, base long, pairs binary, docs binary, times binary, ids array<long>, n array<long>, target array<double>, background array<double>"
-_SENT = pa.schema([("range", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("pairs", "docs", "times")), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("target", pa.list_(pa.float64())), ("background", pa.list_(pa.float64()))])
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
 
 
-def _row(place: int, base: int, pairs: bytes, docs: bytes, times: bytes, lists: tuple | None) -> pa.RecordBatch:
-    values = (place, base, pairs, docs, times, *(lists or (None,) * 4))
+def steps(sorted_: np.ndarray) -> np.ndarray:
+    """The steps between sorted numbers."""
+    return np.diff(sorted_, prepend=np.uint64(0)).astype("<u8")
+
+
+SENT = "range long, base long, body binary, ids array<long>, n array<long>, target array<double>, background array<double>"
+_SENT = pa.schema([("range", pa.int64()), ("base", pa.int64()), ("body", pa.binary()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("target", pa.list_(pa.float64())), ("background", pa.list_(pa.float64()))])
+
+
+def _row(place: int, base: int, body: bytes, lists: tuple | None) -> pa.RecordBatch:
+    values = (place, base, body, *(lists or (None,) * 4))
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _SENT)], schema=_SENT)
 
 
 def corrections(model: Model, place: int, ranges: int, held: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(base, documents, (2, n) what to add to their losses) of each run whose pairs others have too; `held` has (base, pairs, docs, times) of all runs of one range."""
-    runs = [(base, unstepped(own), np.frombuffer(docs, "<u2"), np.frombuffer(times, "<u4")) for base, own, docs, times in held]
+    """(base, documents, (2, n) what to add to their losses) of each run whose pairs others have too; `held` has (base, body) of all runs of one range."""
+    runs = []
+    for base, body in held:
+        own, docs, times = unplaned(body, "<u8", "<u2", "<u4")
+        runs.append((base, np.cumsum(own, dtype=np.uint64), docs, times))
     if len(runs) < 2:
         return
     run = np.repeat(np.arange(len(runs)), [len(r[1]) for r in runs])
@@ -328,21 +342,22 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         give_back()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, held in _groups(batches, "range", ("base", "pairs", "docs", "times", "ids", "n", "target", "background")):
+        for place, held in _groups(batches, "range", ("base", "body", "ids", "n", "target", "background")):
             for base, *_, ids, n, target, background in held:
                 if ids is not None:
-                    yield _row(place, base, b"", b"", b"", (ids, n, target, background))
-            for base, docs, more in corrections(sent.value, place, ranges, [h[:4] for h in held if h[4] is None]):
-                yield _row(place, base, b"", docs.tobytes(), b"", (None, None, *more))
+                    yield _row(place, base, b"", (ids, n, target, background))
+            for base, docs, more in corrections(sent.value, place, ranges, [h[:2] for h in held if h[2] is None]):
+                yield _row(place, base, planes(docs, *more.astype("<f8")), None)
         give_back()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _groups(batches, "base", ("docs", "ids", "n", "target", "background")):
+        for _, held in _groups(batches, "base", ("body", "ids", "n", "target", "background")):
             ids, n, *losses = next(h[1:] for h in held if h[1] is not None)
             losses = np.asarray(losses)
-            for docs, none, _, *more in held:
-                if none is None:
-                    losses[:, np.frombuffer(docs, "<u2")] += np.asarray(more)
+            for body, own, *_ in held:
+                if own is None:
+                    docs, *more = unplaned(body, "<u2", "<f8", "<f8")
+                    losses[:, docs] += np.asarray(more)
             count = np.asarray(n, np.int64)
             target, background = losses / np.maximum(count, 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(count), pa.array(target), pa.array(background), pa.array(target - background)], _NAMES)

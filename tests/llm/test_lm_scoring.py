@@ -97,7 +97,9 @@ def test_codes_come_back():
         place = lm.range_of(codes, ranges)
         for part in np.unique(place):
             inside = np.sort(codes[place == part] - lm.first_of(int(part), ranges))
-            assert (lm.unstepped(lm.steps(inside)) == inside).all()
+            docs, half = np.arange(len(inside)).astype("<u2"), inside * 0.5
+            back = lm.unplaned(lm.planes(lm.steps(inside), docs, half), "<u8", "<u2", "<f8")
+            assert (np.cumsum(back[0], dtype=np.uint64) == inside).all() and (back[1] == docs).all() and (back[2] == half).all()
         assert place.min() >= 0 and place.max() < ranges and (codes >= lm.first_of(place, ranges)).all()
 
 
