@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -388,23 +388,35 @@ class _Bits:
         return (self.window[at >> 3] << (at & 7)) & ((1 << 56) - 1)
 
 
+@lru_cache(maxsize=128)
+def _alone(own: tuple[int, int], wide: int) -> np.ndarray:
+    """Places of a component's own blocks, row by row, if it is sent alone."""
+    return (np.arange(own[0])[:, None] * wide + np.arange(own[1])[None, :]).ravel()
+
+
+@lru_cache(maxsize=128)
+def _together(units: tuple[int, int], sides: tuple[tuple[int, int], ...], bases: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(place of each block, index of its component, blocks of a unit) if components of `sides` blocks down and across a unit are sent together."""
+    places, which = [], []
+    for k, ((down, across), base) in enumerate(zip(sides, bases)):
+        number = np.arange(units[0] * down * units[1] * across).reshape(units[0], down, units[1], across).transpose(0, 2, 1, 3).reshape(units[0] * units[1], -1)
+        places.append(base + number)
+        which.append(np.full(number.shape, k))
+    place = np.concatenate(places, axis=1)
+    return place.ravel(), np.concatenate(which, axis=1).ravel(), place.shape[1]
+
+
 def _layout(image: Image, scan: tuple) -> tuple[np.ndarray, np.ndarray, int]:
-    """(place of each block in sending order, index of its component in the scan, blocks between restarts)."""
+    """(place of each block in sending order, index of its component in the scan, blocks between restarts). Images of one shape share what doesn't hang on where their blocks begin."""
     picks, every = scan[0], scan[6]
+    some = [image.components[p] for p in picks]
+    base = some[0].base
     if len(picks) == 1:
-        c = image.components[picks[0]]
-        place = c.base + (np.arange(c.own[0])[:, None] * c.blocks[1] + np.arange(c.own[1])[None, :]).ravel()
+        place = base + _alone(some[0].own, some[0].blocks[1])
         return place, np.zeros(len(place), np.int64), every or len(place)
-    units_high = image.components[picks[0]].blocks[0] // image.components[picks[0]].down
-    units_wide = image.components[picks[0]].blocks[1] // image.components[picks[0]].across
-    places, which = [], []
-    for k, p in enumerate(picks):
-        c = image.components[p]
-        number = np.arange(c.blocks[0] * c.blocks[1]).reshape(units_high, c.down, units_wide, c.across).transpose(0, 2, 1, 3).reshape(units_high * units_wide, -1)
-        places.append(c.base + number)
-        which.append(np.full(number.shape, k))
-    place = np.concatenate(places, axis=1)
-    return place.ravel(), np.concatenate(which, axis=1).ravel(), (every or len(place)) * place.shape[1]
+    units = some[0].blocks[0] // some[0].down, some[0].blocks[1] // some[0].across
+    place, which, size = _together(units, tuple((c.down, c.across) for c in some), tuple(c.base - base for c in some))
+    return base + place, which, (every or units[0] * units[1]) * size
 
 
 def _read_scan(group: list[tuple[Image, tuple]], out: np.ndarray) -> None:
@@ -562,7 +574,10 @@ def _basis() -> np.ndarray:
 def samples(blocks: np.ndarray, quant: np.ndarray) -> np.ndarray:
     """8-bit samples of blocks of quantised coefficients. Sums of integers below 2**53 are exact, in any order."""
     sums = (blocks * quant).astype(np.float64) @ _basis()
-    return np.clip(np.floor(sums / 2**20 + 0.5) + 128, 0, 255).astype(np.uint8)
+    sums *= 2.0**-20
+    sums += 128.5
+    np.floor(sums, out=sums)
+    return np.clip(sums, 0, 255, out=sums).astype(np.uint8)
 
 
 def rgb(image: Image, coefficients: np.ndarray) -> np.ndarray:

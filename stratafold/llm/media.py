@@ -32,7 +32,7 @@ from stratafold.llm import jpeg
 from stratafold.llm.arrowtext import bound_batches, slices, text_column
 
 FRAME_BYTES = 1 << 20
-SLICE = 1 << 20
+SLICE = 2 << 20
 UNIT = 384
 
 
@@ -86,14 +86,16 @@ def parse_all(media: bytes) -> list[jpeg.Image]:
 def feature_of(tensors: list[np.ndarray]) -> str:
     """Number of tensors, size of the first, mean colour in thousandths, and a 4 x 4 thumbnail of brightness, both over all tensors."""
     first = tensors[0]
-    sums = sum(t.sum(axis=(0, 1), dtype=np.int64) for t in tensors)
-    cells = sum(t.shape[0] * t.shape[1] for t in tensors)
+    sums, cells = np.zeros(3, np.int64), 0
     bright, area = np.zeros((4, 4), np.int64), np.zeros((4, 4), np.int64)
     for t in tensors:
-        grey = t.sum(axis=2, dtype=np.int64)
-        rows, cols = (np.arange(4) * n // 4 for n in grey.shape)
-        bright += np.add.reduceat(np.add.reduceat(grey, rows, axis=0), cols, axis=1)
-        area += np.outer(*(np.diff(edge, append=n) for edge, n in zip((rows, cols), grey.shape)))
+        down, across = ([n * k // 4 for k in range(4)] for n in t.shape[:2])
+        bands = np.add.reduceat(t, down, axis=0, dtype=np.uint32)  # of the four bands: columns and colours
+        parts = np.add.reduceat(bands, across, axis=1, dtype=np.int64)
+        sums += parts.sum(axis=(0, 1))
+        bright += parts.sum(axis=2)
+        area += np.outer(*([b - a for a, b in zip(edge, [*edge[1:], n])] for edge, n in zip((down, across), t.shape)))
+        cells += t.shape[0] * t.shape[1]
     thumb = bright // (3 * area)
     return f"{len(tensors)}x{first.shape[1]}x{first.shape[0]};{','.join(str(int(s) * 1000 // cells) for s in sums)};{''.join(f'{min(255, int(v)):02x}' for v in thumb.ravel())}"
 
@@ -120,7 +122,7 @@ def encode(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") ->
 def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[int, list[jpeg.Image], np.ndarray]]:
     """(row, its images, coefficients of the images read along with them)."""
     media = batch.column("media")
-    for first, n in slices(media, 2 * SLICE):
+    for first, n in slices(media, SLICE):
         stored = [parse_all(m) for m in media.slice(first, n).to_pylist()]
         flat = [image for images in stored for image in images]
         coefficients = jpeg.read(flat)
