@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import chat, fingerprints, language, lm_scoring, media, mixing, packing, quality, simhash_pivot, toxicity
+from stratafold.llm import chat, filter_audit, fingerprints, language, lm_scoring, media, mixing, packing, phrases, quality, simhash_pivot, toxicity, vector_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,17 @@ def op10_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_splitting_tree_mix, op3_importance_resampling, op4_progressive_jpeg_media, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op7_evidence_fusion_language, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine)}
-ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE, "op10_chat_state_machine": chat.ORACLE}
+def op11_vector_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_automaton_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_splitting_tree_mix, op3_importance_resampling, op4_progressive_jpeg_media, op5_boosted_tree_toxicity, op6_simhash_pivot_tables, op7_evidence_fusion_language, op8_sum_of_squares_packing, op9_simhash_block_tables, op10_chat_state_machine, op11_vector_best_fit_packing, op12_suffix_automaton_collocations, op13_filter_interaction_audit)}
+ORACLE_SQL: dict[str, str] = {"op2_splitting_tree_mix": mixing.ORACLE, "op10_chat_state_machine": chat.ORACLE, "op12_suffix_automaton_collocations": phrases.ORACLE, "op13_filter_interaction_audit": filter_audit.ORACLE}
