@@ -7,7 +7,8 @@ suffix (its suffix link) and its prefix of level k - 1; its endpos count is the
 number of places where it ends. Phrases whose endpos are those of a longer one
 are one state with it. Links stop at infrequent phrases: a phrase can only be
 frequent if its suffix and prefix are, so levels are counted in turn, one word,
-two, then three and four, by grouped sums over 64-bit keys that the automata send,
+two, then three and four, by grouped sums over 40-bit keys that the automata send
+(BUCKETS rows a shard: 13 bits name the row, 27 bits and a count fill an int each),
 and keys of frequent phrases set bits in a filter of a fixed FILTER_BITS. The filter
 may let too much through (keys that collide, or more phrases than it has bits), never
 too little. The last pass sends the phrases themselves, by states, and their exact
@@ -43,6 +44,8 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 SCALE, LEAST_COVER = 2_000_000, (80, 100)
 #: Bytes of text in one automaton, and bits of the filter (16 MB, in the driver and each task).
 SHARD, FILTER_BITS = 8 << 20, 1 << 27
+#: Rows of a shard's keys, by their highest bits; the bits after them, and those of the count that is sent beside.
+BUCKETS, LOW_BITS, COUNT_BITS = 1 << 13, 27, 5
 #: Parts in which a language's best are looked for first.
 TOP_PARTS = 64
 BREAKS = ".,;:!?\n\v\f\r"
@@ -191,9 +194,26 @@ class SuffixAutomaton:
         return pc.binary_join_element_wise(*columns, " ") if k > 1 else columns[0]
 
 
+def _low(key: np.ndarray) -> np.ndarray:
+    """The LOW_BITS bits of a key behind those of its bucket."""
+    return key >> np.uint64(64 - LOW_BITS - (BUCKETS - 1).bit_length()) & np.uint64((1 << LOW_BITS) - 1)
+
+
+def packed_keys(key: np.ndarray, count: np.ndarray, unit: int) -> tuple[np.ndarray, pa.Array]:
+    """(buckets, ints of each): a key's low bits above its count in units, rounded up and cut where one shard alone makes a phrase frequent."""
+    order = np.argsort(key)
+    key = key[order]
+    units = np.minimum(-(-count[order] // unit), (1 << COUNT_BITS) - 1)
+    values = (_low(key) << np.uint64(COUNT_BITS) | units.astype(np.uint64)).astype(np.uint32).view(np.int32)
+    bucket = (key >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int32)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+    return bucket[first], pa.ListArray.from_arrays(offsets, pa.array(values))
+
+
 def holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which keys the filter may hold."""
-    bit = key & np.uint64(64 * len(bits) - 1)
+    bit = _low(key) & np.uint64(64 * len(bits) - 1)
     return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -218,17 +238,19 @@ def _frequent_bits(source: DataFrame, depths: tuple[int, ...], bits: np.ndarray
     spark = source.sparkSession
     known = None if bits is None else spark.sparkContext.broadcast(bits)
 
+    unit = -(-least // ((1 << COUNT_BITS) - 1))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for automaton, _, _ in _automata(batches, max(depths), known, min(depths) - 1):
             for level in (automaton.levels[k - 1] for k in depths if k <= len(automaton.levels)):
                 met = level.count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(level.key[met].view(np.int64)), pa.array(level.count[met])], ["key", "n"])
+                yield pa.RecordBatch.from_arrays(list(packed_keys(level.key[met], level.count[met], unit)), ["bucket", "keys"])
 
-    bit = F.col("key").bitwiseAND(F.lit(size - 1))
-    found = (
-        source.mapInArrow(send, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        .groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
-    )
+    sent = source.mapInArrow(send, "bucket int, keys array<int>").repartition("bucket").select("bucket", F.explode("keys").alias("x"))
+    low = F.shiftrightunsigned("x", COUNT_BITS)
+    summed = sent.groupBy("bucket", low.alias("low")).agg(F.sum(F.col("x").bitwiseAND((1 << COUNT_BITS) - 1)).alias("units")).filter(F.col("units") * unit >= least)
+    bit = F.col("low").bitwiseAND(size - 1)
+    found = summed.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))).alias("bits"))
     rows = found.toArrow()  # at most a row for 64 bits of the filter
     out = np.zeros(size // 64, np.uint64) if bits is None else bits
     out[rows.column("word").to_numpy()] |= rows.column("bits").to_numpy().view(np.uint64)
@@ -271,8 +293,8 @@ def _exact(c: Column | str) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang", filter_bits: int = FILTER_BITS) -> DataFrame:
     """Each language's first `top` phrases by score: lang, rank, phrase, a, l, r, n, score. See the module's text."""
-    if least < 1 or top < 1 or filter_bits < 64 or filter_bits & (filter_bits - 1):
-        raise ValueError("least and top are at least 1, filter_bits is a power of two from 64 on")
+    if least < 1 or top < 1 or not 64 <= filter_bits <= 1 << LOW_BITS or filter_bits & (filter_bits - 1):
+        raise ValueError("least and top are at least 1, filter_bits is a power of two from 64 to 2^LOW_BITS")
     counts = phrase_counts(docs, least, text_col, lang_col, filter_bits)
     totals = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     known = counts.filter("words > 0").select("lang", "phrase", "f")
