@@ -36,7 +36,7 @@ def snap_points(name: str = "AttachedSnapPoints") -> Column:
 
 def by_guid(lists: DataFrame, nodes: DataFrame, keep_missing: bool) -> DataFrame:
     """Rows (guid, ord, other, label) met with the last node that has the other guid; with `keep_missing` a guid that leads nowhere keeps its label as a name."""
-    last = last_by(nodes.select(F.col("guid").alias("other"), F.array_join(F.transform("path", lambda p: F.lpad(p.cast("string"), 6, "0")), ".").alias("_o"), "nickname"), ["other"], "_o").drop("_o")
+    last = last_by(nodes.select(F.col("guid").alias("other"), F.col("path").alias("_o"), "nickname"), ["other"], "_o").drop("_o")
     met = lists.join(last, "other", "left" if keep_missing else "inner")
     return met.withColumn("name", F.coalesce("nickname", "label")).drop("nickname")
 
@@ -110,14 +110,15 @@ def map_tiles(nodes: DataFrame, scripts: DataFrame, tile_type: int = 1) -> DataF
 
 
 def _placed(rows: DataFrame, boxes: dict[str, str], default: str) -> DataFrame:
-    return rows.withColumns({"place": F.array_join("ancestry", " / "), "box": F.coalesce(first_mapped(F.col("ancestry"), boxes), F.lit(default)), "ord": F.concat_ws(".", F.transform("path", lambda p: F.lpad(p.cast("string"), 6, "0")))})
+    return rows.withColumns({"place": F.col("ancestry"), "box": F.coalesce(first_mapped(F.col("ancestry"), boxes), F.lit(default))})
 
 
 def chips(nodes: DataFrame, prefix: str, boxes: dict[str, str], default_box: str = "base") -> DataFrame:
-    """Custom tiles whose script begins with a prefix, keyed by their notes: copies by image pair, per place and per box."""
+    """Custom tiles whose script begins with a prefix, keyed by their notes: copies by image pair, per place (its ancestors' names) and per box; a tile without a face is none."""
     rows = nodes.filter((F.col("kind") == "Custom_Tile") & F.startswith("script", F.lit(prefix)) & text(F.col("notes")).isNotNull())
-    rows = rows.withColumns({"key": title_key(text(F.col("notes"))), "image": F.variant_get("node", "$.CustomImage.ImageURL", "string"), "back": F.variant_get("node", "$.CustomImage.ImageSecondaryURL", "string")})
-    return merged(_placed(rows, boxes, default_box), ["key", "image", "back"], "ord", first=["nickname"], fill=["description"], unite=["tags"], place="place", box="box")
+    rows = rows.withColumn("image", text(F.variant_get("node", "$.CustomImage.ImageURL", "string"))).filter("image IS NOT NULL")
+    rows = rows.withColumns({"key": title_key(text(F.col("notes"))), "back": F.variant_get("node", "$.CustomImage.ImageSecondaryURL", "string")})
+    return merged(_placed(rows, boxes, default_box), ["key", "image", "back"], "path", first=["nickname"], fill=["description"], unite=["tags"], place="place", box="box")
 
 
 def faced(nodes: DataFrame, faces: DataFrame) -> DataFrame:

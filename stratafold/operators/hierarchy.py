@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.functions.text import title_key, title_text
+from stratafold.operators.ranges import RANGE_ROWS, folded
 from stratafold.plans.target import prefixes
 
+LEVELS = 8
+
 
 def clamp_level(level: Column) -> Column:
     return F.least(F.lit(8), F.greatest(F.lit(1), level))
@@ -51,6 +54,29 @@ def heading_levels(strengths: Column, levels: Column | None = None) -> Column:
     return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
+def _open_headings(state: list, row: tuple) -> tuple[list, tuple]:
+    """One heading's level among the open ones, and what it leaves open: `state` holds the strengths open at levels 1, 2, ..., null for levels passed over."""
+    strength, level = row
+    if level is None:
+        stronger = [i for i, s in enumerate(state, 1) if s is not None and s < strength]
+        level = min(LEVELS, (stronger[-1] if stronger else 0) + 1)
+    return [*state[: level - 1], *[None] * (level - 1 - len(state)), strength], (level,)
+
+
+def with_heading_levels(headings: DataFrame, doc: str, order: str, strength: str = "strength", level: str | None = None, name: str = "heading_level", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One heading a row, with its level: the one given in column `level`, else one below the lowest open stronger heading, at most 8.
+
+    A heading closes those of lower levels and the one of its own, so what decides
+    is the nearest stronger heading that is still open. Documents may be of any
+    size: ranges of headings run at the same time (`ranges.folded`). A given level
+    must lie in 1 to 8, and a strength must not be null.
+    """
+    given = F.lit(None).cast("int") if level is None else F.col(level).cast("int")
+    bad = F.col(strength).isNull() | F.coalesce(~given.between(1, LEVELS), F.lit(False))
+    checked = headings.withColumn("_given", F.when(bad, F.raise_error(F.lit("a heading needs a strength, and a level from 1 to 8 if any")).cast("int")).otherwise(given))
+    return folded(checked, [doc], [order], [strength, "_given"], _open_headings, [], f"`{name}` int", range_rows).drop("_given")
+
+
 def descendants(sections: DataFrame, parents: DataFrame) -> DataFrame:
     """Each (source, id) of parents with its descendants: parent_id and the section's columns."""
     under = sections.withColumn("parent_id", F.explode(prefixes(F.col("id"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from stratafold.operators.ranges import RANGE_ROWS, folded
 from stratafold.session import saved
 
 
@@ -135,3 +136,57 @@ def _rows(texts: pd.Series, room: pd.Series, fixed: pd.Series, gap: pd.Series) -
 def packed_rows(texts: Column, room: Column, card: Column, entry_gap: Column, row_gap: Column) -> Column:
     """The row and the justified text width of each entry (a card, a gap and a text) when rows are filled greedily in order; a row's rest is shared by its texts in proportion."""
     return _rows(texts, room, card + entry_gap, row_gap)
+
+
+def rows_filled(entries: DataFrame, group: list[str], order: str, text: str, room: float, card: float, entry_gap: float, row_gap: float, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """`entries` with row_start (the order of the first entry of its row), row (from 0) and width, when rows are filled greedily in order.
+
+    An entry is a card, a gap and a text at least 1 and at most what the room leaves;
+    it opens a row if it doesn't fit behind a row gap, and what a row has left is
+    shared by its texts in proportion. A group may be of any size: the room left
+    crosses batches and ranges (`ranges.folded`), rows are numbered by their starts,
+    and a row's sums are grouped. Without room there are no rows; a null text counts
+    as the least one.
+    """
+    fixed = card + entry_gap
+    least = F.least(F.greatest(F.coalesce(F.col(text).cast("double"), F.lit(1.0)), F.lit(1.0)), F.lit(max(1.0, room - fixed)))
+
+    def step(state: list, row: tuple) -> tuple[list, tuple]:
+        need, at = row[0] + fixed, row[1]
+        start, left = state
+        if start is None or need + row_gap > left:
+            return [at, room - need], (at,)
+        return [start, left - row_gap - need], (start,)
+
+    if room <= 0:
+        return entries.limit(0).selectExpr("*", f"CAST(`{order}` AS BIGINT) AS row_start", "0 AS row", "0.0D AS width")
+    wanted = entries.withColumns({"_text": least, "_at": F.col(order).cast("long")})
+    filled = saved(folded(wanted, group, [order], ["_text", "_at"], step, [None, 0.0], "row_start long", range_rows))
+    sums = filled.groupBy(*group, "row_start").agg(F.sum("_text").alias("_texts"), F.count("*").alias("_n"))
+    # a group's rows are far fewer than its entries; they are numbered by their starts
+    rows = placed_within(sums, group, "row_start").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("row_start").alias("_s"), "_texts", "_n", (F.col("place") - 1).cast("int").alias("row"))
+    same = F.col("row_start") == F.col("_s")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    joined = filled.join(rows, same)
+    used = F.col("_texts") + F.col("_n") * fixed + (F.col("_n") - 1) * row_gap
+    width = F.col("_text") * (1 + F.greatest(F.lit(0.0), F.lit(room) - used) / F.col("_texts"))
+    return joined.withColumn("width", width).select(*entries.columns, "row_start", "row", "width")
+
+
+def placed_within(df: DataFrame, group: list[str], order: str, name: str = "place", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """`df` with each row's place, from 1, in its group, which may be of any size: ranges number their rows, and a range goes on behind the group's rows in the ranges before it."""
+    keys = [F.col(c) for c in (*group, order)]
+    ranges = max(1, -(-df.count() // range_rows))
+    dealt = saved(df.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("_range", *group).orderBy(order))
+    if ranges == 1:
+        return dealt.withColumn(name, inside.cast("long")).drop("_range")
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range", *group).count().withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    late = counts.filter("_before > 0").select(F.col("_range").alias("_r"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(group)), "_before")
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = dealt.withColumn(name, inside.cast("long")).join(F.broadcast(late), same, "left")  # at most one group of a range goes on
+    return joined.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).select(*df.columns, name)

@@ -138,8 +138,8 @@ def extracted(nodes: DataFrame, condition: Column, key: Column, identity: list[s
     from stratafold.functions.text import first_mapped
     from stratafold.operators.aggregates import merged
 
-    rows = nodes.filter(condition).withColumns({"key": key, "place": F.array_join("ancestry", " / "), "box": F.coalesce(first_mapped(F.col("ancestry"), boxes), F.lit(default_box)), "ord": F.concat_ws(".", F.transform("path", lambda p: F.lpad(p.cast("string"), 6, "0")))})
-    return merged(rows, ["key", *identity], "ord", first=["nickname"], fill=["description"], unite=["tags"], place="place", box="box")
+    rows = nodes.filter(condition).withColumns({"key": key, "place": F.col("ancestry"), "box": F.coalesce(first_mapped(F.col("ancestry"), boxes), F.lit(default_box))})
+    return merged(rows, ["key", *identity], "path", first=["nickname"], fill=["description"], unite=["tags"], place="place", box="box")
 
 
 def guid_lists(scripts: DataFrame, script: str = "script") -> DataFrame:

@@ -566,7 +566,7 @@ def nearest_typed_ancestor(t):
 def tree_extract_entities(t):
     nodes = tree.named(tree.flatten(_saves(t)))
     out = tree.extracted(nodes, F.col("kind") == "Card", F.col("nickname"), ["kind"], {"A": "a", "N": "n"})
-    return out.select("key", "copies", F.array_join(F.array_sort(F.transform("locations", lambda x: x["value"])), ",").alias("places"))
+    return out.select("key", "copies", F.array_join(F.array_sort(F.transform("locations", lambda x: F.array_join(x["value"], " / "))), ",").alias("places"))
 
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, arg_min(role, turn) AS opens, arg_max(role, turn) AS closes FROM conversations GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratafold import jobs
@@ -104,11 +105,40 @@ def next_ids(t):
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem), s AS (SELECT *, coalesce(max(CASE WHEN l_returnflag = 'R' THEN rn END) OVER (PARTITION BY l_orderkey ORDER BY rn), 1) AS since FROM r)
-SELECT l_orderkey, string_agg(CAST(least(8, rn - since + 1) AS VARCHAR), ',' ORDER BY rn) AS levels FROM s GROUP BY 1""")
+SELECT l_orderkey, CAST(rn AS INTEGER) AS n, CAST(least(8, rn - since + 1) AS INTEGER) AS level FROM s""")
 def heading_strengths(t):
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("r"))
-    strengths, given = F.transform("r", lambda _, i: i + 1), F.transform("r", lambda r: F.when(r["l_returnflag"] == "R", 1))
-    return rows.select("l_orderkey", F.array_join(F.transform(hierarchy.heading_levels(strengths, given), lambda x: x.cast("string")), ",").alias("levels"))
+    rows = _lines_numbered(t).selectExpr("l_orderkey", "n", "n AS strength", "CASE WHEN l_returnflag = 'R' THEN 1 END AS given")
+    return hierarchy.with_heading_levels(rows, "l_orderkey", "n", level="given", name="level").select("l_orderkey", "n", "level")
+
+
+def _lines_numbered(t):
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return t.lineitem.select("l_orderkey", n.alias("n"), "l_partkey", "l_returnflag")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, greatest(1.0, least(value, 85.0)) AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, w, 0 AS row, 15.0 + w AS used FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.n, e.w, CASE WHEN f.used + 2.0 + 15.0 + e.w > 100.0 THEN f.row + 1 ELSE f.row END, CASE WHEN f.used + 2.0 + 15.0 + e.w > 100.0 THEN 15.0 + e.w ELSE f.used + 2.0 + 15.0 + e.w END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT event_id, row, round(w * (1 + greatest(0.0, 100.0 - max(used) OVER r) / sum(w) OVER r), 6) AS width FROM f WINDOW r AS (PARTITION BY user_id, row)""")
+def row_packing(t):
+    rows = ordered.rows_filled(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 100.0, 10.0, 5.0, 2.0)
+    return rows.select("event_id", "row", F.round("width", 6).alias("width"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN 'heading' WHEN l_returnflag = 'R' THEN 'bullet' ELSE 'text' END AS k FROM lineitem),
+s AS (SELECT *, lag(k) OVER w AS before, last_value(CASE WHEN k <> 'text' THEN k END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reading FROM r WINDOW w AS (PARTITION BY doc ORDER BY n)),
+u AS (SELECT *, CASE WHEN k = 'heading' THEN 'heading' WHEN k = 'bullet' OR reading = 'bullet' THEN 'bullets' ELSE 'para' END AS kind, CASE WHEN k = 'heading' OR (k = 'bullet' AND reading IS DISTINCT FROM 'bullet') OR (k = 'text' AND reading IS DISTINCT FROM 'bullet' AND (before IS NULL OR before = 'heading')) THEN n END AS opens FROM s),
+v AS (SELECT *, max(opens) OVER (PARTITION BY doc ORDER BY n) AS item, CASE WHEN kind = 'bullets' THEN max(CASE WHEN k = 'bullet' THEN n END) OVER (PARTITION BY doc ORDER BY n) END AS bullet FROM u),
+p AS (SELECT doc, item, kind, bullet, CASE WHEN kind = 'bullets' THEN '- ' ELSE '' END || string_agg(CASE k WHEN 'bullet' THEN '**b' || l_partkey || '**' WHEN 'heading' THEN 'h ' || l_partkey ELSE 't' || l_partkey END, ' ' ORDER BY n) AS part FROM v GROUP BY doc, item, kind, bullet)
+SELECT CAST(doc AS VARCHAR) AS doc, CAST(item AS BIGINT) AS ord, kind, CASE WHEN kind = 'heading' THEN 1 END AS level, string_agg(part, chr(10) ORDER BY bullet) AS text FROM p GROUP BY doc, item, kind""")
+def line_items(t):
+    span = lambda text, font, size, colour: f"struct({text} AS text, '{font}' AS font, {size}D AS size, '{colour}' AS colour)"
+    spans = f"""CASE WHEN l_partkey % 5 = 0 THEN array({span("concat('h  ', l_partkey)", "Fancy", 18.4, "red")})
+        WHEN l_returnflag = 'R' THEN array({span("'\u2022'", "Serif", 10.0, "black")}, {span("concat(' b', l_partkey)", "Serif-Bold", 10.0, "black")})
+        ELSE array({span("concat('t', l_partkey, ' ')", "Serif", 10.0, "black")}) END"""
+    lines = _lines_numbered(t).selectExpr("CAST(l_orderkey AS STRING) AS doc", "1 AS page", "1 AS block", "CAST(n AS BIGINT) AS ord", "100D AS x1", f"{spans} AS spans")
+    items = pages.line_items(lines, [("Fancy", 18, "red", 1)], "Serif-Bold", ["black"])
+    return items.select("doc", "ord", "kind", "level", "text")
 
 
 @query("SELECT event_id, CASE WHEN value > 40 THEN 2 WHEN event_id % 100 + value / 2 < 50 THEN 0 ELSE 1 END AS col, event_id % 100 >= 10 AND event_id % 100 + value <= 90 AS within, CAST(least(2, floor((event_id % 100) * 3 / 100.0)) AS INTEGER) AS third FROM events")
@@ -310,7 +340,7 @@ def guid_links(t):
 @query("""SELECT p_type || ', ' || p_brand AS key, 'http://a/f' || p_size % 3 AS image, count(*) AS copies, p_brand || ':' || count(*) AS places, arg_min(p_name, p_partkey) AS nickname FROM part WHERE p_size % 2 = 0 GROUP BY p_type, p_brand, p_size % 3""")
 def chip_extraction(t):
     rows = entities.chips(_tiles(t), "-- chip", {}, "base")
-    return rows.select("key", "image", "copies", F.array_join(F.transform("locations", lambda x: F.concat(x["value"], F.lit(":"), x["count"].cast("string"))), ",").alias("places"), "nickname")
+    return rows.select("key", "image", "copies", F.array_join(F.transform("locations", lambda x: F.concat(F.array_join(x["value"], " / "), F.lit(":"), x["count"].cast("string"))), ",").alias("places"), "nickname")
 
 
 @query("SELECT 't' || p_partkey AS guid, 'http://a/f' || p_size % 3 AS face, CASE p_size % 3 WHEN 0 THEN 'site' ELSE 'civ' END AS site_kind FROM part WHERE p_size % 3 = 1 AND p_size % 5 = 0")

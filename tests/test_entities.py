@@ -22,7 +22,23 @@ def test_chips_count_copies_per_place(spark):
     chip = lambda g: tile(g, "x", "f", "k", GMNotes=" Wolf’s Den ", LuaScript="-- chip\nz")
     rows = en.chips(nodes_of(spark, bag("Forest", chip("1"), chip("2")), chip("3"), tile("4", LuaScript="other")), "-- chip", {"Forest": "wild"}).collect()
     assert len(rows) == 1 and rows[0].key == "Wolfs Den" and rows[0].copies == 3
-    assert [(x.value, x["count"]) for x in rows[0].boxes] == [("wild", 2), ("base", 1)] and [(x.value, x["count"]) for x in rows[0].locations] == [("Forest", 2), ("", 1)]
+    assert [(x.value, x["count"]) for x in rows[0].boxes] == [("wild", 2), ("base", 1)] and [(x.value, x["count"]) for x in rows[0].locations] == [(["Forest"], 2), ([], 1)]
+    assert en.chips(nodes_of(spark, tile("5", "x", None, "k", GMNotes="n", LuaScript="-- chip"), tile("6", "x", " ", "k", GMNotes="n", LuaScript="-- chip")), "-- chip", {}).count() == 0
+
+
+PLACES = "source string, path array<int>, ancestry array<string>, lineage array<struct<kind: string, guid: string, name: string>>, guid string, kind string, nickname string, description string, notes string, script string, tags array<string>"
+
+
+def test_places_order_as_numbers_and_ancestors_one_by_one(spark):
+    row = lambda place, name, ancestry: ("s", [0, place], ancestry, [], "g", "Custom_Tile", name, f"about {name}", "N", "-- chip", [])
+    rows = [row(1_000_001, "last", ["a / b"]), row(999_999, "first", ["a", "b"]), row(1_000_000, "middle", ["a / b"])]
+    nodes = spark.createDataFrame(rows, PLACES).withColumn("node", F.parse_json(F.lit('{"CustomImage": {"ImageURL": "f"}}')))
+    (chip,) = en.chips(nodes, "-- chip", {}).collect()
+    assert (chip.nickname, chip.description) == ("first", "about first") and [(x.value, x["count"]) for x in chip.locations] == [(["a", "b"], 1), (["a / b"], 2)]
+    (one,) = tree.extracted(nodes, F.lit(True), F.col("notes"), ["guid"], {}).collect()
+    assert (one.nickname, one.description) == ("first", "about first") and [(x.value, x["count"]) for x in one.locations] == [(["a", "b"], 1), (["a / b"], 2)]
+    lists = spark.createDataFrame([("s", 0, "g", "L")], "guid string, ord int, other string, label string")
+    assert [r.name for r in en.by_guid(lists, nodes, False).collect()] == ["last"]
 
 
 def test_sites_by_face(spark):
