@@ -152,25 +152,25 @@ def rows_filled(entries: DataFrame, group: list[str], order: str, text: str, roo
     least = F.least(F.greatest(F.coalesce(F.col(text).cast("double"), F.lit(1.0)), F.lit(1.0)), F.lit(max(1.0, room - fixed)))
 
     def step(state: list, row: tuple) -> tuple[list, tuple]:
-        need, at = row[0] + fixed, row[1]
-        start, left = state
-        if start is None or need + row_gap > left:
-            return [at, room - need], (at,)
-        return [start, left - row_gap - need], (start,)
+        need, at = fixed + row[0], row[1]
+        start, used = state
+        if start is None or used + row_gap + need > room:
+            return [at, need], (at, need)
+        used += need + row_gap
+        return [start, used], (start, used)
 
     if room <= 0:
         return entries.limit(0).selectExpr("*", f"CAST(`{order}` AS BIGINT) AS row_start", "0 AS row", "0.0D AS width")
     wanted = entries.withColumns({"_text": least, "_at": F.col(order).cast("long")})
-    filled = saved(folded(wanted, group, [order], ["_text", "_at"], step, [None, 0.0], "row_start long", range_rows))
-    sums = filled.groupBy(*group, "row_start").agg(F.sum("_text").alias("_texts"), F.count("*").alias("_n"))
+    filled = saved(folded(wanted, group, [order], ["_text", "_at"], step, [None, 0.0], "row_start long, _used double", range_rows))
+    sums = filled.groupBy(*group, "row_start").agg(F.sum("_text").alias("_texts"), F.max("_used").alias("_full"))
     # a group's rows are far fewer than its entries; they are numbered by their starts
-    rows = placed_within(sums, group, "row_start").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("row_start").alias("_s"), "_texts", "_n", (F.col("place") - 1).cast("int").alias("row"))
+    rows = placed_within(sums, group, "row_start").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("row_start").alias("_s"), "_texts", "_full", (F.col("place") - 1).cast("int").alias("row"))
     same = F.col("row_start") == F.col("_s")
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     joined = filled.join(rows, same)
-    used = F.col("_texts") + F.col("_n") * fixed + (F.col("_n") - 1) * row_gap
-    width = F.col("_text") * (1 + F.greatest(F.lit(0.0), F.lit(room) - used) / F.col("_texts"))
+    width = F.col("_text") + F.greatest(F.lit(0.0), F.lit(room) - F.col("_full")) * F.col("_text") / F.col("_texts")
     return joined.withColumn("width", width).select(*entries.columns, "row_start", "row", "width")
 
 

@@ -108,7 +108,8 @@ def line_items(lines: DataFrame, headings: list[tuple[str, int, str, int]], font
     ranges of lines (`ranges.folded`), so a block may be of any size. `headings`
     gives levels by font, size and colour; a bold black line of `font` by itself is
     a heading with a strength instead of a level, unless it is a part of a sentence
-    that runs over lines. `skipped` names lines to leave out. `ord` is unique in a document.
+    that runs over lines (a line looks at its neighbours in the block, which lies on one
+    page). `skipped` names lines to leave out. `ord` is unique in a document.
 
     Returns doc, page, block, ord (of the item's first line), kind (heading, para,
     bullets), level, strength, text. Lines without visible text are left out, lists
@@ -123,11 +124,10 @@ def line_items(lines: DataFrame, headings: list[tuple[str, int, str, int]], font
     read = met.withColumns({"_spans": spans, "_text": F.trim(words)})
     read = read.withColumns({"_first": sign(F.get(seen, F.lit(0))).cast("string"), "_last": sign(F.get(seen, F.size(seen) - 1)).cast("string"), "_ends": F.col("x1") >= F.col("_edge") - 2, "_low": F.col("_text").rlike(r"^\p{Ll}"), "_level": line_level(F.col("_spans"), headings)})
     # a line that goes on in lower case, in the same type, where the line before reached the edge
-    step = lambda state, row: ([row[0], row[1], row[2]], (bool(state[1] and row[3] and state[0] is not None and state[0] == row[4]), state[2]))
-    kept = ["doc", "page", "block", "ord", "_spans", "_text", "_level", "_last", "_ends", "_low", "_first"]
-    follows = folded(read.select(*kept, F.lit(True if skipped is None else False).alias("_all") if skipped is None else (~F.coalesce(skipped, F.lit(False))).alias("_all")), ["doc", "page", "block"], ["ord"], ["_last", "_ends", "ord", "_low", "_first"], step, [None, False, None], "_goes_on boolean, _before long", range_rows)
-    ahead = follows.filter("_goes_on").select(F.col("doc").alias("_d"), F.col("_before").alias("_o"), F.lit(True).alias("_continued"))
-    both = follows.join(ahead, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("ord") == F.col("_o")), "left").filter((F.col("_text") != "") & F.col("_all"))
+    row = Window.partitionBy("doc", "page", "block").orderBy("ord")
+    goes_on = F.coalesce(F.lag("_ends").over(row) & F.col("_low") & (F.lag("_last").over(row) == F.col("_first")), F.lit(False))
+    follows = read.withColumn("_all", F.lit(True) if skipped is None else ~F.coalesce(skipped, F.lit(False))).withColumn("_goes_on", goes_on)
+    both = follows.withColumn("_continued", F.lead("_goes_on").over(row)).filter((F.col("_text") != "") & F.col("_all"))
     strength = F.when(F.col("_level").isNotNull(), F.col("_level") * 10).when(~(F.col("_goes_on") | F.coalesce("_continued", F.lit(False))), standalone_strength(F.col("_text"), F.col("_spans"), font, blacks))
     bullet = F.trim(F.get(seen, F.lit(0))["text"]) == BULLET
     told = both.withColumn("_strength", strength).withColumn("_kind", F.when(F.col("_strength").isNotNull(), "heading").when(bullet, "bullet").otherwise("text"))

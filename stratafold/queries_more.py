@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratafold import jobs
 from stratafold.functions import text as tx
 from stratafold.operators import aggregates as ag
-from stratafold.operators import derived, entities, hierarchy, joins, layout, links, ordered, pages, rules, tree
+from stratafold.operators import derived, entities, figures, hierarchy, joins, layout, links, ordered, pages, rules, tree
 from stratafold.plans import target as tg
 from stratafold.queries import _SHOWN, SECTIONS_SQL, _shown, query, sections
 from stratafold.session import shared_dir
@@ -118,8 +118,8 @@ def _lines_numbered(t):
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, greatest(1.0, least(value, 85.0)) AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 f AS (SELECT user_id, event_id, n, w, 0 AS row, 15.0 + w AS used FROM e WHERE n = 1
-UNION ALL SELECT e.user_id, e.event_id, e.n, e.w, CASE WHEN f.used + 2.0 + 15.0 + e.w > 100.0 THEN f.row + 1 ELSE f.row END, CASE WHEN f.used + 2.0 + 15.0 + e.w > 100.0 THEN 15.0 + e.w ELSE f.used + 2.0 + 15.0 + e.w END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
-SELECT event_id, row, round(w * (1 + greatest(0.0, 100.0 - max(used) OVER r) / sum(w) OVER r), 6) AS width FROM f WINDOW r AS (PARTITION BY user_id, row)""")
+UNION ALL SELECT e.user_id, e.event_id, e.n, e.w, CASE WHEN f.used + 2.0 + (15.0 + e.w) > 100.0 THEN f.row + 1 ELSE f.row END, CASE WHEN f.used + 2.0 + (15.0 + e.w) > 100.0 THEN 15.0 + e.w ELSE f.used + (15.0 + e.w + 2.0) END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT event_id, row, round(w + greatest(0.0, 100.0 - max(used) OVER r) * w / sum(w) OVER r, 6) AS width FROM f WINDOW r AS (PARTITION BY user_id, row)""")
 def row_packing(t):
     rows = ordered.rows_filled(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 100.0, 10.0, 5.0, 2.0)
     return rows.select("event_id", "row", F.round("width", 6).alias("width"))
@@ -291,6 +291,25 @@ def figure_places(t):
     return pages.annotated(places, figures).select("doc", "page", "title", "ord")
 
 
+@query("""WITH b AS (SELECT user_id % 10 AS page, event_id, event_type, CAST(event_id * 37 % 400 AS DOUBLE) AS x, CAST(event_id * 53 % 2000 AS DOUBLE) AS y FROM events),
+i AS (SELECT page, event_id AS image, x AS x0, y AS y0, x + 10 + event_id % 3 * 25 AS x1, y + 12 + event_id % 4 * 20 AS y1 FROM b WHERE event_type = 'view'),
+l AS (SELECT page, event_id AS line, x AS x0, y AS y0, x + 60 + event_id % 50 AS x1, y + 12 AS y1, event_id % 7 = 0 AS labelled FROM b WHERE event_type <> 'view'),
+p AS (SELECT i.page, image, line, i.x1 - i.x0 AS w, i.y1 - i.y0 AS h, greatest(0.0, least(i.y1, l.y1) - greatest(i.y0, l.y0)) AS o, abs((i.y0 + i.y1) / 2 - (l.y0 + l.y1) / 2) AS far, l.x0 - i.x1 AS gap_left, i.x0 - l.x1 AS gap_right, ((i.x0 + i.x1) / 2 < 200) = ((l.x0 + l.x1) / 2 < 200) AS together, l.x0, l.y0, labelled FROM i JOIN l ON i.page = l.page AND l.y0 <= i.y1 AND i.y0 <= l.y1),
+n AS (SELECT page, image, 'inline' AS kind, arg_max(line, o - far - line / 1e9) AS line FROM p WHERE w BETWEEN 6 AND 28 AND h BETWEEN 6 AND 28 AND o / least(h, 12) >= 0.45 AND gap_left <= 4 AND gap_right <= 4 GROUP BY ALL),
+s AS (SELECT *, CASE WHEN gap_left BETWEEN -4 AND 28 THEN 'left' WHEN gap_right BETWEEN -4 AND 28 THEN 'right' END AS side FROM p WHERE w BETWEEN 27 AND 180 AND h BETWEEN 27 AND 220 AND o / least(h, 12) >= 0.25 AND together),
+c AS (SELECT page, image, max(w) AS w, max(h) AS h, count(*) FILTER (side = 'left') AS l, count(*) FILTER (side = 'right') AS r, coalesce(bool_or(labelled) FILTER (side = 'left'), false) AS ll, coalesce(bool_or(labelled) FILTER (side = 'right'), false) AS lr,
+arg_min(line, y0 * 1e9 + x0 * 1e5 + line / 1e6) FILTER (side = 'left') AS fl, arg_min(line, y0 * 1e9 + x0 * 1e5 + line / 1e6) FILTER (side = 'right') AS fr FROM s WHERE side IS NOT NULL GROUP BY ALL),
+d AS (SELECT *, CASE WHEN (l >= 2 OR (l = 1 AND (ll OR (r = 0 AND abs(w - h) <= 8 AND greatest(w, h) <= 64)))) AND l >= r THEN 'left' WHEN r >= 2 OR (r = 1 AND (lr OR (l = 0 AND abs(w - h) <= 8 AND greatest(w, h) <= 64))) THEN 'right' END AS side FROM c)
+SELECT CAST(page AS BIGINT) AS page, image, kind, line FROM n UNION ALL SELECT CAST(page AS BIGINT), image, 'float-' || side, CASE side WHEN 'left' THEN fl ELSE fr END FROM d WHERE side IS NOT NULL""")
+def floated_figures(t):
+    at = t.events.selectExpr("'d' AS doc", "user_id % 10 AS page", "event_id", "event_type", "CAST(event_id * 37 % 400 AS DOUBLE) AS x0", "CAST(event_id * 53 % 2000 AS DOUBLE) AS y0")
+    images = at.filter("event_type = 'view'").selectExpr("doc", "page", "event_id AS image", "x0", "y0", "x0 + 10 + event_id % 3 * 25 AS x1", "y0 + 12 + event_id % 4 * 20 AS y1", "200D AS boundary")
+    lines = at.filter("event_type <> 'view'").selectExpr("doc", "page", "0 AS block", "event_id AS line", "x0", "y0", "x0 + 60 + event_id % 50 AS x1", "y0 + 12 AS y1", "false AS heading", "event_id % 7 = 0 AS labelled")
+    inline = figures.inline_images(images, lines).select(F.col("page").cast("long").alias("page"), "image", F.lit("inline").alias("kind"), "line")
+    floats = figures.float_sides(images, lines).select(F.col("page").cast("long").alias("page"), "image", F.concat(F.lit("float-"), "side").alias("kind"), "line")
+    return inline.unionByName(floats)
+
+
 # -- Trees and entities -----------------------------------------------------
 
 
