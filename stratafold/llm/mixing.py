@@ -48,8 +48,10 @@ LEAST_BLOCK = 4096
 #: Words of a shard's part that one task shuffles, about.
 TASK_WORDS = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash bins of a source: the first hexadecimal digits of a document's place.
-BIN_DIGITS = 3
+#: Hash bins of a source: the first hexadecimal digits of a row's place, at least BIN_DIGITS, more above BIN_ROWS rows a bin.
+BIN_DIGITS, BIN_ROWS = 3, 1 << 16
+#: Rows alike that one task takes apart.
+ALIKE_ROWS = 1 << 18
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def sized(docs: DataFrame) -> DataFrame:
         docs["source"].alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"),
-        F.md5(F.concat_ws(":", F.lit(str(SEED)), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))).alias("place"),
+        F.md5(F.concat_ws(":", F.lit(str(SEED)), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(text))).alias("place"),
     )
 
 
@@ -163,13 +165,22 @@ def dealt(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
         return sizes.selectExpr("doc_id", "row_key", "0 AS source_no", "0L AS pos", "size", "0L AS source_size", "0D AS target", "0 AS epoch", "0L AS block", "0L AS words", "0 AS shard")
     block = max(LEAST_BLOCK, -(-total // MAX_BLOCKS))
     named = sizes.join(checked_broadcast(sources.withColumnRenamed("source", "name"), number), F.expr("source <=> name"))
-    binned = named.withColumn("bin", F.substring("place", 1, BIN_DIGITS)).drop("source", "name")
+    rows, alike = sizes.count(), "sum(alike)"
+    digits = BIN_DIGITS
+    while rows > BIN_ROWS * 16**digits:
+        digits += 1
+    # rows alike share a place, so they are one row here, and follow each other
+    binned = named.withColumn("bin", F.substring("place", 1, digits)).groupBy("source_no", "bin", "place", "doc_id", "row_key", "size", "source_size", "target", "quota").agg(F.count("*").alias("alike"))
     inside = "OVER (PARTITION BY source_no, bin ORDER BY place, doc_id, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    placed = binned.selectExpr("*", f"sum(size) {inside} - size AS words_in", f"count(*) {inside} - 1 AS rows_in")
-    bins = binned.groupBy("source_no", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    placed = saved(binned.selectExpr("*", f"sum(size * alike) {inside} - size * alike AS words_in", f"{alike} {inside} - alike AS rows_in"))
+    bins = placed.groupBy("source_no", "bin").agg(F.sum(F.col("size") * F.col("alike")).alias("words"), F.sum("alike").alias("rows"))
     over = "OVER (PARTITION BY source_no ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     bins = bins.selectExpr("source_no", "bin", f"sum(words) {over} - words AS words_before", f"sum(rows) {over} - rows AS rows_before")
-    started = placed.join(bins, ["source_no", "bin"]).selectExpr("*", "words_before + words_in AS start", "rows_before + rows_in AS pos")
+    parted = placed.join(bins, ["source_no", "bin"]).withColumn("some", F.explode(F.expr(f"sequence(0L, (alike - 1) div {ALIKE_ROWS})")))
+    if placed.filter(F.col("alike") > ALIKE_ROWS).count():
+        parted = parted.repartition("source_no", "place", "some")
+    each = parted.withColumn("nth", F.explode(F.expr(f"sequence(some * {ALIKE_ROWS}, least(alike, (some + 1) * {ALIKE_ROWS}) - 1)")))
+    started = each.selectExpr("*", "words_before + words_in + nth * size AS start", "rows_before + rows_in + nth AS pos")
     till = "least(e * source_size + start + size, quota)"
     cuts = f"transform(sequence((e * source_size + start) div {block}, ({till} - 1) div {block}), b -> struct(e AS epoch, b AS block, least({till}, (b + 1) * {block}) - greatest(e * source_size + start, b * {block}) AS words))"
     pieces = f"flatten(transform(filter(sequence(0, {max_epochs - 1}), e -> size > 0 AND e * source_size + start < quota), e -> {cuts}))"
@@ -222,8 +233,8 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFra
 
 ORACLE = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents
+  SELECT doc_id, source, row_number() OVER () AS row_no, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place FROM documents
 ), ranked AS (
   SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no, sum(source_size) OVER () AS total
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)
@@ -274,7 +285,7 @@ WITH RECURSIVE sized AS (
 ),
 placed AS (
   SELECT s.doc_id, s.size, t.no, t.source_size, t.exact, t.quota, t.block,
-    CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
+    CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
   FROM sized s JOIN plan t ON s.source IS NOT DISTINCT FROM t.source
 ), epochs AS (
   SELECT *, e * source_size + start AS first, least(e * source_size + start + size, quota) AS till FROM placed, (VALUES (0), (1), (2)) v(e) WHERE size > 0 AND e * source_size + start < quota
@@ -287,5 +298,5 @@ placed AS (
   SELECT doc_id, no, start, CAST(sum(words) AS BIGINT) AS taken, count(DISTINCT e) AS copies, array_to_string(list_sort(list(DISTINCT shard)), ',') AS shards FROM words GROUP BY ALL
 )
 SELECT p.doc_id, p.size, p.source_size, round(p.exact, 6) AS target, coalesce(w.taken, 0) AS taken, coalesce(w.copies, 0) AS copies, coalesce(w.shards, '') AS shards
-FROM placed p LEFT JOIN summed w ON w.doc_id = p.doc_id AND w.no = p.no AND w.start = p.start AND p.size > 0
+FROM placed p LEFT JOIN summed w ON w.doc_id IS NOT DISTINCT FROM p.doc_id AND w.no = p.no AND w.start = p.start AND p.size > 0
 """

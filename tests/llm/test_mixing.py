@@ -102,6 +102,25 @@ def test_mixed_documents_repeat_whole_rows(spark):
     assert (got[got.source == "a"].doc_id.value_counts().drop(3) == 3).all() and (got.doc_id == 3).sum() == 6
 
 
+def test_hot_ids_and_rows_alike_share_no_bin(spark, monkeypatch):
+    """A third of the ids null, a third one id, some rows repeated: bins stay small, and each row gets its own words."""
+    monkeypatch.setattr(mixing, "ALIKE_ROWS", 7)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " + "w " * (i % 50), "en", "ab"[i % 2], 0) for i in range(3000)]
+    rows += [(100_000, "alike words here", "en", "a", 0)] * 40 + [(9, "w " * 60_000, "en", "b", 0), (None, None, "en", None, 0), (None, "", "en", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash")).withColumn("place", F.lit("clash")).withColumn("bin", F.lit(1))
+    places = mixing.sized(docs).groupBy("source", F.substring("place", 1, 2)).agg(F.countDistinct("place").alias("n")).agg(F.max("n"), F.avg("n")).first()
+    assert places[0] <= 5 * places[1]
+    got = mixing.takes(docs).toPandas()
+    assert len(got) == len(rows) and got["size"].sum() == sum(len((r[1] or "").split()) for r in rows)
+    want = brute_targets({s: sum(len((r[1] or "").split()) for r in rows if r[3] == s) for s in ("a", "b", None)})
+    for source, own in got.groupby("source_size"):
+        target = own.target.iloc[0]
+        assert abs(own.taken.sum() - target) <= 0.5 and any(abs(target - t) < 1e-5 for t in want.values())
+    assert (got.taken <= 3 * got["size"]).all() and len(got[got.doc_id == 100_000]) == 40
+    pieces = mixing.dealt(docs).filter("shard IS NOT NULL").toPandas()
+    assert not pieces.duplicated(["source_no", "pos", "epoch", "block"]).any()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert mixing.takes(docs).count() == 0 and mixing.mixed_documents(docs).count() == 0
