@@ -4,9 +4,8 @@ Fingerprint: each word's XXH64 votes on 64 signed bits with a weight that grows
 with the word's length (its square up to MAX_WEIGHT letters), so that a language's
 short common words carry little; a bit is 1 if its votes sum above zero. The
 sums of two bits share one long, 32 bits each: 32 sums a row keep the aggregate
-in generated code. A lane holds up to 2**31, that is at least 14 million words
-of a text; texts hold fewer, as Spark's own limit is 2 GiB and such words have
-MAX_WEIGHT letters.
+in generated code. A lane holds the votes of PART_WORDS words, so longer texts are
+summed by parts, whose halves are then added apart.
 
 Search: fingerprints within `radius` bits agree on at least one of radius + 1
 blocks (Manku et al., "Detecting near-duplicates for web crawling"). A table per
@@ -16,9 +15,11 @@ and is verified by counting differing bits. `blocks` above radius + 1 takes more
 and longer leads: every choice of blocks - radius blocks is a table.
 
 `edited_pairs` pairs each text with an edited one that ends in the beginning of
-the next document by doc_id. The order is found inside bins of the doc_id range;
-the first document of each bin is also sent to the bin before, so no task holds
-all rows.
+the next document by doc_id. The order is found inside bins of equal numbers of
+rows: ids and text hashes alone are put in order by ranges, and every n-th of them
+begins a bin, whatever ids repeat or cluster. Rows alike in both are spread over the
+bins that begin with them. The first document of each bin is also sent to the bin
+before, so no task holds all rows.
 
 Defined cases: null text is the empty text; a text without words has fingerprint
 zero; a null doc_id comes before all others; rows that tie in doc_id follow in
@@ -28,9 +29,11 @@ are rows of their own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratafold.llm.shared import checked_broadcast, saved
@@ -40,10 +43,12 @@ RADIUS = 3
 BLOCKS = 6
 #: The queries of the search: rows whose doc_id this divides.
 QUERY_EVERY = 50
-#: Bins of doc_ids: ranges between quantiles, and rows of a bin where ids are even.
-QUANTILES, ROWS_PER_BIN = 64, 512
-#: Bits of a text's hash that part rows of one doc_id.
-HASH_BITS = 12
+#: Rows of a bin, unless that makes more than MOST_BINS (what the driver and each task hold of bins).
+ROWS_PER_BIN, MOST_BINS = 512, 1 << 14
+#: Bins whose first rows are looked through at once.
+FINE = 128
+#: Words of a text whose votes one lane can hold: PART_WORDS * MAX_WEIGHT ** 2 < 2 ** 32.
+PART_WORDS = 1 << 23
 _LANES = 0x0000000100000001
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -55,10 +60,14 @@ def _vote_sums() -> list[Column]:
     return [F.sum(lane * weight).alias(f"s{i}") for i, lane in enumerate(lanes)] + [F.sum(weight).alias("all_votes")]
 
 
+def _half_sums() -> list[Column]:
+    halves = [F.sum(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"b{i}") for i in range(32)] + [F.sum(F.shiftrightunsigned(F.col(f"s{i}"), 32)).alias(f"b{i + 32}") for i in range(32)]
+    return [*halves, F.sum("all_votes").alias("all_votes")]
+
+
 def _fingerprint() -> Column:
-    """The fingerprint from the sums of `_vote_sums`: bit i from the low half of s_i, bit i + 32 from the high half."""
-    bit = lambda sum_, i: F.when(2 * sum_ > F.col("all_votes"), F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    bits = [bit(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i) for i in range(32)] + [bit(F.shiftrightunsigned(F.col(f"s{i}"), 32), i + 32) for i in range(32)]
+    """The fingerprint from the sums of `_half_sums`."""
+    bits = [F.when(2 * F.col(f"b{i}") > F.col("all_votes"), F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
@@ -67,8 +76,9 @@ def _fingerprint() -> Column:
 
 def fingerprinted(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """`keys` (which name a row) and fp of each row. Where `rows` is dealt by some of the keys, nothing is shuffled."""
-    words = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), SPACE)).alias("word"))
-    return words.groupBy(*keys).agg(*_vote_sums()).select(*keys, _fingerprint().alias("fp"))
+    words = rows.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), SPACE)).alias("at", "word"))
+    parts = words.groupBy(*keys, F.floor(F.col("at") / PART_WORDS).cast("int").alias("part")).agg(*_vote_sums())
+    return parts.groupBy(*keys).agg(*_half_sums()).select(*keys, _fingerprint().alias("fp"))
 
 
 def hexed(fp: str) -> Column:
@@ -98,39 +108,75 @@ def within_radius(probes: DataFrame, stored: DataFrame, radius: int = RADIUS, bl
     return a.join(b, met & (F.bit_count(differ) <= radius) & (first == a["table_no"])).select("probe", "fp")
 
 
+def _bounds(keys: DataFrame, rows: int) -> list[tuple[int | None, int]]:
+    """The first (doc_id, hash) of each bin of about `rows` rows, in order; rows alike may begin several bins."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    counted = keys.groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    ranges = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = saved(counted.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    before, at = {}, 0
+    for r in sorted(dealt.groupBy("range").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["range"]):  # one row per range
+        before[r["range"]] = at
+        at += r["n"]
+    if not before:
+        return []
+    start = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)), F.col("range").cast("long"))
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = dealt.withColumn("start", start + inside)
+    first, last = F.expr(f"CAST(ceil(start / {rows}) AS BIGINT)"), F.expr(f"(start + n - 1) div {rows}")
+    begun = placed.select("doc_id", "hash", "start", (last - first + 1).alias("bins")).filter("bins > 0")
+    found = sorted(begun.collect(), key=lambda r: r["start"])  # at most a row per bin
+    return [(r["doc_id"], r["hash"]) for r in found for _ in range(r["bins"])]
+
+
+def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A small table of the plan itself."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    fields = ", ".join(c.replace(" ", ": ") for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{fields}>>")))
+
+
 def _binned(docs: DataFrame) -> DataFrame:
-    """Rows (bin, tail, doc_id, text): every row in its bin of doc_ids, and the first of each bin once more (tail = 1) in the bin before, cyclically.
+    """Rows (bin, tail, doc_id, text, hash): every row in its bin, and the first of each bin once more (tail = 1) in the bin before, cyclically.
 
-    Bins are ranges between approximate quantiles of doc_id, each cut evenly. Rows
-    without doc_id, and those of a doc_id that many have, are binned by their text's
-    hash, in whose order they follow.
+    Bins follow each other in the order of doc_id (null first) and the text's hash. A
+    row whose key begins bins goes to one of them, any other to the last bin that
+    begins before it.
     """
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
-    count, bounds = own.agg(F.count("*"), F.percentile_approx("doc_id", shares, 10_000)).first()
-    often = sorted({a for a, b in zip(bounds or [], (bounds or [])[1:]) if a == b})
-    bounds = sorted(set(bounds or [0]))
-    cuts = max(1, int(min(count / ROWS_PER_BIN, 64 * count**0.5) / len(bounds)))
-    widths = [max(1, -(-(b - a) // cuts)) for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1])]
-    known = f"array({', '.join(f'{b}L' for b in bounds)})"
-    wide = f"array({', '.join(f'{w}L' for w in widths)})"
-    number = F.expr(
-        f"transform(array(size(filter({known}, b -> b <= doc_id))), q -> "
-        f"CASE WHEN q = 0 THEN 0L ELSE q * {cuts + 1}L + least({cuts}L, (doc_id - element_at({known}, q)) div element_at({wide}, q)) END)[0]"
-    )
-    whole = F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(-1).cast("long"))
-    crowded = F.col("doc_id").isNull() | F.col("doc_id").isin(*often) if often else F.col("doc_id").isNull()
-    # a crowded doc_id is the least of its range, so its parts come before the range's other rows
-    part = F.when(crowded, F.shiftright("hash", 64 - HASH_BITS) + (1 << (HASH_BITS - 1))).otherwise(1 << HASH_BITS)
-    binned = own.withColumn("hash", F.xxhash64("text")).withColumn("bin", whole * (2 << HASH_BITS) + part)
-    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "hash")
-    firsts = binned.groupBy("bin").agg(F.min(order).alias("o")).selectExpr("bin", "o.doc_id AS first", "o.hash AS first_hash", f"bin div {(cuts + 1) * (2 << HASH_BITS)} AS range")
-    firsts = saved(firsts)  # one row per bin
-    ranges = firsts.groupBy("range").agg(F.max("bin").alias("last"))  # at most QUANTILES + 2 rows
-    ranges = ranges.selectExpr("range", "coalesce(lag(last) OVER (ORDER BY range), max(last) OVER ()) AS last_before")
-    firsts = firsts.join(F.broadcast(ranges), "range").selectExpr("first", "first_hash", "coalesce(lag(bin) OVER (PARTITION BY range ORDER BY bin), last_before) AS bin_before")
-    met = binned.drop("bin").join(checked_broadcast(saved(firsts)), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("first_hash")))
-    tails = met.select("doc_id", "text", "hash", F.col("bin_before").alias("bin"), F.lit(1).alias("tail")).dropDuplicates(["bin"])
+    spark = docs.sparkSession
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    keys = saved(own.select("doc_id", "hash"))
+    bounds = _bounds(keys, max(ROWS_PER_BIN, -(-keys.count() // MOST_BINS)))
+    if not bounds:
+        return own.withColumns({"bin": F.lit(0), "tail": F.lit(0)})
+    kind = "array<struct<i: bigint, h: bigint>>"
+    written = [[{"i": i, "h": h} for i, h in bounds[at : at + FINE]] for at in range(0, len(bounds), FINE)]
+    fine = F.from_json(F.lit(json.dumps(written)), f"array<{kind}>")
+    coarse = F.from_json(F.lit(json.dumps([part[0] for part in written])), kind)
+
+    def less(b: Column) -> Column:
+        return F.when(b["i"].isNull(), F.col("doc_id").isNotNull() | (b["h"] < F.col("hash"))).otherwise(F.coalesce((b["i"] < F.col("doc_id")) | ((b["i"] == F.col("doc_id")) & (b["h"] < F.col("hash"))), F.lit(False)))
+
+    def same(b: Column) -> Column:
+        return b["i"].eqNullSafe(F.col("doc_id")) & (b["h"] == F.col("hash"))
+
+    # how many bins begin before the row's key: full runs of FINE, then within the run
+    run = F.greatest(F.size(F.filter(coarse, less)) - 1, F.lit(0))
+    inside = own.withColumn("run", run).withColumn("low", F.col("run") * FINE + F.size(F.filter(F.get(fine, F.col("run")), less)))
+    here = F.size(F.filter(F.get(fine, F.floor(F.col("low") / FINE).cast("int")), same))
+    number = Counter(bounds)
+    if repeated := sorted({k for k, after in zip(bounds, bounds[1:]) if k == after}, key=str):
+        crowd = F.broadcast(_rows(spark, "ci bigint, ch bigint, bins int", [(i, h, number[i, h]) for i, h in repeated]))  # fewer rows than bins
+        inside = inside.join(crowd, F.col("doc_id").eqNullSafe(F.col("ci")) & (F.col("hash") == F.col("ch")), "left")
+        here = F.coalesce("bins", here)
+    begun = F.greatest(F.coalesce(here, F.lit(0)), F.lit(0))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.greatest(begun, F.lit(1)))
+    binned = inside.withColumn("bin", F.when(begun > 0, F.col("low") + spread).otherwise(F.col("low") - 1).cast("int")).select("bin", "doc_id", "text", "hash")
+    starts = _rows(spark, "bin int, i bigint, h bigint", [((n or len(bounds)) - 1, i, h) for n, (i, h) in enumerate(bounds)])  # a row per bin
+    distinct = starts.select("i", "h").distinct()
+    met = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
+    texts = own.join(F.broadcast(distinct), met, "left_semi").groupBy("doc_id", "hash").agg(F.min("text").alias("text"))
+    tails = texts.join(F.broadcast(starts), met).select("bin", "doc_id", "text", "hash", F.lit(1).alias("tail"))
     return binned.withColumn("tail", F.lit(0)).unionByName(tails)
 
 

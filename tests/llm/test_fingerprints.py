@@ -73,6 +73,29 @@ def test_many_rows_of_one_or_no_doc_id_follow_by_their_hash(spark, monkeypatch):
     assert {d: sorted(v) for d, v in found.items()} == {d: sorted(v) for d, v in want.items()}
 
 
+def test_bins_stay_even_whatever_ids_repeat_or_cluster(spark, monkeypatch):
+    """An id of 1 % and one of a third of all rows, ids far apart, rows alike in all."""
+    monkeypatch.setattr(fp, "ROWS_PER_BIN", 16)
+    monkeypatch.setattr(fp, "FINE", 4)
+    rows = [(7, f"one {i}") for i in range(30)] + [(9, f"third {i}") for i in range(1000)] + [(2**40 + i, f"far {i}") for i in range(700)] + [(i * i, f"own {i}") for i in range(10, 500)] + [(11, "alike")] * 700 + [(None, "no id")] * 90
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).repartition(5)
+    placed = fp._binned(docs)
+    sizes = [r["n"] for r in placed.filter("tail = 0").groupBy("bin").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 2 * 16 + 8 * 4 and len(sizes) >= len(rows) // 16 - 2
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    assert [r.text for r in placed.filter("tail = 0").orderBy("bin", F.col("doc_id").asc_nulls_first(), "hash").collect()] == [t for _, t in rows]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(i + 1) % len(rows)][1][: len(t) // 2]).encode()).hexdigest() for i, (_, t) in enumerate(rows))
+    assert sorted(r.edited_sha256 for r in fp.document_fingerprints(docs).collect()) == want
+
+
+def test_votes_of_long_texts_are_summed_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(fp, "PART_WORDS", 50)
+    texts = [" ".join(f"word{i * k % 97}" for i in range(n)) for n, k in ((49, 3), (50, 5), (51, 7), (1000, 11))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert {r.k: r.fp & (2**64 - 1) for r in fp.fingerprinted(df, ["k"]).collect()} == {k: brute(t) for k, t in enumerate(texts)}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a" * 300_001), (None, "no id"), (50, "𝔘𝔫 two three"), (100, "𝔘𝔫 two three")]
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).withColumn("bin", F.lit("clash")).withColumn("fp", F.lit("x"))
