@@ -179,7 +179,11 @@ def weigh(docs: DataFrame, labels: DataFrame, seed: int = SEED, sharpness: float
     chance = F.lit(1.0) / (1.0 + F.exp(-(mean * slope + shift)))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "row_key"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = weights.withColumns({"mean_ratio": mean, "chance": chance, "gumbel_key": F.col("log_weight") * sharpness - F.log(-F.log(uniform))})
-    k = keyed.filter(F.col("chance") >= least_chance).count()
+    return selected_of(keyed, keyed.filter(F.col("chance") >= least_chance).count())
+
+
+def selected_of(keyed: DataFrame, k: int) -> DataFrame:
+    """`keyed` with selected: the k rows of the largest gumbel_key, ties by doc_id and row_key; of rows alike in all three any."""
     if k == 0:
         return keyed.withColumn("selected", F.lit(False))
     bar = kth_largest(keyed, "gumbel_key", k)
@@ -187,12 +191,36 @@ def weigh(docs: DataFrame, labels: DataFrame, seed: int = SEED, sharpness: float
     ties = keyed.filter(F.col("gumbel_key") == bar)
     if above + ties.count() == k:
         return keyed.withColumn("selected", F.col("gumbel_key") >= bar)
+    # the rows alike in which the cut falls differ in nothing: any of them may stay
     last = ties.select("doc_id", "row_key").orderBy("doc_id", "row_key").limit(k - above).agg(F.max(F.struct(F.col("doc_id"), F.col("row_key")))).first()[0]
-    in_time = F.struct(F.col("doc_id"), F.col("row_key")) <= F.struct(F.lit(last["doc_id"]).cast("long"), F.lit(last["row_key"]).cast("long"))
-    return keyed.withColumn("selected", (F.col("gumbel_key") > bar) | ((F.col("gumbel_key") == bar) & in_time))
+    own, at = F.struct(F.col("doc_id"), F.col("row_key")), F.struct(F.lit(last["doc_id"]).cast("long"), F.lit(last["row_key"]).cast("long"))
+    tied = F.col("gumbel_key") == bar
+    cut = tied & (own == at)
+    before = keyed.filter(tied & (own < at)).count()
+    rest = keyed.filter(~cut).withColumn("selected", (F.col("gumbel_key") > bar) | (tied & (own < at)))
+    return rest.unionByName(first_of(keyed.filter(cut), k - above - before, "selected"))
+
+
+def first_of(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """`rows` with a column that holds for `n` of them: the first of each partition in turn. The driver gets a number a partition."""
+    numbered = saved(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    allowed = {}
+    for r in sorted(numbered.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):
+        allowed[r["p"]] = min(n, r["count"])
+        n -= allowed[r["p"]]
+    most = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in allowed.items() for x in pair)), part) if allowed else F.lit(0)
+    return numbered.withColumn(name, place < most).drop("_at")
 
 
 def resampled_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the resampling selects."""
-    gone = saved(weigh(docs, labels, **options).filter("NOT selected").select(F.col("row_key").alias("_gone")).distinct())
-    return docs.join(checked_broadcast(gone), F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of `docs` that the resampling selects; of rows alike in doc_id and text as many as it selects."""
+    weights = saved(weigh(docs, labels, **options))
+    gone = saved(weights.filter("NOT selected").groupBy(F.col("row_key").alias("_gone")).count())
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    kept = docs.join(checked_broadcast(gone.select("_gone")), key == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    # at most one key has rows on both sides of the cut
+    for r in weights.filter("selected").join(gone, F.col("row_key") == F.col("_gone"), "left_semi").groupBy("row_key").count().collect():
+        some = first_of(docs.filter(key == r["row_key"]), r["count"], "_stays")
+        kept = kept.unionByName(some.filter("_stays").select(*docs.columns))
+    return kept

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from stratafold.llm import quality
@@ -68,3 +69,28 @@ def test_a_document_of_many_rows_counts_once_in_the_calibration(spark):
 def test_marks_after_the_eighth_tell_words_apart():
     one, other = (quality._describe("a" + "-" * 8 + mark) for mark in "!?")
     assert one != other and one[0] == other[0] == "a"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_exactly_k_rows_stay_where_rows_alike_stand_at_the_cut(spark, seed):
+    rows = [(i, f"text {i}") for i in range(10)] + [(99, "alike")] * 10
+    docs = spark.createDataFrame([(i, t, None, "s", n) for n, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    weights = quality.weigh(docs, labels, seed=seed, sharpness=0.0)
+    assert weights.filter("selected").count() == weights.filter(F.col("chance") >= quality.LEAST_CHANCE).count()
+    keyed = weights.drop("selected").cache()
+    keys = sorted((r.gumbel_key for r in keyed.collect()), reverse=True)
+    for k in (3, 8, 11, 13, 19):
+        got = quality.selected_of(keyed, k).filter("selected").collect()
+        assert sorted((r.gumbel_key for r in got), reverse=True) == keys[:k]
+
+
+def test_documents_alike_stay_as_often_as_selected(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(10)] + [(99, "alike")] * 10
+    docs = spark.createDataFrame([(i, t, None, "s", n) for n, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    own = quality.weigh
+    for k in (5, 14):
+        monkeypatch.setattr(quality, "weigh", lambda d, l, **options: quality.selected_of(own(d, l, sharpness=0.0).drop("selected"), k))
+        kept = quality.resampled_documents(docs, labels).collect()
+        assert len(kept) == k and len({r.n_chars for r in kept}) == k
