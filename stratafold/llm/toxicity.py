@@ -25,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from stratafold.llm.arrowtext import WordTable, bound_batches, segment_sums, slices, text_column, words_of
 from stratafold.llm.shared import saved
 
+#: What parts words, in learning as in scoring.
+SPACE = r"[\x20\x09-\x0D]+"
 TRAIN_ROWS = 12_000
 LEXICON_SIZE = 1024
 FOLDS, TREES, DEPTH, RATE, BINS = 4, 60, 4, 0.15, 32
@@ -89,7 +92,7 @@ def word_rows(words: list[str], lexicon: dict[str, float]) -> np.ndarray:
         weight = _weight(core, lexicon)
         odd = bool(letters) and not core
         seen = weight
-        if odd and len(w) < 64:
+        if odd:
             seen = _weight(undone(w), lexicon)
         uppers = sum(map(str.isupper, w)) if not w.islower() else 0
         table[i] = (weight, seen, core in SECOND_PERSON, len(w), len(letters), uppers, len(letters) > 1 and uppers == len(letters), w.count("!"), odd, sum(not c.isalnum() for c in w) if len(letters) != len(w) else 0)
@@ -123,7 +126,7 @@ def features(texts: pa.Array, lexicon: dict[str, float], table: WordTable | None
     strong, weak = per(seen >= STRONG), per((seen >= WEAK) & (seen < STRONG))
     columns = (
         rate(strong, count), rate(weak, count), rate(per(seen), count), heaviest, rate(per(near), count), rate(per(rows[:, 5]), letters), rate(per(rows[:, 6]), count),
-        rate(per(rows[:, 9]), chars), rate(per(rows[:, 7]), chars), rate(per(rows[:, 8]), count), per((seen > 0) & (weight == 0)), np.log1p(count), np.minimum(strong, 50), np.minimum(weak, 50),
+        rate(per(rows[:, 9]), chars), rate(per(rows[:, 7]), chars), rate(per(rows[:, 8]), count), per((seen > 0) & (weight == 0)), np.log1p(count), strong, weak,
     )
     return np.stack(columns, axis=1)
 
@@ -219,7 +222,7 @@ def _lexicons(train: DataFrame, size: int) -> list[dict[str, float]]:
             found: dict[str, Counter] = {}
             texts, fold, toxic = text_column(batch).to_pylist(), batch.column("fold").to_pylist(), batch.column("toxic").to_pylist()
             for text, f, y in zip(texts, fold, toxic):
-                for t in {t for w in {plain(w) for w in text.split()} for t in terms(w)}:
+                for t in {t for w in {plain(w) for w in re.split(SPACE, text)} for t in terms(w)}:
                     found.setdefault(t, Counter())[2 * f + y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in range(2 * FOLDS))], ["term", *names])
 

@@ -55,6 +55,14 @@ def test_features_of_small_texts():
     assert f["exclaims"][0] == 1 / 9
 
 
+def test_long_words_are_undone_and_white_space_is_ascii(spark):
+    lexicon = {"idiot": 5.0}
+    x = tox.features(pa.array(["id!ot", "id!ot" + "." * 60, "an\u00a0idiot\u00a0here"]), lexicon)
+    assert x[:, tox.FEATURES.index("heaviest")].tolist() == [5.0, 5.0, 0.0]
+    train = spark.createDataFrame([(i, "an\u00a0idiot\u00a0here" if i % 2 else "good day", i % 2, i % tox.FOLDS) for i in range(40)], "doc_id long, text string, toxic int, fold int")
+    assert all("idiot" not in lexicon for lexicon in tox._lexicons(train, 64))
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
