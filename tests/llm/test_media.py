@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -210,19 +211,45 @@ def expected(rows):
 def test_a_long_payload_is_a_run_of_files(monkeypatch):
     monkeypatch.setattr(media, "FRAME_BYTES", 6400)
     text = bytes(i * i % 251 for i in range(20_001))
-    images = media.parse_all(media.store([text])[0])
+    images = list(media.parse_all(media.store([text])[0]))
     coefficients = jpeg.read(images)
     assert len(images) == 4
     assert b"".join(media.payload_of(i, coefficients) for i in images) == text + bytes(-len(text) % 64)
 
 
+def feature_of(tensors):
+    feature = media.Feature()
+    for t in tensors:
+        feature.add(t)
+    return str(feature)
+
+
 def test_a_feature_looks_at_all_files():
     dark, light = np.zeros((16, 16, 3), np.uint8), np.full((16, 32, 3), 90, np.uint8)
-    assert media.feature_of([dark]).endswith("00" * 16) and media.feature_of([light]).endswith("5a" * 16)
-    both = media.feature_of([dark, light])
+    assert feature_of([dark]).endswith("00" * 16) and feature_of([light]).endswith("5a" * 16)
+    both = feature_of([dark, light])
     assert both.startswith("2x16x16;60000,60000,60000;") and both.endswith("3c" * 16)
 
 
+def test_memory_does_not_grow_with_a_text(monkeypatch):
+    monkeypatch.setattr(media, "FRAME_BYTES", 1 << 15)
+    monkeypatch.setattr(media, "SLICE", 1 << 16)
+    peaks = []
+    for size in (1 << 17, 1 << 20):
+        text = np.random.default_rng(0).integers(32, 123, size, np.uint8).tobytes()
+        jpeg.read(list(media.parse_all(media.store([text[:1000]])[0])))  # tables are made once
+        tracemalloc.start()
+        (stored,) = media.store([text])
+        back = media.ReadBack(1, size, stored)
+        for run in media._decoded([stored]):
+            for _, image, coefficients in run:
+                back.add(image, coefficients)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert back.row()[:4] == (1, size, size, hashlib.sha256(text).hexdigest())
+    assert peaks[1] - peaks[0] < 4 * (1 << 20) < 40 * (1 << 20)  # the stored form, once in pieces and once whole
+
+
 def test_digests(spark):
     rows = [(0, None), (1, ""), (2, "a" * 64), (3, "é" * 33), (4, "long text, " * 20_000), (4, "long text, " * 20_000), (None, "no id"), (5, "".join(map(chr, range(1, 3000))))]
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).withColumn("media", F.lit("clash"))

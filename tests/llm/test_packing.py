@@ -83,3 +83,21 @@ def test_odd_rows(spark):
     by = got.sort_values(["sequence_id", "offset"])
     assert ((by.groupby("sequence_id").length.cumsum() - by.length) == by.offset).all()
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_the_smallest_tables_through_pack(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = Tokenizer.from_file(PATH)
+    want = {r.doc_id: np.array([*model.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
+    rows = packing.pack(docs).toPandas()
+    for doc, pieces in rows.groupby("doc_id"):
+        ids, at = want.pop(doc), 0
+        for r in pieces.sort_values("start").itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert not want
+    for _, parts in rows.sort_values("offset").groupby("sequence_id"):
+        assert (parts.offset == parts.length.cumsum() - parts.length).all()
+        total = int(parts.length.sum())
+        assert total == 4096 or (total < 4096 and total & (total - 1) == 0)
