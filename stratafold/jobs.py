@@ -57,7 +57,7 @@ def derive(spark: SparkSession, source: str, specs: dict[str, dict], path: str)
     return made.groupBy("document", "source").agg(F.count("*").alias("sections"))
 
 
-def extract(indexes: dict[str, tuple[DataFrame, str]], path: str) -> None:
-    """Write each relation as an index by its key: <path>/<name>."""
-    for name, (df, key) in indexes.items():
-        sinks.write_index(df, key, f"{path}/{name}")
+def extract(indexes: dict[str, tuple[DataFrame, str, str]], path: str) -> None:
+    """Write each relation as an index by its key, rows of a key in an order: <path>/<name>."""
+    for name, (df, key, order) in indexes.items():
+        sinks.write_index(df, key, order, f"{path}/{name}")

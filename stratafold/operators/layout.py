@@ -7,10 +7,58 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.session import saved
+
+
+#: Bins of a counting pass.
+BINS = 4096
+
 
 def medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Component-wise medians; for even counts the mean of the middle two."""
-    return df.groupBy(*keys).agg(*(F.round(F.median(c), 6).alias(c) for c in columns))
+    """Component-wise medians, exactly, to six digits; for even counts the mean of the middle two; null for a group without a value.
+
+    Nothing is sorted or held by group: each pass counts the values of every group
+    and column in BINS bins between the bounds of its two middle values, and the bin
+    that holds a middle value bounds the next pass, until a bin holds one value. What
+    is joined back has two rows per group and column. Nulls don't count; NaN is above
+    all numbers.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns))))
+    values = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), pairs.alias("_x")).select(*names, F.col("_x.c").alias("c"), F.col("_x.v").alias("v"))
+    # NaN is taken aside as the greatest number, so that bounds can be computed with
+    real = saved(values.filter("v IS NOT NULL").withColumn("v", F.when(F.isnan("v"), F.lit(float("inf"))).otherwise(F.col("v"))))
+    own = [*names, "c"]
+    around = real.groupBy(*own).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    asked = around.select(*own, "low", "high", F.explode(F.array(F.struct(F.lit(0).alias("m"), F.floor((F.col("n") + 1) / 2).alias("k")), F.struct(F.lit(1).alias("m"), (F.floor(F.col("n") / 2) + 1).alias("k")))).alias("x"))
+    bounds = saved(asked.select(*own, "low", "high", "x.m", "x.k"))
+    place = [*own, "m"]
+    done = None
+    while True:
+        settled = bounds.filter("low = high").select(*place, F.col("low").alias("value"))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = bounds.filter("low < high")
+        if not open_.count():
+            break
+        here = F.lit(True)
+        for c in own:
+            here = here & F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+        met = real.alias("r").join(open_.alias("b"), here & F.col("r.v").between(F.col("b.low"), F.col("b.high"))).select("b.*", "r.v")
+        # halves keep the width of the widest bounds finite; infinities have bins of their own
+        width = F.when(F.abs("low") + F.abs("high") < float("inf"), (F.col("high") / BINS - F.col("low") / BINS))
+        number = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(BINS - 2))).otherwise(F.signum("v").cast("long"))
+        bin_ = F.when(F.col("v") == F.col("high"), F.lit(BINS - 1)).when(F.col("v") == F.col("low"), F.lit(-2)).otherwise(number)
+        bins = met.groupBy(*place, "k", bin_.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.sum("n").over(Window.partitionBy(*place).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")  # at most BINS + 1 rows
+        chosen = bins.withColumn("_before", before).filter((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("n")))
+        bounds = saved(chosen.select(*own, "low", "high", "m", (F.col("k") - F.col("_before")).alias("k")))
+    value = lambda i: F.avg(F.when(F.col("c") == i, F.when(F.col("value") == float("inf"), F.lit(float("nan"))).otherwise(F.col("value"))))
+    found = done.groupBy(*names).agg(*(F.round(value(i), 6).alias(c) for i, c in enumerate(columns)))
+    groups = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names))).distinct()
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(f"g.{n}").eqNullSafe(F.col(f"f.{n}"))
+    return groups.alias("g").join(found.alias("f"), same, "left").select(*(F.col(f"g.{n}").alias(k) for n, k in zip(names, keys)), *(F.col(f"f.{c}").alias(c) for c in columns))
 
 
 def circular(a: Column, b: Column, full: float = 1.0) -> Column:

@@ -461,20 +461,28 @@ def document_registry(t):
     return known.unionByName(absent.unionByName(broken).agg(F.lit("none").alias("doc"), F.count("*").alias("sections"), F.lit(True).alias("missing")))
 
 
-@query("SELECT p_brand AS key, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS ord, p_partkey AS part, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_type ELSE 'Neutral' END AS terrain FROM part")
+@query("SELECT p_brand || '/' || p_partkey // 500 AS key, CAST(row_number() OVER (PARTITION BY p_brand, p_partkey // 500 ORDER BY p_partkey) - 1 AS INTEGER) AS ord, p_partkey AS part, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_type ELSE 'Neutral' END AS terrain FROM part")
 def index_scan(t):
-    rows = t.part.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.expr("named_struct('part', p_partkey, 'terrain', CASE WHEN p_size % 2 = 0 THEN p_name END, 'other', CASE WHEN p_size % 3 = 0 THEN p_type END)").alias("r")))), lambda x: x["r"]).alias("rows"))
-    index = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "rows")))).alias("value"))  # one index file
-    found = json_documents.keyed_index(t.spark, _written(t, index), "part: bigint, terrain: string, other: string")
+    row = F.expr("named_struct('part', p_partkey, 'terrain', CASE WHEN p_size % 2 = 0 THEN p_name END, 'other', CASE WHEN p_size % 3 = 0 THEN p_type END)")
+    keyed = t.part.selectExpr("p_partkey div 500 AS file", "concat(p_brand, '/', p_partkey div 500) AS key", "p_partkey", "p_size", "p_name", "p_type")
+    rows = keyed.groupBy("file", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    index = rows.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "rows")))).alias("value"))  # an index file for 500 parts
+    found = json_documents.keyed_index(t.spark, _written(t, index, by="file") + "/*/*", "part: bigint, terrain: string, other: string")
     return json_documents.backfilled(found, "terrain", "other").select("key", "ord", "part", "terrain")
 
 
-@query("SELECT p_brand AS key, string_agg('{\"p_partkey\":' || p_partkey || ',\"p_type\":\"' || p_type || '\"}', ',' ORDER BY p_partkey) AS rows FROM part GROUP BY 1")
+@query("SELECT p_brand AS key, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ord, p_partkey, p_type FROM part")
 def index_sink(t):
     path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
-    sinks.write_index(t.part.select("p_brand", "p_partkey", "p_type"), "p_brand", path)
-    back = json_documents.keyed_index(t.spark, path, "p_partkey: bigint, p_type: string")
-    return back.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.to_json(F.struct("p_partkey", "p_type")).alias("j")))), lambda x: x["j"]), ",").alias("rows"))
+    sinks.write_index(t.part.select("p_brand", "p_partkey", "p_type"), "p_brand", "p_partkey", path)
+    return json_documents.index_rows(t.spark, path, "p_partkey: bigint, p_type: string")
+
+
+@query("SELECT c_mktsegment || ' ' || c_nationkey AS key, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) - 1 AS ord, c_custkey, c_name FROM customer WHERE c_mktsegment || ' ' || c_nationkey IN ('MACHINERY 19', 'BUILDING 11', 'no such key')")
+def index_lookup(t):
+    path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    sinks.write_index(t.customer.selectExpr("concat(c_mktsegment, ' ', c_nationkey) AS key", "c_custkey", "c_name"), "key", "c_custkey", path, file_lines=20)
+    return json_documents.index_rows(t.spark, path, "c_custkey: bigint, c_name: string", ["MACHINERY 19", "BUILDING 11", "no such key"])
 
 
 @query("SELECT p_brand AS source, 't' || p_partkey AS guid FROM part UNION ALL SELECT DISTINCT p_brand, 'b' || p_brand FROM part")
@@ -583,7 +591,7 @@ def derive_job(t):
 @query("SELECT p_brand AS key, count(*) AS parts, (SELECT count(*) FROM supplier) AS suppliers FROM part GROUP BY 1")
 def extract_job(t):
     out = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
-    jobs.extract({"parts": (t.part.select("p_brand", "p_partkey"), "p_brand"), "suppliers": (t.supplier.select("s_name", "s_suppkey"), "s_name")}, out)
-    parts = json_documents.keyed_index(t.spark, f"{out}/parts", "p_partkey: bigint").groupBy("key").agg(F.count("*").alias("parts"))
-    suppliers = json_documents.keyed_index(t.spark, f"{out}/suppliers", "s_suppkey: bigint").agg(F.count("*").alias("suppliers"))
+    jobs.extract({"parts": (t.part.select("p_brand", "p_partkey"), "p_brand", "p_partkey"), "suppliers": (t.supplier.select("s_name", "s_suppkey"), "s_name", "s_suppkey")}, out)
+    parts = json_documents.index_rows(t.spark, f"{out}/parts", "p_partkey: bigint").groupBy("key").agg(F.count("*").alias("parts"))
+    suppliers = json_documents.index_rows(t.spark, f"{out}/suppliers", "s_suppkey: bigint").agg(F.count("*").alias("suppliers"))
     return parts.join(F.broadcast(suppliers), F.lit(True))  # one row

@@ -48,6 +48,24 @@ def keyed_index(spark: SparkSession, path: str, row: str) -> DataFrame:
     return rows.select("key", "k", "ord", "r.*")
 
 
+def index_rows(spark: SparkSession, path: str, row: str, keys: list[str] | None = None) -> DataFrame:
+    """(key, ord, row's fields) of an index that `sinks.write_index` wrote; with `keys` only theirs, from the files that can hold one by the index's own table."""
+    lines = f"{path}/lines"
+    if keys is None:
+        text = spark.read.text(lines)
+    else:
+        wanted = [F.lit(k) for k in keys]
+        collated = lambda c: F.collate(c, "UNICODE")
+        near = spark.read.parquet(f"{path}/contents").filter(F.exists(F.array(*wanted) if wanted else F.array().cast("array<string>"), lambda k: (collated(k) >= collated(F.col("first_key"))) & (collated(k) <= collated(F.col("last_key")))))
+        files = [r.file for r in near.select("file").collect()]  # the files that hold the keys asked for
+        text = spark.read.text([f"{lines}/{f}" for f in files]) if files else spark.createDataFrame([], "value string")
+    entries = text.select(F.from_json("value", f"key string, first bigint, rows array<struct<{row}>>").alias("e"))
+    if keys is not None:
+        entries = entries.filter(F.col("e.key").isin(*keys))
+    rows = entries.select("e.key", "e.first", F.posexplode("e.rows").alias("at", "r"))
+    return rows.select("key", (F.col("first") + F.col("at")).alias("ord"), "r.*")
+
+
 def backfilled(df: DataFrame, column: str, *others: str, default: str = "Neutral") -> DataFrame:
     """A column filled from others, then by a literal."""
     return df.withColumn(column, F.coalesce(column, *others, F.lit(default)))

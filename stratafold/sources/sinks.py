@@ -10,14 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from stratafold.operators.ordered import placed_within
+from stratafold.session import saved
 
-def write_index(df: DataFrame, key: str, path: str) -> None:
-    """One JSON file that maps each key to its rows, keys sorted by collation. An index is a document; its file is written by one task."""
+
+#: Rows of a key that one line of an index holds, and lines of one of its files.
+LINE_ROWS, FILE_LINES = 1000, 100_000
+
+
+def write_index(df: DataFrame, key: str, order: str, path: str, line_rows: int = LINE_ROWS, file_lines: int = FILE_LINES) -> None:
+    """An index that maps each key to its rows, in `order` (unique in a key), at any size: files of JSON lines sorted by the collation of the key, and a table of what each file holds.
+
+    A line has a key, the number of its rows that stand before, and at most
+    `line_rows` rows, so a hot key is many lines; lines are dealt to files by ranges
+    of keys. `path`/lines holds the files and `path`/contents the table, which is
+    written last: an index without it is not whole. A null key is an error.
+    """
     rest = [c for c in df.columns if c != key]
-    entry = F.to_json(F.create_map(F.col(key), F.array_sort(F.collect_list(F.struct(*rest)))))
-    lines = df.groupBy(key).agg(F.substr(entry, F.lit(2), F.length(entry) - 2).alias("line"))
-    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.collate(F.col(key), "UNICODE").alias("k"), "line"))), lambda r: r["line"]), ",\n").alias("lines"))
-    whole.select(F.concat(F.lit("{"), "lines", F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    named = df.select(F.when(F.col(key).isNull(), F.raise_error(F.lit("an index has no null key")).cast("string")).otherwise(F.col(key).cast("string")).alias("_key"), F.struct(*rest).alias("_row"), F.col(order).alias("_order"))
+    placed = placed_within(named, ["_key"], "_order", "_place").withColumn("_first", F.floor((F.col("_place") - 1) / line_rows) * line_rows)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_row"))), lambda r: r["_row"])
+    lines = saved(placed.groupBy("_key", "_first").agg(rows.alias("rows")).select(F.collate("_key", "UNICODE").alias("_at"), F.col("_first").cast("long").alias("first"), F.to_json(F.struct(F.col("_key").alias("key"), F.col("_first").cast("long").alias("first"), "rows")).alias("value")))
+    files = max(1, -(-lines.count() // file_lines))
+    dealt = lines.repartitionByRange(files, "_at", "first").sortWithinPartitions("_at", "first")
+    dealt.select("value").write.mode("overwrite").text(f"{path}/lines")
+    back = df.sparkSession.read.text(f"{path}/lines").select(F.col("_metadata.file_name").alias("file"), F.get_json_object("value", "$.key").alias("k"), F.length("value").alias("n"))
+    own = F.struct(F.collate("k", "UNICODE").alias("c"), F.col("k"))
+    contents = back.groupBy("file").agg(F.min(own).alias("a"), F.max(own).alias("z"), F.count("*").alias("lines"), F.sum("n").alias("chars"))
+    contents.select("file", F.col("a.k").alias("first_key"), F.col("z.k").alias("last_key"), "lines", "chars").write.mode("overwrite").parquet(f"{path}/contents")
 
 
 def content_addressed(df: DataFrame, data: str, page: str, coverage: str) -> DataFrame:
