@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.arrowtext import Words, WordTable, bound_batches, mixed, segment_sums, slices, text_column, words_of
+from stratafold.llm.arrowtext import Words, WordTable, bound_batches, give_back, mixed, segment_sums, slices, text_column, words_of
 from stratafold.llm.shared import checked_broadcast, saved
 
 BUCKETS = 1 << 14
@@ -102,6 +102,8 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 buckets, owner = ngram_buckets(words_of(texts.slice(first, n)), table)
                 total[1] += np.bincount(buckets, minlength=BUCKETS)
                 total[0] += np.bincount(buckets[target[first : first + n][owner]], minlength=BUCKETS)
+        del table
+        give_back()
         used = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "target", "raw"])
 
@@ -169,6 +171,8 @@ def weigh(docs: DataFrame, labels: DataFrame, seed: int = SEED, sharpness: float
                 weights[first : first + n] = np.bincount(owner, weights=ratio[buckets], minlength=n)
                 grams[first : first + n] = np.bincount(owner, minlength=n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(grams), pa.array(weights)], ["doc_id", "row_key", "n_grams", "log_weight"])
+        del table
+        give_back()
 
     weights = saved(text.mapInArrow(run, "doc_id long, row_key long, n_grams long, log_weight double"))
     mean = F.col("log_weight") / F.greatest("n_grams", F.lit(1))

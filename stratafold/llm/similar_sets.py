@@ -43,7 +43,7 @@ RANGE = 1 << 19
 #: A shingle of more sets goes last, the commonest at the very end; at most so many do.
 HOT, HOT_MOST = 20, 500_000
 #: Shingles of a piece of a family, about, and pairs that are held at a time.
-PIECE, PAIRS_AT_ONCE = 2 << 20, 1 << 20
+PIECE, PAIRS_AT_ONCE = 1 << 20, 1 << 19
 SLICE = 1 << 20
 
 
