@@ -42,8 +42,8 @@ SLACK, AT_ONCE = 0.1, 1 << 20
 RANGE = 1 << 19
 #: A shingle of more sets goes last, the commonest at the very end; at most so many do.
 HOT, HOT_MOST = 20, 500_000
-#: Shingles of a piece of a family, about, and pairs that are held at a time.
-PIECE, PAIRS_AT_ONCE = 1 << 20, 1 << 19
+#: Shingles and sets of a piece of a family, about, and pairs that are held at a time.
+PIECE, PIECE_SETS, PAIRS_AT_ONCE = 1 << 20, 1 << 12, 1 << 19
 SLICE = 1 << 20
 
 
@@ -295,6 +295,28 @@ def families(sets: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("sig"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("sig"), F.col("root").alias("family")).distinct())
 
 
+def shared_bits(bucket: np.ndarray, owner: np.ndarray, token: np.ndarray, seen: np.ndarray, n: int) -> np.ndarray | None:
+    """Rows of bits, one for each shingle that several sets of the row's bucket have; None if they would take more than the shingles themselves.
+
+    Sets of a dense family have few shingles between them, and two rows of bits are
+    compared at once where two sets are looked up shingle by shingle.
+    """
+    used = seen[token] > 1
+    owner, token = owner[used], token[used]
+    _, first = np.unique(token, return_index=True)
+    order = np.argsort(bucket[owner[first]], kind="stable")
+    number = np.arange(len(order)) - np.searchsorted(own := bucket[owner[first]][order], own)
+    words = int(number.max(initial=0)) // 64 + 1
+    if n * words > len(owner):
+        return None
+    place = np.empty(len(seen), np.int64)
+    place[token[first][order]] = number
+    at = place[token]
+    bits = np.zeros((n, words), np.uint64)
+    np.bitwise_or.at(bits, (owner, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    return bits
+
+
 def similar_in_buckets(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of nodes whose classes are those of all similar pairs of one bucket.
 
@@ -319,9 +341,16 @@ def similar_in_buckets(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, s
     at = np.arange(len(row))
     partners = np.searchsorted(token_at * step + size[row], token_at * step + np.floor(size[row] / SIMILARITY + 1e-9).astype(np.int64), side="right") - at - 1
     ends, failed, start = np.cumsum(partners), np.empty(0, np.int64), 0
+    bits = shared_bits(bucket, owner, token, seen, n)
 
     def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = []
+        if bits is not None:
+            for part in np.array_split(np.arange(len(a)), 1 + len(a) * bits.shape[1] // PAIRS_AT_ONCE):
+                x, y = a[part], b[part]
+                common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+                out.append(common >= SIMILARITY * (size[x] + size[y] - common) - 1e-9)
+            return np.concatenate(out)
         for part in np.array_split(np.arange(len(a)), 1 + size[a].sum() // PAIRS_AT_ONCE):
             x, y = a[part], b[part]
             if not len(x):
@@ -342,16 +371,20 @@ def similar_in_buckets(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, s
         b = row[a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)]
         a = row[a]
         meets = ((side[a] == 2) | (side[a] != side[b])) & (forest.label[a] != forest.label[b])
-        pairs = np.setdiff1d(np.minimum(a, b)[meets] * n + np.maximum(a, b)[meets], failed)
-        rounds = 0
+        pairs = np.sort(np.minimum(a, b)[meets] * n + np.maximum(a, b)[meets])
+        if len(failed):
+            pairs = pairs[failed[np.minimum(np.searchsorted(failed, pairs), len(failed) - 1)] != pairs]
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        rounds, bad = 0, [failed]
         while len(pairs := pairs[forest.label[pairs // n] != forest.label[pairs % n]]):
             a, b = pairs // n, pairs % n
             pick = spanning_forest(n, forest.label[a], forest.label[b]) if rounds < 20 else np.arange(min(len(a), 1 << 14))
             good = verified(a[pick], b[pick])
             forest.link(a[pick[good]], b[pick[good]])
-            failed = np.concatenate([failed, pairs[pick[~good]]])
+            bad.append(pairs[pick[~good]])
             pairs = np.delete(pairs, pick)
             rounds += 1
+        failed = np.sort(np.concatenate(bad), kind="stable")
         start = last
     moved = np.flatnonzero(node != node[forest.label])
     return node[moved], node[forest.label[moved]]
@@ -388,7 +421,7 @@ def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
     members = families(sets)
     fps = marked.groupBy("sig").agg(F.min("fp").alias("fp"))
     whole = saved(members.join(sets.select("sig", "n"), "sig").join(fps, "sig").withColumnRenamed("family", "key"))
-    pieces = saved(whole.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(PIECE)).cast("int").alias("pieces")))
+    pieces = saved(whole.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / F.lit(PIECE)), F.ceil(F.count("*") / F.lit(PIECE_SETS))).cast("int").alias("pieces")))
     own = "cast(pmod(xxhash64(sig), pieces) AS int)"
     meetings = (
         f"CASE WHEN pieces = 1 THEN array(struct(0 AS i, 0 AS j, 2 AS side)) ELSE transform(sequence(0, pieces - 1), k -> "

@@ -212,6 +212,7 @@ def kept_ids(spark, rows):
 @pytest.mark.parametrize("piece", [1 << 22, 5000])
 def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, piece, monkeypatch):
     monkeypatch.setattr(ss, "PIECE", piece)
+    monkeypatch.setattr(ss, "PIECE_SETS", 70 if piece > 5000 else 1 << 12)
     rng = np.random.default_rng(8)
     base = [f"b{i}" for i in range(304)]
     rows = []
@@ -225,6 +226,31 @@ def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, piece, mon
     assert kept_ids(spark, rows) == want
 
 
+@pytest.mark.parametrize("at_once", [1 << 19, 50])
+def test_rows_of_bits_and_lookups_find_the_same_links(at_once, monkeypatch):
+    """Two buckets of dense families in one call, verified by rows of bits and shingle by shingle; pairs that failed in a step don't come back."""
+    monkeypatch.setattr(ss, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(14)
+    sets = [np.unique(np.concatenate([100 * (i % 2) + rng.choice(60, 56, replace=False), 1000 * (i + 1) + np.arange(3)])) for i in range(60)]
+    size, flat = np.asarray([len(s) for s in sets]), np.concatenate(sets)
+    arguments = (np.arange(60, dtype=np.uint64) % 2, np.full(60, 2), np.arange(60), flat, size)
+    assert ss.shared_bits(arguments[0], np.repeat(np.arange(60), size), np.unique(flat, return_inverse=True)[1], np.unique(flat, return_counts=True)[1], 60) is not None
+
+    def classes():
+        root = list(range(60))
+        for a, b in zip(*(x.tolist() for x in ss.similar_in_buckets(*arguments))):
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i in range(60) if root[i] == r) for r in root}
+
+    dense = classes()
+    monkeypatch.setattr(ss, "shared_bits", lambda *_: None)
+    assert dense == classes()
+    near = [(a, b) for a in range(60) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert near and all(any({a, b} <= c for c in dense) for a, b in near)
+    assert sum(len(c) - 1 for c in dense) <= len(near)
+
+
 def test_similar_sets_join_whatever_their_fingerprints(spark):
     """A passage that is repeated moves the votes, not the set."""
     rows = []
