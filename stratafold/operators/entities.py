@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.functions.text import first_mapped, text, title_key
+from stratafold.functions.text import braced_table, first_mapped, function_body, pretty_name, text, title_key, trimmed
 from stratafold.operators.aggregates import merged
 from stratafold.operators.layout import circular
 from stratafold.operators.ordered import first_by, last_by
@@ -113,14 +113,57 @@ def _placed(rows: DataFrame, boxes: dict[str, str], default: str) -> DataFrame:
     return rows.withColumns({"place": F.col("ancestry"), "box": F.coalesce(first_mapped(F.col("ancestry"), boxes), F.lit(default))})
 
 
-def chips(nodes: DataFrame, prefix: str, boxes: dict[str, str], default_box: str = "base") -> DataFrame:
-    """Custom tiles whose script begins with a prefix, keyed by their notes: copies by image pair, per place (its ancestors' names) and per box; a tile without a face is none."""
-    rows = nodes.filter((F.col("kind") == "Custom_Tile") & F.startswith("script", F.lit(prefix)) & text(F.col("notes")).isNotNull())
-    rows = rows.withColumn("image", text(F.variant_get("node", "$.CustomImage.ImageURL", "string"))).filter("image IS NOT NULL")
-    rows = rows.withColumns({"key": title_key(text(F.col("notes"))), "back": F.variant_get("node", "$.CustomImage.ImageSecondaryURL", "string")})
+def chip_tiles(nodes: DataFrame, prefix: str, known: tuple[str, ...] = ()) -> DataFrame:
+    """Custom tiles with notes that are chips, with image and back: marked by a script that begins with `prefix`; or of a `known` group; or with both faces inside a container of chips, or, without a name of their own, inside one named like their notes."""
+    image, back = (text(F.variant_get("node", f"$.CustomImage.{p}", "string")) for p in ("ImageURL", "ImageSecondaryURL"))
+    tiles = nodes.filter((F.col("kind") == "Custom_Tile") & F.variant_get("node", "$.CustomImage", "variant").isNotNull()).withColumns({"notes": text(F.col("notes")), "image": image, "back": back}).filter("notes IS NOT NULL")
+    group = title_key(pretty_name(F.col("notes")))
+    above = F.split(title_key(F.array_join(F.transform("ancestry", lambda a: pretty_name(a)), "\x01")), "\x01")  # all names at once, composed in one call
+    inside = F.exists("ancestry", lambda a: a.rlike(r"(?i)\bchips\b")) | (F.col("nickname").isNull() & F.array_contains(above, group))
+    unmarked = F.col("image").isNotNull() & F.col("back").isNotNull() & inside
+    return tiles.filter(F.coalesce(F.startswith("script", F.lit(prefix)), F.lit(False)) | unmarked | group.isin(*known))
+
+
+def chips(nodes: DataFrame, prefix: str, boxes: dict[str, str], default_box: str = "base", known: tuple[str, ...] = ()) -> DataFrame:
+    """Chips (`chip_tiles`) keyed by their notes: copies by image pair, per place (its ancestors' names) and per box; a chip without a face is none."""
+    rows = chip_tiles(nodes, prefix, known).filter("image IS NOT NULL").withColumn("key", title_key(F.col("notes")))
     return merged(_placed(rows, boxes, default_box), ["key", "image", "back"], "path", first=["nickname"], fill=["description"], unite=["tags"], place="place", box="box")
 
 
+#: How scripts fetch an object, and what a table of guids and labels has.
+FETCHED, LISTED, LABELLED = r'\b([A-Za-z_]\w*)\s*=\s*getObjectFromGUID\("([0-9a-f]{6})"\)', r'\["([0-9a-f]{6})"\]\s*=\s*\{([^}]*)\}\s*,?\s*--\s*([^\r\n]*)', r'"([0-9a-f]{6})"\s*,?\s*--\s*([^\r\n]*)'
+
+
+def site_monsters(nodes: DataFrame, scripts: DataFrame, chip_rows: DataFrame, site: Column, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(source, site, ord, group, monster, image) rows of sites from scripts.
+
+    A node is a site if `site` gives its name. Its own function `guardian` fetches
+    monsters by guid into variables; a site without any has what the table
+    Guardians of its save's script (`scripts`: source, script) lists. A fetched
+    chip (`chip_rows`, of `chip_tiles`; the last of a guid) names the group, and the
+    monster where its variable is Guardian and a number; other variables name the
+    monster, and its first word the group where there is no chip. Labels name the
+    monsters of the table, chips those without a label.
+    """
+    known = last_by(chip_rows.select("source", "guid", "path", pretty_name(F.col("notes")).alias("chip"), "image"), ["source", "guid"], "path").drop("path")
+    sites = nodes.withColumn("site", text(site)).filter("site IS NOT NULL").select("source", "path", F.col("guid").alias("site_guid"), "site", "script")
+    fetched = F.transform(F.regexp_extract_all(function_body(F.col("script"), "guardian"), F.lit(FETCHED), 0), lambda x: F.struct(F.regexp_extract(x, FETCHED, 1).alias("variable"), F.regexp_extract(x, FETCHED, 2).alias("guid")))
+    own = sites.select("source", "site", "path", F.posexplode(fetched).alias("at", "f")).select("source", "site", F.struct("path", "at").alias("ord"), "f.*").filter(~F.col("variable").isin(*ignored))
+    said = pretty_name(F.regexp_replace("variable", r"\d+$", ""))
+    generic = F.col("variable").rlike(r"(?i)^Guardian\d*$")
+    monster = F.when(generic, F.coalesce("chip", pretty_name(F.col("variable")))).otherwise(said)
+    group = F.when(generic, monster).otherwise(F.coalesce("chip", F.split(said, " ")[0]))
+    local = own.join(known, ["source", "guid"], "left").select("source", "site", "ord", group.alias("group"), monster.alias("monster"), "image")
+
+    rows = scripts.select("source", F.posexplode(F.regexp_extract_all(braced_table(F.col("script"), "Guardians = {"), F.lit(LISTED), 0)).alias("line", "row"))
+    listed = rows.select("source", "line", F.regexp_extract("row", LISTED, 1).alias("site_guid"), F.regexp_extract("row", LISTED, 3).alias("label"), F.posexplode(F.regexp_extract_all(F.regexp_extract("row", LISTED, 2), F.lit(LABELLED), 0)).alias("at", "one"))
+    named = last_by(sites.select("source", "site_guid", "path", "site"), ["source", "site_guid"], "path").drop("path")
+    met = listed.withColumn("guid", F.regexp_extract("one", LABELLED, 1)).join(named, ["source", "site_guid"], "left").join(known, ["source", "guid"], "left")
+    met = met.withColumns({"site": F.coalesce("site", text(title_key(F.col("label")))), "monster": F.coalesce(text(pretty_name(text(F.regexp_extract("one", LABELLED, 2)))), F.col("chip")), "ord": F.struct(F.array("line").alias("path"), "at")}).filter("site IS NOT NULL AND monster IS NOT NULL")
+    world = met.join(local.select("source", "site").distinct(), ["source", "site"], "left_anti").select("source", "site", "ord", F.coalesce("chip", "monster").alias("group"), "monster", "image")
+    return local.unionByName(world)
+
+
 def faced(nodes: DataFrame, faces: DataFrame) -> DataFrame:
     """Tiles whose front is one of `faces` (face, kind, both, scale): both sides alike, or one side and the scale; every copy stays a row."""
     front, back, scale = (F.variant_get("node", f"$.{p}", k) for p, k in (("CustomImage.ImageURL", "string"), ("CustomImage.ImageSecondaryURL", "string"), ("Transform.scaleX", "double")))
@@ -179,6 +222,57 @@ def live_lines(script: Column) -> Column:
     return F.array_join(F.filter(F.split(script, "\n"), lambda s: ~s.rlike(r"^\s*--")), "\n")
 
 
+def native_name(label: Column, group: Column, singular: dict[str, str] | None = None) -> Column:
+    """A native's name from its label: a number or 'leader' stands behind the group's name, or its `singular`; others are names."""
+    plain = trimmed(label)
+    shown = pretty_name(F.regexp_replace(plain, r"([A-Za-z])(\d+)", "$1 $2"))
+    of = F.coalesce(*(F.when(title_key(group) == k, F.lit(v)) for k, v in (singular or {}).items()), group)
+    return F.when(plain.rlike(r"(?i)^(\d+|leader)$"), F.concat_ws(" ", of, shown)).otherwise(shown)
+
+
+def native_summons(nodes: DataFrame, scripts: DataFrame, chip_rows: DataFrame, known: tuple[str, ...], singular: dict[str, str] | None = None, corrections: dict[str, str] | None = None) -> DataFrame:
+    """(source, location, group, ord, name, image) rows of natives from scripts; a group of a location comes from the first of four kinds of script that has it.
+
+    1. The table nativeGroups of a save's script (`scripts`: source, script) lists the
+       `known` groups, at 'Native Setup'. 2. Its tables Natives and NativesAlt name, by
+       the label of an entry (or its correction), groups of the first; lines that are
+       commented out count for nothing. 3. Functions setup<Name>(clearing, rotation) of a
+       named node fetch chips (`chip_rows`), each guid once. 4. The function
+       summonNatives of a named node names groups of the first.
+    """
+    chip = last_by(chip_rows.select("source", "guid", "path", pretty_name(F.col("notes")).alias("chip"), "image"), ["source", "guid"], "path").drop("path")
+    group_row = r"\b([a-z]+)\s*=\s*\{([\s\S]*?)\n\s*\},"
+    label_row = r'"([0-9a-f]{6})"\s*,?\s*--\s*([^\n\r]+)'
+    groups = scripts.select("source", F.posexplode(F.regexp_extract_all(braced_table(F.col("script"), "nativeGroups = {"), F.lit(group_row), 0)).alias("line", "row"))
+    groups = groups.withColumn("group", pretty_name(F.regexp_extract("row", group_row, 1))).filter(title_key(F.col("group")).isin(*known))
+    listed = groups.select("source", "line", "group", F.posexplode(F.regexp_extract_all(F.regexp_extract("row", group_row, 2), F.lit(label_row), 0)).alias("at", "one"))
+    listed = listed.withColumn("guid", F.regexp_extract("one", label_row, 1)).join(chip.drop("chip"), ["source", "guid"], "left")
+    base = listed.select("source", "group", F.struct(F.array("line").alias("path"), "at").alias("ord"), native_name(F.regexp_extract("one", label_row, 2), F.col("group"), singular).alias("name"), "image")
+
+    named = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r'\bgroup\s*=\s*"([^"]+)"'), 1), lambda g: pretty_name(g))
+    entry = r'(?m)^\s*\["[0-9a-f]{6}"\]\s*=\s*\{([\s\S]*?)^\s*\},?\s*--\s*([^\r\n]*)'
+    table = lambda name: F.coalesce(F.regexp_extract_all(braced_table(F.concat(F.lit("\n"), "script"), f"\n{name} = {{"), F.lit(entry), 0), F.array().cast("array<string>"))
+    entries = scripts.select("source", F.explode(F.concat(table("Natives"), table("NativesAlt"))).alias("row")).withColumn("location", text(F.regexp_extract("row", entry, 2)))
+    if corrections:
+        entries = entries.withColumn("location", F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in corrections.items() for x in kv)), F.col("location")), F.col("location")))
+    by_table = entries.filter("location IS NOT NULL").select("source", "location", F.explode(named(live_lines(F.regexp_extract("row", entry, 1)))).alias("group")).distinct()
+
+    placed = nodes.select("source", "path", text(F.col("nickname")).alias("location"), "script").filter("location IS NOT NULL")
+    summoned = placed.select("source", "location", F.explode(named(function_body(F.col("script"), "summonNatives"))).alias("group")).distinct()
+    setup = F.regexp_extract_all("script", F.lit(r"function\s+setup[A-Z][A-Za-z]+\(clearing,\s*rotation\)([\s\S]*?)(?=\nfunction\s|\z)"), 1)
+    fetched = placed.select("source", "location", "path", F.posexplode(F.regexp_extract_all(F.array_join(setup, "\n"), F.lit(FETCHED), 0)).alias("at", "one"))
+    fetched = fetched.select("source", "location", F.struct("path", "at").alias("ord"), F.regexp_extract("one", FETCHED, 1).alias("variable"), F.regexp_extract("one", FETCHED, 2).alias("guid")).join(chip, ["source", "guid"])
+    own = first_by(fetched, ["source", "location", "chip", "guid"], "ord").select("source", "location", F.col("chip").alias("group"), "ord", native_name(F.col("variable"), F.col("chip"), singular).alias("name"), "image")
+
+    kinds = [base.withColumn("location", F.lit("Native Setup")), by_table.join(base, ["source", "group"]), own, summoned.join(base, ["source", "group"])]
+    rows = None
+    for n, df in enumerate(kinds):
+        one = df.select("source", "location", "group", "ord", "name", "image", F.lit(n).alias("_n"))
+        rows = one if rows is None else rows.unionByName(one)
+    best = rows.groupBy("source", "location", "group").agg(F.min("_n").alias("_n"))
+    return rows.join(best, ["source", "location", "group", "_n"], "left_semi").drop("_n")
+
+
 def natives(sources: list[DataFrame]) -> DataFrame:
     """(location, group, ...) rows of several sources: per location and group the first row of the first source that has one."""
     out = None

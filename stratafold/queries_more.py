@@ -362,6 +362,34 @@ def chip_extraction(t):
     return rows.select("key", "image", "copies", F.array_join(F.transform("locations", lambda x: F.concat(F.array_join(x["value"], " / "), F.lit(":"), x["count"].cast("string"))), ",").alias("places"), "nickname")
 
 
+def _saves_of(rows):
+    """Object trees of 500 parts each from (p_partkey, root)."""
+    trees = rows.groupBy(F.expr("p_partkey div 500").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.to_json("root").alias("r")))), lambda x: x["r"]).alias("r"))
+    return trees.select(F.col("n").cast("string").alias("source"), F.concat(F.lit('{"ObjectStates":['), F.array_join("r", ","), F.lit("]}")).alias("save"))
+
+
+@query("""SELECT CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN 'wardens' ELSE 'AdultDragons' END AS key, 'f' || p_size % 3 AS image, CASE p_size % 4 WHEN 0 THEN 'Hills Chips' WHEN 1 THEN 'Box' ELSE 'Adult Dragons' END AS place, count(*) AS copies
+FROM part WHERE p_size % 4 < 2 OR p_size % 8 = 2 GROUP BY ALL""")
+def unmarked_chips(t):
+    tile = F.expr("named_struct('Name', 'Custom_Tile', 'Nickname', CASE WHEN p_size % 8 = 6 THEN p_name END, 'GMNotes', CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN 'wardens' WHEN 2 THEN 'AdultDragons' ELSE 'other' END, 'LuaScript', 'function onLoad() end', 'CustomImage', named_struct('ImageURL', concat('f', p_size % 3), 'ImageSecondaryURL', 'b'))")
+    bag = F.struct(F.lit("Bag").alias("Name"), F.expr("CASE p_size % 4 WHEN 0 THEN 'Hills Chips' WHEN 2 THEN 'Adult Dragons' ELSE 'Box' END").alias("Nickname"), F.array(tile).alias("ContainedObjects"))
+    found = entities.chips(tree.named(tree.flatten(_saves_of(t.part.select("p_partkey", bag.alias("root"))))), "chipName =", {}, known=("Wardens",))
+    return found.select("key", "image", F.explode("locations").alias("x")).select("key", "image", F.array_join("x.value", " / ").alias("place"), F.col("x.count").alias("copies"))
+
+
+@query("""SELECT 'Site ' || p_partkey AS site, CASE p_size % 3 WHEN 0 THEN 'Tall Troll' WHEN 1 THEN p_type ELSE 'Big Ogre' END AS monster, CASE p_size % 3 WHEN 2 THEN 'Big' ELSE p_type END AS "group", CASE WHEN p_size % 3 < 2 THEN 'f' || p_size END AS image FROM part""")
+def site_monsters_from_scripts(t):
+    chip = "named_struct('Name', 'Custom_Tile', 'GUID', format_string('c%05x', p_partkey % 500), 'Nickname', CAST(null AS STRING), 'GMNotes', p_type, 'LuaScript', 'chipName = 1', 'CustomImage', named_struct('ImageURL', concat('f', p_size)))"
+    fetch = "concat('function guardian()\\n', CASE p_size % 3 WHEN 1 THEN concat(' Guardian1 = getObjectFromGUID(\"', format_string('c%05x', p_partkey % 500), '\")\\n Black1 = getObjectFromGUID(\"ffffff\")') ELSE ' BigOgre2 = getObjectFromGUID(\"ffffff\")' END, '\\nend\\nfunction other()\\n x = getObjectFromGUID(\"eeeeee\")\\nend')"
+    site = f"named_struct('Name', 'Custom_Tile', 'GUID', format_string('d%05x', p_partkey % 500), 'Nickname', concat('Site ', p_partkey), 'GMNotes', CAST(null AS STRING), 'LuaScript', CASE p_size % 3 WHEN 0 THEN '' ELSE {fetch} END, 'CustomImage', named_struct('ImageURL', 'site'))"
+    roots = t.part.select("p_partkey", F.expr(f"named_struct('Name', 'Bag', 'ContainedObjects', array({chip}, {site}))").alias("root"))
+    line = F.expr("concat('  [\"', format_string('d%05x', p_partkey % 500), '\"] = {\\n  \"', format_string('c%05x', p_partkey % 500), '\", -- tallTroll\\n}, -- x')")
+    scripts = t.part.groupBy(F.expr("CAST(p_partkey div 500 AS STRING)").alias("source")).agg(F.concat(F.lit("a = 1\nGuardians = {\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n}\nb = {}")).alias("script"))
+    nodes = tree.named(tree.flatten(_saves_of(roots)))
+    name = F.when(F.variant_get("node", "$.CustomImage.ImageURL", "string") == "site", F.col("nickname"))
+    return entities.site_monsters(nodes, scripts, entities.chip_tiles(nodes, "chipName ="), name, ("Black1",)).select("site", "monster", "group", "image")
+
+
 @query("SELECT 't' || p_partkey AS guid, 'http://a/f' || p_size % 3 AS face, CASE p_size % 3 WHEN 0 THEN 'site' ELSE 'civ' END AS site_kind FROM part WHERE p_size % 3 = 1 AND p_size % 5 = 0")
 def faced_tiles(t):
     faces = t.spark.createDataFrame([("http://a/f0", "site", True, None), ("http://a/f1", "civ", False, 0.5)], "face string, kind string, both boolean, scale double")

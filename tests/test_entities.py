@@ -26,6 +26,29 @@ def test_chips_count_copies_per_place(spark):
     assert en.chips(nodes_of(spark, tile("5", "x", None, "k", GMNotes="n", LuaScript="-- chip"), tile("6", "x", " ", "k", GMNotes="n", LuaScript="-- chip")), "-- chip", {}).count() == 0
 
 
+def test_unmarked_chips_are_known_by_container_or_group(spark):
+    plain = lambda name=None, notes="AdultDragons", back="k": tile("g", name, "f", back, GMNotes=notes, LuaScript="function onLoad() end")
+    count = lambda *objects, known=(): sorted((r.key, r.copies) for r in en.chips(nodes_of(spark, *objects), "chipName =", {}, known=known).collect())
+    assert count(bag("Hills Chips", plain("named"))) == [("AdultDragons", 1)]
+    assert count(bag("Adult Dragons", plain(), plain())) == [("AdultDragons", 2)]
+    assert count(bag("Adult Dragons", plain("named")), bag("Chipshop", plain()), bag("Chips", plain(back=None)), bag("Chips", plain(notes=" "))) == []
+    assert count(plain(notes="wardens")) == [] and count(plain(notes="wardens", back=None), known=("Wardens",)) == [("wardens", 1)]
+    assert count(bag("Chips", {"Name": "Custom_Tile", "GMNotes": "n", "LuaScript": "chipName ="})) == []
+
+
+def test_natives_of_a_location_come_from_the_first_script_that_has_the_group(spark):
+    chip = lambda guid, notes: tile(guid, None, f"f{guid}", "k", GMNotes=notes, LuaScript="chipName = 1")
+    fetch = 'function setupCamp(clearing, rotation)\n leader = getObjectFromGUID("00000a")\n a1 = getObjectFromGUID("00000b")\n again = getObjectFromGUID("00000a")\n no = getObjectFromGUID("0000ff")\nend\nfunction other()\n z = getObjectFromGUID("00000c")\nend'
+    summon = 'function summonNatives()\n x = { group = "hunters" }, { group = "nobody" }\nend'
+    script = 'nativeGroups = {\n hunters = {\n  "00000a", -- leader\n  "00000c", -- Big2\n },\n strangers = {\n "00000b", -- x\n },\n}\nNatives = {\n ["0000aa"] = {\n  { group = "hunters" },\n  -- { group = "wardens" },\n }, -- Ford\n}\n'
+    nodes = nodes_of(spark, chip("00000a", "hunters"), chip("00000b", "wardens"), chip("00000c", "hunters"), tile("1", "Camp", LuaScript=fetch), tile("2", "Ford", LuaScript=summon), tile("3", "Hill", LuaScript=summon))
+    scripts = spark.createDataFrame([("s", script), ("t", None)], "source string, script string")
+    rows = en.native_summons(nodes, scripts, en.chip_tiles(nodes, "chipName ="), ("Hunters",), {"Hunters": "Hunter"}).orderBy("location", "group", "ord").collect()
+    both = [("Hunters", "Hunter Leader", "f00000a"), ("Hunters", "Big 2", "f00000c")]
+    want = {"Camp": [("Hunters", "Hunter Leader", "f00000a"), ("Wardens", "A 1", "f00000b")], "Ford": both, "Hill": both, "Native Setup": both}
+    assert {k: [(r.group, r.name, r.image) for r in rows if r.location == k] for k in {r.location for r in rows}} == want
+
+
 PLACES = "source string, path array<int>, ancestry array<string>, lineage array<struct<kind: string, guid: string, name: string>>, guid string, kind string, nickname string, description string, notes string, script string, tags array<string>"
 
 
