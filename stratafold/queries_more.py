@@ -390,6 +390,21 @@ def site_monsters_from_scripts(t):
     return entities.site_monsters(nodes, scripts, entities.chip_tiles(nodes, "chipName ="), name, ("Black1",)).select("site", "monster", "group", "image")
 
 
+@query("""WITH b AS (SELECT p_partkey // 500 AS s, upper(p_type[1]) || lower(p_type[2:]) AS "group", 'Ox ' || p_partkey AS name, 'f' || p_size AS image FROM part WHERE p_type IN ('PROMO', 'SMALL'))
+SELECT CAST(s AS VARCHAR) AS source, 'Native Setup' AS location, "group", name, image FROM b UNION ALL SELECT CAST(p_partkey // 500 AS VARCHAR), 'Camp ' || p_partkey, upper(p_type[1]) || lower(p_type[2:]), 'Wolf', 'f' || p_size FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT CAST(s AS VARCHAR), 'Camp ' || p_partkey, "group", name, image FROM part JOIN b ON s = p_partkey // 500 AND "group" = 'Small' WHERE p_size % 10 = 1""")
+def native_sources(t):
+    chip = "named_struct('Name', 'Custom_Tile', 'GUID', format_string('c%05x', p_partkey % 500), 'Nickname', CAST(null AS STRING), 'GMNotes', lower(p_type), 'LuaScript', 'chipName = 1', 'CustomImage', named_struct('ImageURL', concat('f', p_size)))"
+    said = "CASE WHEN p_size % 2 = 0 THEN concat('function setupCamp(clearing, rotation)\\n wolf = getObjectFromGUID(\"', format_string('c%05x', p_partkey % 500), '\")\\nend') WHEN p_size % 10 = 1 THEN 'function summonNatives()\\n { group = \"small\" }\\nend' ELSE '' END"
+    camp = f"named_struct('Name', 'Custom_Tile', 'GUID', CAST(null AS STRING), 'Nickname', concat('Camp ', p_partkey), 'GMNotes', CAST(null AS STRING), 'LuaScript', {said}, 'CustomImage', named_struct('ImageURL', 'camp'))"
+    roots = t.part.select("p_partkey", F.expr(f"named_struct('Name', 'Bag', 'ContainedObjects', array({chip}, {camp}))").alias("root"))
+    line = F.expr("concat('  \"', format_string('c%05x', p_partkey % 500), '\", -- ox', p_partkey)")
+    tables = t.part.groupBy(F.expr("CAST(p_partkey div 500 AS STRING)").alias("source"), F.lower("p_type").alias("k")).agg(F.concat("k", F.lit(" = {\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n },")).alias("rows"))
+    scripts = tables.groupBy("source").agg(F.concat(F.lit("nativeGroups = {\n "), F.array_join(F.array_sort(F.collect_list("rows")), "\n "), F.lit("\n}\n")).alias("script"))
+    nodes = tree.named(tree.flatten(_saves_of(roots)))
+    return entities.native_summons(nodes, scripts, entities.chip_tiles(nodes, "chipName ="), ("Promo", "Small")).select("source", "location", "group", "name", "image")
+
+
 @query("SELECT 't' || p_partkey AS guid, 'http://a/f' || p_size % 3 AS face, CASE p_size % 3 WHEN 0 THEN 'site' ELSE 'civ' END AS site_kind FROM part WHERE p_size % 3 = 1 AND p_size % 5 = 0")
 def faced_tiles(t):
     faces = t.spark.createDataFrame([("http://a/f0", "site", True, None), ("http://a/f1", "civ", False, 0.5)], "face string, kind string, both boolean, scale double")
