@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions.text import heads, name_variants, slug, title_key
 from stratafold.operators.ordered import first_by, last_by
+from stratafold.session import saved
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], order: str | None = None, last: bool = True) -> DataFrame:
@@ -46,10 +47,11 @@ def cascade(names: DataFrame, index: DataFrame, aliases: DataFrame, key: str = "
     without an alias that is a category (name -> prefix) has, as rank 4, all
     titles that begin with the prefix. An alias that leads nowhere gives nothing.
     """
-    index = index.withColumn("_ik", title_key(F.col(key))).drop(key)
-    asked = names.select(key).distinct().withColumn("_k", title_key(F.col(key)))
+    index = saved(index.withColumn("_ik", title_key(F.col(key))).drop(key))
+    asked = saved(names.select(key).distinct().withColumn("_k", title_key(F.col(key))))
     direct = _by_title(asked, index, [key]).withColumns({"match_rank": F.when(F.col("_exact"), 1).otherwise(2), "alias_ord": F.lit(0)}).drop("_exact")
-    missed = asked.join(direct.select(key).distinct(), key, "left_anti")
+    titles = index.select(F.lower("_ik").alias("_title")).distinct()
+    missed = saved(asked.join(titles, F.lower("_k") == F.col("_title"), "left_anti"))
     known = aliases.select(title_key(F.col("alias")).alias("_k"), title_key(F.col("target")).alias("_to"), F.col(order).cast("int").alias("alias_ord"))
     led = missed.join(known, "_k").select(key, "alias_ord", F.col("_to").alias("_k"))
     via = _by_title(led, index, [key, "alias_ord"]).withColumn("match_rank", F.lit(3)).drop("_exact")

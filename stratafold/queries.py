@@ -571,10 +571,8 @@ def tree_extract_entities(t):
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, arg_min(role, turn) AS opens, arg_max(role, turn) AS closes FROM conversations GROUP BY 1")
 def turn_path(t):
-    c = t.conversations.select("conv_id", "turn", "role")
-    counts = ag.conditional_counts(c, "conv_id", {"turns": F.lit(True), "answers": F.col("role") == "assistant"})
-    ends = ordered.first_by(c, ["conv_id"], "turn").selectExpr("conv_id", "role AS opens").join(ordered.last_by(c, ["conv_id"], "turn").selectExpr("conv_id", "role AS closes"), "conv_id")
-    return counts.join(ends, "conv_id")
+    ends = [F.min_by("role", "turn").alias("opens"), F.max_by("role", "turn").alias("closes")]
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), *ends)
 
 
 # -- Entities and pages -----------------------------------------------------
