@@ -4,7 +4,8 @@ A tree is one document, so it is walked in one pass where it lies: no shuffle,
 no step per level, and nodes go out in batches of bounded size. A node goes out
 without what it contains, which has rows of its own, so the output grows with
 the tree and not with its depth. A node's path is a list of places, which orders
-all nodes depth-first.
+all nodes depth-first. A tree too large for one text comes in pieces (`flatten`),
+each of which is walked where it lies.
 """
 
 from __future__ import annotations
@@ -25,26 +26,27 @@ _LINEAGE = pa.list_(pa.struct([("kind", pa.string()), ("guid", pa.string()), ("n
 SENT_NODES, SENT_CHARS = 10_000, 4 << 20
 
 
-def walk(tree: dict, roots: str, children: tuple[str, ...], states: bool) -> Iterator[tuple[list[int], dict, list[dict]]]:
-    """(path, node, lineage) depth-first: roots, then what they hold; with `states`, alternate states after the contained objects."""
+def walk(tree: dict, roots: str, children: tuple[str, ...], states: bool, first: int = 0) -> Iterator[tuple[list[int], dict, list[dict]]]:
+    """(path, node, lineage) depth-first: roots, then what they hold; with `states`, alternate states after the contained objects. Of a piece, whose roots hold objects from place `first` on, the roots go out only if that is 0."""
 
     def said(node: dict, key: str) -> str | None:
         value = node.get(key)
         return value if value is None or isinstance(value, str) else json.dumps(value)
 
-    first = tree.get(roots) if isinstance(tree, dict) else None
-    stack = [([i], node, []) for i, node in enumerate(first or [])][::-1]
+    tops = tree.get(roots) if isinstance(tree, dict) else None
+    stack = [([i], node, []) for i, node in enumerate(tops or [])][::-1]
     while stack:
         path, node, lineage = stack.pop()
         if not isinstance(node, dict):
             continue
-        yield path, node, lineage
+        if not first or len(path) > 1:
+            yield path, node, lineage
         below = [x for c in children for x in node.get(c) or []]
         if states:
             below += list((node.get("States") or {}).values())
         if below:
             own = [*lineage, {"kind": said(node, "Name"), "guid": said(node, "GUID"), "name": (said(node, "Nickname") or "").strip().strip("\ufeff").strip() or None}]
-            stack += [([*path, i], x, own) for i, x in enumerate(below)][::-1]
+            stack += [([*path, i], x, own) for i, x in enumerate(below, first if len(path) == 1 else 0)][::-1]
 
 
 def flatten(saves: DataFrame, save: str = "save", roots: str = "ObjectStates", children: tuple[str, ...] = ("ContainedObjects",), states: bool = False) -> DataFrame:
@@ -54,6 +56,10 @@ def flatten(saves: DataFrame, save: str = "save", roots: str = "ObjectStates", c
     ancestors that have one, outermost first, and lineage all ancestors (kind,
     guid, name); with `states`, alternate states are visited after the contained
     objects. A null or empty text has no objects; one that isn't JSON is an error.
+
+    A tree of any size comes in pieces: rows of one source whose texts have the same
+    root, without states of its own, and a slice of what it holds each, with the place
+    of the slice's first object in a column `first` (null: 0, where a whole tree begins).
     """
     ship(saves.sparkSession)
     names = ["source", "path", "node", "lineage"]
@@ -67,10 +73,10 @@ def flatten(saves: DataFrame, save: str = "save", roots: str = "ObjectStates", c
                 kinds = (pa.string(), pa.list_(pa.int32()), pa.string(), _LINEAGE)
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-            for source, value in zip(batch.column("source").to_pylist(), batch.column("save")):
+            for source, value, first in zip(batch.column("source").to_pylist(), batch.column("save"), batch.column("first").to_pylist()):
                 if not (written := value.as_py()):
                     continue
-                for path, node, lineage in walk(json.loads(written), roots, children, states):
+                for path, node, lineage in walk(json.loads(written), roots, children, states, first):
                     own = json.dumps({k: v for k, v in node.items() if k not in children}, ensure_ascii=False)
                     rows.append((source, path, own, lineage))
                     chars += len(own)
@@ -79,7 +85,8 @@ def flatten(saves: DataFrame, save: str = "save", roots: str = "ObjectStates", c
                         rows, chars = [], 0
             yield flush()
 
-    found = saves.select(F.col("source").cast("string").alias("source"), F.col(save).alias("save")).mapInArrow(run, NODES)
+    first = F.coalesce(F.col("first").cast("int"), F.lit(0)) if "first" in saves.columns else F.lit(0)
+    found = saves.select(F.col("source").cast("string").alias("source"), F.col(save).alias("save"), first.alias("first")).mapInArrow(run, NODES)
     named_ = F.filter("lineage", lambda a: a["name"].isNotNull())
     return found.select("source", "path", F.parse_json("node").alias("node"), F.transform(named_, lambda a: a["name"]).alias("ancestry"), (F.size("path") - 1).alias("depth"), "lineage")
 

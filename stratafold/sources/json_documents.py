@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,10 +71,10 @@ def backfilled(df: DataFrame, column: str, *others: str, default: str = "Neutral
     return df.withColumn(column, F.coalesce(column, *others, F.lit(default)))
 
 
-def save_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(source, save) of object-tree files; source is the file's stem."""
+def save_files(spark: SparkSession, paths: str | list[str], **more: Column) -> DataFrame:
+    """(source, save) of object-tree files; source is the file's stem. `more` columns may ask of the file's `_metadata`, such as the place `first` of a tree's piece."""
     text = spark.read.text(paths, wholetext=True)
-    return text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("source"), F.col("value").alias("save"))
+    return text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("source"), F.col("value").alias("save"), *(c.alias(n) for n, c in more.items()))
 
 
 def newest_file(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:

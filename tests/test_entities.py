@@ -167,3 +167,21 @@ def test_emphasis_and_figures(spark):
     sections = spark.createDataFrame([("d", "T", 1, 0), ("d", "T", 3, 5)], "doc string, title string, page int, ord int")
     figures = spark.createDataFrame([("d", 3, "T", "sum", "a summon"), ("d", 9, "T", "x", "x")], "doc string, page int, title string, expected string, found string")
     assert {r.page: r.ord for r in pages.annotated(sections, figures).collect()} == {3: 5, 9: 0}
+
+
+def test_a_tree_in_pieces_is_the_whole_tree(spark):
+    bag = lambda *guids: json.dumps({"ObjectStates": [{"Name": "Bag", "GUID": "b", "Nickname": "Box", "ContainedObjects": [{"GUID": g, "States": {"2": {"GUID": f"{g}2"}}} for g in guids]}]})
+    rows = lambda df: sorted((r.source, list(r.path), r.guid, list(r.ancestry), r.depth) for r in tree.flatten(df, states=True).withColumn("guid", tree.field("GUID")).collect())
+    whole = rows(spark.createDataFrame([("s", bag(*"vwxyz"))], "source string, save string"))
+    pieces = rows(spark.createDataFrame([("s", 4, bag("z")), ("s", None, bag("v", "w")), ("s", 2, bag("x", "y"))], "source string, first int, save string"))
+    assert pieces == whole and len(whole) == 11
+
+
+def test_trees_of_the_queries_come_in_bounded_pieces(spark):
+    from stratafold import queries, queries_more
+
+    tables = queries.Tables(spark, "/root/testdata/sf0.001")
+    whole, cut = (queries_more._tile_saves(tables, n) for n in (10**6, 3))
+    assert max(len(json.loads(r.save)["ObjectStates"][0]["ContainedObjects"]) for r in cut.collect()) == 3
+    said = lambda df: sorted((r.source, list(r.path), r.node) for r in tree.flatten(df).withColumn("node", F.to_json("node")).filter("depth > 0").collect())
+    assert said(cut) == said(whole) != []
