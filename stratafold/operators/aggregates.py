@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.session import saved
+
 
 def bucketed(df: DataFrame, key: str, columns: list[str], order: str, name: str = "rows") -> DataFrame:
     """A keyed list of distinct rows in order of first appearance. Distinct rows meet before lists are built."""
@@ -15,16 +17,25 @@ def bucketed(df: DataFrame, key: str, columns: list[str], order: str, name: str
 def merged(df: DataFrame, identity: list[str], order: str, first: list[str] = (), fill: list[str] = (), unite: list[str] = (), place: str | None = None, box: str | None = None) -> DataFrame:
     """One row per identity: copies; `first` columns of the first row, `fill` columns' first value that isn't null, `unite` arrays as sorted sets; copies per place and per box in order of first appearance.
 
-    Places are counted before they are listed, so a hot identity is combined early.
+    Rows are read once: what each place and box of an identity has is written, and
+    all else is made of it, so a hot identity is combined early.
     """
-    aggs = [F.count("*").alias("copies"), F.min(order).alias(order)]
-    aggs += [F.min_by(c, order).alias(c) for c in first]
-    aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fill]
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in unite]
-    out = df.groupBy(*identity).agg(*aggs)
+    kept = [c for c in (place, box) if c]
+    late = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+    united_ = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    found = [F.count("*").alias("_n"), F.min(order).alias("_o"), *(F.min_by(c, order).alias(f"_first_{c}") for c in first), *(united_(c).alias(f"_set_{c}") for c in unite)]
+    found += [x for c in fill for x in (F.min_by(F.col(c), late(c)).alias(f"_fill_{c}"), F.min(late(c)).alias(f"_at_{c}"))]
+    parts = df.groupBy(*dict.fromkeys([*identity, *kept])).agg(*found)
+    if kept:
+        parts = saved(parts)
+    aggs = [F.sum("_n").alias("copies"), F.min("_o").alias(order)]
+    aggs += [F.min_by(f"_first_{c}", "_o").alias(c) for c in first]
+    aggs += [F.min_by(f"_fill_{c}", f"_at_{c}").alias(c) for c in fill]
+    aggs += [F.array_sort(united_(f"_set_{c}")).alias(c) for c in unite]
+    out = parts.groupBy(*identity).agg(*aggs)
     for column, name in ((place, "locations"), (box, "boxes")):
         if column:
-            counts = df.filter(F.col(column).isNotNull()).groupBy(*identity, column).agg(F.count("*").alias("count"), F.min(order).alias("_o"))
+            counts = parts.filter(F.col(column).isNotNull()).groupBy(*identity, column).agg(F.sum("_n").alias("count"), F.min("_o").alias("_o"))
             lists = counts.groupBy(*identity).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.struct(F.col(column).alias("value"), "count").alias("r")))), lambda x: x["r"]).alias(name))
             met = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in identity]
             out = out.alias("l").join(lists.alias("r"), met, "left").select("l.*", f"r.{name}")

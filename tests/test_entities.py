@@ -185,3 +185,21 @@ def test_trees_of_the_queries_come_in_bounded_pieces(spark):
     assert max(len(json.loads(r.save)["ObjectStates"][0]["ContainedObjects"]) for r in cut.collect()) == 3
     said = lambda df: sorted((r.source, list(r.path), r.node) for r in tree.flatten(df).withColumn("node", F.to_json("node")).filter("depth > 0").collect())
     assert said(cut) == said(whole) != []
+
+
+def test_merged_reads_its_rows_once(spark):
+    from stratafold.operators.aggregates import merged
+
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    schema = "key string, ord int, name string, note string, tags array<string>, place string, box string"
+    rows = [("a", 3, "x", "late", ["t"], "p", "m"), ("a", 1, None, None, ["u", "t"], "q", "m"), ("a", 2, "y", "early", None, "p", None), (None, 1, "z", None, [], None, "m")]
+    got = merged(spark.createDataFrame(rows, schema).mapInArrow(passed, schema), ["key"], "ord", first=["name"], fill=["note"], unite=["tags"], place="place", box="box")
+    said = {r.key: (r.copies, r.ord, r.name, r.note, r.tags, *([tuple(x) for x in c] if c else None for c in (r.locations, r.boxes))) for r in got.collect()}
+    assert said == {"a": (3, 1, None, "early", ["t", "u"], [("q", 1), ("p", 2)], [("m", 2)]), None: (1, 1, "z", None, [], None, [("m", 1)])}
+    assert read.value == len(rows)
