@@ -131,12 +131,13 @@ def line_items(lines: DataFrame, headings: list[tuple[str, int, str, int]], font
     strength = F.when(F.col("_level").isNotNull(), F.col("_level") * 10).when(~(F.col("_goes_on") | F.coalesce("_continued", F.lit(False))), standalone_strength(F.col("_text"), F.col("_spans"), font, blacks))
     bullet = F.trim(F.get(seen, F.lit(0))["text"]) == BULLET
     told = both.withColumn("_strength", strength).withColumn("_kind", F.when(F.col("_strength").isNotNull(), "heading").when(bullet, "bullet").otherwise("text"))
-    read_ = folded(told.select("doc", "page", "block", "ord", "_spans", "_text", "_level", "_strength", "_kind", F.col("ord").cast("long").alias("_at")), ["doc", "page", "block"], ["ord"], ["_kind", "_at"], _lines_read, ["", None, None], "_reading string, _item long, _bullet long", range_rows)
     title = F.trim(F.regexp_replace(F.regexp_replace("_text", "\x08", " "), r"\s+", " "))
     text = F.when(F.col("_kind") == "heading", title).otherwise(rendered(F.col("_spans"), F.col("_kind") == "bullet"))
+    # a line goes on as its Markdown alone: ranges are written and dealt without spans
+    read_ = folded(told.select("doc", "page", "block", "ord", text.alias("_md"), "_level", "_strength", "_kind", F.col("ord").cast("long").alias("_at")), ["doc", "page", "block"], ["ord"], ["_kind", "_at"], _lines_read, ["", None, None], "_reading string, _item long, _bullet long", range_rows)
     key = ["doc", "page", "block", "_item", "_reading"]
     said = lambda order, value, between: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("t")))), lambda r: r["t"] != ""), lambda r: r["t"]), between)
-    parts = read_.withColumn("_md", text).groupBy(*key, "_bullet").agg(said("ord", "_md", " ").alias("_part"), F.max("_level").alias("level"), F.max("_strength").alias("strength"))
+    parts = read_.groupBy(*key, "_bullet").agg(said("ord", "_md", " ").alias("_part"), F.max("_level").alias("level"), F.max("_strength").alias("strength"))
     listed = F.when((F.col("_reading") == "bullets") & (F.trim("_part") != ""), F.concat(F.lit("- "), F.trim("_part"))).when(F.col("_reading") == "bullets", F.lit("")).otherwise(F.col("_part"))
     items = parts.withColumn("_part", listed).groupBy(*key).agg(said("_bullet", "_part", "\n").alias("text"), F.max("level").alias("level"), F.max("strength").alias("strength"))
     return items.filter((F.col("_reading") != "bullets") | (F.col("text") != "")).select("doc", "page", "block", F.col("_item").alias("ord"), F.col("_reading").alias("kind"), "level", "strength", "text")

@@ -166,3 +166,10 @@ def test_lines_become_items(spark, seed, range_rows):
     own = sorted((r for r in heads if r.doc == "a"), key=lambda r: r.ord)
     assert [r.heading_level for r in own] == levels_by_loop([(r.strength, r.level) for r in own])
     assert pages.line_items(spark.createDataFrame([], LINES), HEADINGS, "Serif-Bold", ["black"]).count() == 0
+
+
+def test_lines_are_dealt_as_their_markdown_alone(spark, monkeypatch):
+    dealt, folded = [], pages.folded
+    monkeypatch.setattr(pages, "folded", lambda df, *rest: dealt.append(set(df.columns)) or folded(df, *rest))
+    assert pages.line_items(spark.createDataFrame([], LINES), HEADINGS, "Serif-Bold", ["black"]).count() == 0
+    assert "_md" in dealt[0] and not dealt[0] & {"_spans", "_text"}
