@@ -10,11 +10,13 @@ bits. Nothing is estimated; each step leaves out only what cannot be similar.
    k of both among their first shingles in common, and a set with fewer is out.
 2. The sets left ask of all their shingles; one that shares fewer than `overlap`
    is out. Shingles of many sets are listed on the way.
-3. Sets that share one of their first n - overlap + 1 shingles, those of many
-   sets last, are one family (k = 1). Families are components of that relation.
+3. Sets of like size that share one of their first n - overlap + 1 shingles, those
+   of many sets last, are one family (k = 1). Families are components of that relation.
 4. A family's sets meet in one task, or cut into pieces, in one for each pair of
    pieces; there every pair that could be similar is counted out, unless links
-   found before join it (`similar_in_buckets`).
+   found before join it (`similar_in_buckets`). Pairs of pieces come in rounds, so
+   that disk holds a fixed number of copies of a set however large its family is; a
+   family that is one class needs no more of them.
 
 Asking costs a row per range of shingles and run of texts, with its shingles and
 sets packed; a shingle that several sets of a run share is answered there and
@@ -28,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.llm.arrowtext import bound_batches, give_back, mixed, slices, text_column, word_hashes, words_of
 from stratafold.llm.components import Forest, components, spanning_forest
-from stratafold.llm.shared import checked_broadcast, saved
+from stratafold.llm.shared import checked_broadcast, dropped, saved
 
 WORDS, SIMILARITY = 5, 0.8
 #: Share of its shingles that a set must share among its first ones, and shingles that are asked of at a time.
@@ -44,6 +46,8 @@ RANGE = 1 << 19
 HOT, HOT_MOST = 20, 500_000
 #: Shingles and sets of a piece of a family, about, and pairs that are held at a time.
 PIECE, PIECE_SETS, PAIRS_AT_ONCE = 1 << 20, 1 << 12, 1 << 19
+#: Offsets between pieces that meet in a round; a set of a cut family is written at most twice for each.
+OFFSETS = 4
 SLICE = 1 << 20
 
 
@@ -283,14 +287,23 @@ def candidate_sets(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 out.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), pa.array(out, pa.list_(pa.int64()))], ["sig", "n", "s"])
 
-    return sets.join(checked_broadcast(left), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "s").mapInArrow(ordered, "sig long, n long, s array<long>")
+    out = saved(sets.join(checked_broadcast(left), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "s").mapInArrow(ordered, "sig long, n long, s array<long>"))
+    dropped(sets)
+    return out
 
 
 def families(sets: DataFrame) -> DataFrame:
-    """(sig, family): sets (sig, n, s) that share one of their first n - overlap + 1 shingles with another, directly or through others."""
-    first = sets.select("sig", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).cast("int"))).alias("token"))
-    met = saved(first.groupBy("token").agg(F.min("sig").alias("least"), F.count("*").alias("n")).filter("n > 1").select("token", "least"))
-    edges = saved(first.join(checked_broadcast(met), "token").filter("sig <> least").select(F.col("sig").alias("a"), F.col("least").alias("b")).distinct())
+    """(sig, family): sets (sig, n, s) that share one of their first n - overlap + 1 shingles with another of like size, directly or through others.
+
+    The sizes of a shingle's sets fall into runs: a run ends where the next size is
+    too large for a set similar to one before it. A run's sets are linked to one of them.
+    """
+    first = sets.select("sig", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).cast("int"))).alias("token"))
+    by_size, whole_run = Window.partitionBy("token").orderBy("n"), Window.partitionBy("token", "run")
+    sizes = first.groupBy("token", "n").agg(F.min("sig").alias("least"), F.count("*").alias("many")).withColumn("before", F.lag("n").over(by_size))
+    runs = sizes.withColumn("run", F.sum(F.expr(f"CASE WHEN before < ceil({SIMILARITY} * n - 1e-9) THEN 1 ELSE 0 END")).over(by_size))
+    met = saved(runs.select("token", "n", F.min("least").over(whole_run).alias("least"), F.sum("many").over(whole_run).alias("many")).filter("many > 1").drop("many"))
+    edges = saved(first.join(checked_broadcast(met), ["token", "n"]).filter("sig <> least").select(F.col("sig").alias("a"), F.col("least").alias("b")).distinct())
     roots = saved(components(edges))
     return roots.select(F.col("node").alias("sig"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("sig"), F.col("root").alias("family")).distinct())
 
@@ -414,30 +427,53 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) of the fingerprints of `marked` (row_key, fp, sig, n) whose classes are those of all pairs of similar texts; rows of one sig have one fp."""
-    bound_batches(docs.sparkSession)
-    sets = saved(candidate_sets(docs, marked))
-    members = families(sets)
-    fps = marked.groupBy("sig").agg(F.min("fp").alias("fp"))
-    whole = saved(members.join(sets.select("sig", "n"), "sig").join(fps, "sig").withColumnRenamed("family", "key"))
-    pieces = saved(whole.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / F.lit(PIECE)), F.ceil(F.count("*") / F.lit(PIECE_SETS))).cast("int").alias("pieces")))
-    own = "cast(pmod(xxhash64(sig), pieces) AS int)"
-    meetings = (
-        f"CASE WHEN pieces = 1 THEN array(struct(0 AS i, 0 AS j, 2 AS side)) ELSE transform(sequence(0, pieces - 1), k -> "
-        f"struct(least(k, {own}) AS i, greatest(k, {own}) AS j, CASE WHEN k = {own} THEN 2 WHEN k < {own} THEN 1 ELSE 0 END AS side)) END"
-    )
-    dealt = whole.join(checked_broadcast(pieces), "key").selectExpr("sig", "fp", "key", f"inline({meetings})")
-    rows = sets.select("sig", "s").join(checked_broadcast(saved(dealt)), "sig").select("fp", "s", "key", "i", "j", "side")
+def meetings(first: int) -> str:
+    """The pieces (i, j, side) in which piece `own` of `pieces` meets others in the round of offsets from `first`; offset 0 is a round of its own.
+
+    Each pair of pieces is at one offset, at most half their number, around the ring of pieces.
+    """
+    if not first:
+        return "array(struct(own AS i, own AS j, 2 AS side))"
+    offsets = f"filter(sequence({first}, {first + OFFSETS - 1}), d -> 2 * d <= pieces)"
+    others = f"array_distinct(flatten(transform({offsets}, d -> array(cast(pmod(own + d, pieces) AS int), cast(pmod(own - d, pieces) AS int)))))"
+    return f"transform({others}, k -> struct(least(k, own) AS i, greatest(k, own) AS j, CASE WHEN k < own THEN 1 ELSE 0 END AS side))"
+
+
+def _links(sets: DataFrame, dealt: DataFrame, first: int) -> DataFrame:
+    """Links (a, b) of the nodes of `dealt` (sig, node, key, own, pieces) that a round of pieces finds among `sets` (sig, s)."""
+    rows = sets.select("sig", "s").join(checked_broadcast(dealt), "sig").selectExpr("node", "s", "key", f"inline({meetings(first)})")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_buckets(batches):
             keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
             bucket = np.concatenate(([0], np.cumsum(np.any(keys[1:] != keys[:-1], axis=1)))).astype(np.uint64)
             lists = rows.column("s").combine_chunks()
-            side, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "fp"))
+            side, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "node"))
             a, b = similar_in_buckets(bucket, side, node, lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
         give_back()
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links (a, b) of the fingerprints of `marked` (row_key, fp, sig, n) whose classes are those of all pairs of similar texts; rows of one sig have one fp."""
+    bound_batches(docs.sparkSession)
+    sets = candidate_sets(docs, marked)
+    members = families(sets)
+    fps = marked.groupBy("sig").agg(F.min("fp").alias("fp"))
+    whole = saved(members.join(sets.select("sig", "n"), "sig").join(fps, "sig").withColumnRenamed("family", "key"))
+    pieces = saved(whole.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / F.lit(PIECE)), F.ceil(F.count("*") / F.lit(PIECE_SETS))).cast("int").alias("pieces")))
+    dealt = saved(whole.join(checked_broadcast(pieces), "key").selectExpr("sig", "fp AS node", "key", "cast(pmod(xxhash64(sig), pieces) AS int) AS own", "pieces"))
+    links = saved(_links(sets, dealt, 0))
+    most = pieces.agg(F.max("pieces")).first()[0] or 1
+    for first in range(1, most // 2 + 1, OFFSETS):
+        roots = saved(components(links))
+        cut = dealt.filter(F.col("pieces") >= 2 * first).join(checked_broadcast(roots.withColumnRenamed("node", "own_node")), F.col("node") == F.col("own_node"), "left")
+        cut = saved(cut.select("sig", F.coalesce("root", "node").alias("node"), "key", "own", "pieces"))
+        apart = saved(cut.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key"))
+        if not (families_left := apart.count()):
+            break
+        found = _links(sets, saved(cut.join(checked_broadcast(apart, families_left), "key", "left_semi")), first)
+        links = saved(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    return links

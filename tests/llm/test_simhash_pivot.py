@@ -226,6 +226,49 @@ def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, piece, mon
     assert kept_ids(spark, rows) == want
 
 
+def test_a_common_shingle_makes_families_of_like_sizes_only(spark):
+    """Sizes 20, 22 and 27 follow one another within the similarity, 40 and 42 as well; 9 is alone, and 27 to 40 is a gap."""
+    sizes = {1: 20, 2: 22, 3: 27, 4: 40, 5: 42, 6: 9, 7: 42}
+    rows = [(k, n, [7, *range(1000 * k, 1000 * k + n - 1)]) for k, n in sizes.items()]
+    found = {}
+    for r in ss.families(spark.createDataFrame(rows, "sig long, n long, s array<long>")).collect():
+        found.setdefault(r.family, set()).add(r.sig)
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3], [4, 5, 7]]
+
+
+def test_rounds_of_pieces_meet_each_pair_once_and_copy_no_set_often(spark):
+    """However many pieces a family has, a round writes a set at most 2 * OFFSETS times."""
+    for pieces in (1, 2, 3, 8, 9, 40):
+        owns = spark.range(pieces).selectExpr("cast(id AS int) AS own", f"{pieces} AS pieces")
+        met = {}
+        for first in (0, *range(1, pieces // 2 + 1, ss.OFFSETS)):
+            rows = owns.selectExpr("own", f"inline({ss.meetings(first)})").collect()
+            assert max(sum(r.own == own for r in rows) for own in range(pieces)) <= 2 * ss.OFFSETS
+            for r in rows:
+                assert r.own in (r.i, r.j) and r.side == (2 if r.i == r.j else r.own == r.j)
+                met.setdefault((r.i, r.j), []).append(r.own)
+        assert {k: sorted(v) for k, v in met.items()} == {(i, j): [i, j] if i < j else [i] for i in range(pieces) for j in range(i, pieces)}
+
+
+@pytest.mark.parametrize("changes, whole", [(1, True), (7, False)])
+def test_a_cut_family_meets_in_rounds_until_it_is_one_class(spark, monkeypatch, changes, whole):
+    monkeypatch.setattr(ss, "PIECE", 5000)
+    monkeypatch.setattr(ss, "OFFSETS", 1)
+    rounds, old = [], ss._links
+    monkeypatch.setattr(ss, "_links", lambda sets, dealt, first: rounds.append(first) or old(sets, dealt, first))
+    rng = np.random.default_rng(15)
+    rows = []
+    for i in range(150):
+        words = [f"b{k}" for k in range(304)]
+        for at in rng.choice(304, changes, replace=False):
+            words[at] = f"v{rng.integers(40)}"
+        rows.append((i, " ".join(words)))
+    want = brute_kept(rows)
+    assert (len(want) == 1) == whole
+    assert kept_ids(spark, rows) == want
+    assert rounds == ([0, 1] if whole else [0, 1, 2, 3, 4])
+
+
 @pytest.mark.parametrize("at_once", [1 << 19, 50])
 def test_rows_of_bits_and_lookups_find_the_same_links(at_once, monkeypatch):
     """Two buckets of dense families in one call, verified by rows of bits and shingle by shingle; pairs that failed in a step don't come back."""
