@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from stratafold.llm import similar_sets
 from stratafold.llm.arrowtext import bound_batches, give_back, slices, text_column
 from stratafold.llm.components import Forest, components
-from stratafold.llm.shared import checked_broadcast, saved
+from stratafold.llm.shared import BROADCAST_ROWS, checked_broadcast, saved
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 PIVOTS = 16
@@ -179,8 +179,9 @@ def _pieces(columns: list[str]) -> str:
     )
 
 
-def _meetings(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """`rows` (columns, table, key) with the pieces of buckets they meet in (i, j, side), dealt and sorted by piece. Buckets of one row go."""
+def _meetings(rows: DataFrame, columns: list[str], few: bool) -> DataFrame:
+    """`rows` (columns, table, key), which may be broadcast if there are `few`, with the pieces of buckets they meet in (i, j, side), dealt and sorted by piece. Buckets of one row go."""
+    rows = rows if few else rows.hint("merge")  # Spark's estimate of its size leaves out that a row is in every table
     sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = rows.join(sizes, ["table", "key"]).selectExpr(*columns, "table", "key", f"{_pieces(columns)} AS meetings").selectExpr(*columns, "table", "key", "inline(meetings)")
     return met.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j").select(*columns, "side", "table", "key", "i", "j")
@@ -212,8 +213,9 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterato
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) of a table of distinct fingerprints `fp` whose components are those of all links."""
     bound_batches(distinct.sparkSession)
-    tables = _tables(blocks_for(distinct.count(), radius), radius)
-    parted = _meetings(distinct.select("fp", F.inline(F.array(*tables))), ["fp"])
+    count = distinct.count()
+    tables = _tables(blocks_for(count, radius), radius)
+    parted = _meetings(distinct.select("fp", F.inline(F.array(*tables))), ["fp"], count * len(tables) <= BROADCAST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches, ["fp"]):

@@ -226,6 +226,16 @@ def test_a_dense_family_around_the_threshold_matches_all_pairs(spark, piece, mon
     assert kept_ids(spark, rows) == want
 
 
+@pytest.mark.parametrize("most, broadcast", [(1_000_000, True), (300, False)])
+def test_fingerprints_by_table_are_broadcast_only_if_few(spark, monkeypatch, most, broadcast):
+    """100 fingerprints are 500 rows by table, though their file is small."""
+    monkeypatch.setattr(sp, "BROADCAST_ROWS", most)
+    found = sp.links(sp.saved(spark.range(100).selectExpr("shiftleft(id, id % 50) AS fp").distinct()))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == broadcast
+
+
 def test_a_common_shingle_makes_families_of_like_sizes_only(spark):
     """Sizes 20, 22 and 27 follow one another within the similarity, 40 and 42 as well; 9 is alone, and 27 to 40 is a gap."""
     sizes = {1: 20, 2: 22, 3: 27, 4: 40, 5: 42, 6: 9, 7: 42}
